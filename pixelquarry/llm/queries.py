@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import jaccard_join, quality, substring_dedup
 from .shared import documents
 
 
@@ -15,12 +15,22 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup_substrings(docs))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality.classify(docs, documents(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1}
+    return {"op1_substring_dedup": OP1, "op9_jaccard_join": OP9}
 
 
 OP1 = r"""
@@ -42,3 +52,29 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
        sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (rid) LEFT JOIN cut USING (rid)
 """
+
+OP9 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT rid, list_slice(w, i, i + 4) AS g
+  FROM d, unnest(range(1, greatest(len(w) - 3, CAST(len(w) > 0 AS INT) + 1))) AS t(i)
+), n AS (
+  SELECT rid, count(*) AS n FROM s GROUP BY rid
+), links AS (
+  SELECT a.rid AS x, b.rid AS y
+  FROM s AS a JOIN s AS b ON a.g = b.g AND a.rid <> b.rid JOIN n AS p ON p.rid = a.rid JOIN n AS q ON q.rid = b.rid
+  WHERE 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n)
+  GROUP BY a.rid, b.rid, p.n, q.n
+  HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+), reach AS (
+  SELECT rid, rid AS other FROM d
+  UNION
+  SELECT r.rid, l.y FROM reach AS r JOIN links AS l ON l.x = r.other
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (rid) JOIN reach USING (rid) JOIN d AS o ON o.rid = reach.other
+GROUP BY d.rid, d.doc_id, n.n
+"""
