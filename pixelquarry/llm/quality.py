@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textkit import chunks, gram_hashes, inside, span_hashes, words
 
@@ -230,7 +231,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             out = [shared.value.score(features(raw, off)) for _, _, raw, off in chunks(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.empty(0))], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(score, docs.schema.add("score", "double"))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id) -> F.Column:

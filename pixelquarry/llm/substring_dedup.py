@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import sketch
 from .shared import parts
@@ -234,7 +235,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, max_bits: int = sket
     rows = docs.select(*kept).withColumn("_text_key", F.xxhash64("text"))
     joined = rows.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_text_key") == F.col("_mark_key")), "left")
     joined = joined.drop("_doc_id", "_mark_key", "_text_key")
-    schema = joined.drop("_runs").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    schema = T.StructType([f for f in joined.schema.fields if f.name != "_runs"] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
