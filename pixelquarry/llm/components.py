@@ -14,18 +14,17 @@ def components(edges: DataFrame) -> DataFrame:
     Each level points every node at its smallest neighbour and keeps the edges between different targets; every node
     that has an edge left takes part, so levels are few.  Levels are written tables: no lineage grows, and a hub with
     very many edges is one aggregate with a partial sum on each side.  Null or equal ends are no edges."""
-    left = stored(edges.where("a <> b").select("a", "b"), "edges")
-    whole = None
-    while True:
-        both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    left = edges.where("a <> b").select("a", "b")
+    levels: list[DataFrame] = []
+    while not levels or not left.isEmpty():
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("parent")), "level")
-        if whole is None:
-            whole = parent.select("node", F.col("parent").alias("component"))
-        else:
-            step = parent.select(F.col("node").alias("component"), "parent")
-            whole = stored(whole.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "labels")
+        levels.append(parent)
         pa, pb = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         left = left.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
         left = stored(left, "edges")
-        if left.isEmpty():
-            return whole
+    whole = levels[0].select("node", F.col("parent").alias("component"))
+    for parent in levels[1:]:
+        step = parent.select(F.col("node").alias("component"), "parent")
+        whole = whole.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+    return stored(whole, "labels") if levels[1:] else whole

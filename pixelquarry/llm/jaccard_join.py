@@ -41,9 +41,9 @@ K = 5
 PERCENT = 80
 FREQUENT = 32
 SALTS = 16
-_SETS = pa.schema([("doc_id", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("n", pa.int64()), ("n_rare", pa.int32()), ("tokens", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("n", pa.int64()), ("n_rare", pa.int32()), ("tokens", pa.binary())])
 _LISTS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("s", pa.int32()), ("rest", pa.int32())])
-_STARS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("s", pa.int32()), ("rest", pa.int32()), ("hub", pa.int64())])
+_STARS = pa.schema([*_LISTS, ("hub", pa.int64()), ("more", pa.bool_())])
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +70,10 @@ def shingles(raw: np.ndarray, off: np.ndarray, k: int = K) -> tuple[np.ndarray,
 
 
 def token_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, max_bits: int = sketch.MAX_BITS) -> DataFrame:
-    """(doc_id, fa, fb, n, n_rare, tokens): each document's number of tokens and the 128-bit fingerprint of its set.
+    """(doc_id, text_key, fa, fb, n, n_rare, tokens): each document's number of tokens and the 128-bit fingerprint of
+    its set; ``text_key`` is xxhash64(text).
     ``tokens`` has the 64-bit hashes of those not private, rare ones first; null where they are too few for any link."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, raw, off in chunks(batch.column("text")):
@@ -98,9 +99,9 @@ def token_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: in
                 data = h[order].tobytes()
                 may = (100 * c >= percent * n) & (n > 0)
                 blobs = [data[8 * (e - x) : 8 * e] if ok else None for e, x, ok in zip(ends.tolist(), c.tolist(), may.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, rows_in), pa.array(fa), pa.array(fb), pa.array(n.astype(np.int64)), pa.array(rare.astype(np.int32)), pa.array(blobs, pa.binary())], schema=_SETS)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, rows_in), batch.column("text_key").slice(row, rows_in), pa.array(fa), pa.array(fb), pa.array(n.astype(np.int64)), pa.array(rare.astype(np.int32)), pa.array(blobs, pa.binary())], schema=_SETS)
 
-    return rows.mapInArrow(sets, "doc_id long, fa long, fb long, n long, n_rare int, tokens binary")
+    return rows.mapInArrow(sets, "doc_id long, text_key long, fa long, fb long, n long, n_rare int, tokens binary")
 
 
 def _need(n: int, percent: int) -> int:
@@ -165,8 +166,8 @@ def _arrow(schema: pa.Schema, held: list[tuple]) -> pa.RecordBatch:
 
 
 def stars(lists: DataFrame) -> DataFrame:
-    """The index lists of at least two nodes; ``hub`` is the list's smallest node, null on lists of two but for the
-    second node, whose only pair it is.  Rows stream in key order: no list is held."""
+    """The index lists of at least two nodes; ``hub`` is the list's smallest node, ``more`` whether it has more than two.
+    A list of two sends its second node only.  Rows stream in key order: no list is held."""
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = np.empty((0, 6), np.int64)  # the last list so far, at most three rows of it; column 5: rows of it already sent
@@ -201,10 +202,9 @@ def stars(lists: DataFrame) -> DataFrame:
     def out(x: np.ndarray, hubs: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
         keep = (size > 2) | (hubs != x[:, 1])
         x, hubs = x[keep], hubs[keep]
-        return pa.RecordBatch.from_arrays([*(pa.array(x[:, i]).cast(f.type) for i, f in zip(range(5), _STARS, strict=False)), pa.array(hubs)], schema=_STARS)
+        return pa.RecordBatch.from_arrays([*(pa.array(x[:, i]).cast(f.type) for i, f in zip(range(5), _STARS, strict=False)), pa.array(hubs), pa.array(size[keep] > 2)], schema=_STARS)
 
-    # a list of two sends one row, longer ones send all their rows
-    return lists.repartition(parts(lists.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(star, "key long, node long, n int, s int, rest int, hub long")
+    return lists.repartition(parts(lists.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(star, "key long, node long, n int, s int, rest int, hub long, more boolean")
 
 
 def _may_link(a: str, b: str, percent: int) -> str:
@@ -251,30 +251,33 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     # the first member of a list is not known to have the hub's s and rest; sizes decide here, verification follows
     pairs = found.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(verified(pairs, sets, percent), "links")
-    lists = found.groupBy("key").agg(F.count("*").alias("_rows")).where("_rows > 1").select("key")
-    lists = found.join(lists, "key", "left_semi").drop("hub")
-    hubs = 1
+    lists, hubs = found.where("more").drop("hub", "more"), 1
     while True:
         labels = components(links)
         of = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         ranked = of.join(open_, "key", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("key", "component").orderBy("node")))
-        lists = stored(ranked, "open")
-        most = lists.agg(F.max("rank")).first()[0]
-        if most is None:
+        ranked = stored(ranked, "open")
+        # with as many hubs as the second largest component of a list has members, all its pairs across components are tried
+        second = ranked.groupBy("key", "rank").count().where("count > 1").groupBy("key").agg(F.max("rank").alias("second"))
+        lists = stored(ranked.join(second, "key"), "open")
+        if lists.isEmpty():
             return labels
         tried = lists.where(F.col("rank") <= hubs).alias("h").join(lists.alias("m"), F.expr(f"h.key = m.key AND h.component <> m.component AND {_may_link('h', 'm', percent)}"))
         tried = tried.select(F.least("h.node", "m.node").alias("a"), F.greatest("h.node", "m.node").alias("b")).distinct()
-        links = stored(links.union(verified(tried, sets, percent)), "links")
-        if most <= hubs:
+        new = stored(verified(tried, sets, percent), "links")
+        lists = lists.where(F.col("second") > hubs).drop("component", "rank", "second")
+        if new.isEmpty() and lists.isEmpty():
+            return labels
+        links = links.union(new)
+        if lists.isEmpty():
             return components(links)
-        lists = lists.drop("component", "rank")
         hubs *= 8
 
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, max_bits: int = sketch.MAX_BITS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links reach,
-    its own included), and fa and fb, the fingerprint of its token set."""
+    its own included), and text_key, xxhash64(text)."""
     all_sets = stored(token_sets(docs, k, percent, frequent, max_bits), "sets")
     may = all_sets.where("tokens IS NOT NULL")
     nodes = may.groupBy("fa", "fb").agg(F.min("doc_id").alias("first_doc"), F.first("n").cast("int").alias("n"), F.first("n_rare").alias("n_rare"), F.first("tokens").alias("tokens"))
@@ -282,5 +285,5 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, frequen
     labels = link_components(nodes.select("node", "n", "n_rare", "tokens"), percent)
     named = nodes.select("fa", "fb", "node", "first_doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = named.withColumn("component_id", F.min("first_doc").over(Window.partitionBy("component"))).select("fa", "fb", "component_id")
-    out = all_sets.select("doc_id", "n", "fa", "fb").join(named, ["fa", "fb"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "fa", "fb")
+    out = all_sets.select("doc_id", "text_key", "n", "fa", "fb").join(named, ["fa", "fb"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
