@@ -58,31 +58,28 @@ def split_points(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(begins | last_white), whole
 
 
-class Encoder:
-    """Encodes chunks with a tokenizer file, keeping the ids of pieces seen."""
+class PieceCache:
+    """Ids of a chunk's texts from the ids of its distinct parts, kept from chunk to chunk.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    A subclass says where parts begin (``split``, with a flag for texts to be solved whole) and solves parts."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.forget()
+    dtype: type
 
     def forget(self) -> None:
         self.keys, self.start, self.length, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.dtype)
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        length = np.array([len(x) for x in got], np.int64)
-        return np.fromiter((i for x in got for i in x), self.dtype, int(length.sum())), length
+    def split(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def solve(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
 
     def chunk(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text)."""
         n = len(off) - 1
         if not len(raw):
             return np.empty(0, self.dtype), np.zeros(n, np.int64)
-        begin, whole = split_points(raw, off)
+        begin, whole = self.split(raw, off)
         text = np.searchsorted(off, begin, "right") - 1
         end = np.append(begin[1:], len(raw))
         keep = ~whole[text]
@@ -94,8 +91,8 @@ class Encoder:
             if len(self.keys) + (~known).sum() > CACHE:
                 self.forget()
                 known[:] = False
-            data, fresh = raw.tobytes(), np.flatnonzero(~known)
-            ids, length = self._encode([data[a:b].decode() for a, b in zip(begin[at[fresh]].tolist(), end[at[fresh]].tolist(), strict=True)])
+            fresh = np.flatnonzero(~known)
+            ids, length = self.solve(raw, begin[at[fresh]], end[at[fresh]])
             keys = np.concatenate([self.keys, kinds[fresh]])
             order = np.argsort(keys)
             self.keys = keys[order]
@@ -108,10 +105,10 @@ class Encoder:
         count = np.bincount(text, weights=length, minlength=n).astype(np.int64)
         ids = self.ids[ranges(self.start[spot], length)]
         if whole.any():
-            data, parts, at = raw.tobytes(), [], 0
+            parts, at = [], 0
             for i in range(n):
                 if whole[i]:
-                    got, _ = self._encode([data[int(off[i]) : int(off[i + 1])].decode()])
+                    got, _ = self.solve(raw, off[i : i + 1], off[i + 1 : i + 2])
                     count[i] = len(got)
                     parts.append(got)
                 else:
@@ -121,6 +118,28 @@ class Encoder:
         return ids, count
 
 
+class Encoder(PieceCache):
+    """Parts solved by a tokenizer file."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.forget()
+
+    def split(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return split_points(raw, off)
+
+    def solve(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data = raw.tobytes()
+        texts = [data[a:b].decode() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        length = np.array([len(x) for x in got], np.int64)
+        return np.fromiter((i for x in got for i in x), self.dtype, int(length.sum())), length
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One encoder per worker and tokenizer."""

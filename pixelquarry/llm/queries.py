@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, jaccard_join, packing, quality, secret_scan, substring_dedup, topk_search
+from . import hnsw, jaccard_join, packing, piece_transducer, quality, secret_scan, substring_dedup, topk_search
 from .shared import documents
 
 
@@ -24,6 +24,10 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
+def op6_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.round_trip(documents(spark, sf_dir).select("doc_id", "text"), packing.tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
