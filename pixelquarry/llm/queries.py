@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, jaccard_join, packing, piece_transducer, quality, secret_scan, substring_dedup, topk_search
+from . import hnsw, jaccard_join, masked_lm, packing, piece_transducer, quality, secret_scan, substring_dedup, topk_search
 from .shared import documents
 
 
@@ -20,6 +20,10 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_products(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.scored(documents(spark, sf_dir))
+
+
 def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text", "source"))
 
