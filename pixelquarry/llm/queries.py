@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, jaccard_join, masked_lm, packing, piece_transducer, quality, secret_scan, substring_dedup, topk_search
+from . import hnsw, jaccard_join, masked_lm, packing, piece_transducer, quality, secret_scan, substring_dedup, topk_search, warc
 from .shared import documents
 
 
@@ -16,6 +16,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup_substrings(docs))
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses_from_pages(documents(spark, sf_dir, "pages")))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_products(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
