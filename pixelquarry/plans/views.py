@@ -36,14 +36,14 @@ VIEWS: dict[str, str] = {
         SELECT concat('img/', CAST(p_partkey % 40 AS STRING), '/', replace(p_name, ' ', '_'), CAST(p_partkey % 150 AS STRING), '.png') AS path,
                concat(CAST(p_partkey % 40 AS STRING), '/', replace(p_name, ' ', '_'), CAST(p_partkey % 150 AS STRING)) AS rel_stem,
                concat(upper(substr(p_name, 1, 1)), substr(replace(p_name, ' ', '_'), 2), CAST(p_partkey % 150 AS STRING)) AS stem,
-               p_partkey % 29 = 0 AS broken
-        FROM part""",
+               bool_or(p_partkey % 29 = 0) AS broken
+        FROM part GROUP BY 1, 2, 3""",
     "annotation_files": """
         SELECT concat('ann/', CAST(p_partkey % 40 AS STRING), '/', replace(p_name, ' ', '_'), CAST(p_partkey % 150 AS STRING), '.json') AS path,
                concat(CAST(p_partkey % 40 AS STRING), '/', replace(p_name, ' ', '_'), CAST(p_partkey % 150 AS STRING)) AS rel_stem,
                concat(replace(p_name, ' ', '_'), CAST(p_partkey % 150 AS STRING)) AS stem,
-               concat(replace(p_name, ' ', '_'), CAST(p_partkey % 130 AS STRING), '.PNG') AS image_path, p_partkey % 31 = 0 AS broken
-        FROM part WHERE p_partkey % 4 <> 1""",
+               min(concat(replace(p_name, ' ', '_'), CAST(p_partkey % 130 AS STRING), '.PNG')) AS image_path, bool_or(p_partkey % 31 = 0) AS broken
+        FROM part WHERE p_partkey % 4 <> 1 GROUP BY 1, 2, 3""",
     # job log: one row per event
     "job_events": """
         SELECT event_id, ts, concat('job', CAST(user_id % 40 AS STRING)) AS job_id, concat('item', CAST(user_id AS STRING)) AS item_id,
