@@ -15,7 +15,7 @@ frequent ones of one class, are in both prefixes: linked sets share an index key
 (buckets of linked sets are equal or neighbours), and the number of classes grows with it.
 
 Documents with equal sets are one node from the start.  Key lists are never expanded into pairs: each list tries its
-smallest node against the others; lists that still span several components then try a few nodes of each component
+node of fewest private tokens (what others were copied from) against the others; lists that still span several components then try a few nodes of each component
 against the other components' nodes, eight times as many each round, until each list is one component or all its
 pairs were tried.  So a large group of near copies costs a few pairs a document, and no link is lost.
 
@@ -166,8 +166,8 @@ def _arrow(schema: pa.Schema, held: list[tuple]) -> pa.RecordBatch:
 
 
 def stars(lists: DataFrame) -> DataFrame:
-    """The index lists of at least two nodes; ``hub`` is the list's smallest node, ``more`` whether it has more than two.
-    A list of two sends its second node only.  Rows stream in key order: no list is held."""
+    """The index lists of at least two nodes; ``hub`` is the list's first node, ``more`` whether it has more than two.
+    Nodes with fewer private tokens come first.  A list of two sends its second node only.  Rows stream in key order: no list is held."""
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = np.empty((0, 6), np.int64)  # the last list so far, at most three rows of it; column 5: rows of it already sent
@@ -204,7 +204,7 @@ def stars(lists: DataFrame) -> DataFrame:
         x, hubs = x[keep], hubs[keep]
         return pa.RecordBatch.from_arrays([*(pa.array(x[:, i]).cast(f.type) for i, f in zip(range(5), _STARS, strict=False)), pa.array(hubs), pa.array(size[keep] > 2)], schema=_STARS)
 
-    return lists.repartition(parts(lists.sparkSession), "key").sortWithinPartitions("key", "node").mapInArrow(star, "key long, node long, n int, s int, rest int, hub long, more boolean")
+    return lists.repartition(parts(lists.sparkSession), "key").sortWithinPartitions("key", F.expr("n - s - rest"), "node").mapInArrow(star, "key long, node long, n int, s int, rest int, hub long, more boolean")
 
 
 def _may_link(a: str, b: str, percent: int) -> str:
@@ -251,19 +251,21 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     # the first member of a list is not known to have the hub's s and rest; sizes decide here, verification follows
     pairs = found.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(verified(pairs, sets, percent), "links")
-    lists, hubs = found.where("more").drop("hub", "more"), 1
+    lists, hubs = found.where("more").withColumn("starred", F.col("hub") == F.col("node")).drop("hub", "more"), 1
     while True:
         labels = components(links)
         of = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        ranked = of.join(open_, "key", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("key", "component").orderBy("node")))
+        ranked = of.join(open_, "key", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("key", "component").orderBy(F.expr("n - s - rest"), "node")))
         ranked = stored(ranked, "open")
         # with as many hubs as the second largest component of a list has members, all its pairs across components are tried
         second = ranked.groupBy("key", "rank").count().where("count > 1").groupBy("key").agg(F.max("rank").alias("second"))
         lists = stored(ranked.join(second, "key"), "open")
         if lists.isEmpty():
             return labels
-        tried = lists.where(F.col("rank") <= hubs).alias("h").join(lists.alias("m"), F.expr(f"h.key = m.key AND h.component <> m.component AND {_may_link('h', 'm', percent)}"))
+        # pairs with a list's first node were tried before, and two hubs need to meet once only
+        other = "h.key = m.key AND h.component <> m.component AND (m.rank > %d OR h.node < m.node)" % hubs
+        tried = lists.where(F.col("rank") <= hubs).where("NOT starred").alias("h").join(lists.where("NOT starred").alias("m"), F.expr(f"{other} AND {_may_link('h', 'm', percent)}"))
         tried = tried.select(F.least("h.node", "m.node").alias("a"), F.greatest("h.node", "m.node").alias("b")).distinct()
         new = stored(verified(tried, sets, percent), "links")
         lists = lists.where(F.col("second") > hubs).drop("component", "rank", "second")
