@@ -10,6 +10,10 @@ from ..functions.text import category
 ACTIVE, FINISHED = ("queued", "running"), ("succeeded", "failed", "canceled")
 
 
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def distribution(assets: DataFrame, column: str, n: int | None = None) -> DataFrame:
     """How many assets have each value of an array column (once per asset), or of a plain one; the ``n`` commonest."""
     value = F.explode(F.array_distinct(column)) if dict(assets.dtypes)[column].startswith("array") else F.col(column)
@@ -72,7 +76,7 @@ def latency(log: DataFrame, key: str, ms: str = "ms", fractions: tuple[float, ..
 
 def throughput(log: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     """Rows a second between first and last, and failures."""
-    span = F.max(F.unix_micros(ts)) - F.min(F.unix_micros(ts))
+    span = F.max(_micros(ts)) - F.min(_micros(ts))
     return log.groupBy(key).agg(F.count("*").alias("n"), (F.count("*") / (F.nullif(span, F.lit(0)) / 1e6)).alias("per_second"), F.count_if(F.col("state") == "failed").alias("errors"))
 
 
@@ -106,7 +110,7 @@ def catalog(models: DataFrame, used: DataFrame) -> DataFrame:
 def bursts(rows: DataFrame, key: list[str], ts: str, seconds: float, total: str) -> DataFrame:
     """Rows of a key closer than ``seconds`` to the one before are one burst."""
     w = Window.partitionBy(*key).orderBy(ts, total)
-    gap = (F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(w)) > int(seconds * 1_000_000)
+    gap = (_micros(ts) - F.lag(_micros(ts)).over(w)) > int(seconds * 1_000_000)
     grouped = rows.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("long")).withColumn("burst", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy(*key, "burst").agg(F.count("*").alias("n"), F.sum(total).alias("total"), F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"))
 

@@ -107,7 +107,7 @@ QUERIES = {
     "a17_repeated_models": lambda spark, sf: a.first_wins(view(spark, sf, "models"), "model_id", "file_order")[1].select("model_id", "file_order"),
     "a19_bursts": lambda spark, sf: _rounded(a.bursts(view(spark, sf, "job_events"), ["job_id"], "ts", 3600, "ms"), 4),
     "a11_dataset_fingerprint": lambda spark, sf: a.sorted_fingerprint(view(spark, sf, "assets"), "dataset_id", "asset_id", "display_path"),
-    "a12_tensor_statistics": lambda spark, sf: _rounded(a.tensor_statistics(view(spark, sf, "embeddings").select("label", F.explode("embedding").cast("double").alias("x")), "label", "x")),
+    "a12_tensor_statistics": lambda spark, sf: _rounded(a.tensor_statistics(view(spark, sf, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x")), "label", "x")),
     "f22_status_indicator": _indicator,
     "f23_overlay_kind": _overlay,
     "j10_item_progress": lambda spark, sf: view(spark, sf, "job_events").alias("e").join(view(spark, sf, "runs").alias("r"), F.expr("e.event_id = r.run_id AND e.generation = r.run_id % 4")).select("event_id", "model_id", "ms"),
