@@ -26,7 +26,7 @@ from .shared import parts, stored
 from .textkit import mix
 from .topk_search import usable
 
-SHARD = 2048
+SHARD = 8192
 LINKS = 16
 BUILD = 48
 EF = 128
@@ -35,11 +35,12 @@ _INDEX = pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("ids", pa.binar
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def _diverse(sims: np.ndarray, node: int, near: np.ndarray, most: int) -> list[int]:
+def _diverse(points: np.ndarray, node: int, near: np.ndarray, most: int) -> list[int]:
     """Of candidates in order of nearness those nearer to the node than to any chosen before; then the nearest rest."""
     chosen: list[int] = []
-    to_node, among = sims[node, near], sims[np.ix_(near, near)]
-    closest = np.full(len(near), -np.inf, sims.dtype)
+    mine = points[near]
+    to_node, among = mine @ points[node], mine @ mine.T
+    closest = np.full(len(near), -np.inf, points.dtype)
     for i in range(len(near)):
         if closest[i] < to_node[i]:
             chosen.append(i)
@@ -66,19 +67,21 @@ def build_levels(points: np.ndarray, seed: np.ndarray, links: int = LINKS, build
         nodes = np.flatnonzero(level >= height)
         nodes = nodes[np.argsort(mix(seed[nodes], 5), kind="stable")]
         most = 2 * links if height == 0 else links
-        sims = points[nodes] @ points[nodes].T
+        mine = points[nodes]
         joined: list[set[int]] = [set() for _ in nodes]
-        for i in range(1, len(nodes)):
-            before = sims[i, :i]
-            near = np.arange(i) if i <= build else np.argpartition(-before, build)[:build]
-            for j in _diverse(sims, i, near[np.argsort(-before[near], kind="stable")], links):
-                joined[i].add(j)
-                joined[j].add(i)
+        for at in range(0, len(nodes), 256):  # nearest predecessors, 256 nodes at a time
+            sims = mine[at : at + 256] @ mine[: at + 256].T
+            for i in range(max(1, at), min(at + 256, len(nodes))):
+                before = sims[i - at, :i]
+                near = np.arange(i) if i <= build else np.argpartition(-before, build)[:build]
+                for j in _diverse(mine, i, near[np.argsort(-before[near], kind="stable")], links):
+                    joined[i].add(j)
+                    joined[j].add(i)
         table = np.full((len(nodes), most), -1, np.int32)
         for i, mine in enumerate(joined):
             near = np.array(sorted(mine), np.int64)
             if len(near) > most:
-                near = np.array(_diverse(sims, i, near[np.argsort(-sims[i, near], kind="stable")], most))
+                near = np.array(_diverse(mine, i, near[np.argsort(-(mine[near] @ mine[i]), kind="stable")], most))
             table[i, : len(near)] = nodes[near] if len(near) else []
         by = np.argsort(nodes)
         out.append((nodes[by].astype(np.int32), table[by]))
