@@ -14,8 +14,8 @@ import numpy as np
 
 from .textkit import ranges, span_hashes
 
-CHUNK = 1 << 21
-CACHE = 1 << 20
+CHUNK = 1 << 20
+CACHE = 1 << 19
 _LETTER, _NUMBER, _OTHER, _WHITE = range(4)
 
 

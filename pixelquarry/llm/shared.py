@@ -24,7 +24,13 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    """A given table.  Rows of long texts go to Python 2,000 at a time, unless the session says otherwise."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "2000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -39,10 +39,19 @@ def width_bits(text_bytes: int, keys_per_byte: float, max_bits: int = MAX_BITS)
 
 
 class Sketch:
-    """Merged sketch on the executors: per level a bit for every cell of every row."""
+    """Merged sketch on the executors: per level and row a bit for every cell, or the sorted cells where few are set."""
 
     def __init__(self, bits: int, levels: dict[int, np.ndarray]):
-        self.bits, self.levels = bits, levels
+        self.bits = bits
+        self.levels = {level: [self._compact(row) for row in rows] for level, rows in levels.items()}
+
+    @staticmethod
+    def _compact(row: np.ndarray) -> np.ndarray:
+        some = np.flatnonzero(row)
+        if 64 * len(some) > len(row):
+            return row
+        at, bit = np.nonzero(np.unpackbits(row[some, None], axis=1, bitorder="little"))
+        return (some[at] * 8 + bit).astype(np.int64)
 
     def reaches(self, keys: np.ndarray, level: int) -> np.ndarray:
         """Whether each key's estimate is at least ``level``; true for every key whose count is."""
@@ -50,7 +59,12 @@ class Sketch:
         for row in range(ROWS):
             at = cells(keys, row, self.bits)
             have = self.levels[level][row]
-            out &= (have[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            if have.dtype == np.uint8:
+                out &= (have[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            elif len(have):
+                out &= have[np.minimum(np.searchsorted(have, at), len(have) - 1)] == at
+            else:
+                out[:] = False
         return out
 
 
