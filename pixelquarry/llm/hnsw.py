@@ -78,8 +78,8 @@ def build_levels(points: np.ndarray, seed: np.ndarray, links: int = LINKS, build
                     joined[i].add(j)
                     joined[j].add(i)
         table = np.full((len(nodes), most), -1, np.int32)
-        for i, mine in enumerate(joined):
-            near = np.array(sorted(mine), np.int64)
+        for i, others in enumerate(joined):
+            near = np.array(sorted(others), np.int64)
             if len(near) > most:
                 near = np.array(_diverse(mine, i, near[np.argsort(-(mine[near] @ mine[i]), kind="stable")], most))
             table[i, : len(near)] = nodes[near] if len(near) else []
