@@ -260,15 +260,17 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         ranked = stored(ranked, "open")
         # with as many hubs as the second largest component of a list has members, all its pairs across components are tried
         second = ranked.groupBy("key", "rank").count().where("count > 1").groupBy("key").agg(F.max("rank").alias("second"))
-        lists = stored(ranked.join(second, "key"), "open")
+        ranked = ranked.join(second, "key")
+        lists = stored(ranked.join(ranked.groupBy("node").agg(F.collect_list("key").alias("keys")), "node"), "open")
         if lists.isEmpty():
             return labels
-        # pairs with a list's first node were tried before, and two hubs need to meet once only
-        other = "h.key = m.key AND h.component <> m.component AND (m.rank > %d OR h.node < m.node)" % hubs
-        tried = lists.where(F.col("rank") <= hubs).where("NOT starred").alias("h").join(lists.where("NOT starred").alias("m"), F.expr(f"{other} AND {_may_link('h', 'm', percent)}"))
+        # pairs with a list's first node were tried before, two hubs need to meet once only, and a pair that shares
+        # several open lists is tried in the list of its smallest common key
+        other = f"h.key = m.key AND h.component <> m.component AND (m.rank > {hubs} OR h.node < m.node)"
+        tried = lists.where(F.col("rank") <= hubs).where("NOT starred").alias("h").join(lists.where("NOT starred").alias("m"), F.expr(f"{other} AND {_may_link('h', 'm', percent)} AND array_min(array_intersect(h.keys, m.keys)) = h.key"))
         tried = tried.select(F.least("h.node", "m.node").alias("a"), F.greatest("h.node", "m.node").alias("b")).distinct()
         new = stored(verified(tried, sets, percent), "links")
-        lists = lists.where(F.col("second") > hubs).drop("component", "rank", "second")
+        lists = lists.where(F.col("second") > hubs).drop("component", "rank", "second", "keys")
         if new.isEmpty() and lists.isEmpty():
             return labels
         links = links.union(new)
