@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 POINTS = "array<array<double>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value computed once, however often it names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def point(x: Column, y: Column) -> Column:
     return F.array(x.cast("double"), y.cast("double"))
 
@@ -33,10 +38,14 @@ def bounds(points: Column) -> Column:
 
 def area(points: Column) -> Column:
     """Area of a polygon by the shoelace rule, 0 under three points."""
-    n = F.size(points)
-    turn = lambda i: points[i][0] * points[(i + 1) % n][1] - points[(i + 1) % n][0] * points[i][1]
-    total = F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0.0), lambda a, i: a + turn(i))
-    return F.when(n < 3, 0.0).otherwise(F.abs(total) / 2)
+
+    def shoelace(p: Column) -> Column:
+        n = F.size(p)
+        after = F.concat(F.slice(p, 2, n - 1), F.slice(p, 1, 1))
+        turns = F.zip_with(p, after, lambda a, b: a[0] * b[1] - b[0] * a[1])
+        return F.when(n < 3, 0.0).otherwise(F.abs(F.aggregate(turns, F.lit(0.0), lambda t, v: t + v)) / 2)
+
+    return let(points, shoelace)
 
 
 def direction(points: Column) -> Column:
@@ -81,8 +90,8 @@ def shift_inside(points: Column, dx: Column, dy: Column, width: Column, height:
 def rotate(points: Column, angle: Column) -> Column:
     """About the centre of the bounds."""
     box = bounds(points)
-    cx, cy = (box["x0"] + box["x1"]) / 2, (box["y0"] + box["y1"]) / 2
-    return moved(points, lambda x, y: cx + (x - cx) * F.cos(angle) - (y - cy) * F.sin(angle), lambda x, y: cy + (x - cx) * F.sin(angle) + (y - cy) * F.cos(angle))
+    frame = F.struct(((box["x0"] + box["x1"]) / 2).alias("x"), ((box["y0"] + box["y1"]) / 2).alias("y"), F.cos(angle).alias("c"), F.sin(angle).alias("s"))
+    return let(frame, lambda m: moved(points, lambda x, y: m["x"] + (x - m["x"]) * m["c"] - (y - m["y"]) * m["s"], lambda x, y: m["y"] + (x - m["x"]) * m["s"] + (y - m["y"]) * m["c"]))
 
 
 def circle_polygon(points: Column, corners: int = 32) -> Column:
@@ -108,10 +117,10 @@ def _cross(a: Column, b: Column, axis: int, at: Column) -> Column:
 
 def _clip_edge(points: Column, axis: int, at: Column, upper: bool) -> Column:
     n = F.size(points)
+    inside = (lambda p: p[axis] <= at) if upper else (lambda p: p[axis] >= at)
 
     def step(i: Column) -> Column:
         a, b = points[F.pmod(i - 1 + n, n).cast("int")], points[i]
-        inside = (lambda p: p[axis] <= at) if upper else (lambda p: p[axis] >= at)
         meet = _cross(a, b, axis, at)
         return F.when(inside(b) & inside(a), F.array(b)).when(inside(b), F.array(meet, b)).when(inside(a), F.array(meet)).otherwise(F.array().cast(POINTS))
 
@@ -120,9 +129,11 @@ def _clip_edge(points: Column, axis: int, at: Column, upper: bool) -> Column:
 
 def clip_polygon(points: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Polygon within a window, edge by edge; may be empty."""
-    for axis, at, upper in ((0, x0, False), (0, x1, True), (1, y0, False), (1, y1, True)):
-        points = _clip_edge(points, axis, at.cast("double"), upper)
-    return points
+
+    def cut(points: Column, axis: int, at: Column, upper: bool) -> Column:
+        return let(points, lambda p: _clip_edge(p, axis, at.cast("double"), upper))
+
+    return cut(cut(cut(cut(points, 0, x0, False), 0, x1, True), 1, y0, False), 1, y1, True)
 
 
 def clip_line(a: Column, b: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

@@ -55,10 +55,13 @@ def clip(shapes: DataFrame, x: Column, y: Column, w: Column, h: Column) -> DataF
     p, kind = F.col("points"), F.col("shape_type")
     x1, y1 = x + w, y + h
     inside = F.forall(p, lambda q: (q[0] >= x) & (q[0] <= x1) & (q[1] >= y) & (q[1] <= y1))
-    poly = g.clip_polygon(p, x, y, x1, y1)
-    cut = F.when(inside, p).when(kind == "line", g.clip_line(p[0], p[1], x, y, x1, y1)).when(kind.isin("rectangle", "rotation", "polygon") & (g.area(poly) > 1e-6), poly)
-    out = shapes.where(kind != "linestrip").withColumn("_cut", cut).where("_cut IS NOT NULL").withColumn("shape_type", F.when(~inside & kind.isin("rectangle", "rotation"), "polygon").otherwise(kind))
-    out = out.withColumn("points", g.shift(F.col("_cut"), -x, -y)).drop("_cut")
+    box = g.bounds(p)
+    met = (box["x1"] >= x) & (box["x0"] <= x1) & (box["y1"] >= y) & (box["y0"] <= y1)
+    cut = F.when(F.col("_whole"), p).when(kind == "line", g.clip_line(p[0], p[1], x, y, x1, y1)).when(kind.isin("rectangle", "rotation", "polygon"), g.clip_polygon(p, x, y, x1, y1))
+    out = shapes.where((kind != "linestrip") & met).withColumn("_whole", inside).withColumn("_cut", cut)
+    flat = ~F.col("_whole") & kind.isin("rectangle", "rotation", "polygon") & (g.area(F.col("_cut")) <= 1e-6)
+    out = out.where(F.col("_cut").isNotNull() & ~flat).withColumn("shape_type", F.when(~F.col("_whole") & kind.isin("rectangle", "rotation"), "polygon").otherwise(kind))
+    out = out.withColumn("points", g.shift(F.col("_cut"), -x, -y)).drop("_cut", "_whole")
     return out.unionByName(clip_strips(shapes.where(kind == "linestrip"), x, y, w, h))
 
 
