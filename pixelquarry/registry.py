@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import search
-from .plans import analytics_queries, geometry_queries, search_queries
+from .plans import analytics_queries, geometry_queries, search_queries, stream_queries
 from .plans.views import view
 
-_MODULES = (search_queries, analytics_queries, geometry_queries)
+_MODULES = (search_queries, analytics_queries, geometry_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
