@@ -41,6 +41,7 @@ K = 5
 PERCENT = 80
 FREQUENT = 32
 SALTS = 16
+LONG = 64
 _SETS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("n", pa.int64()), ("n_rare", pa.int32()), ("tokens", pa.binary())])
 _LISTS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("s", pa.int32()), ("rest", pa.int32())])
 _STARS = pa.schema([*_LISTS, ("hub", pa.int64()), ("more", pa.bool_())])
@@ -259,18 +260,20 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         ranked = of.join(open_, "key", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("key", "component").orderBy(F.expr("n - s - rest"), "node")))
         ranked = stored(ranked, "open")
         # with as many hubs as the second largest component of a list has members, all its pairs across components are tried
-        second = ranked.groupBy("key", "rank").count().where("count > 1").groupBy("key").agg(F.max("rank").alias("second"))
-        ranked = ranked.join(second, "key")
-        lists = stored(ranked.join(ranked.groupBy("node").agg(F.collect_list("key").alias("keys")), "node"), "open")
+        sizes = ranked.groupBy("key", "rank").count().groupBy("key").agg(F.max(F.when(F.col("count") > 1, F.col("rank"))).alias("second"), F.sum("count").alias("size"))
+        ranked = ranked.join(sizes.where("second IS NOT NULL"), "key")
+        keys = ranked.where(F.col("size") > LONG).groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        smaller = F.when(F.col("size") > LONG, F.expr("slice(keys, 1, CAST(array_position(keys, key) AS INT) - 1)"))
+        lists = stored(ranked.join(keys, "node", "left").withColumn("keys", smaller), "open")
         if lists.isEmpty():
             return labels
         # pairs with a list's first node were tried before, two hubs need to meet once only, and a pair that shares
-        # several open lists is tried in the list of its smallest common key
+        # several long lists is tried in that of its smallest common key
         other = f"h.key = m.key AND h.component <> m.component AND (m.rank > {hubs} OR h.node < m.node)"
-        tried = lists.where(F.col("rank") <= hubs).where("NOT starred").alias("h").join(lists.where("NOT starred").alias("m"), F.expr(f"{other} AND {_may_link('h', 'm', percent)} AND array_min(array_intersect(h.keys, m.keys)) = h.key"))
+        tried = lists.where(F.col("rank") <= hubs).where("NOT starred").alias("h").join(lists.where("NOT starred").alias("m"), F.expr(f"{other} AND {_may_link('h', 'm', percent)} AND (h.keys IS NULL OR NOT arrays_overlap(h.keys, m.keys))"))
         tried = tried.select(F.least("h.node", "m.node").alias("a"), F.greatest("h.node", "m.node").alias("b")).distinct()
         new = stored(verified(tried, sets, percent), "links")
-        lists = lists.where(F.col("second") > hubs).drop("component", "rank", "second", "keys")
+        lists = lists.where(F.col("second") > hubs).drop("component", "rank", "second", "size", "keys")
         if new.isEmpty() and lists.isEmpty():
             return labels
         links = links.union(new)

@@ -61,8 +61,9 @@ def corpus(seed, families=12, copies=12, words=60):
     return rows
 
 
-@pytest.mark.parametrize("seed,frequent,bits", [(1, 32, 28), (2, 3, 28), (3, 2, 28), (4, 4, 18)])
-def test_matches_brute_force(spark, seed, frequent, bits):
+@pytest.mark.parametrize("seed,frequent,bits,long", [(1, 32, 28, 64), (2, 3, 28, 4), (3, 2, 28, 2), (4, 4, 18, 64)])
+def test_matches_brute_force(spark, monkeypatch, seed, frequent, bits, long):
+    monkeypatch.setattr(jj, "LONG", long)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, DOCS).repartition(4)
     got = jj.near_duplicates(docs, frequent=frequent, max_bits=bits).select("doc_id", "n_shingles", "component_id").collect()
