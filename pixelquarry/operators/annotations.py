@@ -173,3 +173,27 @@ def pyramid(images: DataFrame, tile: int = 256) -> DataFrame:
     side = lambda at, n: F.least(F.lit(tile).cast("long"), F.col(n) - F.col(at) * tile)
     cells = cells.withColumn("out_w", side("column", "lw")).withColumn("out_h", side("row", "lh"))
     return cells.withColumn("x", F.col("column") * tile * F.col("factor")).withColumn("y", F.col("row") * tile * F.col("factor")).drop("lw", "lh")
+
+
+def import_problems(shapes: DataFrame, least_length: float = 1.0) -> DataFrame:
+    """Strict check of imported shapes against their image: bounds, distinct corners, least side."""
+    p, kind, box = F.col("points"), F.col("shape_type"), g.bounds(F.col("points"))
+    rules = {
+        "out_of_bounds": (box["x0"] < 0) | (box["y0"] < 0) | (box["x1"] > F.col("width")) | (box["y1"] > F.col("height")),
+        "corners": kind.isin("polygon", "rectangle", "rotation") & (F.size(F.array_distinct(p)) < 3),
+        "too_short": kind.isin("line", "linestrip", "rectangle", "rotation") & (F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"]) < least_length),
+    }
+    found = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(True)), name) for name, rule in rules.items())))
+    return shapes.withColumn("problems", F.concat(found, problems()))
+
+
+def mapping_record(rows: DataFrame, m: str, topology_safe: str) -> DataFrame:
+    """Kind and id of each row's coordinate map: identity, affine or, without an inverse, unavailable."""
+    one = F.struct(*(F.lit(v).cast("double").alias(n) for n, v in zip("abcdef", (1, 0, 0, 1, 0, 0), strict=True)))
+    kind = F.when(g.inverse(F.col(m)).isNull(), "unavailable").when(F.col(m) == one, "identity").otherwise("affine")
+    return rows.withColumn("kind", kind).withColumn("coordinate_space_id", F.substring(F.sha2(F.to_json(F.struct("kind", F.col(m).alias("forward"), F.col(topology_safe).alias("topology_safe"))), 256), 1, 24))
+
+
+def derived_conflicts(new: DataFrame, manifest: DataFrame) -> DataFrame:
+    """New outputs against the manifest of their root: reuse where the fingerprint is the same, else conflict."""
+    return new.join(manifest.select("output_root", F.col("fingerprint").alias("_old")), "output_root").withColumn("action", F.when(F.col("fingerprint") == F.col("_old"), "reuse").otherwise("conflict")).drop("_old")

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import let
+
 
 def token_projection(tokens: DataFrame, key: str, vector: str, how: str, channel: int = 0) -> DataFrame:
     """One vector or value per key from its tokens' vectors: mean, max, or the channel of each token in order."""
@@ -55,36 +57,41 @@ def _total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
 
 
+def _with(x: Column, body, **values) -> Column:
+    """``body`` of the vector and values of it, each computed once per vector."""
+    return let(x, lambda v: let(F.struct(v.alias("x"), *(f(v).alias(n) for n, f in values.items())), body))
+
+
 def minmax(x: Column) -> Column:
-    low, high = F.array_min(x), F.array_max(x)
-    return F.transform(x, lambda v: F.coalesce((v - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0)))
+    scaled = lambda s: F.transform(s["x"], lambda v: F.coalesce((v - s["low"]) / F.nullif(s["high"] - s["low"], F.lit(0.0)), F.lit(0.0)))
+    return _with(x, scaled, low=F.array_min, high=F.array_max)
 
 
 def zscore(x: Column) -> Column:
     """By the deviation of the whole population."""
-    n = F.size(x)
-    mean = _total(x) / n
-    deviation = F.sqrt(_total(F.transform(x, lambda v: (v - mean) * (v - mean))) / n)
-    return F.transform(x, lambda v: F.coalesce((v - mean) / F.nullif(deviation, F.lit(0.0)), F.lit(0.0)))
+    centred = _with(x, lambda s: F.transform(s["x"], lambda v: v - s["mean"]), mean=lambda v: _total(v) / F.size(v))
+    scaled = lambda s: F.transform(s["x"], lambda v: F.coalesce(v / F.nullif(s["deviation"], F.lit(0.0)), F.lit(0.0)))
+    return _with(centred, scaled, deviation=lambda c: F.sqrt(_total(F.transform(c, lambda v: v * v)) / F.size(c)))
 
 
 def unit(x: Column) -> Column:
-    size = F.sqrt(_total(F.transform(x, lambda v: v * v)))
-    return F.transform(x, lambda v: F.coalesce(v / F.nullif(size, F.lit(0.0)), F.lit(0.0)))
+    scaled = lambda s: F.transform(s["x"], lambda v: F.coalesce(v / F.nullif(s["size"], F.lit(0.0)), F.lit(0.0)))
+    return _with(x, scaled, size=lambda c: F.sqrt(_total(F.transform(c, lambda v: v * v))))
 
 
 def clip_percentiles(x: Column, low: float, high: float) -> Column:
     """Values cut at linearly interpolated percentiles of their vector."""
-    s = F.array_sort(x)
-    n = F.size(x)
 
-    def at(q: float) -> Column:
-        place = (n - 1) * F.lit(q)
-        k = F.floor(place).cast("int")
-        a, b = F.get(s, k), F.get(s, F.least(k + 1, n - 1))
-        return a + (b - a) * (place - k)
+    def at(q: float):
+        def value(s: Column) -> Column:
+            place = (F.size(s) - 1) * F.lit(q)
+            k = F.floor(place).cast("int")
+            a, b = F.get(s, k), F.get(s, F.least(k + 1, F.size(s) - 1))
+            return a + (b - a) * (place - k)
+
+        return lambda v: let(F.array_sort(v), value)
 
-    return F.transform(x, lambda v: F.least(F.greatest(v, at(low)), at(high)))
+    return _with(x, lambda s: F.transform(s["x"], lambda v: F.least(F.greatest(v, s["low"]), s["high"])), low=at(low), high=at(high))
 
 
 def gamma(x: Column, power: float, gain: float = 1.0) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -9,6 +11,7 @@ from ..functions.text import prediction_key
 from ..operators import annotations as an
 from ..operators import features as ft
 from ..operators import predictions as pr
+from ..operators import search as se
 from .views import view, with_views
 
 W, H = 640, 240
@@ -132,14 +135,17 @@ def _runs(spark, sf):
     return view(spark, sf, "lineitem").selectExpr("l_partkey AS image", "l_linenumber AS y", "CAST(l_quantity AS BIGINT) AS x0", "CAST(l_quantity + l_tax * 100 AS BIGINT) AS x1").distinct()
 
 
-def _components(spark, sf):
-    where = spark.conf.get("spark.checkpoint.dir", None)
+def _scratch(spark):
+    """The cluster's shared folder; a temporary one only where that is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        import tempfile
-
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return pr.mask_components(_runs(spark, sf), where).groupBy("image").agg(F.count("*").alias("parts"), F.sum("area").alias("area"), F.max("area").alias("largest"))
+    return where
+
+
+def _components(spark, sf):
+    return pr.mask_components(_runs(spark, sf), _scratch(spark)).groupBy("image").agg(F.count("*").alias("parts"), F.sum("area").alias("area"), F.max("area").alias("largest"))
 
 
 def _oriented(spark, sf):
@@ -171,6 +177,17 @@ QUERIES = {
     "g22_asset_metadata": lambda spark, sf: an.asset_metadata(_shapes(spark, sf)).select("image", "annotation_count", F.array_join("labels", ",").alias("labels")),
     "g24_dry_run": lambda spark, sf: an.dry_run(view(spark, sf, "assets"), [("crop", 10, 10, 2000, 1500), ("scale", 1.25), ("rotate", 90), ("resize", 9000, 8000)]).select("asset_id", "out_width", "out_height", "reason"),
     "g25_pyramid": lambda spark, sf: an.pyramid(_images(spark, sf).where("width <= 4000")).groupBy("image", "level").agg(F.count("*").alias("tiles"), F.sum(F.col("out_w") * F.col("out_h")).alias("pixels"), F.max("x").alias("x"), F.max("y").alias("y")),
+    "f21_active_runs": lambda spark, sf: view(spark, sf, "runs").where(F.col("state").isin("queued", "running")).select("run_id", "state"),
+    "j12_visible_items": lambda spark, sf: se.visible(view(spark, sf, "job_events"), view(spark, sf, "runs").where("run_id % 97 = 5 AND run_id < 15000").select(F.col("run_id").alias("event_id")), "event_id").select("event_id", "job_id"),
+    "u04_event_page": lambda spark, sf: se.event_page(view(spark, sf, "job_events").union(view(spark, sf, "job_events")), 700).select("event_id", "state"),
+    "t08_scan_order": lambda spark, sf: se.scan_order(view(spark, sf, "assets").withColumnRenamed("display_path", "path")).select("path", "selectable"),
+    "t10_preferred_source": lambda spark, sf: se.preferred_source_first(view(spark, sf, "documents"), "source", "src3", "doc_id").select("doc_id", "source"),
+    "g04_import_check": lambda spark, sf: an.import_problems(_shapes(spark, sf).withColumn("width", F.lit(500))).select("image", "idx", F.array_join("problems", ",").alias("problems")),
+    "g10_mapping_record": lambda spark, sf: an.mapping_record(_shapes(spark, sf).withColumn("m", g.affine(F.col("x0") % 2, 0, 0, 1, 0, 0)).withColumn("safe", F.col("idx") > 2), "m", "safe").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("coordinate_space_id").alias("ids")),
+    "g23_compact": lambda spark, sf: _shapes(spark, sf).withColumn("pts", F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.array(F.col("x0") + i * 1.0, F.col("y0")))).select("image", "idx", F.size(g.compact(F.col("pts"), 3.0)).cast("long").alias("kept"), F.size(g.resample(F.col("pts"), 5)).cast("long").alias("resampled")),
+    "j19_derived_conflicts": lambda spark, sf: an.derived_conflicts(view(spark, sf, "runs").select(F.col("run_id").alias("output_root"), F.col("signature").alias("fingerprint")), view(spark, sf, "job_events").select(F.col("event_id").alias("output_root"), F.expr("concat('sig', CAST(event_id % 8 AS STRING))").alias("fingerprint"))),
+    "w04_class_ranks": lambda spark, sf: pr.top_k_of_classes(_logits(spark, sf), "class_scores", 3, "image", "idx").select("idx", F.col("class_index").cast("long").alias("class_index"), F.col("rank").cast("long").alias("rank")),
+    "w12_largest_parts": lambda spark, sf: pr.largest(pr.mask_components(_runs(spark, sf), _scratch(spark)), 2).select("image", "area", "rank"),
     "j17_hits": _hits,
     "j18_overlaps": lambda spark, sf: pr.overlapping_pairs(view(spark, sf, "boxes"), 0.2).withColumn("iou", F.round("iou", 6)),
     "x01_decode": _decode,
@@ -224,6 +241,16 @@ ORACLES = {
         "g01_rectangle": "SELECT image, idx, x0 AS p00, y0 AS p01, x1 AS p10, y0 AS p11, x1 AS p20, y1 AS p21, x0 AS p30, y1 AS p31 FROM boxes",
         "g02_direction": "SELECT image, idx, round((atan2(sin(score * 5), cos(score * 5)) + 2 * pi()) % (2 * pi()), 6) AS direction FROM boxes",
         "g03_validate": "SELECT image, idx, concat_ws(',', CASE WHEN idx % 3 = 0 THEN 'label' END, CASE WHEN idx % 4 = 1 THEN 'point_count' END) AS problems FROM boxes",
+        "f21_active_runs": "SELECT run_id, state FROM runs WHERE state IN ('queued', 'running')",
+        "j12_visible_items": "SELECT event_id, job_id FROM job_events WHERE event_id IN (SELECT run_id FROM runs WHERE run_id % 97 = 5 AND run_id < 15000)",
+        "u04_event_page": "SELECT event_id, state FROM job_events WHERE event_id > 700",
+        "t08_scan_order": "SELECT display_path AS path, selectable FROM assets",
+        "t10_preferred_source": "SELECT doc_id, source FROM documents",
+        "g04_import_check": "SELECT image, idx, CASE WHEN x1 > 500 OR y1 > 240 THEN 'out_of_bounds' ELSE '' END AS problems FROM boxes",
+        "g10_mapping_record": "WITH k AS (SELECT CASE WHEN x0 % 2 = 0 THEN 'unavailable' ELSE 'identity' END AS kind, idx > 2 AS safe FROM boxes) SELECT kind, count(*) AS n, count(DISTINCT safe) AS ids FROM k GROUP BY kind",
+        "g23_compact": "SELECT image, idx, 7 AS kept, 5 AS resampled FROM boxes",
+        "j19_derived_conflicts": "SELECT run_id AS output_root, signature AS fingerprint, CASE WHEN event_id % 8 = run_id % 4 THEN 'reuse' ELSE 'conflict' END AS action FROM runs JOIN job_events ON event_id = run_id",
+        "w04_class_ranks": f"WITH {_l} SELECT idx, c - 1 AS class_index, row_number() OVER (PARTITION BY idx ORDER BY s[c] DESC, c) AS rank FROM l, unnest([1, 2, 3, 4, 5, 6]) AS t(c) QUALIFY rank <= 3",
         "g05_area": "SELECT image, idx, (x1 - x0) * (y1 - y0) AS area FROM boxes",
         "g07_shift_inside": "WITH d AS (SELECT *, least(greatest(90, -x0), 700 - x1) AS dx, least(greatest(-60, -y0), 240 - y1) AS dy FROM boxes) SELECT image, idx, x0 + dx AS x0, y0 + dy AS y0, x1 + dx AS x1, y1 + dy AS y1 FROM d",
         "g08_quality": "WITH f AS (SELECT *, row_number() OVER (PARTITION BY image, label, x0, y0, x1, y1 ORDER BY idx) > 1 AS dup FROM boxes), i AS (SELECT 'out_of_bounds' AS issue FROM f WHERE x0 < 0 OR y0 < 0 OR x1 > 600 OR y1 > 240 UNION ALL SELECT 'duplicate' FROM f WHERE dup UNION ALL SELECT 'degenerate' FROM f WHERE (x1 - x0) * (y1 - y0) <= 1e-6 UNION ALL SELECT 'empty_annotation' FROM orders WHERE o_orderkey NOT IN (SELECT image FROM f)) SELECT issue, count(*) AS count FROM i GROUP BY issue",
@@ -259,7 +286,7 @@ ORACLES = {
         "x15_zscore": _norm_sql("list_transform(e, lambda v: (v - list_avg(e)) / list_stddev_pop(e))"),
         "x15_unit": _norm_sql("list_transform(e, lambda v: v / sqrt(list_inner_product(e, e)))"),
         "x15_gamma": _norm_sql("list_transform(e, lambda v: sign(v) * sqrt(abs(v)) * 2)"),
-        "x19_depth": _norm_sql("list_transform(list_transform(e, lambda v: least(greatest(v, list_aggregate(e, 'quantile_cont', 0.02)), list_aggregate(e, 'quantile_cont', 0.98))), lambda v: 1 - (v - list_aggregate(e, 'quantile_cont', 0.02)) / (list_aggregate(e, 'quantile_cont', 0.98) - list_aggregate(e, 'quantile_cont', 0.02)))"),
+        "x19_depth": f"WITH {_v}, q AS (SELECT vec_id, e, list_aggregate(e, 'quantile_cont', 0.02) AS lo, list_aggregate(e, 'quantile_cont', 0.98) AS hi FROM v), n AS (SELECT vec_id, list_transform(e, lambda v: 1 - (least(greatest(v, lo), hi) - lo) / (hi - lo)) AS x FROM q) SELECT vec_id, round(x[1], 6) AS first, round(x[6], 6) AS sixth, round(list_sum(x), 5) AS total FROM n",
         "w02_top_k": "SELECT image, idx, row_number() OVER (PARTITION BY image ORDER BY score DESC, idx) AS rank FROM boxes WHERE score >= 0.2 QUALIFY rank <= 3",
         "w03_top_classes": f"WITH {_l} SELECT image, idx, c - 1 AS class_index, row_number() OVER (PARTITION BY image ORDER BY s[c] DESC, idx, c) AS rank FROM l, unnest([1, 2, 3, 4, 5, 6]) AS t(c) QUALIFY rank <= 5",
         "w05_tags": "WITH t AS (SELECT image, label, max(score) AS score FROM boxes GROUP BY ALL) SELECT image, label, row_number() OVER (PARTITION BY image ORDER BY score DESC, label) AS rank FROM t WHERE score >= 0.3 AND label <> 'R'",
