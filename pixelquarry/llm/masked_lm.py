@@ -6,9 +6,10 @@ side of a masked one and gives the class; the word within it has its smoothed sh
 
     log p(word | both sides) = log p(class | both sides) + log p(word | class)
 
-A document's score is the sum over its words.  Every partition trains on its own windows, a share of ``EVERY`` of all
-positions of every document, chosen by the hash of the words there; the partitions' networks are averaged by their
-windows, and that is repeated.  So what is gathered grows with the input, while counts and networks have fixed size.
+A document's score is the sum over its words.  Every partition trains on its own windows, in each round on one of
+``EVERY`` parts of all positions, dealt by the hash of text and position and not by the words there; the partitions'
+networks are averaged by their windows, and that is repeated.  In ``ROUNDS`` = ``EVERY`` rounds every position of every
+document is a target once.
 
 Nulls: a null text has no words and the score 0; beyond a document's ends stands a class of its own.
 """
@@ -31,7 +32,7 @@ VOCAB_BITS = 18
 CLASSES = 128
 SIDE = 2
 HIDDEN = 32
-EVERY = 32
+EVERY = 2
 ROUNDS = 2
 _SHARD = 1 << 12
 
@@ -137,8 +138,10 @@ class Network:
         self.out -= h.T @ p
         self.out_bias -= p.sum(axis=0)
         self.bias -= back.sum(axis=0)
+        width = self.tables.shape[2]
         for place in range(len(self.tables)):
-            np.subtract.at(self.tables[place], context[:, place], back)
+            cells = (context[:, place] * width)[:, None] + np.arange(width)
+            np.subtract.at(self.tables[place].reshape(-1), cells.ravel(), back.ravel())
 
 
 def contexts(kinds: np.ndarray, first: np.ndarray, classes: int, side: int = SIDE) -> np.ndarray:
@@ -153,6 +156,14 @@ def contexts(kinds: np.ndarray, first: np.ndarray, classes: int, side: int = SID
     return out
 
 
+def deal(key: np.ndarray, first: np.ndarray, every: int, number: int) -> np.ndarray:
+    """Positions that round ``number`` trains on, in a random order: one of ``every`` parts, by the hash of text and position."""
+    at = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    spot = mix(np.repeat(mix(key, 50), np.diff(first)) + at.astype(np.uint64), 51)
+    pick = np.flatnonzero(spot % np.uint64(every) == number % every)
+    return pick[np.argsort(mix(spot[pick], 60 + number), kind="stable")]
+
+
 def train(docs: DataFrame, of: np.ndarray, classes: int = CLASSES, every: int = EVERY, rounds: int = ROUNDS, bits: int = VOCAB_BITS) -> Network:
     """Average of the partitions' networks, each trained on its share of windows, ``rounds`` times."""
     spark = docs.sparkSession
@@ -167,17 +178,17 @@ def train(docs: DataFrame, of: np.ndarray, classes: int = CLASSES, every: int =
             net = begun.value.like(begun.value.flat())  # noqa: B023
             n = 0
             for batch in batches:
-                for _, _, raw, off in chunks(batch.column("text")):
+                keys = batch.column("key").to_numpy().view(np.uint64)
+                for row, rows, raw, off in chunks(batch.column("text")):
                     token, first = tokens(raw, off, bits)
                     kinds = shared_of.value[token].astype(np.int64)
                     context = contexts(kinds, first, classes)
-                    near = np.concatenate([token[1:], token[:1]]).astype(np.uint64)
-                    pick = np.flatnonzero(mix((token.astype(np.uint64) << np.uint64(32)) + near, 50 + number) % np.uint64(every) == 0)  # noqa: B023
-                    pick = pick[np.argsort(mix(pick.astype(np.uint64), 60))]
-                    for i in range(0, len(pick), 64):
-                        mine = pick[i : i + 64]
+                    pick = deal(keys[row : row + rows], first, every, number)  # noqa: B023
+                    at = 0
+                    while at < len(pick):  # larger steps as the rate falls
+                        mine = pick[at : at + (64 << min(3, n // 50_000))]
                         net.step(context[mine], kinds[mine], 2.0 / (1 + n / 100_000) ** 0.5)
-                        n += len(mine)
+                        at, n = at + len(mine), n + len(mine)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([net.flat().tobytes()], pa.binary())], names=["n", "flat"])
 
@@ -190,7 +201,7 @@ def train(docs: DataFrame, of: np.ndarray, classes: int = CLASSES, every: int =
                 yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["n", "flat"])
 
         total, weight = 0.0, 0.0
-        for row in docs.select("text").mapInArrow(learn, schema).repartition(min(16, parts(spark))).mapInArrow(average, schema).toLocalIterator():
+        for row in docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(learn, schema).repartition(min(16, parts(spark))).mapInArrow(average, schema).toLocalIterator():
             total, weight = total + row["n"] * np.frombuffer(row["flat"], np.float32).astype(np.float64), weight + row["n"]
         if weight:
             network = network.like(total / weight)

@@ -80,3 +80,30 @@ def test_gradient():
     before, flat = -net.log_probability(context, target).mean(), net.flat()
     net.step(context, target, 1e-2)
     assert abs((before + net.log_probability(context, target).mean()) - ((flat - net.flat()) ** 2).sum() / 1e-2) < 1e-4
+
+
+def test_production_rounds_train_on_every_position():
+    """Frequent pairs are targets as often as they occur, and every position is one."""
+    for _, rows, raw, off in chunks(pa.array(["of the cat"] * 200 + ["a b", None, "the of"])):
+        token, first = lm.tokens(raw, off)
+        key = np.arange(rows, dtype=np.uint64)
+        seen = np.concatenate([lm.deal(key, first, lm.EVERY, n) for n in range(lm.ROUNDS)])
+        assert sorted(seen) == list(range(len(token)))
+        of = np.flatnonzero(token == token[0])
+        assert 60 < np.isin(lm.deal(key, first, 2, 0), of).sum() < 140
+
+
+def test_production_rounds_learn_frequent_pairs(spark):
+    """Each of 40 words is always followed by its own next word: no pair may be left out of training."""
+    r = random.Random(5)
+    line = lambda: " ".join(f"a{k} b{k}" for k in (r.randrange(40) for _ in range(100)))
+    docs = spark.createDataFrame([(i, line()) for i in range(400)], "doc_id long, text string").repartition(2)
+    of, _ = lm.word_classes(lm.token_counts(docs))
+    net = lm.train(docs, of)
+    got = []
+    for k in range(40):
+        for _, _, raw, off in chunks(pa.array([f"a3 b3 a{k} b{k} a5 b5"])):
+            token, first = lm.tokens(raw, off)
+            p = net.log_probability(lm.contexts(of[token], first, lm.CLASSES), of[token])
+            got.append(float(np.exp(p[3])))
+    assert min(got) > 0.2, got
