@@ -1,8 +1,9 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
-Words are hashed to ``VOCAB`` tokens.  Their counts over all documents are summed by shard and cut into ``CLASSES``
-classes of about equal mass, the commonest words alone.  The network reads the classes of the ``SIDE`` words on each
-side of a masked one and gives the class; the word within it has its smoothed share of the class's count:
+Words are counted exactly over all documents, by 64-bit hashes, in a stored table.  They fall into ``CLASSES`` classes
+of about equal mass: at most ``KNOWN`` of the commonest, which tasks hold, by count, the most frequent alone; all others
+by hash, in as many classes as their mass takes.  The network reads the classes of the ``SIDE`` words on each side of a
+masked one and gives the class; the word within it has its own share of the class's count, joined from the table:
 
     log p(word | both sides) = log p(class | both sides) + log p(word | class)
 
@@ -25,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import parts
+from .shared import parts, stored
 from .textkit import chunks, mix, span_hashes, words
 
 VOCAB_BITS = 18
+KNOWN = 1 << 18
 CLASSES = 128
 SIDE = 2
 HIDDEN = 32
@@ -37,14 +39,91 @@ ROUNDS = 2
 _SHARD = 1 << 12
 
 
-def tokens(raw: np.ndarray, off: np.ndarray, bits: int = VOCAB_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(token of each word, first word of each text and the end)."""
+def hashed(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, first word of each text and the end)."""
     w = words(raw, off)
-    return (mix(span_hashes(raw, w.start, w.end), 41) >> np.uint64(64 - bits)).astype(np.int64), w.first
+    return span_hashes(raw, w.start, w.end).view(np.int64), w.first
+
+
+def _token(word: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(word.view(np.uint64), 41) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def tokens(raw: np.ndarray, off: np.ndarray, bits: int = VOCAB_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(token of each word, first word of each text and the end); words of a token are not told apart."""
+    word, first = hashed(raw, off)
+    return _token(word, bits), first
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """How often each word (its hash) occurs in all texts, stored."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashed(raw, off)[0] for _, _, raw, off in chunks(batch.column("text"))]
+            if found:
+                word, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
+
+    return stored(docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+@dataclass
+class Vocabulary:
+    """Classes of words: ``known`` (sorted hashes) have theirs in ``of``, others one of the last ``rest`` by hash."""
+
+    known: np.ndarray
+    n: np.ndarray
+    of: np.ndarray
+    rest: int
+    total: np.ndarray  # words of each class
+
+    def at(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the known, whether it is one)."""
+        if not len(self.known):
+            return np.zeros(len(word), np.int64), np.zeros(len(word), bool)
+        place = np.minimum(np.searchsorted(self.known, word), len(self.known) - 1)
+        return place, self.known[place] == word
+
+    def kinds(self, word: np.ndarray) -> np.ndarray:
+        place, known = self.at(word)
+        out = len(self.total) - self.rest + word % max(1, self.rest)
+        out[known] = self.of[place[known]]
+        return out
+
+    def base(self, word: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Log share in its class of each known word, of others without the log of their own count."""
+        place, known = self.at(word)
+        out = -np.log(self.total[kinds])
+        out[known] += np.log(self.n[place[known]])
+        return out
+
+
+def vocabulary(counts: DataFrame, classes: int = CLASSES, known: int = KNOWN) -> Vocabulary:
+    """The known words are all that occur at least as often as some number, the least that leaves at most ``known``."""
+    often = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, left, kept = 1 << 62, known, 0
+    for n, words in often:
+        if words > left:
+            break
+        least, left, kept = n, left - words, kept + n * words
+    others = sum(n * words for n, words in often) - kept
+    rest = min(classes - 1, max(1, round(classes * others / (others + kept)))) if others else 0
+    got = counts.where(F.col("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    word, n = got["word"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    of, _ = word_classes(n, classes - rest)
+    total = np.zeros(classes)
+    total[: classes - rest] = np.bincount(of, n, classes - rest)
+    if rest:
+        for r in counts.where(F.col("n") < least).groupBy(F.pmod("word", F.lit(rest)).alias("k")).agg(F.sum("n").alias("n")).collect():
+            total[classes - rest + r["k"]] = r["n"]
+    order = np.argsort(word)
+    return Vocabulary(word[order], n[order], of[order].astype(np.int64), rest, total)
 
 
 def token_counts(docs: DataFrame, bits: int = VOCAB_BITS) -> np.ndarray:
-    """How often each token occurs in all texts: one partial count per partition and shard, summed by shard."""
+    """How often each token occurs in all texts, for models of hashed tokens: one partial count per partition and shard,
+    summed by shard."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
@@ -164,10 +243,11 @@ def deal(key: np.ndarray, first: np.ndarray, every: int, number: int) -> np.ndar
     return pick[np.argsort(mix(spot[pick], 60 + number), kind="stable")]
 
 
-def train(docs: DataFrame, of: np.ndarray, classes: int = CLASSES, every: int = EVERY, rounds: int = ROUNDS, bits: int = VOCAB_BITS) -> Network:
-    """Average of the partitions' networks, each trained on its share of windows, ``rounds`` times."""
+def train(docs: DataFrame, of: Vocabulary | np.ndarray, classes: int = CLASSES, every: int = EVERY, rounds: int = ROUNDS, bits: int = VOCAB_BITS) -> Network:
+    """Average of the partitions' networks, each trained on its share of windows, ``rounds`` times.
+    ``of`` gives the classes of words, or is the class of each hashed token."""
     spark = docs.sparkSession
-    shared_of = spark.sparkContext.broadcast(of.astype(np.uint16))
+    shared_of = spark.sparkContext.broadcast(of)
     network = Network.start(classes)
     schema = "n double, flat binary"
 
@@ -180,8 +260,9 @@ def train(docs: DataFrame, of: np.ndarray, classes: int = CLASSES, every: int =
             for batch in batches:
                 keys = batch.column("key").to_numpy().view(np.uint64)
                 for row, rows, raw, off in chunks(batch.column("text")):
-                    token, first = tokens(raw, off, bits)
-                    kinds = shared_of.value[token].astype(np.int64)
+                    word, first = hashed(raw, off)
+                    of = shared_of.value
+                    kinds = of.kinds(word) if isinstance(of, Vocabulary) else of[_token(word, bits)]
                     context = contexts(kinds, first, classes)
                     pick = deal(keys[row : row + rows], first, every, number)  # noqa: B023
                     at = 0
@@ -208,30 +289,53 @@ def train(docs: DataFrame, of: np.ndarray, classes: int = CLASSES, every: int =
     return network
 
 
-def score(docs: DataFrame, classes: int = CLASSES, every: int = EVERY, rounds: int = ROUNDS, bits: int = VOCAB_BITS) -> DataFrame:
+def score(docs: DataFrame, classes: int = CLASSES, every: int = EVERY, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
     """``docs`` (text and any columns) with n_tokens, log_likelihood (sum over the words) and mean_log_likelihood (null
     without words); columns of these names are replaced."""
     docs = docs.drop("n_tokens", "log_likelihood", "mean_log_likelihood")
-    of, share = word_classes(token_counts(docs, bits), classes)
-    model = docs.sparkSession.sparkContext.broadcast((train(docs, of, classes, every, rounds, bits), of.astype(np.uint16), share.astype(np.float32)))
+    counts = word_counts(docs)
+    words = vocabulary(counts, classes, known)
+    model = docs.sparkSession.sparkContext.broadcast((train(docs, words, classes, every, rounds), words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, of, share = model.value
+        network, words = model.value
         for batch in batches:
             n, total = [np.empty(0, np.int64)], [np.empty(0)]
             for _, _, raw, off in chunks(batch.column("text")):
-                token, first = tokens(raw, off, bits)
-                kinds = of[token].astype(np.int64)
-                p = network.log_probability(contexts(kinds, first, classes), kinds) + share[token]
+                word, first = hashed(raw, off)
+                kinds = words.kinds(word)
+                p = network.log_probability(contexts(kinds, first, classes), kinds) + words.base(word, kinds)
                 sums = np.concatenate([[0.0], np.cumsum(p)])
                 n.append(np.diff(first))
                 total.append(sums[first[1:]] - sums[first[:-1]])
-            count, ll = np.concatenate(n), np.concatenate(total)
-            mean = pa.array(ll / np.maximum(count, 1), mask=count == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count), pa.array(ll), mean], names=[*batch.schema.names, "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n)), pa.array(np.concatenate(total))], names=[*batch.schema.names, "n_tokens", "log_likelihood"])
+
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())]
+    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    if words.rest:
+        key, total = F.xxhash64("text").alias("_key"), F.col("log_likelihood") + F.coalesce("_rest", F.lit(0.0))
+        out = out.withColumn("_text_key", key).join(rare_shares(docs.select("text", key), counts, model), F.col("_text_key") == F.col("_key"), "left")
+        out = out.withColumn("log_likelihood", total).drop("_text_key", "_key", "_rest")
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+
 
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+def rare_shares(rows: DataFrame, counts: DataFrame, model) -> DataFrame:
+    """Per text (_key) the sum of the logs of the counts of its words that are not known (_rest)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = model.value[1]
+        for batch in batches:
+            keys = batch.column("_key").to_numpy()
+            for row, n, raw, off in chunks(batch.column("text")):
+                word, first = hashed(raw, off)
+                other = ~words.at(word)[1]
+                key = np.repeat(keys[row : row + n], np.diff(first))
+                yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(word[other])], names=["_key", "word"])
+
+    joined = rows.mapInArrow(find, "_key long, word long").join(counts, "word").select("_key", F.log("n").alias("s"), F.lit(0).alias("copies"))
+    # Rows of the same text are found once each, so their sum is divided by their number.
+    both = joined.unionAll(rows.select("_key", F.lit(0.0).alias("s"), F.lit(1).alias("copies")))
+    return both.groupBy("_key").agg((F.sum("s") / F.sum("copies")).alias("_rest")).where("_rest <> 0")
 
 
 def scored(docs: DataFrame) -> DataFrame:

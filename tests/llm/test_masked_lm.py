@@ -107,3 +107,30 @@ def test_production_rounds_learn_frequent_pairs(spark):
             p = net.log_probability(lm.contexts(of[token], first, lm.CLASSES), of[token])
             got.append(float(np.exp(p[3])))
     assert min(got) > 0.2, got
+
+
+def test_each_word_has_its_own_count_at_every_size(spark):
+    """More words than are known: shares within classes are those of exact counts, also of copies and null texts."""
+    r = random.Random(7)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.6)) % 5000}" for _ in range(r.randrange(1, 60)))) for i in range(300)]
+    rows += [rows[0], (None, rows[1][1]), (1000, None), (1001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    count = {}
+    for w in " ".join(t or "" for _, t in rows).split():
+        count[w] = count.get(w, 0) + 1
+    counts = lm.word_counts(docs)
+    assert sorted(x["n"] for x in counts.collect()) == sorted(count.values())
+    words = lm.vocabulary(counts, 32, 50)
+    assert 0 < len(words.known) <= 50 and words.rest > 1
+    names = sorted(count)
+    hashes = np.concatenate([lm.hashed(raw, off)[0] for _, _, raw, off in chunks(pa.array(names))])
+    kind = dict(zip(names, words.kinds(hashes).tolist(), strict=True))
+    total = np.bincount([kind[w] for w in names], [count[w] for w in names], 32)
+    assert (total == words.total).all()
+    net = lm.train(docs, words, 32)
+    for x in lm.score(docs, 32, known=50).collect():
+        t = (x["text"] or "").split()
+        k = np.array([kind[w] for w in t], np.int64)
+        want = net.log_probability(lm.contexts(k, np.array([0, len(k)]), 32), k).sum() + sum(np.log(count[w] / total[kind[w]]) for w in t)
+        assert x["n_tokens"] == len(t) and abs(x["log_likelihood"] - want) < 1e-2 * (1 + len(t)), x
+    assert len(lm.score(docs, 32, known=50).collect()) == len(rows)
