@@ -8,13 +8,14 @@ Base findings, leftmost and non-overlapping per kind:
 * ``hex``: a run of at least 16 lower-case hexadecimal digits.
 
 Candidates are runs of 12 or more token characters with two digits or more.  Those that overlap a base finding are the
-labelled findings, the others are not; the network learns from the text around and in them, is calibrated on every
-fourth finding held back, and its threshold is the highest that still finds ``recall`` of the held-back ones, moved half the gap down to the next
+labelled findings, the others are not; the network learns from the text around and in them, is calibrated on a
+quarter held back by hash, and its threshold is the highest that still finds ``recall`` of the held-back ones, moved half the gap down to the next
 held-back candidate that is none.  A
 candidate from the threshold on becomes a finding of kind ``cnn``.  Base findings always stay.
 
-Training takes at most ``max_docs`` texts (smallest xxhash64 of doc_id and text) and 50 candidates of each; scanning
-covers every candidate of every whole text.  Nulls: a null text counts as empty.  Without findings of both labels
+Training takes at most ``MAX_EACH`` findings and as many others, each those of smallest hash among the distinct
+candidates of all texts; the threshold comes from a histogram of the scores of all that are held back.  Scanning covers
+every candidate of every whole text.  Nulls: a null text counts as empty.  Without findings of both labels
 nothing is added.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import chunks, lowered
+from .textkit import chunks, lowered, span_hashes
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -41,7 +42,7 @@ KINDS = ("assign", "access", "hex", "cnn")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 LEFT, INSIDE, RIGHT = 24, 48, 24
 WIDTH = LEFT + INSIDE + RIGHT
-MAX_DOCS = 20_000
+MAX_EACH = 20_000
 RECALL = 0.98
 
 
@@ -180,11 +181,11 @@ class Network:
         return grad
 
 
-def train(codes: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: int = 6, seed: int = 5) -> Network:
-    """Adam on three of four findings; calibration and the threshold from the fourth."""
+def train(codes: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: int = 6, seed: int = 5, held: np.ndarray | None = None) -> Network:
+    """Adam on three of four findings; calibration and the threshold from the fourth, or those ``held``."""
     r = np.random.default_rng(seed)
     net = Network({"embed": r.normal(0, 0.3, (CODES, EMBED)), "conv": r.normal(0, 0.2, (KERNEL * EMBED, FILTERS)), "conv_b": np.zeros(FILTERS), "out": r.normal(0, 0.2, 3 * FILTERS), "out_b": np.zeros(1)})
-    held = np.arange(len(y)) % 4 == 3
+    held = np.arange(len(y)) % 4 == 3 if held is None else held
     if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum()) < 1:
         return net
     xs, ys = codes[~held], y[~held]
@@ -213,26 +214,83 @@ def train(codes: np.ndarray, y: np.ndarray, recall: float = RECALL, epochs: int
     return net
 
 
-def learn(docs: DataFrame, max_docs: int = MAX_DOCS, recall: float = RECALL) -> Network:
-    """Train on the labelled candidates of at most ``max_docs`` texts."""
-    rows = docs.select("text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_h"))
-    last = rows.select("_h").distinct().orderBy("_h").limit(max_docs).agg(F.max("_h")).first()[0]
-    if last is None:
-        return train(np.empty((0, WIDTH), np.uint8), np.empty(0))
+def _labelled(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(windows, whether findings, hashes) of all candidates, once per chunk, window and label."""
+    for _, _, raw, off in chunks(column):
+        start, end, hit = candidates(raw, off, base_spans(raw, off))
+        if len(start):
+            codes = windows(raw, off, start, end)
+            at = np.arange(len(codes)) * WIDTH
+            mark = span_hashes(codes.ravel(), at, at + WIDTH)
+            once = np.unique(np.stack([mark, hit.astype(np.uint64)]), axis=1, return_index=True)[1]
+            yield codes[once], hit[once].astype(np.int32), mark[once].view(np.int64)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _held(mark: np.ndarray) -> np.ndarray:
+    return mark.view(np.uint64) % np.uint64(4) == 3
+
+
+BUCKETS, BINS, REACH = 1 << 16, 8000, 20.0
+
+
+def draw(docs: DataFrame, max_each: int = MAX_EACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, labels, hashes) of at most ``max_each`` findings and others, by hash over all texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, label, mark in _labelled(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(mark)], names=["label", "mark"])
+
+    bucket = F.shiftrightunsigned("mark", 48).cast("int").alias("bucket")
+    found = docs.select("text").mapInArrow(count, "label int, mark long").distinct().groupBy("label", bucket).count().toPandas()
+    last = {}
+    for label in (0, 1):
+        mine = found[found["label"] == label]
+        n = np.bincount(mine["bucket"].to_numpy(np.int64), mine["count"].to_numpy(np.int64), BUCKETS)
+        last[label] = max(1, int(np.searchsorted(np.cumsum(n), max_each, "right")))  # the buckets before it hold at most max_each
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, raw, off in chunks(batch.column("text")):
-                start, end, hit = candidates(raw, off, base_spans(raw, off))
-                text = np.searchsorted(off, start, "right") - 1
-                keep = np.arange(len(start)) - np.searchsorted(text, text) < 50
-                w = windows(raw, off, start[keep], end[keep])
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in w], pa.binary()), pa.array(hit[keep].astype(np.int32))], names=["codes", "label"])
-
-    got = rows.where(F.col("_h") <= last).dropDuplicates(["_h"]).select("text").mapInArrow(find, "codes binary, label int").distinct().toPandas()
+            for codes, label, mark in _labelled(batch.column("text")):
+                keep = (mark.view(np.uint64) >> np.uint64(48)) < np.where(label > 0, last[1], last[0]).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in codes[keep]], pa.binary()), pa.array(label[keep]), pa.array(mark[keep])], names=["codes", "label", "mark"])
+
+    got = docs.select("text").mapInArrow(take, "codes binary, label int, mark long").distinct().toPandas()
     got = got.sort_values(["codes", "label"]).sample(frac=1, random_state=3)
     codes = np.frombuffer(b"".join(map(bytes, got["codes"])), np.uint8).reshape(-1, WIDTH)
-    return train(codes, got["label"].to_numpy(np.float64), recall)
+    return codes, got["label"].to_numpy(np.float64), got["mark"].to_numpy(np.int64)
+
+
+def learn(docs: DataFrame, max_each: int = MAX_EACH, recall: float = RECALL) -> Network:
+    """Train on ``max_each`` findings and others at most; the threshold is of all that are held back."""
+    codes, y, mark = draw(docs, max_each)
+    net = train(codes, y, recall, held=_held(mark))
+    if net.threshold > 1:
+        return net
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        for batch in batches:
+            for codes, label, mark in _labelled(batch.column("text")):
+                keep = _held(mark)
+                z = np.clip(net.slope * net.logits(codes[keep]) + net.shift, -REACH, REACH)
+                at = np.minimum((z + REACH) * (BINS / (2 * REACH)), BINS - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(label[keep]), pa.array(mark[keep]), pa.array(at)], names=["label", "mark", "bin"])
+
+    held = docs.select("text").mapInArrow(score, "label int, mark long, bin int").dropDuplicates(["label", "mark"]).groupBy("label", "bin").count().collect()
+    yes, no = ({r["bin"]: r["count"] for r in held if r["label"] == k} for k in (1, 0))
+    total, found = sum(yes.values()), 0
+    for least in sorted(yes, reverse=True):
+        found += yes[least]
+        if found >= recall * total:
+            break
+    below = max([-1, *(k for k in no if k < least)])
+    above = min(k for k in yes if k > below)
+    middle = (below + 1 + above) / 2 * (2 * REACH / BINS) - REACH
+    net.threshold = float(1 / (1 + np.exp(-middle)))
+    net.recall = sum(n for k, n in yes.items() if k >= above) / total
+    return net
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

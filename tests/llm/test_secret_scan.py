@@ -92,3 +92,16 @@ def test_redaction_and_empty(spark):
     got = {x["doc_id"]: x["text"] for x in ss.scan(docs, net, redact="[SECRET]").collect()}
     assert got == {1: "é [SECRET] ok", 2: None}
     assert ss.digest(ss.scan(docs.limit(0), ss.learn(docs.limit(0)))).count() == 0
+
+
+def test_rare_findings_are_sought_in_all_texts(spark):
+    """Findings are drawn apart from the others, from any text and any place in it."""
+    r = random.Random(4)
+    plain_ones = lambda n: " ".join(f"page-{r.randrange(10**6)}-of-{r.randrange(10**6)}" for _ in range(n))
+    rows = [(i, plain_ones(5)) for i in range(3000)]
+    rows += [(5000 + i, plain_ones(60) + " password=" + "".join(r.choice("0123456789abcdefXYZ") for _ in range(30))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    codes, y, mark = ss.draw(docs, 500)
+    assert y.sum() == 40 and 300 < len(y) - 40 <= 500 and len(set(mark)) == len(y)
+    net = ss.learn(docs, 500)
+    assert net.threshold <= 1 and net.recall >= 0.98
