@@ -15,7 +15,7 @@ candidate from the threshold on becomes a finding of kind ``cnn``.  Base finding
 
 Training takes at most ``MAX_EACH`` findings and as many others, each those of smallest hash among the distinct
 candidates of all texts; the threshold comes from a histogram of the scores of all that are held back.  Scanning covers
-every candidate of every whole text.  Nulls: a null text counts as empty.  Without findings of both labels
+every candidate of every whole text, also the stretches that base findings leave of one.  Nulls: a null text counts as empty.  Without findings of both labels
 nothing is added.
 """
 
@@ -104,16 +104,29 @@ def base_spans(raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, in
 
 def candidates(raw: np.ndarray, off: np.ndarray, base: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte ranges of the candidates, and which overlap a base finding."""
-    start, end = _runs(_TOKEN[raw], off, 12)
+    start, end = _with_digits(raw, *_runs(_TOKEN[raw], off, 12))
+    covered = np.concatenate([[0], np.cumsum(_covered(len(raw), base))])
+    return start, end, covered[end] > covered[start]
+
+
+def uncovered(raw: np.ndarray, off: np.ndarray, base: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the candidates that no base finding overlaps, and of what base findings leave of the others."""
+    return _with_digits(raw, *_runs(_TOKEN[raw] & ~_covered(len(raw), base), off, 12))
+
+
+def _with_digits(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total = np.concatenate([[0], np.cumsum(_DIGITS[raw], dtype=np.int64)])
     keep = total[end] - total[start] >= 2
-    start, end = start[keep], end[keep]
-    edge = np.zeros(len(raw) + 1, np.int64)
+    return start[keep], end[keep]
+
+
+def _covered(n: int, base: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Which bytes are in a base finding."""
+    edge = np.zeros(n + 1, np.int64)
     for _, lo, hi, _ in base:
         edge[lo] += 1
         edge[hi] -= 1
-    covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-    return start, end, covered[end] > covered[start]
+    return np.cumsum(edge[:-1]) > 0
 
 
 def windows(raw: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -312,8 +325,7 @@ def scan(docs: DataFrame, network: Network, redact: str | None = None) -> DataFr
             texts: dict[int, str] = {}
             for row, _, raw, off in chunks(batch.column("text")):
                 base = base_spans(raw, off)
-                start, end, hit = candidates(raw, off, base)
-                start, end = start[~hit], end[~hit]
+                start, end = uncovered(raw, off, base)
                 if net.threshold <= 1 and len(start):
                     yes = net.probability(windows(raw, off, start, end)) >= net.threshold
                     start, end = start[yes], end[yes]

@@ -105,3 +105,13 @@ def test_rare_findings_are_sought_in_all_texts(spark):
     assert y.sum() == 40 and 300 < len(y) - 40 <= 500 and len(set(mark)) == len(y)
     net = ss.learn(docs, 500)
     assert net.threshold <= 1 and net.recall >= 0.98
+
+
+def test_stretches_beside_base_findings_are_scored(spark):
+    net = ss.train(np.empty((0, ss.WIDTH), np.uint8), np.empty(0))
+    net.threshold = 0.0  # every candidate that is scored becomes a finding
+    rows = ["é AKIA" + "Q" * 16 + "/wJalrXUtnFEMI7K8 ok", "1234567890123456-app-key9x8y7z", "AKIA" + "Q" * 16 + "/short1"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in ss.scan(docs, net, redact="*").collect()}
+    assert [got[i]["text"] for i in range(3)] == ["é ** ok", "**", "*/short1"]
+    assert [[s["kind"] for s in got[i]["findings"]] for i in range(3)] == [["access", "cnn"], ["hex", "cnn"], ["access"]]
