@@ -2,20 +2,27 @@
 
 The tokenizer's split pattern is applied to all bytes of a chunk at once for texts up to U+024F without odd white
 space, control characters or an apostrophe before a letter; other texts go to the tokenizer as they are.  Each distinct
-piece is encoded by the tokenizer and its ids are kept, up to ``CACHE`` pieces, so the ids are the tokenizer's own.
+piece is encoded by the tokenizer and its ids are kept, so the ids are the tokenizer's own.
+
+Kept pieces are found by their bytes, never by a hash alone: those up to ``SHORT`` bytes are two integers and a length,
+longer ones a key of a dict.  Entries are only ever appended; when ``CACHE`` of them are there they become the older
+generation, from which a piece met again moves on, and the one before it goes.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
-from .textkit import ranges, span_hashes
+from .textkit import eights, first_bytes, mix, ranges
 
 CHUNK = 1 << 20
-CACHE = 1 << 19
+CACHE = 1 << 20
+SHORT = 16
+KEPT_BYTES = 512
 _LETTER, _NUMBER, _OTHER, _WHITE = range(4)
 
 
@@ -58,6 +65,66 @@ def split_points(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(begins | last_white), whole
 
 
+class Generation:
+    """Pieces with their ids: an open-addressed table over appended entries, and a dict for long pieces."""
+
+    def __init__(self, most: int, dtype: type):
+        self.bits = max(10, int(2 * most - 1).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.n = self.used = 0
+        self.key = np.empty((1024, 2), np.uint64)
+        self.size = np.empty(1024, np.int32)
+        self.start, self.length = np.empty(1024, np.int64), np.empty(1024, np.int32)
+        self.ids = np.empty(4096, dtype)
+
+    def _room(self, name: str, need: int) -> None:
+        have = getattr(self, name)
+        if len(have) < need:
+            new = np.empty((max(need, 2 * len(have)), *have.shape[1:]), have.dtype)
+            new[: len(have)] = have
+            setattr(self, name, new)
+
+    def find(self, key: np.ndarray, size: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Entry of each short piece, -1 for none."""
+        out = np.full(len(key), -1, np.int64)
+        at, live, mask = slot & ((1 << self.bits) - 1), np.arange(len(key)), (1 << self.bits) - 1
+        while len(live):
+            entry = self.slots[at[live]]
+            live, entry = live[entry >= 0], entry[entry >= 0]
+            same = (self.key[entry] == key[live]).all(axis=1) & (self.size[entry] == size[live])
+            out[live[same]] = entry[same]
+            live = live[~same]
+            at[live] = (at[live] + 1) & mask
+        return out
+
+    def append(self, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """New entries; their numbers."""
+        n = len(length)
+        for name in ("start", "length", "size", "key"):
+            self._room(name, self.n + n)
+        self._room("ids", self.used + len(ids))
+        self.start[self.n : self.n + n] = self.used + np.cumsum(length) - length
+        self.length[self.n : self.n + n] = length
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[self.n : self.n + n] = -1
+        self.n, self.used = self.n + n, self.used + len(ids)
+        return np.arange(self.n - n, self.n)
+
+    def place(self, entry: np.ndarray, key: np.ndarray, size: np.ndarray, slot: np.ndarray) -> None:
+        """Make entries findable by their distinct keys."""
+        self.key[entry], self.size[entry] = key, size
+        mask = (1 << self.bits) - 1
+        at = slot & mask
+        while len(entry):
+            _, first = np.unique(at, return_index=True)
+            first = first[self.slots[at[first]] < 0]
+            self.slots[at[first]] = entry[first]
+            rest = np.ones(len(entry), bool)
+            rest[first] = False
+            entry, at = entry[rest], (at[rest] + 1) & mask
+
+
 class PieceCache:
     """Ids of a chunk's texts from the ids of its distinct parts, kept from chunk to chunk.
 
@@ -65,8 +132,9 @@ class PieceCache:
 
     dtype: type
 
-    def forget(self) -> None:
-        self.keys, self.start, self.length, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.dtype)
+    def forget(self, most: int = CACHE) -> None:
+        self.most = most
+        self.new, self.old = Generation(most, self.dtype), Generation(1, self.dtype)
 
     def split(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
@@ -74,6 +142,54 @@ class PieceCache:
     def solve(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
+    def _entries(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The entry of each part in the newer generation, found, moved there from the older one or solved."""
+        size = end - begin
+        if self.new.n + len(size) > self.most:
+            self.old, self.new = self.new, Generation(max(self.most, len(size)), self.dtype)
+        word = eights(raw)
+        key = np.empty((len(size), 2), np.uint64)
+        key[:, 0] = first_bytes(word[begin], np.minimum(size, 8))
+        more = np.flatnonzero(size > 8)
+        key[:, 1] = 0
+        key[more, 1] = first_bytes(word[begin[more] + 8], np.minimum(size[more] - 8, 8))
+        slot = (mix(key[:, 0] ^ mix(key[:, 1], 91), 92) >> np.uint64(8)).astype(np.int64)
+        out = self.new.find(key, size, slot)
+        long = np.flatnonzero(size > SHORT)
+        if len(long):
+            data = raw.tobytes()
+            texts = [data[a:b] for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
+            out[long] = [self.new.long.get(t, -1) for t in texts]
+        lost = np.flatnonzero((out < 0) & (size <= SHORT))
+        if len(lost):
+            lost = lost[np.argsort(slot[lost])]
+            new = np.ones(len(lost), bool)  # a piece twice in the table, where slots clash, does no harm
+            new[1:] = (key[lost[1:]] != key[lost[:-1]]).any(axis=1) | (size[lost[1:]] != size[lost[:-1]])
+            pick, which = lost[new], np.cumsum(new) - 1
+            entry = self._taken(self.old.find(key[pick], size[pick], slot[pick]), raw, begin[pick], end[pick])
+            self.new.place(entry, key[pick], size[pick].astype(np.int32), slot[pick])
+            out[lost] = entry[which]
+        lost = long[out[long] < 0] if len(long) else long
+        if len(lost):
+            by = dict(zip(long.tolist(), texts, strict=True))
+            kinds: dict[bytes, int] = {}
+            which = np.array([kinds.setdefault(by[i], len(kinds)) for i in lost.tolist()])
+            first = lost[np.unique(which, return_index=True)[1]]
+            entry = self._taken(np.array([self.old.long.get(t, -1) for t in kinds]), raw, begin[first], end[first])
+            self.new.long.update((t, int(e)) for t, e in zip(kinds, entry, strict=True) if len(t) <= KEPT_BYTES)
+            out[lost] = entry[which]
+        return out
+
+    def _taken(self, known: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """New entries for distinct parts, from the older generation where ``known`` is its entry."""
+        have = known >= 0
+        at, length = self.old.start[known[have]], self.old.length[known[have]].astype(np.int64)
+        out = np.empty(len(known), np.int64)
+        out[have] = self.new.append(self.old.ids[ranges(at, length)], length)
+        if not have.all():
+            out[~have] = self.new.append(*self.solve(raw, begin[~have], end[~have]))
+        return out
+
     def chunk(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text)."""
         n = len(off) - 1
@@ -84,26 +200,10 @@ class PieceCache:
         end = np.append(begin[1:], len(raw))
         keep = ~whole[text]
         begin, end, text = begin[keep], end[keep], text[keep]
-        kinds, at, which = np.unique(span_hashes(raw, begin, end), return_index=True, return_inverse=True)
-        spot = np.searchsorted(self.keys, kinds)
-        known = self.keys[np.minimum(spot, len(self.keys) - 1)] == kinds if len(self.keys) else np.zeros(len(kinds), bool)
-        if not known.all():
-            if len(self.keys) + (~known).sum() > CACHE:
-                self.forget()
-                known[:] = False
-            fresh = np.flatnonzero(~known)
-            ids, length = self.solve(raw, begin[at[fresh]], end[at[fresh]])
-            keys = np.concatenate([self.keys, kinds[fresh]])
-            order = np.argsort(keys)
-            self.keys = keys[order]
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])[order]
-            self.length = np.concatenate([self.length, length])[order]
-            self.ids = np.concatenate([self.ids, ids])
-            spot = np.searchsorted(self.keys, kinds)
-        spot = spot[which]
-        length = self.length[spot]
+        entry = self._entries(raw, begin, end)
+        length = self.new.length[entry].astype(np.int64)
         count = np.bincount(text, weights=length, minlength=n).astype(np.int64)
-        ids = self.ids[ranges(self.start[spot], length)]
+        ids = self.new.ids[ranges(self.new.start[entry], length)]
         if whole.any():
             parts, at = [], 0
             for i in range(n):
@@ -136,8 +236,8 @@ class Encoder(PieceCache):
         data = raw.tobytes()
         texts = [data[a:b].decode() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        length = np.array([len(x) for x in got], np.int64)
-        return np.fromiter((i for x in got for i in x), self.dtype, int(length.sum())), length
+        length = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), self.dtype, int(length.sum())), length
 
 
 @cache

@@ -14,6 +14,9 @@ If two sets link, then in the shorter prefix at most t tokens are missing from t
 frequent ones of one class, are in both prefixes: linked sets share an index key.  Keys also carry a size bucket
 (buckets of linked sets are equal or neighbours), and the number of classes grows with it.
 
+Shingles are told apart by 64-bit hashes of their words' bytes and sets by 128 bits, so results are exact up to
+collisions of those.
+
 Documents with equal sets are one node from the start.  Key lists are never expanded into pairs: each list tries its
 node of fewest private tokens (what others were copied from) against the others; lists that still span several components then try a few nodes of each component
 against the other components' nodes, eight times as many each round, until each list is one component or all its

@@ -2,8 +2,9 @@
 
 1. Each partition sketches the anchors of its windows (below); the merged count-min sketch overestimates how often an
    anchor, and so any window that has it, occurs.
-2. A second pass sends only the windows estimated to occur twice to shards by their anchor, where their hashes (96
-   bits) are grouped exactly.  No window that occurs twice is lost: its estimate is at least its count.
+2. A second pass sends only the windows estimated to occur twice to shards by their anchor, where they are grouped by 96
+   bits of two independent hashes of their words' bytes.  No window that occurs twice is lost: its estimate is at least
+   its count; two different windows count as equal only where all 96 bits collide.
 3. The repeated windows go back to their documents as ranges of words.
 
 The anchor of a window is its smallest 8-word hash.  Equal windows have equal anchors at equal places, so an anchor
@@ -136,7 +137,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sket
                 if not len(at):
                     continue
                 text = w.text()[at]
-                held.append((docs_held + text, at - w.first[text], anchor[at], gram_hashes(hashes, window, 2)[at], gram_hashes(hashes, window, 3)[at], ids[row : row + n]))
+                held.append((docs_held + text, at - w.first[text], anchor[at], gram_hashes(hashes, window, 2)[at], gram_hashes(span_hashes(raw, w.start, w.end, 1), window, 3)[at], ids[row : row + n]))
                 docs_held += n
                 size += len(at)
                 if size >= FLUSH:

@@ -6,6 +6,7 @@ chunk's bytes or words at once.  White space is ASCII (space and tab to carriage
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,8 +16,7 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE_BYTES, _BASE_WORDS = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+LONG_SPAN = 128
 
 
 class Words(NamedTuple):
@@ -30,21 +30,6 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse, modulo 2**64, for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        inverse = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            x = np.full(size, b, dtype=np.uint64)
-            x[0] = 1
-            out.append(np.cumprod(x, dtype=np.uint64))
-        have = _powers[base] = (out[0], out[1])
-    return have
-
-
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit integers that spreads all bits (splitmix64's finaliser); ``salt`` picks another one."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (2 * salt + 1)) & (2**64 - 1))
@@ -99,27 +84,71 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges."""
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one little-endian integer, zeros beyond the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), np.dtype("<u8"), padded, 0, (1,))
+
+
+def first_bytes(x: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The first ``count`` (at most 8) bytes of little-endian integers; the others become zero."""
+    return x & _MASKS[count]
+
+
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges; each ``salt`` gives another, independent one.
+
+    Eight bytes at a time are mixed into what came before, so no sum of powers cancels; ranges beyond ``LONG_SPAN``
+    bytes go through BLAKE2.  Equal hashes mean equal bytes up to collisions of 64 bits."""
     if not len(start):
         return np.empty(0, np.uint64)
-    up, down = powers(_BASE_BYTES, len(raw) + 1)
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start])
+    size = np.asarray(end) - np.asarray(start)
+    word = eights(raw)
+    out = mix(size.astype(np.uint64), 70 + salt)
+    live, at = None, np.asarray(start)
+    left = np.where(size > LONG_SPAN, 0, size)
+    while True:
+        x = first_bytes(word[at], np.minimum(left, 8))
+        if live is None:
+            out = mix(out ^ x, 71 + salt)
+        else:
+            out[live] = mix(out[live] ^ x, 71 + salt)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_SPAN):
+        digest = hashlib.blake2b(raw[int(start[i]) : int(end[i])], digest_size=8, person=b"%d" % salt).digest()
+        out[i] = np.frombuffer(digest, np.uint64)[0]
+    return out
+
+
+def _join(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of pairs of hashes; the order matters."""
+    return mix(mix(a, salt) ^ b, salt)
 
 
 def gram_hashes(word: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """Hashes of each k consecutive words (len - k + 1 of them), across texts too: mask with ``inside``."""
-    n = len(word)
-    if n < k:
+    """Hashes of each k consecutive words (len - k + 1 of them), across texts too: mask with ``inside``.
+
+    Runs are doubled and joined, so a hash is a tree of mixes over its words."""
+    n = len(word) - k + 1
+    if n < 1:
         return np.empty(0, np.uint64)
-    up, down = powers(_BASE_WORDS, n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(mix(word, salt + 1) * up[:n], out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * down[: n - k + 1], salt)
+    out, done, run, length = None, 0, word, 1
+    while True:
+        if k & length:
+            piece = run[done : done + n]
+            out = piece if out is None else _join(out, piece, 2 * salt + 80)
+            done += length
+        if 2 * length > k:
+            return mix(out, salt)
+        run = _join(run[:-length], run[length:], 2 * salt + 81)
+        length *= 2
 
 
 def inside(w: Words, k: int) -> np.ndarray:
