@@ -1,16 +1,19 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph per shard, results merged.
 
-Rows are dealt to shards of about ``SHARD`` vectors by a hash of their id.  Each shard becomes one row: its vectors and,
-per level, the nodes and a flat array of neighbours (-1 for none).  Vectors get one more coordinate that gives all the
-same length, so the largest inner product is the nearest point.  A node is linked, in a fixed order, to diverse near
-ones among its predecessors and they to it; its level follows from its id.  Equal vectors are one node.
-
-Queries go to every shard of their dimension in blocks.  A block descends the upper levels greedily and searches the
+Rows are dealt by length, an octave each, and within it by a hash of their id to shards of about ``SHARD`` vectors.  Each
+shard becomes one row: its vectors and, per level, the nodes and a flat array of neighbours (-1 for none).  Its vectors
+are scaled by a power of two and get one more coordinate that gives all the same length, so the largest inner product is
+the nearest point; within an octave that coordinate never drowns the others, however far apart lengths are.  A node is
+linked, in a fixed order, to diverse near ones among its predecessors (found exactly, as a shard is small) and they to
+it; its level follows from its id.  Equal vectors are one node.
+
+Query blocks go to every group of shards of their dimension.  A block descends the upper levels greedily and searches the
 lowest with a beam of ``EF``, all queries at once; the beam's candidates are scored exactly in double precision, and
 the k best of all shards are kept.
 
 Vectors null, zero or holding null or non-finite components and rows with a null id take no part.  Equal scores go to
-the smaller id; a query never meets its own id; rows equal in id and score count once.
+the smaller id; rows of a query's own id are no candidates of it; rows that are equal otherwise each count.  Products
+beyond the range of doubles are infinite, and where two of those cancel (not a number) they come last.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ LINKS = 16
 BUILD = 48
 EF = 128
 QUERY_BLOCK = 256
-_INDEX = pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("first", pa.binary()), ("vectors", pa.binary()), ("levels", pa.list_(pa.struct([("nodes", pa.binary()), ("links", pa.binary())])))])
+GROUP = 4
+_INDEX = pa.schema([("dim", pa.int32()), ("octave", pa.int32()), ("salt", pa.int32()), ("ids", pa.binary()), ("first", pa.binary()), ("vectors", pa.binary()), ("levels", pa.list_(pa.struct([("nodes", pa.binary()), ("links", pa.binary())])))])
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -51,13 +55,24 @@ def _diverse(points: np.ndarray, node: int, near: np.ndarray, most: int) -> list
     return near[sorted(chosen + rest[: max(0, most // 2 - len(chosen))])].tolist()
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times the power of two that brings the largest component to between a half and 1."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1]) if v.size else v
+
+
 def raised(v: np.ndarray) -> np.ndarray:
     """Vectors with the coordinate that makes all as long as the longest, scaled to length 1."""
+    v = scaled(v)
     square = (v * v).sum(axis=1)
     longest = square.max() if len(v) else 1.0
     return (np.concatenate([v, np.sqrt(np.maximum(0, longest - square))[:, None]], axis=1) / np.sqrt(longest)).astype(np.float32)
 
 
+def directions(q: np.ndarray) -> np.ndarray:
+    """Queries each scaled by its own power of two, which changes no order."""
+    return np.ldexp(q, -np.frexp(np.abs(q).max(axis=1))[1][:, None])
+
+
 def build_levels(points: np.ndarray, seed: np.ndarray, links: int = LINKS, build: int = BUILD) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per level, top first, its nodes and their neighbours (positions in the shard)."""
     u = (seed.astype(np.float64) + 1) / 2.0**64
@@ -139,23 +154,31 @@ def search_shard(points: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]
     return np.where(sims > -np.inf, beam, -1)
 
 
-def build_index(rows: DataFrame, shards: int) -> DataFrame:
-    """One row per shard and dimension of ``rows`` (id, x)."""
+def octave(x: str) -> Column:
+    """Which power of two the length of a vector reaches."""
+    top = F.array_max(F.transform(x, F.abs))
+    return F.floor(F.log2(top) + F.log2(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v / top) * (v / top))) / 2).cast("int")
+
+
+def build_index(rows: DataFrame, shard: int | None = None) -> DataFrame:
+    """One row per shard of ``rows`` (id, x, dim): a dimension, an octave of lengths and a salt."""
+    rows = rows.withColumn("octave", octave("x"))
+    sizes = rows.groupBy("dim", "octave").agg(F.ceil(F.count("*") / (shard or SHARD)).cast("int").alias("salts"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray]] = []
         key = None
         for batch in batches:
-            for dim, shard, i, x in zip(*(batch.column(c).to_pylist() for c in ("dim", "shard", "id")), batch.column("x"), strict=True):
-                if (dim, shard) != key or len(held) >= 4 * SHARD:
+            for *new, i, x in zip(*(batch.column(c).to_pylist() for c in ("dim", "octave", "salt", "id")), batch.column("x"), strict=True):
+                if new != key or len(held) >= 4 * SHARD:
                     if held:
                         yield index(held, key)
-                    held, key = [], (dim, shard)
+                    held, key = [], new
                 held.append((i, x.values.to_numpy()))
         if held:
             yield index(held, key)
 
-    def index(held: list[tuple[int, np.ndarray]], key: tuple[int, int]) -> pa.RecordBatch:
+    def index(held: list[tuple[int, np.ndarray]], key: list[int]) -> pa.RecordBatch:
         v = np.array([x for _, x in held], np.float64).reshape(len(held), key[0])
         ids = np.array([i for i, _ in held], np.int64)
         kinds, which = np.unique(v, axis=0, return_inverse=True)
@@ -163,10 +186,12 @@ def build_index(rows: DataFrame, shards: int) -> DataFrame:
         first = np.searchsorted(which[order], np.arange(len(kinds) + 1))
         levels = build_levels(raised(kinds), mix(ids[order][first[:-1]].view(np.uint64), 3))
         packed = [{"nodes": a.tobytes(), "links": b.tobytes()} for a, b in levels]
-        return pa.RecordBatch.from_arrays([pa.array([key[1]], pa.int32()), pa.array([key[0]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[order], first, kinds)), pa.array([packed], _INDEX.field("levels").type)], schema=_INDEX)
+        return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in key), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[order], first, kinds)), pa.array([packed], _INDEX.field("levels").type)], schema=_INDEX)
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition(parts(rows.sparkSession), "dim", "shard")
-    return dealt.sortWithinPartitions("dim", "shard", "id").select("dim", "shard", "id", "x").mapInArrow(build, "shard int, dim int, ids binary, first binary, vectors binary, levels array<struct<nodes: binary, links: binary>>")
+    keys = ["dim", "octave", "salt"]
+    dealt = rows.join(sizes, ["dim", "octave"]).withColumn("salt", F.expr("CAST(pmod(xxhash64(id), salts) AS INT)")).select(*keys, "id", "x")
+    dealt = dealt.repartition(parts(rows.sparkSession), *keys).sortWithinPartitions(*keys, "id")
+    return dealt.mapInArrow(build, "dim int, octave int, salt int, ids binary, first binary, vectors binary, levels array<struct<nodes: binary, links: binary>>")
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", ef: int = EF) -> DataFrame:
@@ -174,9 +199,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "
     spark = vectors.sparkSession
     rows = vectors.where(usable(vector) & F.col(id_column).isNotNull() & F.exists(F.col(vector), lambda v: v != 0))
     rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.coalesce(queries, F.lit(False)).alias("is_query")).withColumn("dim", F.size("x"))
-    many, asking = rows.agg(F.count("*"), F.count_if("is_query")).first()
-    shards, query_parts = -(-many // SHARD) or 1, -(-asking // QUERY_BLOCK) or 1
-    index = stored(build_index(rows, shards), "graphs")
+    asking = rows.agg(F.count_if("is_query")).first()[0]
+    query_parts = -(-asking // QUERY_BLOCK) or 1
+    index = stored(build_index(rows), "graphs")
+    groups = max(1, min(parts(spark), index.count()), -(-index.count() // GROUP))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +218,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "
 
     asked = rows.where("is_query").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(query_parts)))
     asked = asked.repartition(parts(spark), "part").sortWithinPartitions("dim", "part", "id").select("dim", "id", "x").mapInArrow(block, "dim int, q_ids binary, q_vectors binary")
-    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, ["dim", "shard"])
+    index = index.withColumn("group", F.pmod(F.xxhash64("dim", "octave", "salt"), F.lit(groups)).cast("int"))
+    sent = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(index, ["dim", "group"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,10 +232,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "
                 points = raised(v)
                 out = []
                 for i in range(0, len(q), QUERY_BLOCK):
-                    beam = search_shard(points, levels, q[i : i + QUERY_BLOCK], max(ef, k + 1))
+                    beam = search_shard(points, levels, directions(q[i : i + QUERY_BLOCK]), max(ef, k + 1))
                     for row, nodes in enumerate(beam):
                         nodes = nodes[nodes >= 0]
-                        s = (v[nodes] * q[i + row]).sum(axis=1)
+                        with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+                            s = (v[nodes] * q[i + row]).sum(axis=1)
                         copies = np.minimum(first[nodes + 1] - first[nodes], k + 1)
                         start = np.repeat(first[nodes] - (np.cumsum(copies) - copies), copies)
                         found, s = ids[start + np.arange(len(start))], np.repeat(s, copies)
@@ -219,5 +247,5 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_FOUND)
 
     found = sent.mapInArrow(search, "query_id long, vec_id long, score double")
-    top = found.groupBy("query_id").agg(F.slice(F.array_distinct(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score")))), 1, k).alias("top"))
+    top = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top").alias("rank", "t")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score"))

@@ -14,8 +14,11 @@ What is left is verified by its exact product, and t rises with what is found.
 Components x become floor(scale * x); products are exact in double precision while dimension * max**2 < 2**53, and
 computed in Python integers beyond that (scores are then clamped to 64 bits).  Vectors null or holding null or
 non-finite components take no part; a query's candidates have as many components as it.  Rows with a null id take no
-part as queries or candidates.  Equal scores go to the smaller id, a query never meets
-rows of its own id, and rows equal in id and score count once.
+part as queries or candidates.  Equal scores go to the smaller id, a query never meets rows of its own id, and rows that
+are equal otherwise each count.
+
+Query blocks are sent to groups of ``GROUP`` vector blocks of like length, and only to those whose longest vector can
+reach the score that one of the block's queries has for sure.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ SCALE = 256.0
 BLOCK = 1024
 QUERY_BLOCK = 256
 SAMPLE_BLOCKS = 64
+GROUP = 16
 COORDINATE = 0.6
 FOCUS = 4
 _BLOCKS = pa.schema([("part", pa.int64()), ("dim", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())])
@@ -161,10 +165,13 @@ def top_products(vectors: DataFrame, queries: Column, k: int = 5, id_column: str
     asked = stored(asked.select(F.col("part").alias("q_part"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "queries")
     n_blocks = index.count()
 
-    def met(asked: DataFrame, index: DataFrame, groups: int) -> DataFrame:
-        """Each block of queries with each block of vectors: the queries are sent to every group of vector blocks."""
-        sent = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        return sent.join(index.withColumn("group", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int")), ["group", "dim"])
+    def met(asked: DataFrame, index: DataFrame, salts: int) -> DataFrame:
+        """Each block of queries with each block of vectors that can win: queries are sent once to a group of blocks of
+        one dimension, octave of length and salt, if its longest vector is long enough."""
+        index = index.withColumn("octave", F.floor(F.log2(F.col("longest") + 1)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(salts)).cast("int"))
+        groups = index.groupBy("dim", "octave", "salt").agg(F.max("longest").alias("far"))
+        sent = asked.join(groups, "dim").where(F.col("far") * (1 + 1e-9) >= F.col("reach")).drop("far")
+        return sent.join(index, ["dim", "octave", "salt"]).where(F.col("longest") * (1 + 1e-9) >= F.col("reach"))
 
     def search(floors: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,28 +190,32 @@ def top_products(vectors: DataFrame, queries: Column, k: int = 5, id_column: str
     found = "query_id long, vec_id long, score long"
     # the stated queries against a few of the longest blocks: scores that k candidates reach
     longest = index.select("part", "longest").orderBy(F.desc("longest"), "part").limit(max(1, min(SAMPLE_BLOCKS, n_blocks // 16))).select("part").distinct()
-    first = met(asked, index.join(longest, "part", "left_semi"), max(1, min(SAMPLE_BLOCKS, n_blocks // 16))).mapInArrow(search(False), found)
+    first = met(asked.withColumn("reach", F.lit(0.0)), index.join(longest, "part", "left_semi"), max(1, min(SAMPLE_BLOCKS, n_blocks // 16))).mapInArrow(search(False), found)
     reached = best(first, k).groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
-    ids = asked.select("q_part", "q_ids")
+    ids = asked.select("q_part", "dim", "q_ids", "q_vectors")
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, blob in zip(batch.column("q_part").to_pylist(), batch.column("q_ids"), strict=True):
-                i = np.frombuffer(blob.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), part)), pa.array(i), pa.array(np.arange(len(i), dtype=np.int32))], names=["q_part", "query_id", "at"])
+            for part, dim, blob, vectors in zip(*(batch.column(c).to_pylist() for c in ("q_part", "dim", "q_ids", "q_vectors")), strict=True):
+                i, q = _unpack(blob, vectors, dim)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), part)), pa.array(i), pa.array(np.arange(len(i), dtype=np.int32)), pa.array(np.sqrt((q * q).sum(axis=1)))], names=["q_part", "query_id", "at", "length"])
 
-    floors = ids.mapInArrow(unfold, "q_part long, query_id long, at int").join(reached, "query_id", "left")
-    floors = floors.groupBy("q_part").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("f")))), lambda s: s["f"]).alias("f"))
+    floors = ids.mapInArrow(unfold, "q_part long, query_id long, at int, length double").join(reached, "query_id", "left")
+    floors = floors.withColumn("f", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))))
+    # a vector as long as this reaches the floor of a query in the block, were it to point the same way
+    reach = F.min(F.when((F.col("f") > 0) & (F.col("length") > 0), F.col("f") / F.col("length")).otherwise(0.0)).alias("reach")
+    floors = floors.groupBy("q_part").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "f"))), lambda s: s["f"]).alias("f"), reach)
 
     def binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("q_part"), pa.array([np.array(x, np.float64).tobytes() for x in batch.column("f").to_pylist()], pa.binary())], names=["q_part", "floors"])
+            yield pa.RecordBatch.from_arrays([batch.column("q_part"), batch.column("reach"), pa.array([np.array(x, np.float64).tobytes() for x in batch.column("f").to_pylist()], pa.binary())], names=["q_part", "reach", "floors"])
 
-    asked = stored(asked.join(floors.mapInArrow(binary, "q_part long, floors binary"), "q_part"), "floors")
-    return best(met(asked, index, max(1, n_blocks)).mapInArrow(search(True), found), k)
+    asked = stored(asked.join(floors.select("q_part", "f", "reach").mapInArrow(binary, "q_part long, reach double, floors binary"), "q_part"), "floors")
+    salts = max(1, min(parts(spark), n_blocks), -(-n_blocks // GROUP))
+    return best(met(asked, index, salts).mapInArrow(search(True), found), k)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k highest scores of each query with their ranks; a query has at most k rows per block, so its group is small."""
-    top = found.groupBy("query_id").agg(F.slice(F.array_distinct(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score")))), 1, k).alias("top"))
+    top = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top").alias("rank", "t")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score"))

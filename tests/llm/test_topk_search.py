@@ -67,3 +67,9 @@ def test_pruning_keeps_what_can_win():
         got = sorted(tk.search_block(q, np.arange(1000, 1010), floor, v, np.arange(400), k))
         want = sorted((1000 + i, int(j), int(scores[i, j])) for i in range(10) for j in np.lexsort((np.arange(400), -scores[i]))[:k])
         assert got == want
+
+
+def test_repeated_rows_each_count(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [0.5, 0.5]), (0, [3.0, 3.0])]
+    got = sorted(map(tuple, tk.top_products(spark.createDataFrame(rows[:4], SCHEMA), F.col("vec_id") % 50 == 0, k=3).collect()))
+    assert [x[1:3] for x in got] == [(1, 1), (2, 1), (3, 2)]
