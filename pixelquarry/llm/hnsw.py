@@ -156,8 +156,9 @@ def search_shard(points: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]
 
 def octave(x: str) -> Column:
     """Which power of two the length of a vector reaches."""
-    top = F.array_max(F.transform(x, F.abs))
-    return F.floor(F.log2(top) + F.log2(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v / top) * (v / top))) / 2).cast("int")
+    top = F.array(F.array_max(F.transform(x, F.abs)))  # a list of one, so that its value is bound once
+    length = lambda m: F.log2(m) + F.log2(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v / m) * (v / m))) / 2
+    return F.floor(F.transform(top, length)[0]).cast("int")
 
 
 def build_index(rows: DataFrame, shard: int | None = None) -> DataFrame:
