@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 UNNAMED = "未命名"
 
@@ -15,15 +15,40 @@ UNNAMED = "未命名"
 @F.pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Unicode normal form C; null stays."""
-    return values.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+    return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
-def category(label: Column, default: str = UNNAMED) -> Column:
-    """Trimmed label in normal form C, ``default`` where blank.  Labels of ASCII letters need no Python."""
+@F.pandas_udf(ArrayType(StringType()))
+def nfc_list(values: pd.Series) -> pd.Series:
+    """Normal form C of each string of a list; nulls stay."""
+    form = lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v)
+    return values.map(lambda x: None if x is None else [form(v) for v in x])
+
+
+def ascii_form(text: Column) -> Column:
+    """Text with the only three letters whose normal form C is ASCII in that form, so that it can be compared with ASCII
+    text without Python."""
+    return F.translate(text, "\u212a\u037e\u1fef", "K;`")
+
+
+def trimmed_category(label: Column, default: str = UNNAMED) -> Column:
+    """Trimmed label, ``default`` where blank."""
     trimmed = F.trim(F.coalesce(label, F.lit("")))
     return F.when(trimmed == "", F.lit(default)).otherwise(trimmed)
 
 
+def category(label: Column, default: str = UNNAMED) -> Column:
+    """Trimmed label in normal form C, ``default`` where blank."""
+    return nfc(trimmed_category(label, default))
+
+
+def is_category(label: Column, wanted: str) -> Column:
+    """Whether a label is of the category, both trimmed and in normal form C; no Python for an ASCII category."""
+    wanted = unicodedata.normalize("NFC", wanted.strip())
+    trimmed = F.trim(F.coalesce(label, F.lit("")))
+    return (ascii_form(trimmed) if wanted.isascii() else nfc(trimmed)) == wanted
+
+
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over the UTF-16 code units of a string without surrogates (its code points)."""
     units = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import category
+from ..functions.text import nfc, trimmed_category
 
 ACTIVE, FINISHED = ("queued", "running"), ("succeeded", "failed", "canceled")
 
@@ -28,12 +28,14 @@ def top(counts: DataFrame, n: int, key: str = "value") -> DataFrame:
 
 def category_counts(shapes: DataFrame) -> DataFrame:
     """Shapes of each category per image."""
-    return shapes.groupBy("image", category(F.col("label")).alias("category")).count()
+    raw = shapes.groupBy("image", trimmed_category(F.col("label")).alias("_label")).count()
+    return raw.withColumn("category", nfc(F.col("_label"))).groupBy("image", "category").agg(F.sum("count").alias("count"))
 
 
 def label_choices(shapes: DataFrame, preferred: list[str], limit: int) -> DataFrame:
     """Labels to offer, with their position: preferred ones first, then by count."""
-    counts = shapes.groupBy(category(F.col("label")).alias("label")).count().withColumn("preferred", F.col("label").isin(preferred))
+    raw = shapes.groupBy(trimmed_category(F.col("label")).alias("_label")).count()
+    counts = raw.withColumn("label", nfc(F.col("_label"))).groupBy("label").agg(F.sum("count").alias("count")).withColumn("preferred", F.col("label").isin(preferred))
     return counts.orderBy(F.desc("preferred"), F.desc("count"), "label").limit(limit)
 
 
@@ -67,11 +69,14 @@ def operator_timings(log: DataFrame, *key: str, ms: str = "ms") -> DataFrame:
 
 
 def latency(log: DataFrame, key: str, ms: str = "ms", fractions: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Nearest-rank percentiles (rank round((n - 1) f), ties to even), mean and maximum."""
+    """Nearest-rank percentiles (rank round((n - 1) f), ties to even), mean and maximum.  Equal values are counted before
+    they meet, so a key has as many rows as it has different values."""
+    counted = log.where(F.col(ms).isNotNull()).groupBy(key, F.col(ms).alias("_v")).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(key)
-    ranked = log.where(F.col(ms).isNotNull()).withColumn("_rank", F.row_number().over(w.orderBy(ms)) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda f: F.max(F.when(F.col("_rank") == F.bround((F.col("_n") - 1) * F.lit(f)), F.col(ms))).alias(f"p{int(f * 100)}")
-    return ranked.groupBy(key).agg(F.count("*").alias("n"), *map(at, fractions), F.avg(ms).alias("mean"), F.max(ms).alias("max"))
+    ranked = counted.withColumn("_to", F.sum("_c").over(w.orderBy("_v"))).withColumn("_n", F.sum("_c").over(w))
+    rank = lambda f: F.bround((F.col("_n") - 1) * F.lit(f))
+    at = lambda f: F.min(F.when(F.col("_to") > rank(f), F.col("_v"))).alias(f"p{int(f * 100)}")
+    return ranked.groupBy(key).agg(F.sum("_c").alias("n"), *map(at, fractions), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.max("_v").alias("max"))
 
 
 def throughput(log: DataFrame, key: str, ts: str = "ts") -> DataFrame:
@@ -159,8 +164,10 @@ def sorted_fingerprint(items: DataFrame, key: str, item: str, print_: str) -> Da
 
 
 def tensor_statistics(values: DataFrame, key: str, value: str) -> DataFrame:
-    """Minimum, maximum, mean and linearly interpolated percentiles of exploded tensors."""
+    """Minimum, maximum, mean and linearly interpolated percentiles of exploded tensors; equal values are counted first."""
     marks = (0.01, 0.05, 0.5, 0.95, 0.99)
-    p = F.percentile(value, F.array(*map(F.lit, marks)))
-    out = values.groupBy(key).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), p.alias("_p"))
+    counted = values.groupBy(key, F.col(value).alias("_v")).agg(F.count(value).alias("_c")).where("_c > 0")
+    p = F.percentile("_v", F.array(*map(F.lit, marks)), F.col("_c"))
+    mean = F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")
+    out = counted.groupBy(key).agg(F.min("_v").alias("min"), F.max("_v").alias("max"), mean.alias("mean"), p.alias("_p"))
     return out.select(key, "min", "max", "mean", *(F.element_at("_p", i + 1).alias(f"p{int(m * 100):02d}") for i, m in enumerate(marks)))

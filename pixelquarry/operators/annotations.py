@@ -4,11 +4,13 @@ Shapes have image, idx, label, shape_type, points (array of [x, y]) and what an
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.text import UNNAMED, category
+from ..functions.text import UNNAMED, category, is_category
 
 #: Number of points of each shape type (least, most; null is any).
 POINT_COUNTS = {"point": (1, 1), "line": (2, 2), "circle": (2, 2), "rectangle": (4, 4), "rotation": (4, 4), "polygon": (3, None), "linestrip": (2, None), "points": (1, None), "mask": (2, 2)}
@@ -30,24 +32,48 @@ def problems(width: str = "width", height: str = "height") -> Column:
 
 
 def quality(shapes: DataFrame, width: str = "width", height: str = "height", digits: int = 3) -> DataFrame:
-    """Shapes with flags: out_of_bounds, degenerate, duplicate (all but the first of equal label, type and points)."""
-    p, kind = F.col("points"), F.col("shape_type")
-    box = g.bounds(p)
-    distinct = F.size(F.array_distinct(p))
-    flat = F.when(kind.isin("point", "points"), distinct < 1).otherwise((distinct < 2) | (kind.isin("rectangle", "rotation", "polygon") & (g.area(p) <= 1e-6)))
-    key = F.concat_ws("|", "label", "shape_type", F.array_join(F.array_sort(F.split(g.as_text(p, digits), ",")), ","))
-    first = F.row_number().over(Window.partitionBy("image", "_key").orderBy("idx"))
-    out = shapes.withColumn("_key", key).withColumn("out_of_bounds", (box["x0"] < 0) | (box["y0"] < 0) | (box["x1"] > F.col(width)) | (box["y1"] > F.col(height)))
-    return out.withColumn("degenerate", flat).withColumn("duplicate", first > 1).drop("_key")
+    """Shapes with flags: invalid_shape (nothing is known of it), invalid_points (none, or some that are no pair of finite
+    numbers), and of the others out_of_bounds (where the image has a size), degenerate (a point of several places,
+    another type of one, or three points and more without area) and duplicate (all but the first of equal label, type
+    and places).  A shape without label is unlabeled, one without type a polygon; places are points rounded to
+    ``digits``, in any order, each once."""
+    p = F.col("points")
+    known = F.col("label").isNotNull() | F.col("shape_type").isNotNull() | p.isNotNull()
+    finite = F.forall(p, lambda q: (F.size(q) == 2) & F.forall(q, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    good = F.coalesce((F.size(p) > 0) & finite, F.lit(False))
+    places = F.array_sort(F.array_distinct(F.transform(p, lambda q: F.transform(q, lambda v: F.round(v, digits) + 0.0))))
+    kind = F.when(F.coalesce("shape_type", F.lit("")) == "", "polygon").otherwise(F.col("shape_type"))
+    label = F.when(F.coalesce("label", F.lit("")) == "", "unlabeled").otherwise(F.col("label"))
+    out = shapes.withColumns({"label": label, "shape_type": kind, "_known": known, "_good": known & good}).withColumn("_places", F.when(F.col("_good"), places))
+    outside = F.exists(p, lambda q: (q[0] < 0) | (q[1] < 0) | (q[0] > F.col(width)) | (q[1] > F.col(height)))
+    n = F.size("_places")
+    flat = F.when(F.col("shape_type") == "point", n != 1).otherwise(n < 2) | ((F.size(p) >= 3) & (g.area(p) <= 1e-6))
+    first = F.row_number().over(Window.partitionBy("image", "label", "shape_type", "_places").orderBy("idx"))
+    flags = {
+        "invalid_shape": ~F.col("_known"), "invalid_points": F.col("_known") & ~F.col("_good"), "duplicate": F.col("_good") & (first > 1), "degenerate": F.col("_good") & flat,
+        "out_of_bounds": F.col("_good") & F.coalesce((F.col(width) > 0) & (F.col(height) > 0), F.lit(False)) & outside,
+    }
+    return out.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}).drop("_known", "_good", "_places")
+
+
+ISSUES = ("invalid_shape", "invalid_points", "out_of_bounds", "degenerate", "duplicate")
 
 
 def quality_counts(flagged: DataFrame, images: DataFrame) -> DataFrame:
     """How many shapes have each issue, and how many images have no shape."""
-    issues = flagged.select(F.explode(F.array_compact(F.array(*(F.when(F.col(n), n) for n in ("out_of_bounds", "degenerate", "duplicate"))))).alias("issue"))
+    issues = flagged.select(F.explode(F.array_compact(F.array(*(F.when(F.col(n), n) for n in ISSUES)))).alias("issue"))
     empty = images.join(flagged.select("image").distinct(), "image", "left_anti").select(F.lit("empty_annotation").alias("issue"))
     return issues.unionByName(empty).groupBy("issue").count()
 
 
+def label_counts(flagged: DataFrame) -> DataFrame:
+    """Shapes of each label, and how many of them have an issue; shapes of which nothing is known are none."""
+    some = F.lit(False)
+    for n in ISSUES:
+        some = some | F.col(n)
+    return flagged.where("NOT invalid_shape").groupBy("label").agg(F.count("*").alias("shapes"), F.count_if(some).alias("with_issue"))
+
+
 def clip(shapes: DataFrame, x: Column, y: Column, w: Column, h: Column) -> DataFrame:
     """Shapes within a window, moved to its corner.  Points outside go; lines are cut; polygons and boxes are cut, a cut
     box becomes a polygon, and what has no area goes; line strips are cut into runs (``clip_strips``); other types
@@ -104,9 +130,9 @@ def tile_shapes(windows: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def rename_category(shapes: DataFrame, source: str, target: str) -> DataFrame:
-    """Shapes of the category get the new name; ``renamed`` tells which."""
-    hit = category(F.col("label")) == source.strip()
-    return shapes.withColumn("renamed", hit).withColumn("label", F.when(hit, F.lit(target.strip() or UNNAMED)).otherwise(F.col("label")))
+    """Shapes of the category (trimmed, in normal form C) get the new name; ``renamed`` tells which change."""
+    hit, name = is_category(F.col("label"), source), unicodedata.normalize("NFC", target.strip()) or UNNAMED
+    return shapes.withColumn("renamed", hit & (F.col("label") != name)).withColumn("label", F.when(hit, F.lit(name)).otherwise(F.col("label")))
 
 
 def promote(shapes: DataFrame, predictions: DataFrame, key: str = "prediction_key") -> DataFrame:
@@ -134,12 +160,17 @@ def hits(points: DataFrame, shapes: DataFrame, tolerance: float = 4.0, cell: flo
     """Shapes under each point (image, point_id, x, y), best first: edges before interiors, then the nearer edge, the
     smaller area, the later shape.  Points and bounds meet by grid cell, so a dense image is many keys."""
     box = g.bounds(F.col("points"))
-    reach = lambda a, b: F.sequence(F.floor((a - tolerance) / cell), F.floor((b + tolerance) / cell))
-    spread = shapes.withColumn("_cx", F.explode(reach(box["x0"], box["x1"]))).withColumn("_cy", F.explode(reach(box["y0"], box["y1"])))
+    bounded = shapes.select("image", "idx", "points", box.alias("_b")).select("image", "idx", "points", *(F.col(f"_b.{c}").alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")))
+    reach = lambda a, b: F.sequence(F.floor((F.col(a) - tolerance) / cell), F.floor((F.col(b) + tolerance) / cell))
+    spread = bounded.withColumn("_cx", F.explode(reach("_x0", "_x1"))).withColumn("_cy", F.explode(reach("_y0", "_y1")))
     asked = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
-    met = asked.join(spread, ["image", "_cx", "_cy"]).withColumn("distance", g.edge_distance(F.col("points"), F.col("x"), F.col("y")))
-    met = met.withColumn("on_edge", F.col("distance") <= tolerance).where(F.col("on_edge") | g.in_polygon(F.col("points"), F.col("x"), F.col("y")))
-    met = met.withColumn("area", g.area(F.col("points")))
+    near = (F.col("x") >= F.col("_x0") - tolerance) & (F.col("x") <= F.col("_x1") + tolerance) & (F.col("y") >= F.col("_y0") - tolerance) & (F.col("y") <= F.col("_y1") + tolerance)
+    met = asked.join(spread, ["image", "_cx", "_cy"]).where(near)
+    p, x, y = F.col("points"), F.col("x"), F.col("y")
+    facts = F.struct(g.edge_distance(p, x, y).alias("distance"), g.in_polygon(p, x, y).alias("inside"), g.area(p).alias("area"))
+    # exploding a list of one keeps the optimiser from computing the facts again wherever one is named
+    met = met.select("image", "point_id", "idx", F.explode(F.array(facts)).alias("f")).select("image", "point_id", "idx", "f.*")
+    met = met.withColumn("on_edge", F.col("distance") <= tolerance).where("on_edge OR inside")
     order = Window.partitionBy("image", "point_id").orderBy(F.desc("on_edge"), F.when(F.col("on_edge"), F.col("distance")), "area", "distance", F.desc("idx"))
     return met.withColumn("rank", F.row_number().over(order)).select("image", "point_id", "idx", "on_edge", "distance", "area", "rank")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +23,22 @@ def token_projection(tokens: DataFrame, key: str, vector: str, how: str, channel
 
 
 def principal_axis(vectors: DataFrame, vector: str, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, axis) of all vectors: sums and products are added up by Spark, a few power steps run on the d x d
-    covariance.  The sign is such that the first loading that is not zero is positive."""
-    x = vectors.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"), F.col(vector).cast("array<double>").alias("v"))
-    sums = x.select("i", "x", F.posexplode("v").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum("x").alias("x"), F.count("*").alias("n"))
-    rows = sums.collect()  # d * d rows
+    """(mean, axis) of all vectors: each task adds up sums and products of its vectors, Spark adds up the
+    tasks', and a few power steps run on the d x d covariance.  The sign is such that the first loading that is not zero is positive."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sums, n = None, None, 0
+        for batch in batches:
+            lists = batch.column("v")
+            v = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.empty((0, 0))
+            if len(v):
+                total = v.T @ v + (0 if total is None else total)
+                sums, n = v.sum(axis=0) + (0 if sums is None else sums), n + len(v)
+        if n:
+            i, j = np.divmod(np.arange(total.size), len(sums))
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total.ravel()), pa.array(sums[i]), pa.array(np.full(total.size, n))], names=["i", "j", "xy", "x", "n"])
+
+    v = vectors.select(F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    rows = v.mapInArrow(partial, "i int, j int, xy double, x double, n long").groupBy("i", "j").agg(F.sum("xy").alias("xy"), F.sum("x").alias("x"), F.sum("n").alias("n")).collect()  # d * d rows
     if not rows:
         return np.empty(0), np.empty(0)
     d = max(r["i"] for r in rows) + 1

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import positions
+
 STATUSES = ("valid", "duplicate_match", "orphan_annotation", "corrupt_image", "corrupt_annotation")
 
 
@@ -97,10 +99,5 @@ def item_ids(items: DataFrame, root: str) -> DataFrame:
 
 
 def numbered(items: DataFrame) -> DataFrame:
-    """Scan items with ``sequence`` from 0, in scan order within a partition key and without one global sort: counts of
-    each first letter group are added up first."""
-    key = F.lower(F.substring("path", 1, 8))
-    sizes = items.groupBy(key.alias("_group")).count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_group", "_before")
-    ranked = items.withColumn("_group", key).withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy(F.lower("path"), "path")))
-    return ranked.join(before, "_group").withColumn("sequence", F.col("_before") + F.col("_rank") - 1).drop("_group", "_rank", "_before")
+    """Scan items with ``sequence`` from 0, by path without letter case, then path."""
+    return positions(items.orderBy(F.lower("path"), "path"), "sequence")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import let
+from ..scratch import stored
+
 
 def sigmoid(x: Column) -> Column:
     """Stable for large values of either sign."""
@@ -59,20 +61,6 @@ def overlapping_pairs(boxes: DataFrame, least: float = 0.0) -> DataFrame:
     return met.select("a.image", "a.label", F.col("a.idx").alias("idx_a"), F.col("b.idx").alias("idx_b"), "iou")
 
 
-def _suppress(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, most: float) -> list[int]:
-    """Positions kept, boxes being in order of preference."""
-    area, kept, left = (x1 - x0) * (y1 - y0), [], np.arange(len(x0))
-    while len(left):
-        i, rest = left[0], left[1:]
-        kept.append(int(i))
-        w = np.maximum(0, np.minimum(x1[i], x1[rest]) - np.maximum(x0[i], x0[rest]))
-        h = np.maximum(0, np.minimum(y1[i], y1[rest]) - np.maximum(y0[i], y0[rest]))
-        both = w * h
-        union = area[i] + area[rest] - both
-        left = rest[np.divide(both, union, out=np.zeros_like(both), where=union > 0) <= most]
-    return kept
-
-
 def _kept_of_groups(boxes: DataFrame, keep) -> DataFrame:
     """Rows that ``keep`` (frame of one image and label, best first -> positions) keeps.  Groups are small and many, so
     a task walks through its sorted rows instead of starting a function call per group; a group is never split."""
@@ -98,10 +86,57 @@ def _kept_of_groups(boxes: DataFrame, keep) -> DataFrame:
     return boxes.repartition(*keys).sortWithinPartitions(*keys, F.desc("score"), "idx").mapInPandas(walk, boxes.schema)
 
 
-def suppress(boxes: DataFrame, most: float = 0.45) -> DataFrame:
+GATHERED = 2048
+
+
+def _iou_of(a: Column, b: Column) -> Column:
+    w = F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))
+    h = F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
+    area = lambda t: (t["x1"] - t["x0"]) * (t["y1"] - t["y0"])
+    return let(w * h, lambda both: F.coalesce(both / F.nullif(area(a) + area(b) - both, F.lit(0.0)), F.lit(0.0)))
+
+
+def suppress(boxes: DataFrame, most: float = 0.45, gathered: int = GATHERED) -> DataFrame:
     """Class-wise non-maximum suppression: by score, then idx, a box goes if it overlaps a kept one by more than
-    ``most``.  A group is one class of one image."""
-    return _kept_of_groups(boxes, lambda pdf: _suppress(*(pdf[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1")), most))
+    ``most``.  A group is one class of one image.  Groups of up to ``gathered`` boxes are lists that are folded; in larger
+    ones the overlapping pairs are found by grid cell and decided in rounds, so no group is ever gathered."""
+    keys = ["image", "label"]
+    large = boxes.groupBy(*keys).count().where(F.col("count") > gathered).select(*keys)
+    if large.isEmpty():
+        return _folded(boxes, most)
+    return _folded(boxes.join(large, keys, "left_anti"), most).unionByName(_in_rounds(boxes.join(large, keys, "left_semi"), most))
+
+
+def _folded(boxes: DataFrame, most: float) -> DataFrame:
+    rest = [c for c in boxes.columns if c not in ("image", "label")]
+    box = F.struct((-F.col("score")).alias("_order"), F.col("idx").alias("_idx"), *rest)
+    groups = boxes.groupBy("image", "label").agg(F.array_sort(F.collect_list(box)).alias("_b"))
+    free = lambda kept, v: ~F.exists(kept, lambda k: _iou_of(k, v) > most)
+    fold = F.aggregate(F.slice(F.col("_b"), 2, F.size("_b")), F.slice(F.col("_b"), 1, 1), lambda kept, v: F.when(free(kept, v), F.concat(kept, F.array(v))).otherwise(kept))
+    kept = F.when(F.size("_b") == 1, F.col("_b")).otherwise(fold)
+    return groups.select("image", "label", F.explode(kept).alias("_k")).select("image", "label", *(F.col(f"_k.{c}").alias(c) for c in rest)).select(*boxes.columns)
+
+
+def _in_rounds(boxes: DataFrame, most: float) -> DataFrame:
+    """The same by pairs: a box is kept once all better ones that overlap it are gone, and goes once one is kept."""
+    ids = stored(boxes.withColumn("_id", F.monotonically_increasing_id()), "boxes")
+    size = F.greatest(F.max(F.col("x1") - F.col("x0")), F.max(F.col("y1") - F.col("y0")), F.lit(1e-9)).alias("_cell")
+    cells = ids.join(F.broadcast(ids.agg(size)))  # one row
+    spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.col("_cell")), F.floor(F.col(b) / F.col("_cell"))))
+    cells = cells.withColumn("_cx", spread("x0", "x1")).withColumn("_cy", spread("y0", "y1"))
+    same = "a.image = b.image AND a.label = b.label AND a._cx = b._cx AND a._cy = b._cy AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
+    better = "(a.score > b.score OR a.score = b.score AND (a.idx < b.idx OR a.idx = b.idx AND a._id < b._id))"
+    pairs = cells.alias("a").join(cells.alias("b"), F.expr(f"{same} AND {better}")).where(iou("a", "b") > most)
+    left = stored(pairs.select(F.col("a._id").alias("a"), F.col("b._id").alias("b")).distinct(), "pairs")
+    gone: DataFrame | None = None
+    while not left.isEmpty():  # each round decides at least the best box that is left
+        sure = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+        fall = stored(left.join(sure, "a").select(F.col("b").alias("_id")).distinct(), "gone")
+        gone = fall if gone is None else gone.unionByName(fall)
+        down = lambda c: fall.withColumnRenamed("_id", c)  # noqa: B023, E731
+        left = stored(left.join(down("a"), "a", "left_anti").join(down("b"), "b", "left_anti"), "pairs")
+    kept = ids if gone is None else ids.join(gone, "_id", "left_anti")
+    return kept.drop("_id")
 
 
 def corners(cx: float, cy: float, w: float, h: float, angle: float) -> list[tuple[float, float]]:
@@ -196,30 +231,26 @@ def ctc_collapse(frames: DataFrame, key: str, time: str, label: str, score: str,
     return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(time, label))), lambda s: s[label]).alias("labels"), F.avg(score).alias("confidence"))
 
 
-def mask_components(runs: DataFrame, checkpoint: str, least_area: int = 1, most_rounds: int = 100) -> DataFrame:
+def mask_components(runs: DataFrame, least_area: int = 1, most_rounds: int = 100) -> DataFrame:
     """Connected parts of masks given as runs (image, y, x0, x1; ends included): image, component, area and bounds.
 
     Runs of neighbouring rows that share a column join; labels are the smallest run of a part, spread over the edges
-    with a jump to the label's own label each round, written to ``checkpoint`` so no lineage grows."""
-    spark = runs.sparkSession
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{checkpoint.rstrip('/')}/mask-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    runs = kept(runs.withColumn("run", F.row_number().over(Window.partitionBy("image").orderBy("y", "x0")).cast("long")))
+    with a jump to the label's own label each round, in written tables so no lineage grows.  Labels that still move
+    after ``most_rounds`` are an error."""
+    runs = stored(runs.withColumn("run", F.row_number().over(Window.partitionBy("image").orderBy("y", "x0", "x1")).cast("long")), "runs")
     up = runs.alias("a").join(runs.alias("b"), F.expr("a.image = b.image AND b.y = a.y + 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1")).select("a.image", F.col("a.run").alias("u"), F.col("b.run").alias("v"))
-    edges = kept(up.union(up.select("image", F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = runs.select("image", "run", F.col("run").alias("component"))
+    edges = stored(up.union(up.select("image", F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
+    labels, moving = runs.select("image", "run", F.col("run").alias("component")), not edges.isEmpty()
     for _ in range(most_rounds):
+        if not moving:
+            break
         near = edges.join(labels.select("image", F.col("run").alias("v"), F.col("component").alias("c")), ["image", "v"]).groupBy("image", F.col("u").alias("run")).agg(F.min("c").alias("c"))
         spread = labels.join(near, ["image", "run"], "left").select("image", "run", F.least("component", F.coalesce("c", "component")).alias("t"), "component")
         jump = labels.select("image", F.col("run").alias("t"), F.col("component").alias("j"))
-        new = kept(spread.join(jump, ["image", "t"]).select("image", "run", F.least("t", "j").alias("component"), (F.least("t", "j") < F.col("component")).alias("moved")))
-        labels = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
+        new = stored(spread.join(jump, ["image", "t"]).select("image", "run", F.least("t", "j").alias("component"), (F.least("t", "j") < F.col("component")).alias("moved")), "labels")
+        labels, moving = new.drop("moved"), not new.where("moved").isEmpty()
+    if moving:
+        raise RuntimeError(f"parts are not settled after {most_rounds} rounds")
     sized = runs.join(labels, ["image", "run"]).groupBy("image", "component")
     return sized.agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1")).where(F.col("area") >= least_area)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import analytics as a
 from ..operators import matching as m
+from ..scratch import positions
 from .views import view, with_views
 
 
@@ -47,7 +48,7 @@ def _rounded(df, digits=6):
 
 def _catalog(spark, sf):
     first, _ = a.first_wins(view(spark, sf, "models"), "model_id", "file_order")
-    return a.catalog(first, a.usage(view(spark, sf, "runs"))).select("model_id", "readiness_rank", "uses", "last_used_at")
+    return positions(a.catalog(first, a.usage(view(spark, sf, "runs"))).select("model_id", "readiness_rank", "uses", "last_used_at"))
 
 
 def _override(spark, sf):
@@ -107,6 +108,7 @@ QUERIES = {
     "a17_repeated_models": lambda spark, sf: a.first_wins(view(spark, sf, "models"), "model_id", "file_order")[1].select("model_id", "file_order"),
     "a19_bursts": lambda spark, sf: _rounded(a.bursts(view(spark, sf, "job_events"), ["job_id"], "ts", 3600, "ms"), 4),
     "a11_dataset_fingerprint": lambda spark, sf: a.sorted_fingerprint(view(spark, sf, "assets"), "dataset_id", "asset_id", "display_path"),
+    "a11_item_sum_fingerprint": lambda spark, sf: a.dataset_fingerprint(view(spark, sf, "assets"), "dataset_id", "asset_id", "display_path"),
     "a12_tensor_statistics": lambda spark, sf: _rounded(a.tensor_statistics(view(spark, sf, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x")), "label", "x")),
     "f22_status_indicator": _indicator,
     "f23_overlay_kind": _overlay,
@@ -157,7 +159,7 @@ ORACLES = {
         "u01_files_of_roots": "SELECT path FROM annotation_files UNION SELECT path FROM image_files",
         "a01_status_counts": "SELECT dataset_id, status, count(*) AS count FROM assets GROUP BY ALL",
         "a02_scan_summary": _resolve_sql("relative_stem", False, "SELECT " + ", ".join(f"count_if(status = '{s}') AS {s}" for s in m.STATUSES) + ", count_if(status <> 'valid') AS abnormal, (SELECT count(*) FROM files WHERE path NOT IN (SELECT image FROM cand)) AS hidden FROM items"),
-        "w08_sequence": f"WITH {_F} SELECT path, row_number() OVER (ORDER BY lower(substr(path, 1, 8)), lower(path), path) - 1 AS sequence FROM files",
+        "w08_sequence": f"WITH {_F} SELECT path, row_number() OVER (ORDER BY lower(path), path) - 1 AS sequence FROM files",
         "a03_label_distribution": "SELECT value, count(*) AS count FROM (SELECT unnest(list_distinct(labels)) AS value FROM assets) GROUP BY value ORDER BY count DESC, value LIMIT 8",
         "a03_shape_types": "SELECT value, count(*) AS count FROM (SELECT unnest(list_distinct(shape_types)) AS value FROM assets) GROUP BY value",
         "a04_category_counts": "SELECT image, CASE WHEN label = 'R' THEN '未命名' ELSE label END AS category, count(*) AS count FROM boxes GROUP BY ALL",
@@ -172,13 +174,14 @@ ORACLES = {
         "a17_repeated_models": "SELECT model_id, file_order FROM models QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY file_order) > 1",
         "a19_bursts": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY ts, ms) > 3600000000 THEN 1 ELSE 0 END AS nw FROM job_events), b AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY ts, ms ROWS UNBOUNDED PRECEDING) AS burst FROM g) SELECT job_id, CAST(burst AS BIGINT) AS burst, count(*) AS n, round(sum(ms), 4) AS total, min(ts) AS created_at, max(ts) AS updated_at FROM b GROUP BY ALL",
         "a11_dataset_fingerprint": """SELECT dataset_id, sha256(concat('{"dataset_id":"', dataset_id, '","items":[', string_agg(concat('["', asset_id, '","', display_path, '"]'), ',' ORDER BY asset_id, display_path), ']}')) AS fingerprint FROM assets GROUP BY dataset_id""",
+        "a11_item_sum_fingerprint": "WITH p AS (SELECT dataset_id, CAST(concat('0x', substr(sha256(concat(asset_id, '|', display_path)), 1, 15)) AS BIGINT) AS v FROM assets), s AS (SELECT dataset_id, count(*) AS n, sum(CAST(v AS HUGEINT)) AS t FROM p GROUP BY dataset_id) SELECT dataset_id, n, sha256(concat(n, '|', t)) AS fingerprint FROM s",
         "a12_tensor_statistics": "SELECT label, round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean, " + ", ".join(f"round(quantile_cont(x, {q}), 6) AS p{p}" for q, p in ((0.01, "01"), (0.05, "05"), (0.5, "50"), (0.95, "95"), (0.99, "99"))) + " FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label",
         "f22_status_indicator": "WITH e AS (SELECT *, concat('a', CAST(event_id % 2500 AS STRING)) AS asset_id FROM job_events QUALIFY row_number() OVER (PARTITION BY event_id % 2500 ORDER BY state IN ('queued', 'running') DESC, ts DESC, event_id DESC) = 1) SELECT asset_id, CASE WHEN state IS NULL THEN 'none' WHEN state = 'running' THEN 'busy' WHEN state = 'queued' THEN 'waiting' WHEN state = 'failed' THEN 'error' ELSE 'done' END AS indicator, coalesce(least(1.0, greatest(0.0, ms / 100)), 0.0) AS progress FROM (SELECT asset_id FROM assets) LEFT JOIN (SELECT asset_id, state, ms FROM e) USING (asset_id)",
         "f23_overlay_kind": "WITH r AS (SELECT concat('a', CAST(doc_id AS STRING)) AS asset_id, n_chars % 40 * 200 AS w, (doc_id % 50 + 1) * 150 AS h FROM documents) SELECT asset_id, CASE WHEN width IS NULL THEN 'unsupported' WHEN w = width AND h = height THEN 'overlay' WHEN abs(w / h - width / height) < 0.5 THEN 'overlay_scaled' ELSE 'standalone' END AS kind FROM r JOIN (SELECT asset_id, width, height FROM assets) USING (asset_id)",
         "j10_item_progress": "SELECT event_id, model_id, ms FROM job_events AS e JOIN runs AS r ON e.event_id = r.run_id AND e.generation = r.run_id % 4",
         "j11_jobs_running": f"WITH {_last} SELECT DISTINCT job_id FROM job_events WHERE job_id NOT IN (SELECT job_id FROM last WHERE state IN ('queued', 'running'))",
         "j14_catalog_override": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY file_order) AS k FROM models), a AS (SELECT * FROM r WHERE k = 1), b AS (SELECT * FROM r WHERE k > 1) SELECT a.model_id, coalesce(b.name, a.name) AS name, coalesce(b.readiness, a.readiness) AS readiness, b.name IS NOT NULL AS overrides FROM a LEFT JOIN b USING (model_id)",
-        "t11_catalog_order": "WITH u AS (SELECT model_id, count(*) AS uses, max(updated_at) AS last_used_at FROM runs GROUP BY model_id), f AS (SELECT * FROM models QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY file_order) = 1) SELECT model_id, CASE readiness WHEN 'loaded' THEN 0 WHEN 'loading' THEN 1 WHEN 'available' THEN 2 WHEN 'missing_weights' THEN 3 ELSE 4 END AS readiness_rank, coalesce(uses, 0) AS uses, last_used_at FROM f LEFT JOIN u USING (model_id)",
+        "t11_catalog_order": "WITH u AS (SELECT model_id, count(*) AS uses, max(updated_at) AS last_used_at FROM runs GROUP BY model_id), f AS (SELECT * FROM models QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY file_order) = 1) SELECT model_id, CASE readiness WHEN 'loaded' THEN 0 WHEN 'loading' THEN 1 WHEN 'available' THEN 2 WHEN 'missing_weights' THEN 3 ELSE 4 END AS readiness_rank, coalesce(uses, 0) AS uses, last_used_at, row_number() OVER (ORDER BY readiness_rank, coalesce(uses, 0) DESC, last_used_at DESC NULLS LAST, lower(name), model_id) - 1 AS position FROM f LEFT JOIN u USING (model_id)",
         "j20_reusable_run": "SELECT dataset_id, signature, run_id FROM runs WHERE state NOT IN ('failed', 'canceled') QUALIFY row_number() OVER (PARTITION BY dataset_id, signature ORDER BY updated_at DESC, run_id DESC) = 1",
         "j21_stale_runs": "WITH k AS (SELECT dataset_id, signature AS kept FROM runs QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY state = 'running' DESC, updated_at DESC, run_id DESC) = 1) SELECT run_id, dataset_id, signature FROM runs JOIN k USING (dataset_id) WHERE whole_dataset AND signature IS DISTINCT FROM kept",
         "w07_latest_run": "SELECT dataset_id, model_id, run_id, state FROM runs QUALIFY row_number() OVER (PARTITION BY dataset_id, model_id ORDER BY state = 'running' DESC, updated_at DESC, run_id DESC) = 1",

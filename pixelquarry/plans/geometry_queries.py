@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -12,6 +10,8 @@ from ..operators import annotations as an
 from ..operators import features as ft
 from ..operators import predictions as pr
 from ..operators import search as se
+from ..scratch import positions
+from .search_queries import FNV
 from .views import view, with_views
 
 W, H = 640, 240
@@ -86,7 +86,7 @@ def _revalidate(spark, sf):
 
 def _hits(spark, sf):
     b = _shapes(spark, sf)
-    points = b.where("idx < 2").select("image", F.col("idx").alias("point_id"), (F.col("x0") + 20).alias("x"), (F.col("y0") + 3).alias("y"))
+    points = b.select("image", F.col("idx").alias("point_id"), (F.col("x0") + 20).alias("x"), (F.col("y0") + 3).alias("y"))
     return an.hits(points, b.select("image", "idx", "points")).select("image", "point_id", "idx", "on_edge", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -135,17 +135,18 @@ def _runs(spark, sf):
     return view(spark, sf, "lineitem").selectExpr("l_partkey AS image", "l_linenumber AS y", "CAST(l_quantity AS BIGINT) AS x0", "CAST(l_quantity + l_tax * 100 AS BIGINT) AS x1").distinct()
 
 
-def _scratch(spark):
-    """The cluster's shared folder; a temporary one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+def _flagged(spark, sf):
+    """Quality flags of boxes, some of them without anything, without points, of one place or without a label."""
+    part = F.col("part")
+    s = _shapes(spark, sf).withColumn("width", F.lit(600)).join(view(spark, sf, "boxes").select("image", "idx", "part"), ["image", "idx"])
+    one = F.array(*(F.array("x0", "y0") for _ in range(2)))
+    points = F.when((part % 29 == 0) | (part % 31 == 0), None).when(part % 37 == 0, one).when(part % 41 == 0, F.array(F.array("x0", F.lit(float("nan"))))).otherwise(F.col("points"))
+    label, kind = F.when((part % 29 == 0) | (part % 43 == 0), None).otherwise(F.col("label")), F.when(part % 29 == 0, None).when(part % 37 == 0, "point").otherwise(F.col("shape_type"))
+    return an.quality(s.withColumns({"points": points, "label": label, "shape_type": kind}))
 
 
 def _components(spark, sf):
-    return pr.mask_components(_runs(spark, sf), _scratch(spark)).groupBy("image").agg(F.count("*").alias("parts"), F.sum("area").alias("area"), F.max("area").alias("largest"))
+    return pr.mask_components(_runs(spark, sf)).groupBy("image").agg(F.count("*").alias("parts"), F.sum("area").alias("area"), F.max("area").alias("largest"))
 
 
 def _oriented(spark, sf):
@@ -160,7 +161,8 @@ QUERIES = {
     "g03_validate": lambda spark, sf: _shapes(spark, sf).withColumn("label", F.when(F.col("idx") % 3 == 0, " ").otherwise(F.col("label"))).withColumn("points", F.when(F.col("idx") % 4 == 1, F.slice("points", 1, 3)).otherwise(F.col("points"))).select("image", "idx", F.array_join(an.problems(), ",").alias("problems")),
     "g05_area": lambda spark, sf: _shapes(spark, sf).select("image", "idx", F.round(g.area(F.col("points")), 6).alias("area")),
     "g07_shift_inside": _moved(lambda p: g.shift_inside(p, F.lit(90.0), F.lit(-60.0), F.lit(700.0), F.lit(H).cast("double"))),
-    "g08_quality": lambda spark, sf: an.quality_counts(an.quality(_shapes(spark, sf).withColumn("width", F.lit(600))), view(spark, sf, "orders").select(F.col("o_orderkey").alias("image"))),
+    "g08_quality": lambda spark, sf: an.quality_counts(_flagged(spark, sf), view(spark, sf, "orders").select(F.col("o_orderkey").alias("image"))),
+    "a10_label_counts": lambda spark, sf: an.label_counts(_flagged(spark, sf)),
     "g09_affine": _affine,
     "g11_crop": lambda spark, sf: _box_of(an.clip(_shapes(spark, sf), F.lit(100), F.lit(40), F.lit(200), F.lit(90)), "shape_type", F.round(g.area(F.col("points")), 6).alias("area")),
     "g12_resize": lambda spark, sf: _box_of(_shapes(spark, sf).withColumn("points", g.resize_shape(F.lit("rotation"), F.col("points"), F.lit(2.0), F.lit(0.5))[1]).withColumn("kind", g.resize_shape(F.lit("rotation"), F.col("points"), F.lit(2.0), F.lit(0.5))[0]), "kind"),
@@ -176,18 +178,18 @@ QUERIES = {
     "g21_revalidate": _revalidate,
     "g22_asset_metadata": lambda spark, sf: an.asset_metadata(_shapes(spark, sf)).select("image", "annotation_count", F.array_join("labels", ",").alias("labels")),
     "g24_dry_run": lambda spark, sf: an.dry_run(view(spark, sf, "assets"), [("crop", 10, 10, 2000, 1500), ("scale", 1.25), ("rotate", 90), ("resize", 9000, 8000)]).select("asset_id", "out_width", "out_height", "reason"),
-    "g25_pyramid": lambda spark, sf: an.pyramid(_images(spark, sf).where("width <= 4000")).groupBy("image", "level").agg(F.count("*").alias("tiles"), F.sum(F.col("out_w") * F.col("out_h")).alias("pixels"), F.max("x").alias("x"), F.max("y").alias("y")),
+    "g25_pyramid": lambda spark, sf: an.pyramid(_images(spark, sf)).groupBy("image", "level").agg(F.count("*").alias("tiles"), F.sum(F.col("out_w") * F.col("out_h")).alias("pixels"), F.max("x").alias("x"), F.max("y").alias("y")),
     "f21_active_runs": lambda spark, sf: view(spark, sf, "runs").where(F.col("state").isin("queued", "running")).select("run_id", "state"),
-    "j12_visible_items": lambda spark, sf: se.visible(view(spark, sf, "job_events"), view(spark, sf, "runs").where("run_id % 97 = 5 AND run_id < 15000").select(F.col("run_id").alias("event_id")), "event_id").select("event_id", "job_id"),
+    "j12_visible_items": lambda spark, sf: se.visible(view(spark, sf, "job_events"), view(spark, sf, "runs").orderBy(F.desc("cost"), "run_id").limit(200).select(F.col("run_id").alias("event_id")), "event_id").select("event_id", "job_id"),
     "u04_event_page": lambda spark, sf: se.event_page(view(spark, sf, "job_events").union(view(spark, sf, "job_events")), 700).select("event_id", "state"),
-    "t08_scan_order": lambda spark, sf: se.scan_order(view(spark, sf, "assets").withColumnRenamed("display_path", "path")).select("path", "selectable"),
-    "t10_preferred_source": lambda spark, sf: se.preferred_source_first(view(spark, sf, "documents"), "source", "src3", "doc_id").select("doc_id", "source"),
+    "t08_scan_order": lambda spark, sf: positions(se.scan_order(view(spark, sf, "assets").withColumnRenamed("display_path", "path")).select("path", "selectable")),
+    "t10_preferred_source": lambda spark, sf: positions(se.preferred_source_first(view(spark, sf, "documents").select("doc_id", "source"), "source", "src3", "doc_id")),
     "g04_import_check": lambda spark, sf: an.import_problems(_shapes(spark, sf).withColumn("width", F.lit(500))).select("image", "idx", F.array_join("problems", ",").alias("problems")),
     "g10_mapping_record": lambda spark, sf: an.mapping_record(_shapes(spark, sf).withColumn("m", g.affine(F.col("x0") % 2, 0, 0, 1, 0, 0)).withColumn("safe", F.col("idx") > 2), "m", "safe").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("coordinate_space_id").alias("ids")),
-    "g23_compact": lambda spark, sf: _shapes(spark, sf).withColumn("pts", F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.array(F.col("x0") + i * 1.0, F.col("y0")))).select("image", "idx", F.size(g.compact(F.col("pts"), 3.0)).cast("long").alias("kept"), F.size(g.resample(F.col("pts"), 5)).cast("long").alias("resampled")),
+    "g23_compact": lambda spark, sf: _shapes(spark, sf).withColumn("pts", F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.array(F.col("x0") + i * (F.col("idx") % 3 + 1), F.col("y0")))).select("image", "idx", *(F.array_join(F.transform(f, lambda p: (p[0] - F.col("x0")).cast("long").cast("string")), ",").alias(n) for n, f in (("kept", g.compact(F.col("pts"), 3.0)), ("resampled", g.resample(F.col("pts"), 5))))),
     "j19_derived_conflicts": lambda spark, sf: an.derived_conflicts(view(spark, sf, "runs").select(F.col("run_id").alias("output_root"), F.col("signature").alias("fingerprint")), view(spark, sf, "job_events").select(F.col("event_id").alias("output_root"), F.expr("concat('sig', CAST(event_id % 8 AS STRING))").alias("fingerprint"))),
     "w04_class_ranks": lambda spark, sf: pr.top_k_of_classes(_logits(spark, sf), "class_scores", 3, "image", "idx").select("idx", F.col("class_index").cast("long").alias("class_index"), F.col("rank").cast("long").alias("rank")),
-    "w12_largest_parts": lambda spark, sf: pr.largest(pr.mask_components(_runs(spark, sf), _scratch(spark)), 2).select("image", "area", "rank"),
+    "w12_largest_parts": lambda spark, sf: pr.largest(pr.mask_components(_runs(spark, sf)), 2).select("image", "area", "rank"),
     "j17_hits": _hits,
     "j18_overlaps": lambda spark, sf: pr.overlapping_pairs(view(spark, sf, "boxes"), 0.2).withColumn("iou", F.round("iou", 6)),
     "x01_decode": _decode,
@@ -234,6 +236,12 @@ _liang = "greatest(0, CASE WHEN x0 < 100 THEN (100 - x0) / (x1 - x0) ELSE 0 END,
 _leave = "least(1, CASE WHEN x1 > 300 THEN (300 - x0) / (x1 - x0) ELSE 1 END, CASE WHEN y1 > 130 THEN (130 - y0) / (y1 - y0) ELSE 1 END)"
 _dist = "sqrt(power(greatest(b.x0 - p.x, 0, p.x - b.x1), 2) + power(greatest(b.y0 - p.y, 0, p.y - b.y1), 2))"
 _edge = f"CASE WHEN p.x BETWEEN b.x0 AND b.x1 AND p.y BETWEEN b.y0 AND b.y1 THEN least(p.x - b.x0, b.x1 - p.x, p.y - b.y0, b.y1 - p.y) ELSE {_dist} END"
+_flags = (
+    "e AS (SELECT image, idx, x0, y0, x1, y1, part % 29 = 0 AS invalid_shape, part % 29 <> 0 AND (part % 31 = 0 OR part % 37 <> 0 AND part % 41 = 0) AS invalid_points, part % 37 = 0 AS one, CASE WHEN part % 43 = 0 THEN 'unlabeled' ELSE label END AS label FROM boxes), "
+    "f AS (SELECT image, label, invalid_shape, invalid_points, good AND NOT one AND (x1 - x0) * (y1 - y0) <= 1e-6 AS degenerate, good AND (x0 < 0 OR y0 < 0 OR (CASE WHEN one THEN x0 ELSE x1 END) > 600 OR (CASE WHEN one THEN y0 ELSE y1 END) > 240) AS out_of_bounds, "
+    "good AND row_number() OVER (PARTITION BY image, label, good, one, x0, y0, CASE WHEN NOT one THEN x1 END, CASE WHEN NOT one THEN y1 END ORDER BY idx) > 1 AS duplicate FROM (SELECT *, NOT invalid_shape AND NOT invalid_points AS good FROM e))"
+)
+_runs_sql = "s AS (SELECT DISTINCT l_partkey AS image, CAST(l_linenumber AS BIGINT) AS y, CAST(trunc(l_quantity) AS BIGINT) AS x0, CAST(trunc(l_quantity + l_tax * 100) AS BIGINT) AS x1 FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY y, x0, x1) AS run FROM s), up AS (SELECT a.image, a.run AS u, b.run AS v FROM r AS a JOIN r AS b ON a.image = b.image AND b.y = a.y + 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1), e AS (SELECT image, u, v FROM up UNION SELECT image, v, u FROM up), reach AS (SELECT image, run, run AS other FROM r UNION SELECT q.image, q.run, e.v FROM reach AS q JOIN e ON e.image = q.image AND e.u = q.other), c AS (SELECT image, run, min(other) AS component FROM reach GROUP BY ALL), p AS (SELECT image, component, sum(x1 - x0 + 1) AS area FROM r JOIN c USING (image, run) GROUP BY ALL)"
 _key = "concat('k', label, '|', CAST(CAST(x0 AS BIGINT) AS STRING), '|', CAST(CAST(y0 AS BIGINT) AS STRING))"
 ORACLES = {
     name: with_views(sql)
@@ -242,18 +250,19 @@ ORACLES = {
         "g02_direction": "SELECT image, idx, round((atan2(sin(score * 5), cos(score * 5)) + 2 * pi()) % (2 * pi()), 6) AS direction FROM boxes",
         "g03_validate": "SELECT image, idx, concat_ws(',', CASE WHEN idx % 3 = 0 THEN 'label' END, CASE WHEN idx % 4 = 1 THEN 'point_count' END) AS problems FROM boxes",
         "f21_active_runs": "SELECT run_id, state FROM runs WHERE state IN ('queued', 'running')",
-        "j12_visible_items": "SELECT event_id, job_id FROM job_events WHERE event_id IN (SELECT run_id FROM runs WHERE run_id % 97 = 5 AND run_id < 15000)",
+        "j12_visible_items": "SELECT event_id, job_id FROM job_events WHERE event_id IN (SELECT run_id FROM runs ORDER BY cost DESC, run_id LIMIT 200)",
         "u04_event_page": "SELECT event_id, state FROM job_events WHERE event_id > 700",
-        "t08_scan_order": "SELECT display_path AS path, selectable FROM assets",
-        "t10_preferred_source": "SELECT doc_id, source FROM documents",
+        "t08_scan_order": "SELECT display_path AS path, selectable, row_number() OVER (ORDER BY selectable DESC, lower(display_path), display_path) - 1 AS position FROM assets",
+        "t10_preferred_source": "SELECT doc_id, source, row_number() OVER (ORDER BY source = 'src3' DESC, doc_id) - 1 AS position FROM documents",
         "g04_import_check": "SELECT image, idx, CASE WHEN x1 > 500 OR y1 > 240 THEN 'out_of_bounds' ELSE '' END AS problems FROM boxes",
         "g10_mapping_record": "WITH k AS (SELECT CASE WHEN x0 % 2 = 0 THEN 'unavailable' ELSE 'identity' END AS kind, idx > 2 AS safe FROM boxes) SELECT kind, count(*) AS n, count(DISTINCT safe) AS ids FROM k GROUP BY kind",
-        "g23_compact": "SELECT image, idx, 7 AS kept, 5 AS resampled FROM boxes",
+        "g23_compact": "WITH s AS (SELECT image, idx, idx % 3 + 1 AS s FROM boxes) SELECT image, idx, array_to_string(list_transform(range(0, CASE s WHEN 1 THEN 7 WHEN 2 THEN 11 ELSE 21 END), lambda k: k * CASE s WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 3 END), ',') AS kept, array_to_string(list_transform([0, 5, 10, 15, 20], lambda k: k * s), ',') AS resampled FROM s",
         "j19_derived_conflicts": "SELECT run_id AS output_root, signature AS fingerprint, CASE WHEN event_id % 8 = run_id % 4 THEN 'reuse' ELSE 'conflict' END AS action FROM runs JOIN job_events ON event_id = run_id",
         "w04_class_ranks": f"WITH {_l} SELECT idx, c - 1 AS class_index, row_number() OVER (PARTITION BY idx ORDER BY s[c] DESC, c) AS rank FROM l, unnest([1, 2, 3, 4, 5, 6]) AS t(c) QUALIFY rank <= 3",
         "g05_area": "SELECT image, idx, (x1 - x0) * (y1 - y0) AS area FROM boxes",
         "g07_shift_inside": "WITH d AS (SELECT *, least(greatest(90, -x0), 700 - x1) AS dx, least(greatest(-60, -y0), 240 - y1) AS dy FROM boxes) SELECT image, idx, x0 + dx AS x0, y0 + dy AS y0, x1 + dx AS x1, y1 + dy AS y1 FROM d",
-        "g08_quality": "WITH f AS (SELECT *, row_number() OVER (PARTITION BY image, label, x0, y0, x1, y1 ORDER BY idx) > 1 AS dup FROM boxes), i AS (SELECT 'out_of_bounds' AS issue FROM f WHERE x0 < 0 OR y0 < 0 OR x1 > 600 OR y1 > 240 UNION ALL SELECT 'duplicate' FROM f WHERE dup UNION ALL SELECT 'degenerate' FROM f WHERE (x1 - x0) * (y1 - y0) <= 1e-6 UNION ALL SELECT 'empty_annotation' FROM orders WHERE o_orderkey NOT IN (SELECT image FROM f)) SELECT issue, count(*) AS count FROM i GROUP BY issue",
+        "g08_quality": f"WITH {_flags}, i AS (SELECT unnest(list_filter([CASE WHEN invalid_shape THEN 'invalid_shape' END, CASE WHEN invalid_points THEN 'invalid_points' END, CASE WHEN out_of_bounds THEN 'out_of_bounds' END, CASE WHEN degenerate THEN 'degenerate' END, CASE WHEN duplicate THEN 'duplicate' END], lambda x: x IS NOT NULL)) AS issue FROM f UNION ALL SELECT 'empty_annotation' FROM orders WHERE o_orderkey NOT IN (SELECT image FROM f)) SELECT issue, count(*) AS count FROM i GROUP BY issue",
+        "a10_label_counts": f"WITH {_flags} SELECT label, count(*) AS shapes, count_if(invalid_points OR out_of_bounds OR degenerate OR duplicate) AS with_issue FROM f WHERE NOT invalid_shape GROUP BY label",
         "g09_affine": "SELECT image, idx, 40 - (x0 - 10) / 2 AS mx, (y0 - 5) / 2 AS my, x0 AS bx, y0 AS by FROM boxes",
         "g11_crop": "WITH c AS (SELECT image, idx, greatest(x0, 100) AS a, greatest(y0, 40) AS b, least(x1, 300) AS c, least(y1, 130) AS d, x0 >= 100 AND y0 >= 40 AND x1 <= 300 AND y1 <= 130 AS whole FROM boxes) SELECT image, idx, CASE WHEN whole THEN 'rectangle' ELSE 'polygon' END AS shape_type, (c - a) * (d - b) AS area, a - 100 AS x0, b - 40 AS y0, c - 100 AS x1, d - 40 AS y1 FROM c WHERE c > a AND d > b",
         "g12_resize": "SELECT image, idx, 'polygon' AS kind, x0 * 2 AS x0, y0 / 2 AS y0, x1 * 2 AS x1, y1 / 2 AS y1 FROM boxes",
@@ -268,11 +277,14 @@ ORACLES = {
         "g21_revalidate": "SELECT asset_id, CASE WHEN annotation_count >= 4 THEN status WHEN height % 4 = 0 THEN 'corrupt_image' WHEN height % 3 = 0 THEN 'corrupt_annotation' ELSE 'valid' END AS status, CASE WHEN annotation_count < 4 AND height > 3000 THEN height ELSE width END AS width, CASE WHEN annotation_count < 4 THEN 9 ELSE annotation_count END AS annotation_count FROM assets",
         "g22_asset_metadata": "SELECT image, count(*) AS annotation_count, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM boxes GROUP BY image",
         "g24_dry_run": "SELECT asset_id, 9000.0::DOUBLE AS out_width, 8000.0::DOUBLE AS out_height, CASE WHEN width IS NULL THEN 'no_size' WHEN width < 2010 OR height < 1510 THEN 'crop_out_of_range_0' ELSE 'too_large_3' END AS reason FROM assets",
-        "g25_pyramid": "WITH i AS (SELECT asset_id AS image, width, height, CAST(ceil(log2(greatest(width, height))) AS INT) AS top FROM assets WHERE width <= 4000), l AS (SELECT image, level, CAST(ceil(width / (1 << (top - level))) AS BIGINT) AS lw, CAST(ceil(height / (1 << (top - level))) AS BIGINT) AS lh, 1 << (top - level) AS f FROM i, unnest(range(0, top + 1)) AS t(level)) SELECT image, CAST(level AS INT) AS level, CAST(ceil(lw / 256) * ceil(lh / 256) AS BIGINT) AS tiles, lw * lh AS pixels, CAST((ceil(lw / 256) - 1) * 256 * f AS BIGINT) AS x, CAST((ceil(lh / 256) - 1) * 256 * f AS BIGINT) AS y FROM l",
-        "j17_hits": f"WITH p AS (SELECT image, idx AS point_id, x0 + 20 AS x, y0 + 3 AS y FROM boxes WHERE idx < 2), m AS (SELECT image, point_id, b.idx, {_edge} AS distance, (b.x1 - b.x0) * (b.y1 - b.y0) AS area, p.x > b.x0 AND p.x < b.x1 AND p.y > b.y0 AND p.y < b.y1 AS within FROM p JOIN boxes AS b USING (image)) SELECT image, point_id, idx, distance <= 4 AS on_edge, round(distance, 6) AS distance, row_number() OVER (PARTITION BY image, point_id ORDER BY distance <= 4 DESC, CASE WHEN distance <= 4 THEN distance END NULLS FIRST, area, distance, idx DESC) AS rank FROM m WHERE distance <= 4 OR within",
+        "g25_pyramid": "WITH i AS (SELECT asset_id AS image, width, height, CAST(ceil(log2(greatest(width, height))) AS INT) AS top FROM assets WHERE width IS NOT NULL), l AS (SELECT image, level, CAST(ceil(width / (1 << (top - level))) AS BIGINT) AS lw, CAST(ceil(height / (1 << (top - level))) AS BIGINT) AS lh, 1 << (top - level) AS f FROM i, unnest(range(0, top + 1)) AS t(level)) SELECT image, CAST(level AS INT) AS level, CAST(ceil(lw / 256) * ceil(lh / 256) AS BIGINT) AS tiles, lw * lh AS pixels, CAST((ceil(lw / 256) - 1) * 256 * f AS BIGINT) AS x, CAST((ceil(lh / 256) - 1) * 256 * f AS BIGINT) AS y FROM l",
+        "j17_hits": f"WITH p AS (SELECT image, idx AS point_id, x0 + 20 AS x, y0 + 3 AS y FROM boxes), m AS (SELECT image, point_id, b.idx, {_edge} AS distance, (b.x1 - b.x0) * (b.y1 - b.y0) AS area, p.x > b.x0 AND p.x < b.x1 AND p.y > b.y0 AND p.y < b.y1 AS within FROM p JOIN boxes AS b USING (image)) SELECT image, point_id, idx, distance <= 4 AS on_edge, round(distance, 6) AS distance, row_number() OVER (PARTITION BY image, point_id ORDER BY distance <= 4 DESC, CASE WHEN distance <= 4 THEN distance END NULLS FIRST, area, distance, idx DESC) AS rank FROM m WHERE distance <= 4 OR within",
         "j18_overlaps": f"SELECT a.image, a.label, a.idx AS idx_a, b.idx AS idx_b, round({_iou}, 6) AS iou FROM boxes AS a JOIN boxes AS b ON a.image = b.image AND a.label = b.label AND a.idx < b.idx WHERE {_iou} > 0.2",
         "x01_decode": f"WITH {_l}, {_soft} SELECT idx, list_position(q, list_max(q)) - 1 AS class_index, round(list_max(q), 6) AS score, round(cx - w / 2, 6) AS x0, round(cy + h / 2, 6) AS y1 FROM p WHERE list_max(q) >= 0.5",
         "x02_suppress": "WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY image, label ORDER BY score DESC, idx) AS k FROM boxes), n AS (SELECT image, label, k, [{'idx': idx, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] AS kept FROM r WHERE k = 1 UNION ALL SELECT a.image, a.label, a.k, CASE WHEN len(list_filter(kept, lambda b: " + _iou + " > 0.3)) = 0 THEN list_append(kept, {'idx': a.idx, 'x0': a.x0, 'y0': a.y0, 'x1': a.x1, 'y1': a.y1}) ELSE kept END FROM n JOIN r AS a ON a.image = n.image AND a.label = n.label AND a.k = n.k + 1) SELECT image, label, unnest(kept).idx AS idx FROM (SELECT image, label, arg_max(kept, k) AS kept FROM n GROUP BY ALL)",
+        "x09_mask_components": f"WITH RECURSIVE {_runs_sql} SELECT image, count(*) AS parts, CAST(sum(area) AS BIGINT) AS area, CAST(max(area) AS BIGINT) AS largest FROM p GROUP BY image",
+        "w12_largest_parts": f"WITH RECURSIVE {_runs_sql} SELECT image, CAST(area AS BIGINT) AS area, CAST(row_number() OVER (PARTITION BY image ORDER BY area DESC, component) AS INT) AS rank FROM p QUALIFY rank <= 2",
+        "x16_prediction_key": "SELECT image, idx, concat('prediction:', lpad(format('{:x}', " + FNV.format("concat(label, '|', part)") + "), 8, '0')) AS prediction_key FROM boxes",
         "x04_letterbox": "SELECT image, idx, least(greatest((x0 - 30) / 0.5, 0), 900)::DOUBLE AS x0, least(greatest((y0 - 16) / 0.5, 0), 300)::DOUBLE AS y0, least(greatest((x1 - 30) / 0.5, 0), 900)::DOUBLE AS x1, least(greatest((y1 - 16) / 0.5, 0), 300)::DOUBLE AS y1 FROM boxes",
         "x05_probabilities": f"WITH {_l}, {_soft} SELECT idx, round(q[1], 6) AS p0, round(q[2], 6) AS p1, round(q[3], 6) AS p2, round(1 / (1 + exp(-s[1])), 6) AS s0 FROM p",
         "x06_background": f"WITH {_l} SELECT idx, round(list_max(s[1:5]), 6) AS best FROM l",

@@ -3,25 +3,21 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rasters as r
+from ..scratch import shared_dir
 from ..sources import files
 from ..streaming import jobs
 from .views import VIEWS, view, with_views
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared one."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +30,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _drained(frame_of, mode: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         where, frame = shared(spark), frame_of(spark, sf_dir)
-        write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{where}/out")
-        jobs.drain(frame, f"{where}/checkpoint", mode, write)
-        return spark.read.schema(frame.schema).parquet(f"{where}/out")
+        folder = lambda number: f"{where}/out/" + ("all" if mode == "complete" else f"batch={number}")
+        # a batch that runs again writes its own folder again
+        jobs.drain(frame, f"{where}/checkpoint", mode, lambda batch, number: batch.write.mode("overwrite").parquet(folder(number)))
+        return spark.read.schema(frame.schema).option("recursiveFileLookup", "true").parquet(f"{where}/out")
 
     return run
 
@@ -81,6 +78,21 @@ QUERIES = {
     "r07_thumbnails": lambda s, d: r.thumbnails(_rasters(s, d), 4).select("image", "height", "width", F.hex("pixels").alias("pixels")),
 }
 
+_ref = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+_near = "b.i = (" + _ref.format("a.i // 8 + k.dy") + ") * 8 + (" + _ref.format("a.i % 8 + k.dx") + ")"
+_sobel = "k AS (SELECT unnest([-1, -1, 0, 0, 1, 1]) AS dy, unnest([-1, 1, -1, 1, -1, 1]) AS dx, unnest([-1, 1, -2, 2, -1, 1]) AS w)"
+
+
+def _level(k: int, cells: str, finer: str | None, side: int) -> str:
+    """Energies e<k> of the bands of a level of the Haar pyramid, and the cells of the next one."""
+    bands = {"LL": "p + q + r + s", "LH": "p + q - r - s", "HL": "p - q + r - s", "HH": "p - q - r + s"}
+    out = f"e{k} AS (" + " UNION ALL ".join(f"SELECT image, {k} AS level, '{b}' AS band, {side} AS side, sum(power(({e}) / 4, 2)) AS energy FROM {cells} GROUP BY image" for b, e in bands.items()) + ")"
+    if finer:
+        corner = lambda n, y, x: f"max(CASE WHEN y % 2 = {y} AND x % 2 = {x} THEN (p + q + r + s) / 4 END) AS {n}"
+        out += f", {finer} AS (SELECT image, y // 2 AS y, x // 2 AS x, {corner('p', 0, 0)}, {corner('q', 0, 1)}, {corner('r', 1, 0)}, {corner('s', 1, 1)} FROM {cells} GROUP BY image, {cells}.y // 2, {cells}.x // 2)"
+    return out
+
+
 _px = "px AS (SELECT CAST(vec_id AS STRING) AS image, i - 1 AS i, CAST(((floor(256 * embedding[i]) % 256) + 256) % 256 AS INT) AS v FROM embeddings, unnest(range(1, 65)) AS t(i))"
 _hex = "string_agg(format('{:02X}', v), '' ORDER BY i)"
 ORACLES = {
@@ -91,10 +103,16 @@ ORACLES = {
         "k08_burst_sessions": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY ts) >= 3600000000 THEN 1 ELSE 0 END AS nw FROM job_events), b AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT job_id, epoch_us(min(ts)) AS start_us, count(*) AS n, round(sum(ms), 4) AS total FROM b GROUP BY job_id, k",
         "k10_activity_windows": "SELECT epoch_us(date_trunc('day', ts)) AS start_us, state, count(*) AS n, round(sum(ms), 4) AS total FROM job_events GROUP BY ALL",
         "s04_annotation_facts": "SELECT image, CASE WHEN image % 13 = 0 THEN 'no JSON' WHEN image % 17 = 0 THEN 'no object' WHEN image % 19 = 0 THEN 'shapes is no list' END AS error, CASE WHEN image % 13 <> 0 AND image % 17 <> 0 AND image % 19 <> 0 THEN count(*) END AS shape_count, CASE WHEN image % 13 <> 0 AND image % 17 <> 0 AND image % 19 <> 0 THEN concat('img', image) END AS image_path, CASE WHEN image % 13 <> 0 AND image % 17 <> 0 AND image % 19 <> 0 THEN string_agg(DISTINCT label, ',' ORDER BY label) ELSE CASE WHEN image % 13 = 0 THEN '' ELSE '' END END AS labels FROM boxes GROUP BY image",
+        "s09_save_documents": "WITH d AS (SELECT image, CASE WHEN image % 13 = 0 THEN '{' WHEN image % 17 = 0 THEN '[1]' WHEN image % 19 = 0 THEN '{\"shapes\": 3}' ELSE concat('{\"imagePath\":\"img', image, '\",\"shapes\":[', string_agg(concat('{\"label\":\"', label, '\",\"shape_type\":\"rectangle\"}'), ',' ORDER BY label), ']}') END AS document FROM boxes GROUP BY image) SELECT image AS asset_id, CASE WHEN image % 6 = 0 THEN '{}' ELSE document END AS document FROM d",
         "s11_tensor_statistics": "SELECT vec_id, round(CAST(list_min(embedding) AS DOUBLE), 6) AS min, round(CAST(list_max(embedding) AS DOUBLE), 6) AS max, round(list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS mean FROM embeddings",
         "a18_histogram": f"WITH {_px} SELECT v AS bin, count(*) AS n FROM px GROUP BY v",
         "r01_turn": f"WITH {_px}, q AS (SELECT image, v, i % 8 * 8 + 7 - i // 8 AS i FROM px) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
         "r02_gamma": f"WITH {_px}, q AS (SELECT image, i, CAST(round_even(255 * sqrt(v / 255), 0) AS INT) AS v FROM px) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
+        "r03_otsu": f"WITH {_px}, h AS (SELECT image, v AS bin, count(*) AS n FROM px GROUP BY ALL), c AS (SELECT image, bin, sum(n) OVER up AS n0, sum(n * bin) OVER up AS s0, sum(n) OVER w AS n, sum(n * bin) OVER w AS s FROM h WINDOW up AS (PARTITION BY image ORDER BY bin), w AS (PARTITION BY image)), d AS (SELECT image, bin, CASE WHEN n > n0 THEN CAST(n0 * (n - n0) AS DOUBLE) * power(s0 / n0 - (s - s0) / (n - n0), 2) ELSE 0 END AS b FROM c) SELECT image, bin AS threshold FROM d QUALIFY row_number() OVER (PARTITION BY image ORDER BY b DESC, bin) = 1",
+        "r03_equalise": f"WITH {_px}, h AS (SELECT image, v, count(*) AS n FROM px GROUP BY ALL), c AS (SELECT image, v, sum(n) OVER (PARTITION BY image ORDER BY v) AS c, sum(n) OVER (PARTITION BY image) AS t FROM h), l AS (SELECT *, min(c) OVER (PARTITION BY image) AS low FROM c), q AS (SELECT px.image, px.i, CAST(CASE WHEN t = low THEN px.v ELSE round_even((c - low) * 255.0 / (t - low), 0) END AS INT) AS v FROM px JOIN l ON l.image = px.image AND l.v = px.v) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
+        "r05_sobel": f"WITH {_px}, {_sobel}, q AS (SELECT a.image, a.i, CAST(least(255, abs(sum(k.w * b.v))) AS INT) AS v FROM px AS a, k, px AS b WHERE b.image = a.image AND {_near} GROUP BY a.image, a.i) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
+        "r06_haar": "WITH RECURSIVE " + _px + ", l1 AS (SELECT image, i // 16 AS y, i % 8 // 2 AS x, max(CASE WHEN i // 8 % 2 = 0 AND i % 2 = 0 THEN v END) AS p, max(CASE WHEN i // 8 % 2 = 0 AND i % 2 = 1 THEN v END) AS q, max(CASE WHEN i // 8 % 2 = 1 AND i % 2 = 0 THEN v END) AS r, max(CASE WHEN i // 8 % 2 = 1 AND i % 2 = 1 THEN v END) AS s FROM px GROUP BY ALL), " + _level(1, "l1", "l2", 4) + ", " + _level(2, "l2", "l3", 2) + ", " + _level(3, "l3", None, 1) + " SELECT image, level, band, side AS height, side AS width, energy FROM e1 UNION ALL SELECT image, level, band, side, side, energy FROM e2 UNION ALL SELECT image, level, band, side, side, energy FROM e3",
+        "r07_thumbnails": f"WITH {_px}, q AS (SELECT image, i // 16 * 4 + i % 8 // 2 AS i, CAST(round_even(avg(v), 0) AS INT) AS v FROM px GROUP BY ALL) SELECT image, 4 AS height, 4 AS width, {_hex} AS pixels FROM q GROUP BY image",
         "r04_median": f"WITH {_px}, d AS (SELECT unnest([-1, 0, 1]) AS o), q AS (SELECT a.image, a.i, CAST(median(b.v) AS INT) AS v FROM px AS a, d AS e, d AS f, px AS b WHERE b.image = a.image AND b.i = greatest(0, least(7, a.i // 8 + e.o)) * 8 + greatest(0, least(7, a.i % 8 + f.o)) GROUP BY a.image, a.i) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
     }.items()
 }

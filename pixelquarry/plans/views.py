@@ -24,6 +24,11 @@ VIEWS: dict[str, str] = {
                split(CASE WHEN p_partkey % 7 = 0 THEN 'rotation' WHEN p_partkey % 5 = 0 THEN 'polygon,rectangle' ELSE 'rectangle' END, ',') AS shape_types,
                CAST(p_partkey % 5 AS BIGINT) AS index_revision, CAST(p_retailprice AS DOUBLE) AS price
         FROM part""",
+    # the same with unknown numbers of annotations and unknown labels
+    "sparse_assets": """
+        SELECT dataset_id, asset_id, display_path, width, height, CASE WHEN price * 100 % 5 = 0 THEN NULL ELSE annotation_count END AS annotation_count,
+               annotation_file_exists, status, selectable, CASE WHEN height % 450 = 0 THEN NULL ELSE labels END AS labels, shape_types, index_revision
+        FROM assets""",
     # one box per line item; an order is an image of 640 x 240
     "boxes": """
         SELECT l_orderkey AS image, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS BIGINT) AS idx,
@@ -83,6 +88,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """The SQL behind the definitions of the derived tables that it reads."""
     names = [n for n in VIEWS if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", sql)]
+    below = [n for name in names for n in reads(VIEWS[name]) if n in VIEWS]
+    names = [n for n in VIEWS if n in names or n in below]  # those that others read come first
     heads = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
     if not heads:
         return sql
