@@ -22,12 +22,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the smallest doc_id, once."""
-    keep = jaccard_join.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_key")).distinct()
+    """Of every group of near duplicates the document with the smallest doc_id (and text hash), once."""
+    found = jaccard_join.near_duplicates(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
+    keep = found.where("component IS NOT NULL").groupBy("component").agg(first).select("first.doc_id", "first.text_key")
+    keep = keep.unionByName(found.where("component IS NULL").select("doc_id", "text_key")).distinct()
+    keep = keep.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_key"))
     rows = docs.withColumn("_text_key", F.xxhash64("text"))
     rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    # of rows that repeat a doc_id with its text, the least in the other columns stays
+    rest = [c for c in docs.columns if c != "doc_id"]
+    least = F.min(F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)))).alias("_row")
+    out = rows.groupBy("doc_id", "_text_key").agg(least)
+    return out.select("doc_id", *(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(rest))).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

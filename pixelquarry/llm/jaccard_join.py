@@ -45,7 +45,7 @@ PERCENT = 80
 FREQUENT = 32
 SALTS = 16
 LONG = 64
-_SETS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("n", pa.int64()), ("n_rare", pa.int32()), ("tokens", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("n", pa.int64()), ("n_rare", pa.int32()), ("may_link", pa.bool_()), ("tokens", pa.binary())])
 _LISTS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("s", pa.int32()), ("rest", pa.int32())])
 _STARS = pa.schema([*_LISTS, ("hub", pa.int64()), ("more", pa.bool_())])
 
@@ -74,8 +74,8 @@ def shingles(raw: np.ndarray, off: np.ndarray, k: int = K) -> tuple[np.ndarray,
 
 
 def token_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, max_bits: int = sketch.MAX_BITS) -> DataFrame:
-    """(doc_id, text_key, fa, fb, n, n_rare, tokens): each document's number of tokens and the 128-bit fingerprint of
-    its set; ``text_key`` is xxhash64(text).
+    """(doc_id, text_key, fa, fb, n, n_rare, may_link, tokens): each document's number of tokens and the 128-bit fingerprint
+    of its set; ``text_key`` is xxhash64(text).
     ``tokens`` has the 64-bit hashes of those not private, rare ones first; null where they are too few for any link."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
@@ -103,9 +103,9 @@ def token_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: in
                 data = h[order].tobytes()
                 may = (100 * c >= percent * n) & (n > 0)
                 blobs = [data[8 * (e - x) : 8 * e] if ok else None for e, x, ok in zip(ends.tolist(), c.tolist(), may.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, rows_in), batch.column("text_key").slice(row, rows_in), pa.array(fa), pa.array(fb), pa.array(n.astype(np.int64)), pa.array(rare.astype(np.int32)), pa.array(blobs, pa.binary())], schema=_SETS)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, rows_in), batch.column("text_key").slice(row, rows_in), pa.array(fa), pa.array(fb), pa.array(n.astype(np.int64)), pa.array(rare.astype(np.int32)), pa.array(may), pa.array(blobs, pa.binary())], schema=_SETS)
 
-    return rows.mapInArrow(sets, "doc_id long, text_key long, fa long, fb long, n long, n_rare int, tokens binary")
+    return rows.mapInArrow(sets, "doc_id long, text_key long, fa long, fb long, n long, n_rare int, may_link boolean, tokens binary")
 
 
 def _need(n: int, percent: int) -> int:
@@ -287,13 +287,19 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, max_bits: int = sketch.MAX_BITS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links reach,
-    its own included), and text_key, xxhash64(text)."""
+    its own included), text_key (xxhash64(text)) and component, one number for each group (null: a document that no other
+    can link with, a group of its own)."""
     all_sets = stored(token_sets(docs, k, percent, frequent, max_bits), "sets")
-    may = all_sets.where("tokens IS NOT NULL")
+    may = all_sets.where("may_link")
     nodes = may.groupBy("fa", "fb").agg(F.min("doc_id").alias("first_doc"), F.first("n").cast("int").alias("n"), F.first("n_rare").alias("n_rare"), F.first("tokens").alias("tokens"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     labels = link_components(nodes.select("node", "n", "n_rare", "tokens"), percent)
-    named = nodes.select("fa", "fb", "node", "first_doc").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = named.withColumn("component_id", F.min("first_doc").over(Window.partitionBy("component"))).select("fa", "fb", "component_id")
-    out = all_sets.select("doc_id", "text_key", "n", "fa", "fb").join(named, ["fa", "fb"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
+    # the smallest document of a component is an aggregate, joined back in salted parts: no component meets in one task
+    linked = nodes.select("fa", "fb", "node", "first_doc").join(labels, "node")
+    smallest = linked.groupBy("component").agg(F.min("first_doc").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(smallest, ["component", "salt"]).select("fa", "fb", "component_id", "component")
+    named = nodes.join(labels, "node", "left_anti").select("fa", "fb", F.col("first_doc").alias("component_id"), F.col("node").alias("component")).unionByName(named)
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_key", "component"]
+    found = may.select("doc_id", "text_key", "n", "fa", "fb").join(named, ["fa", "fb"], "left").select(*columns)
+    others = all_sets.where("NOT may_link").select("doc_id", "text_key", "n", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("component")).select(*columns)
+    return found.unionByName(others)

@@ -69,3 +69,11 @@ def test_stages(spark, tmp_path):
     total = {r["doc_id"]: r["doc_tokens"] for r in out[4].collect()}
     assert set(total) == set(after) and sum(r["length"] for r in out[4].collect()) == sum(total.values())
     assert cp.run(spark, sf).count() == out[4].count()
+
+
+def test_repeated_ids(spark):
+    """Two texts of one doc_id are two documents; in one group the least stays; repeated rows stay once."""
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (2, a + " more", "en", "s", 3), (1, a, "de", "s", 1), (3, None, "en", "s", 0), (3, "", "en", "s", 0), (None, b + " x", "en", "s", 4)]
+    got = sorted(map(str, map(tuple, cp.one_of_each_group(spark, spark.createDataFrame(rows, COLUMNS), "").collect())))
+    assert got == sorted(map(str, [(1, a, "de", "s", 1), (1, b, "en", "s", 2), (3, None, "en", "s", 0), (3, "", "en", "s", 0)]))
