@@ -18,7 +18,6 @@ each counts as an occurrence.  A null doc_id is a value like others.  Texts unde
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from .textkit import Words, chunks, gram_hashes, inside, ranges, slide, span_has
 
 WINDOW = 35
 ANCHOR = 8
-SHARDS = 1024
+SHARD_BYTES = 1 << 22
 FLUSH = 1 << 20
 _ENTRY = "shard int, keys binary, docs binary, runs binary, hashes binary, marks binary"
 _ENTRIES = pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in ("keys", "docs", "runs", "hashes", "marks"))])
@@ -72,12 +71,14 @@ def _runs(starts: np.ndarray) -> np.ndarray:
     return np.stack([starts[cut], np.diff(np.append(cut, len(starts)))], axis=1).astype(np.int32)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sketch.MAX_BITS, shards: int = SHARDS) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sketch.MAX_BITS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Rows (doc_id, text_key, runs) for rows of ``docs`` (doc_id, text) with repeated windows; a row may have
-    several.  ``text_key`` is xxhash64(text); ``runs`` holds int32 pairs: first window, number of windows."""
+    several.  ``text_key`` is xxhash64(text); ``runs`` holds int32 pairs: first window, number of windows.  There is a shard
+    for every ``shard_bytes`` of text, so what one holds does not grow with the input."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).where(F.octet_length("text") >= 2 * window - 1)
-    bits = sketch.width_bits(sketch.text_bytes(rows), 1 / 80, max_bits)
+    size = sketch.text_bytes(rows)
+    bits, shards = sketch.width_bits(size, 1 / 80, max_bits), min(1 << 30, max(4 * parts(spark), -(-size // shard_bytes)))
     merged = sketch.build(rows.select("text"), _anchor_keys(window), bits, (2,))
 
     def send(held: list[tuple]) -> pa.RecordBatch:
@@ -127,7 +128,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sket
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = docs_held = 0
+        windows = docs_held = 0
         for batch in batches:
             ids = np.stack([batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(), batch.column("text_key").to_numpy()], axis=1)
             for row, n, raw, off in chunks(batch.column("text")):
@@ -139,10 +140,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sket
                 text = w.text()[at]
                 held.append((docs_held + text, at - w.first[text], anchor[at], gram_hashes(hashes, window, 2)[at], gram_hashes(span_hashes(raw, w.start, w.end, 1), window, 3)[at], ids[row : row + n]))
                 docs_held += n
-                size += len(at)
-                if size >= FLUSH:
+                windows += len(at)
+                if windows >= FLUSH:
                     yield send(held)
-                    held, size, docs_held = [], 0, 0
+                    held, windows, docs_held = [], 0, 0
         if held:
             yield send(held)
 
@@ -227,10 +228,10 @@ def removed_words(n_words: int, runs: list[bytes], window: int = WINDOW) -> np.n
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, max_bits: int = sketch.MAX_BITS, shards: int = SHARDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, max_bits: int = sketch.MAX_BITS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` (doc_id, text and any columns) with ``n_words``, ``n_removed`` and ``kept_text``: the words kept, joined
     by one space.  Columns of ``docs`` with these names are replaced."""
-    marks = repeated_windows(docs, window, max_bits, shards).groupBy("doc_id", "text_key").agg(F.collect_list("runs").alias("_runs"))
+    marks = repeated_windows(docs, window, max_bits, shard_bytes).groupBy("doc_id", "text_key").agg(F.collect_list("runs").alias("_runs"))
     marks = marks.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_mark_key"), "_runs")
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     rows = docs.select(*kept).withColumn("_text_key", F.xxhash64("text"))
@@ -265,6 +266,3 @@ def digest(deduped: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept text."""
     return deduped.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
-
-def sha256_of(kept: list[str]) -> str:
-    return hashlib.sha256(" ".join(kept).encode()).hexdigest()

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -19,7 +20,7 @@ def brute(rows, window):
         for i in range(len(t) - window + 1):
             if seen[tuple(t[i : i + window])] > 1:
                 gone.update(range(i, i + window))
-        out.append((doc, len(t), len(gone), sd.sha256_of([x for i, x in enumerate(t) if i not in gone])))
+        out.append((doc, len(t), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(t) if i not in gone).encode()).hexdigest()))
     return sorted(out, key=str)
 
 
