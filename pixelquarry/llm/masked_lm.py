@@ -305,9 +305,12 @@ def score(docs: DataFrame, classes: int = CLASSES, every: int = EVERY, rounds: i
                 word, first = hashed(raw, off)
                 kinds = words.kinds(word)
                 p = network.log_probability(contexts(kinds, first, classes), kinds) + words.base(word, kinds)
-                sums = np.concatenate([[0.0], np.cumsum(p)])
-                n.append(np.diff(first))
-                total.append(sums[first[1:]] - sums[first[:-1]])
+                count = np.diff(first)
+                sums = np.zeros(len(count))
+                if len(p):  # each document by itself, so that its sum does not depend on what is beside it
+                    sums[count > 0] = np.add.reduceat(p, first[:-1][count > 0])
+                n.append(count)
+                total.append(sums)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n)), pa.array(np.concatenate(total))], names=[*batch.schema.names, "n_tokens", "log_likelihood"])
 
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())]
