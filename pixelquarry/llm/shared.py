@@ -1,31 +1,12 @@
-"""Folders that every executor sees, and tables that cut lineage there."""
+"""Scratch tables and the given tables, as the operators of this package read them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder (``spark.checkpoint.dir``).  Where that is unset, a temporary one serves a local
-    session; a cluster session must set it, as its executors do not see the driver's disk."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: later jobs start from the files."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+__all__ = ["ARROW_ROWS", "documents", "parts", "shared_dir", "stored"]
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
