@@ -1,25 +1,29 @@
 """SentencePiece encoding and decoding as a shortest path through a weighted transducer.
 
-Compiled from a model file, over bytes:
+Compiled from a model file trained by pair merging, over bytes:
 
-* the normaliser puts a space before a text that is not empty and reads U+2581 as a space;
-* the pieces are a trie whose final states write a piece at a cost;
-* byte fallback writes any single byte at a cost above all pieces.
+* the normaliser puts a space before a text that is not empty and reads U+2581 as a space (models that change texts in
+  other ways, and models of other kinds, are errors);
+* the pieces are a trie whose final states write a piece at cost 1;
+* byte fallback writes each byte of a character that is no piece, at cost 1;
+* an automaton over pairs of neighbouring pieces gives a pair that the model's merges would not leave side by side an
+  infinite cost.
 
-A text composed with it is a lattice of arcs between its bytes; the shortest path in the tropical semiring (least sum
-of costs) is its encoding.  No piece goes on after a space that follows something else, so the lattice falls apart
-there, and equal parts are solved once: all arcs of all new parts of a chunk at once, then the paths position by
-position.
+A text composed with these is a lattice of arcs between its bytes; the shortest path in the tropical semiring (least sum
+of costs) is its encoding.  A sequence of pieces is what merging gives just if each pair of neighbours is, so the path of
+finite cost is the library's segmentation: every place is reached by one arc, that of the text before it.  Two pieces
+may stand side by side if, taking the merges that made them back from the last to the first, no merge across their
+border would have come earlier.  Runs of spaces, whose merges all rank last and alike, are merged from the left.
 
-Costs: 1 for each piece and a little for its rank, so the fewest pieces win, then the better ranked ones.  A model
-trained by pair merging breaks ties of its own kind, so its library may cut a word otherwise; ids, pieces, fallback
-and decoding are the same.  Equal costs go to the arc that starts first (the longest piece).
+No piece goes on after a space that follows something else, so the lattice falls apart there, and equal parts are solved
+once: all arcs of all new parts of a chunk at once, then the paths position by position.
 
 Nulls: a null or empty text has no pieces.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -33,8 +37,10 @@ from pyspark.sql import types as T
 from .bpe import CHUNK, PieceCache
 from .textkit import chunks, ranges
 
-PIECE_COST, BYTE_COST = 1 << 20, 1 << 26
 SPACE = "▁"
+LONG = 2048
+_NEVER = np.iinfo(np.int64).max
+_UNKNOWN, _NONE, _BEGIN = -1, -2, -3  # what reaches a place that no piece reaches
 
 
 class Transducer(PieceCache):
@@ -44,10 +50,11 @@ class Transducer(PieceCache):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
+        _checked(model, path)
         size = model.vocab_size()
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.forget()
-        pieces, costs, ids = [], [], []
+        pieces, scores, ids = [], [], []
         self.byte_ids = np.full(256, model.unk_id(), np.int64)
         self.text: list[bytes] = [b""] * size
         for i in range(size):
@@ -57,26 +64,96 @@ class Transducer(PieceCache):
                 self.text[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.text[i] = piece.replace(SPACE, " ").encode()
-                pieces.append(self.text[i])
+                pieces.append(piece.replace(SPACE, " "))
                 ids.append(i)
-                costs.append(PIECE_COST + int(min(max(0.0, -model.get_score(i)), size) * (PIECE_COST // 64) / size))
-        self._compile(pieces, np.array(ids), np.array(costs))
+                scores.append(model.get_score(i))
+        runs = {len(x): i for x, i in zip(pieces, ids, strict=True) if not x.strip(" ")}
+        self.space, self.runs = runs.get(1, -1), {n: i for n, i in runs.items() if n > 1}
+        keep = [k for k, x in enumerate(pieces) if len(x) == 1 or x.strip(" ")]
+        self._merges([pieces[k] for k in keep], np.array([scores[k] for k in keep]))
+        self._compile([pieces[k].encode() if self.order[j] != _NEVER else None for j, k in enumerate(keep)], np.array([ids[k] for k in keep]))
         self.text_bytes = np.frombuffer(b"".join(self.text), np.uint8)
         self.text_length = np.array([len(x) for x in self.text], np.int64)
         self.text_start = np.cumsum(self.text_length) - self.text_length
 
-    def _compile(self, pieces: list[bytes], ids: np.ndarray, costs: np.ndarray) -> None:
+    def _merges(self, pieces: list[str], scores: np.ndarray) -> None:
+        """The order in which merges come (-1 for characters, never for pieces that no merge makes), and the two pieces
+        that each is made of: by length, the one pair that may stand side by side before that merge."""
+        n, at = len(pieces), {x: k for k, x in enumerate(pieces)}
+        rank = np.empty(n, np.int64)
+        rank[np.argsort(-scores, kind="stable")] = np.arange(n)
+        self.order = np.where([len(x) == 1 for x in pieces], -1, _NEVER)
+        self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        self.pairs, self.pair_order, self.known_pairs = np.empty(0, np.int64), np.empty(0, np.int64), {}
+        splits: dict[int, list[tuple[int, int, int]]] = {}
+        for k, x in enumerate(pieces):
+            for cut in range(1, len(x)):
+                a, b = at.get(x[:cut]), at.get(x[cut:])
+                if a is not None and b is not None:
+                    splits.setdefault(len(x), []).append((k, a, b))
+        for length in sorted(splits):
+            whole, a, b = np.array(splits[length]).T
+            able = (self.order[a] != _NEVER) & (self.order[b] != _NEVER)
+            whole, a, b = whole[able], a[able], b[able]
+            fine = self.side_by_side(a, b)
+            whole, first = np.unique(whole[fine], return_index=True)
+            self.left[whole], self.right[whole], self.order[whole] = a[fine][first], b[fine][first], rank[whole]
+            keys, order = np.append(self.pairs, self.left[whole] * n + self.right[whole]), np.append(self.pair_order, rank[whole])
+            by = np.argsort(keys)
+            self.pairs, self.pair_order = keys[by], order[by]
+
+    def side_by_side(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Whether merging leaves piece v behind piece u."""
+        u, v = u.copy(), v.copy()
+        ok, limit, live = np.ones(len(u), bool), np.full(len(u), _NEVER), np.arange(len(u))
+        while len(live):
+            a, b = u[live], v[live]
+            key = a * len(self.order) + b
+            spot = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
+            merge = np.where(self.pairs[spot] == key, self.pair_order[spot], _NEVER) if len(self.pairs) else np.full(len(a), _NEVER)
+            early = merge < limit[live]
+            ok[live[early]] = False
+            oa, ob = self.order[a], self.order[b]
+            more = ~early & ((oa >= 0) | (ob >= 0))
+            live, a, b, oa, ob = live[more], a[more], b[more], oa[more], ob[more]
+            last = oa > ob  # of two equal pieces the left one was merged first
+            u[live[last]], limit[live[last]] = self.right[a[last]], oa[last]
+            v[live[~last]], limit[live[~last]] = self.left[b[~last]], ob[~last] + 1
+        return ok
+
+    def run_of_spaces(self, n: int) -> list[int]:
+        """Ids of n spaces that nothing else has taken: the leftmost merge that makes a piece, again and again."""
+        size, after, alive = [1] * n, list(range(1, n + 1)), [True] * n
+        before = list(range(-1, n - 1))
+        heap = [(i, 1, 1) for i in range(n - 1)] if 2 in self.runs else []
+        while heap:
+            i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if not alive[i] or size[i] != a or j >= n or size[j] != b:
+                continue
+            size[i], alive[j], after[i] = a + b, False, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                if size[i] + size[after[i]] in self.runs:
+                    heapq.heappush(heap, (i, size[i], size[after[i]]))
+            if (h := before[i]) >= 0 and size[h] + size[i] in self.runs:
+                heapq.heappush(heap, (h, size[h], size[i]))
+        return [self.runs.get(size[i], self.space) for i in range(n) if alive[i]]
+
+    def _compile(self, pieces: list[bytes | None], ids: np.ndarray) -> None:
         """States numbered as met; transitions in an open-addressed table of state * 256 + byte."""
         moves: dict[int, int] = {}
         final: dict[int, int] = {}
         for k, piece in enumerate(pieces):
             state = 0
+            if piece is None:
+                continue
             for byte in piece:
                 state = moves.setdefault(state * 256 + byte, len(moves) + 1)
             final[state] = k
         self.final = np.full(len(moves) + 1, -1, np.int64)
         self.final[list(final)] = list(final.values())
-        self.piece_ids, self.piece_costs = ids, costs
+        self.piece_ids = ids
         keys, to = np.array(list(moves), np.int64), np.array(list(moves.values()), np.int64)
         self.bits = max(4, int(np.ceil(np.log2(4 * len(keys)))))
         self.table_keys, self.table_to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
@@ -130,29 +207,33 @@ class Transducer(PieceCache):
         size = np.diff(off)
         part = np.repeat(np.arange(len(size)), size)
         start, end, piece = self.arcs(raw, off[1:][part])
-        every = np.arange(len(raw))
-        start, end = np.concatenate([start, every]), np.concatenate([end, every + 1])
-        cost = np.concatenate([self.piece_costs[piece], np.full(len(raw), BYTE_COST)])
-        ids = np.concatenate([self.piece_ids[piece], self.byte_ids[raw]])
+        # characters that are no piece: a byte after the other
+        letter = np.maximum.accumulate(np.where((raw & 0xC0) != 0x80, np.arange(len(raw)), 0)) if len(raw) else part
+        known = np.zeros(len(raw), bool)
+        known[start[self.order[piece] < 0]] = True
+        lone = np.flatnonzero(~known[letter])
+        start, end, piece = np.concatenate([start, lone]), np.concatenate([end, lone + 1]), np.concatenate([piece, np.full(len(lone), _UNKNOWN)])
+        ids = np.where(piece >= 0, self.piece_ids[piece], self.byte_ids[raw[start]])
         # nodes: one for each byte of a part and one for its end
-        into = end + part[start]
-        from_ = start + part[start]
-        when = start - off[part[start]]
-        order = np.lexsort((-end, when))
-        into, from_, cost, ids, when = into[order], from_[order], cost[order], ids[order], when[order]
-        best = np.full(len(raw) + len(size), np.iinfo(np.int64).max)
+        into, from_, when = end + part[start], start + part[start], start - off[part[start]]
+        reached = np.full(len(raw) + len(size), _NONE)
         first = off[:-1] + np.arange(len(size))
-        best[first] = 0
-        back, wrote = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)
-        cut = np.searchsorted(when, np.arange(int(size.max()) + 1 if len(size) else 1))
+        reached[first] = _BEGIN
+        back, wrote = np.zeros(len(reached), np.int64), np.zeros(len(reached), np.int64)
+        long = size[part[start]] > LONG
+        order = np.argsort(np.where(long, _NEVER, when), kind="stable")
+        cut = np.searchsorted(when[order][: len(order) - int(long.sum())], np.arange(min(LONG, int(size.max()) if len(size) else 0) + 1))
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):  # arcs by how far from the part's begin they start
-            reach = best[from_[lo:hi]] + cost[lo:hi]
-            # a part's arcs from one node end at different nodes, but for a single byte that is a piece too
-            better = reach < best[into[lo:hi]]
-            pick = np.flatnonzero(better)
-            pick = pick[np.argsort(-reach[pick], kind="stable")]
-            at = into[lo:hi][pick]
-            best[at], back[at], wrote[at] = reach[pick], from_[lo:hi][pick], ids[lo:hi][pick]
+            mine = order[lo:hi]
+            u, v = reached[from_[mine]], piece[mine]
+            ok = (u == _BEGIN) | (u == _UNKNOWN) | ((v == _UNKNOWN) & (u != _NONE))
+            ask = np.flatnonzero((u >= 0) & (v >= 0))
+            ok[ask] = self.side_by_side(u[ask], v[ask])
+            mine = mine[ok]
+            at = into[mine]
+            reached[at], back[at], wrote[at] = piece[mine], from_[mine], ids[mine]
+        if long.any():
+            self._walk(*(x[order[cut[-1] :]] for x in (from_, into, piece, ids)), reached, back, wrote)
         count = np.zeros(len(size), np.int64)
         steps = []
         node, live = off[1:] + np.arange(len(size)), np.arange(len(size))
@@ -167,7 +248,41 @@ class Transducer(PieceCache):
         for mine, written in steps:
             out[place[mine]] = written
             place[mine] -= 1
-        return out, count
+        return self._with_runs(out, count)
+
+    def _walk(self, from_: np.ndarray, into: np.ndarray, piece: np.ndarray, ids: np.ndarray, reached: np.ndarray, back: np.ndarray, wrote: np.ndarray) -> None:
+        """The same for few long parts, arc by arc."""
+        for k in np.argsort(from_, kind="stable").tolist():
+            u, v = int(reached[from_[k]]), int(piece[k])
+            if u == _NONE:
+                continue
+            if u >= 0 and v >= 0:
+                ok = self.known_pairs.get((u, v))
+                if ok is None:
+                    if len(self.known_pairs) >= 1 << 20:
+                        self.known_pairs.clear()
+                    ok = self.known_pairs[u, v] = bool(self.side_by_side(np.array([u]), np.array([v]))[0])
+                if not ok:
+                    continue
+            at = into[k]
+            reached[at], back[at], wrote[at] = v, from_[k], ids[k]
+
+    def _with_runs(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts with the spaces at their beginning merged."""
+        if self.space < 0 or not self.runs:
+            return ids, count
+        ends = np.cumsum(count)
+        some = np.flatnonzero((count > 1) & (ids[np.minimum(ends - count, max(0, len(ids) - 1))] == self.space)) if len(ids) else []
+        parts, at, count = [], 0, count.copy()
+        for k in some:
+            lo, hi = int(ends[k] - count[k]), int(ends[k])
+            n = int((np.append(ids[lo:hi], self.dtype(self.space + 1)) != self.space).argmax())
+            if n > 1:
+                new = np.array(self.run_of_spaces(n), self.dtype)
+                parts += [ids[at:lo], new]
+                at = lo + n
+                count[k] += len(new) - n
+        return (np.concatenate([*parts, ids[at:]]), count) if parts else (ids, count)
 
     def split(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Parts begin at a space behind something else, or where a text does."""
@@ -214,6 +329,20 @@ def normalised(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, new
 
 
+def _checked(model, path: str) -> None:
+    """An error for a model whose normaliser or kind is none that this module compiles."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        spec.ParseFromString(f.read())
+    n, t = spec.normalizer_spec, spec.trainer_spec
+    if n.precompiled_charsmap or n.remove_extra_whitespaces or not n.add_dummy_prefix or not n.escape_whitespaces:
+        raise ValueError("the model's normaliser changes texts in ways that are not compiled")
+    if t.model_type != t.BPE or t.treat_whitespace_as_suffix:
+        raise ValueError("not a model of merged pairs with spaces before words")
+
+
 @cache
 def transducer(path: str) -> Transducer:
     """One per worker and model."""
