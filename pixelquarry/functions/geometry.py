@@ -94,6 +94,23 @@ def rotate(points: Column, angle: Column) -> Column:
     return let(frame, lambda m: moved(points, lambda x, y: m["x"] + (x - m["x"]) * m["c"] - (y - m["y"]) * m["s"], lambda x, y: m["y"] + (x - m["x"]) * m["s"] + (y - m["y"]) * m["c"]))
 
 
+def centre(points: Column) -> Column:
+    """Middle of the first and third of four corners; null for other shapes."""
+    return F.when(F.size(points) == 4, F.array((points[0][0] + points[2][0]) / 2, (points[0][1] + points[2][1]) / 2))
+
+
+def corner_handle(points: Column) -> Column:
+    """Where four corners are turned by: the second one; null for other shapes."""
+    return F.when(F.size(points) == 4, points[1])
+
+
+def rotate_box(points: Column, angle: Column) -> Column:
+    """Four corners about their centre; other shapes stay."""
+    frame = F.struct(centre(points)[0].alias("x"), centre(points)[1].alias("y"), F.cos(angle).alias("c"), F.sin(angle).alias("s"))
+    turned = let(frame, lambda m: moved(points, lambda x, y: m["x"] + (x - m["x"]) * m["c"] - (y - m["y"]) * m["s"], lambda x, y: m["y"] + (x - m["x"]) * m["s"] + (y - m["y"]) * m["c"]))
+    return F.when(F.size(points) == 4, turned).otherwise(points)
+
+
 def circle_polygon(points: Column, corners: int = 32) -> Column:
     """A circle given by its centre and a point on it, as a polygon."""
     r = F.sqrt(F.pow(points[1][0] - points[0][0], F.lit(2.0)) + F.pow(points[1][1] - points[0][1], F.lit(2.0)))

@@ -50,8 +50,11 @@ def is_category(label: Column, wanted: str) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the UTF-16 code units of a string without surrogates (its code points)."""
-    units = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """32-bit FNV-1a over the UTF-16 code units of a string."""
+    point = lambda c: F.ascii(c).cast("long")
+    pair = lambda v: F.array(F.lit(0xD800) + F.floor((v - 0x10000) / 0x400), F.lit(0xDC00) + (v - 0x10000) % 0x400)
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), point)
+    units = F.flatten(F.transform(points, lambda v: F.when(v < 0x10000, F.array(v)).otherwise(pair(v))))
     return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: (h.bitwiseXOR(u) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
@@ -60,6 +63,22 @@ def prediction_key(text: Column) -> Column:
     return F.concat(F.lit("prediction:"), F.lower(F.lpad(F.hex(fnv1a(text)), 8, "0")))
 
 
+def number_text(value: Column) -> Column:
+    """A number as JSON text, whole ones without a fraction."""
+    return F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("long").cast("string")).otherwise(value.cast("string"))
+
+
+def prediction_text(model: Column, image: Column, label: Column, score: Column, kind: Column, points: Column) -> Column:
+    """A prediction as JSON text with its fields in the order that keys are made from."""
+    quoted = lambda v: F.substring(F.to_json(F.array(v)), 2, 1 << 30)
+    bare = lambda v: F.substr(quoted(v), F.lit(1), F.length(quoted(v)) - 1)
+    listed = F.array_join(F.transform(points, lambda p: F.concat(F.lit("["), F.array_join(F.transform(p, number_text), ","), F.lit("]"))), ",")
+    fields = (("modelId", bare(model)), ("imagePath", bare(image)), ("label", bare(F.trim(label))), ("score", number_text(score)), ("shape_type", bare(kind)), ("points", F.concat(F.lit("["), listed, F.lit("]"))))
+    parts = [x for k, v in fields for x in (F.lit(f',"{k}":'), v)]
+    parts[0] = F.lit('{"modelId":')
+    return F.concat(*parts, F.lit("}"))
+
+
 def palette_colour(label: Column, palette: list[str]) -> Column:
     """A label's colour: its hash picks one, the same in every data set."""
     return F.element_at(F.array(*map(F.lit, palette)), (fnv1a(label) % len(palette) + 1).cast("int"))

@@ -85,6 +85,23 @@ def throughput(log: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     return log.groupBy(key).agg(F.count("*").alias("n"), (F.count("*") / (F.nullif(span, F.lit(0)) / 1e6)).alias("per_second"), F.count_if(F.col("state") == "failed").alias("errors"))
 
 
+def top_errors(log: DataFrame, key: str, message: str, n: int = 3) -> DataFrame:
+    """The ``n`` commonest messages of each key with their counts; equal counts in text order."""
+    counts = log.where(F.col(message).isNotNull()).groupBy(key, message).count()
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("count"), message))
+    return counts.withColumn("place", place).where(F.col("place") <= n)
+
+
+def jobs_with_running_items(items: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Jobs that have a running item."""
+    return jobs.join(items.where("state = 'running'").select("job_id").distinct(), "job_id", "left_semi")
+
+
+def settled_jobs(items: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Jobs without a queued or running item left."""
+    return jobs.join(items.where(F.col("state").isin(*ACTIVE)).select("job_id").distinct(), "job_id", "left_anti")
+
+
 def usage(runs: DataFrame) -> DataFrame:
     """How often and when last each model was used."""
     return runs.groupBy("model_id").agg(F.count("*").alias("uses"), F.max("updated_at").alias("last_used_at"))
@@ -106,18 +123,29 @@ def override(built_in: DataFrame, imported: DataFrame, key: str) -> DataFrame:
 
 
 def catalog(models: DataFrame, used: DataFrame) -> DataFrame:
-    """Models in catalog order: readiness, uses, last use, name."""
+    """Models in catalog order: readiness (unloaded where unknown), uses, last use, name."""
+    models = models.withColumn("readiness", F.coalesce("readiness", F.lit("unloaded")))
     rank = F.when(F.col("readiness") == "loaded", 0).when(F.col("readiness") == "loading", 1).when(F.col("readiness") == "available", 2).when(F.col("readiness") == "missing_weights", 3).otherwise(4)
     out = models.join(used, "model_id", "left").withColumn("uses", F.coalesce("uses", F.lit(0))).withColumn("readiness_rank", rank)
     return out.orderBy("readiness_rank", F.desc("uses"), F.desc_nulls_last("last_used_at"), F.lower("name"), "model_id")
 
 
-def bursts(rows: DataFrame, key: list[str], ts: str, seconds: float, total: str) -> DataFrame:
-    """Rows of a key closer than ``seconds`` to the one before are one burst."""
+#: States that come first, and second, as what stands for a burst.
+BURST_FIRST, BURST_SECOND = ("queued", "running"), ("failed", "succeeded_with_errors", "interrupted")
+
+
+def bursts(rows: DataFrame, key: list[str], ts: str, seconds: float, total: str, item: str | None = None, preferred: str | None = None) -> DataFrame:
+    """Rows of a key closer than ``seconds`` to the one before are one burst.  With ``item`` (rows have a state), the row
+    that stands for it: active before in trouble before the rest, then the preferred item, then the newest."""
     w = Window.partitionBy(*key).orderBy(ts, total)
     gap = (_micros(ts) - F.lag(_micros(ts)).over(w)) > int(seconds * 1_000_000)
     grouped = rows.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("long")).withColumn("burst", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(*key, "burst").agg(F.count("*").alias("n"), F.sum(total).alias("total"), F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"))
+    more = []
+    if item:
+        priority = F.when(F.col("state").isin(*BURST_FIRST), 0).when(F.col("state").isin(*BURST_SECOND), 1).otherwise(2)
+        order = F.struct(priority, ~F.col(item).eqNullSafe(F.lit(preferred)), -_micros(ts), item)
+        more = [F.min_by(item, order).alias("representative")]
+    return grouped.groupBy(*key, "burst").agg(F.count("*").alias("n"), F.sum(total).alias("total"), F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"), *more)
 
 
 def latest(rows: DataFrame, key: list[str], active: Column, ts: str, tie: str) -> DataFrame:

@@ -4,8 +4,11 @@ Shapes have image, idx, label, shape_type, points (array of [x, y]) and what an
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,3 +231,73 @@ def mapping_record(rows: DataFrame, m: str, topology_safe: str) -> DataFrame:
 def derived_conflicts(new: DataFrame, manifest: DataFrame) -> DataFrame:
     """New outputs against the manifest of their root: reuse where the fingerprint is the same, else conflict."""
     return new.join(manifest.select("output_root", F.col("fingerprint").alias("_old")), "output_root").withColumn("action", F.when(F.col("fingerprint") == F.col("_old"), "reuse").otherwise("conflict")).drop("_old")
+
+
+#: What each kind of image operator does to annotations.
+POLICIES = {"crop": "clip_translate", "resize": "scale_xy", "flip": "mirror", "rotate": "rotate", "tile": "tile_clip_translate", "fourier": "suppress", "wavelet": "suppress"}
+
+
+def policy(kind: str) -> str:
+    """What an operator does to annotations; those that leave coordinates alone preserve them."""
+    return POLICIES.get(kind, "preserve")
+
+
+def after_operator(shapes: DataFrame, kind: str, *p: float) -> DataFrame:
+    """``shapes`` (with width and height of their image) after an image operator, the sizes after it, and ``mapping``:
+    affine, identity, or unavailable where coordinates lose their meaning, which takes all shapes away.
+
+    ("crop", x, y, w, h), ("resize", w, h), ("flip", 1 for left and right), ("rotate", degrees), ("fourier",),
+    ("wavelet",), or any operator that keeps coordinates."""
+    w, h, points = F.col("width").cast("double"), F.col("height").cast("double"), F.col("points")
+    does = policy(kind)
+    if does == "suppress":
+        return shapes.where(F.lit(False)).withColumn("mapping", F.lit("unavailable"))
+    if does == "clip_translate":
+        out = clip(shapes, *(F.lit(float(v)) for v in p))
+        return out.withColumns({"width": F.lit(float(p[2])), "height": F.lit(float(p[3])), "mapping": F.lit("affine")})
+    if does == "scale_xy":
+        kind_, moved = g.resize_shape(F.col("shape_type"), points, F.lit(float(p[0])) / w, F.lit(float(p[1])) / h)
+        return shapes.withColumns({"shape_type": kind_, "points": moved, "width": F.lit(float(p[0])), "height": F.lit(float(p[1])), "mapping": F.lit("affine")})
+    if does == "mirror":
+        return shapes.withColumns({"points": g.flip(points, w, h, bool(p[0])), "width": w, "height": h, "mapping": F.lit("affine")})
+    if does == "rotate":
+        a, b = (h, w) if p[0] % 180 else (w, h)
+        return shapes.withColumns({"points": g.turn(points, w, h, int(p[0])), "width": a, "height": b, "mapping": F.lit("affine")})
+    if does == "tile_clip_translate":
+        raise ValueError("tiles have several outputs: use tiles and tile_shapes")
+    return shapes.withColumns({"width": w, "height": h, "mapping": F.lit("identity")})
+
+
+def scaled_by_operator(shapes: DataFrame, new_width: Column, new_height: Column) -> DataFrame:
+    """Shapes after a user's operator that changes sizes: points by the two ratios, types as they are."""
+    fx, fy = new_width / F.col("width"), new_height / F.col("height")
+    return shapes.withColumns({"points": g.scale(F.col("points"), fx, fy), "width": new_width, "height": new_height})
+
+
+_SHAPES = "array<struct<label: string, shape_type: string, points: array<array<double>>>>"
+
+
+def user_transform(documents: DataFrame, transform: Callable[[dict, dict, dict], dict], parameters: dict) -> DataFrame:
+    """A user's function over annotation documents (asset_id, document, width, height): the new document, and
+    ``violation`` where it fails, gives no object or no shapes, breaks a shape rule or leaves the image."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for asset, text, w, h in pdf[["asset_id", "document", "width", "height"]].itertuples(index=False):
+                try:
+                    out = transform(json.loads(text), dict(parameters), {"width": w, "height": h})
+                    bad = "no object" if not isinstance(out, dict) else None
+                    rows.append((asset, None if bad else json.dumps(out, ensure_ascii=False), w, h, bad))
+                except Exception as e:  # a user's code may raise anything; the row says so
+                    rows.append((asset, None, w, h, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["asset_id", "document", "width", "height", "violation"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in documents.select("asset_id", "document", "width", "height").schema)
+    out = documents.select("asset_id", "document", "width", "height").mapInPandas(run, schema + ", violation string")
+    shapes = F.from_json(F.get_json_object("document", "$.shapes"), _SHAPES)
+    inside = lambda q: (q[0] >= 0) & (q[1] >= 0) & (q[0] <= F.col("width")) & (q[1] <= F.col("height"))
+    fine = lambda s: F.exists(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b or 1 << 30).alias("b")) for k, (a, b) in POINT_COUNTS.items())), lambda r: (r["k"] == s["shape_type"]) & F.size(s["points"]).between(r["a"], r["b"]))
+    rules = F.when(shapes.isNull(), "no shapes").when(~F.coalesce(F.forall(shapes, fine), F.lit(False)), "shape rules").when(~F.coalesce(F.forall(shapes, lambda s: F.forall(s["points"], inside)), F.lit(False)), "out of bounds")
+    out = out.withColumn("violation", F.coalesce("violation", rules))
+    return out.withColumn("document", F.when(F.col("violation").isNull(), F.col("document")))

@@ -198,8 +198,11 @@ def top_k_of_classes(rows: DataFrame, scores: str, k: int, *key: str) -> DataFra
     return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def tags(rows: DataFrame, least: float, deleted: list[str] = (), kept: list[str] | None = None) -> DataFrame:
-    """Tags that reach the threshold, ranked per image; deny list, then allow list."""
+def tags(rows: DataFrame, least: float, deleted: list[str] = (), kept: list[str] | None = None, known: list[str] | None = None) -> DataFrame:
+    """Tags that reach the threshold, ranked per image; deny list, then allow list.  Names that are not among the
+    model's ``known`` ones are errors."""
+    if known is not None and (unknown := sorted({*deleted, *(kept or ())} - set(known))):
+        raise ValueError(f"no such tags: {', '.join(unknown)}")
     rows = rows.where(F.col("score") >= least).where(~F.col("label").isin(list(deleted))) if deleted else rows.where(F.col("score") >= least)
     rows = rows.where(F.col("label").isin(list(kept))) if kept is not None else rows
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("score"), "label")))
@@ -265,6 +268,16 @@ def reading_order(boxes: DataFrame, n: int) -> DataFrame:
     return boxes.withColumn("place", F.row_number().over(Window.partitionBy("image").orderBy("y0", "x0", "idx"))).where(F.col("place") <= n)
 
 
+def text_boxes(boxes: DataFrame, least_score: float = 0.6, unclip: float = 1.5, least_side: float = 3.0) -> DataFrame:
+    """``boxes`` (length, breadth between pixel centres, score) that reach the score, each side a pixel longer and at
+    least 1, grown by area * unclip / perimeter on every side; those with a side up to ``least_side`` go."""
+    side = lambda c: F.greatest(F.col(c) + 1.0, F.lit(1.0))
+    grown = boxes.where(F.col("score") >= least_score).withColumns({"length": side("length"), "breadth": side("breadth")})
+    grown = grown.withColumn("_by", F.col("length") * F.col("breadth") * unclip / F.greatest(2 * (F.col("length") + F.col("breadth")), F.lit(1e-7)))
+    grown = grown.withColumns({"length": F.col("length") + 2 * F.col("_by"), "breadth": F.col("breadth") + 2 * F.col("_by")}).drop("_by")
+    return grown.where((F.col("length") > least_side) & (F.col("breadth") > least_side))
+
+
 def oriented_boxes(pixels: DataFrame, *key: str) -> DataFrame:
     """Per part of pixels (x, y): centre, principal angle from second moments, and extents along and across it."""
     m = pixels.groupBy(*key).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("vxy"), F.count("*").alias("n"))

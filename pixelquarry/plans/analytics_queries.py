@@ -42,6 +42,12 @@ def _progress(spark, sf):
     return a.job_outcome(a.progress(a.final_states(events, "job_id", "item_id")))
 
 
+def _states_and_jobs(spark, sf):
+    """Latest states of items, and all jobs."""
+    events = view(spark, sf, "job_events")
+    return a.final_states(events, "job_id", "item_id"), events.select("job_id").distinct()
+
+
 def _rounded(df, digits=6):
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -103,6 +109,10 @@ QUERIES = {
     "a09_operator_timings": lambda spark, sf: _rounded(a.operator_timings(view(spark, sf, "job_events"), "job_id", "state")),
     "a13_latency": lambda spark, sf: _rounded(a.latency(view(spark, sf, "job_events"), "job_id")),
     "a14_throughput": lambda spark, sf: _rounded(a.throughput(view(spark, sf, "job_events"), "job_id")),
+    "a14_top_errors": lambda spark, sf: a.top_errors(view(spark, sf, "job_events").where("state = 'failed'").withColumn("message", F.concat(F.lit("error "), (F.floor("ms") % 7).cast("string"))), "job_id", "message", 2).select("job_id", "message", "count", F.col("place").cast("long").alias("place")),
+    "a19_representatives": lambda spark, sf: _rounded(a.bursts(view(spark, sf, "job_events"), ["job_id"], "ts", 3600, "ms", "event_id", 7).select("job_id", "burst", "n", "representative"), 4),
+    "j11_running_jobs": lambda spark, sf: a.jobs_with_running_items(*_states_and_jobs(spark, sf)),
+    "j15_unloaded": lambda spark, sf: a.catalog(view(spark, sf, "models").withColumn("readiness", F.when(F.col("readiness") != "missing_weights", F.col("readiness"))), a.usage(view(spark, sf, "runs"))).groupBy("readiness", "readiness_rank").agg(F.count("*").alias("n"), F.sum("uses").alias("uses")),
     "a15_model_usage": lambda spark, sf: a.usage(view(spark, sf, "runs")),
     "a16_catalog_health": _health,
     "a17_repeated_models": lambda spark, sf: a.first_wins(view(spark, sf, "models"), "model_id", "file_order")[1].select("model_id", "file_order"),
@@ -113,7 +123,7 @@ QUERIES = {
     "f22_status_indicator": _indicator,
     "f23_overlay_kind": _overlay,
     "j10_item_progress": lambda spark, sf: view(spark, sf, "job_events").alias("e").join(view(spark, sf, "runs").alias("r"), F.expr("e.event_id = r.run_id AND e.generation = r.run_id % 4")).select("event_id", "model_id", "ms"),
-    "j11_jobs_running": lambda spark, sf: view(spark, sf, "job_events").select("job_id").distinct().join(a.final_states(view(spark, sf, "job_events"), "job_id", "item_id").where("state IN ('queued', 'running')"), "job_id", "left_anti"),
+    "j11_jobs_running": lambda spark, sf: a.settled_jobs(*_states_and_jobs(spark, sf)),
     "j14_catalog_override": _override,
     "t11_catalog_order": _catalog,
     "j20_reusable_run": lambda spark, sf: a.reusable_run(view(spark, sf, "runs")).select("dataset_id", "signature", "run_id"),
@@ -169,6 +179,10 @@ ORACLES = {
         "a09_operator_timings": "SELECT job_id, state, round(avg(ms), 6) AS mean_ms, count(ms) AS samples FROM job_events GROUP BY ALL",
         "a13_latency": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ms) - 1 AS k, count(*) OVER (PARTITION BY job_id) AS c FROM job_events) SELECT job_id, count(*) AS n, " + ", ".join(f"max(CASE WHEN k = round_even((c - 1) * {f}, 0) THEN ms END) AS p{p}" for f, p in ((0.5, 50), (0.95, 95), (0.99, 99))) + ", round(avg(ms), 6) AS mean, max(ms) AS max FROM r GROUP BY job_id",
         "a14_throughput": "SELECT job_id, count(*) AS n, round(count(*) / (nullif(epoch_us(max(ts)) - epoch_us(min(ts)), 0) / 1e6), 6) AS per_second, count_if(state = 'failed') AS errors FROM job_events GROUP BY job_id",
+        "a14_top_errors": "WITH m AS (SELECT job_id, concat('error ', CAST(floor(ms) AS BIGINT) % 7) AS message, count(*) AS count FROM job_events WHERE state = 'failed' AND ms IS NOT NULL GROUP BY ALL) SELECT job_id, message, count, row_number() OVER (PARTITION BY job_id ORDER BY count DESC, message) AS place FROM m QUALIFY place <= 2",
+        "a19_representatives": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY ts, ms) > 3600000000 THEN 1 ELSE 0 END AS nw FROM job_events), b AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY ts, ms ROWS UNBOUNDED PRECEDING) AS burst FROM g), r AS (SELECT job_id, burst, event_id, count(*) OVER (PARTITION BY job_id, burst) AS n, row_number() OVER (PARTITION BY job_id, burst ORDER BY CASE WHEN state IN ('queued', 'running') THEN 0 WHEN state = 'failed' THEN 1 ELSE 2 END, event_id IS DISTINCT FROM 7, ts DESC, event_id) AS k FROM b) SELECT job_id, CAST(burst AS BIGINT) AS burst, n, event_id AS representative FROM r WHERE k = 1",
+        "j11_running_jobs": f"WITH {_last} SELECT DISTINCT job_id FROM last WHERE state = 'running'",
+        "j15_unloaded": "WITH u AS (SELECT model_id, count(*) AS uses FROM runs GROUP BY model_id), m AS (SELECT CASE WHEN readiness = 'missing_weights' THEN 'unloaded' ELSE readiness END AS readiness, coalesce(uses, 0) AS uses FROM models LEFT JOIN u USING (model_id)) SELECT readiness, CASE readiness WHEN 'loaded' THEN 0 WHEN 'loading' THEN 1 WHEN 'available' THEN 2 ELSE 4 END AS readiness_rank, count(*) AS n, CAST(sum(uses) AS BIGINT) AS uses FROM m GROUP BY ALL",
         "a15_model_usage": "SELECT model_id, count(*) AS uses, max(updated_at) AS last_used_at FROM runs GROUP BY model_id",
         "a16_catalog_health": "SELECT count(*) AS n_files, count(DISTINCT model_id) AS n_models, count(DISTINCT CASE WHEN can_predict THEN description END) AS n_adapters FROM models",
         "a17_repeated_models": "SELECT model_id, file_order FROM models QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY file_order) > 1",

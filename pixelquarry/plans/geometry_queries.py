@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.text import prediction_key
+from ..functions.text import prediction_key, prediction_text
 from ..operators import annotations as an
 from ..operators import features as ft
 from ..operators import predictions as pr
@@ -155,7 +155,67 @@ def _oriented(spark, sf):
     return out.select("part", "n", *(F.round(c, 4).alias(c) for c in ("cx", "cy", "angle", "length", "breadth")))
 
 
+def _policies(spark, sf):
+    """What each image operator leaves of boxes: how many shapes, their mapping and where they are."""
+    s, out = _shapes(spark, sf), None
+    for step in (("crop", 100, 40, 200, 90), ("resize", 1280, 480), ("flip", 1), ("rotate", 90), ("fourier",), ("gaussian_blur",)):
+        rows = _box_of(an.after_operator(s, *step), "mapping").withColumn("operator", F.lit(step[0]))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("operator", "mapping").agg(F.count("*").alias("n"), *(F.round(F.sum(c), 2).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+def _circles(spark, sf):
+    """Circles of boxes on images made twice as wide: polygons of 32 corners."""
+    s = view(spark, sf, "boxes").withColumn("points", F.array(F.array("x0", "y0"), F.array("x1", "y1")))
+    kind, points = g.resize_shape(F.lit("circle"), F.col("points"), F.lit(2.0), F.lit(1.0))
+    s = s.select("image", "idx", kind.alias("kind"), F.size(points).cast("long").alias("corners"), g.bounds(points).alias("b"))
+    return s.select("image", "idx", "kind", "corners", *(F.round(F.col("b")[c], 4).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+def _user_documents(spark, sf):
+    """A user's function that moves shapes, over documents of one box; some fail, some leave their image."""
+
+    def moved(document, parameters, context):
+        if document["idx"] % 11 == 0:
+            raise KeyError("idx")
+        if document["idx"] % 7 == 3:
+            return []
+        for shape in document["shapes"]:
+            shape["points"] = [[x + parameters["dx"], y] for x, y in shape["points"]]
+        return document
+
+    shape = F.struct("label", F.lit("rectangle").alias("shape_type"), "points")
+    b = _shapes(spark, sf).select(F.concat_ws("-", "image", "idx").alias("asset_id"), F.to_json(F.struct("idx", F.array(shape).alias("shapes"))).alias("document"), "width", "height", "x0")
+    out = an.user_transform(b, moved, {"dx": 60.0})
+    first = F.get_json_object("document", "$.shapes[0].points[0][0]").cast("double")
+    return out.select("asset_id", "violation", first.alias("x"))
+
+
+def _text_boxes(spark, sf):
+    pixels = view(spark, sf, "lineitem").select((F.col("l_partkey") % 50).alias("part"), F.col("l_quantity").alias("x"), (F.col("l_quantity") * 0.5 + F.col("l_linenumber")).alias("y"), "l_discount")
+    scores = pixels.groupBy("part").agg(F.avg("l_discount").alias("score"))
+    out = pr.text_boxes(pr.oriented_boxes(pixels, "part").join(scores, "part"), 0.05, 1.5, 20.0)
+    return out.select("part", *(F.round(c, 4).alias(c) for c in ("length", "breadth")))
+
+
+def _prediction_keys(spark, sf):
+    b = _shapes(spark, sf)
+    text = prediction_text(F.lit('m"1'), F.concat(F.lit("img/é𝄞/"), F.col("image").cast("string")), F.concat(F.lit(" "), "label"), F.col("score"), F.col("shape_type"), F.col("points"))
+    return b.select("image", "idx", prediction_key(text).alias("prediction_key"))
+
+
 QUERIES = {
+    "g06_handles": lambda spark, sf: _shapes(spark, sf).select("image", "idx", *(f(F.col("points"))[i].alias(n) for f, i, n in ((g.centre, 0, "cx"), (g.centre, 1, "cy"), (g.corner_handle, 0, "hx"), (g.corner_handle, 1, "hy")))),
+    "g07_clamp": _moved(lambda p: g.clamp(g.shift(p, F.lit(200.0), F.lit(-30.0)), F.lit(W).cast("double"), F.lit(H).cast("double"))),
+    "g07_rotate": _moved(lambda p: g.rotate_box(p, F.lit(0.5))),
+    "g12_circle": _circles,
+    "g15_scale": lambda spark, sf: _box_of(an.scaled_by_operator(_shapes(spark, sf), F.lit(320), F.lit(720)), "width"),
+    "r08_policies": _policies,
+    "d02_user_transform": _user_documents,
+    "x05_temperature": lambda spark, sf: _logits(spark, sf).select("idx", *(F.round(pr.softmax(F.col("class_scores"), 2.5)[i], 6).alias(f"p{i}") for i in range(3))),
+    "x10_text_boxes": _text_boxes,
+    "x13_channel": lambda spark, sf: ft.token_projection(view(spark, sf, "embeddings").withColumnRenamed("vec_id", "token"), "label", "embedding", "channel", 3).select("label", F.size("projected").cast("long").alias("n"), *(F.round(F.element_at("projected", i), 6).alias(f"p{i}") for i in (1, 2))),
+    "x16_canonical_key": _prediction_keys,
     "g01_rectangle": lambda spark, sf: _shapes(spark, sf).select("image", "idx", *(g.rectangle(F.col("x1"), F.col("y0"), F.col("x0"), F.col("y1"))[i][k].alias(f"p{i}{k}") for i in range(4) for k in range(2))),
     "g02_direction": _direction,
     "g03_validate": lambda spark, sf: _shapes(spark, sf).withColumn("label", F.when(F.col("idx") % 3 == 0, " ").otherwise(F.col("label"))).withColumn("points", F.when(F.col("idx") % 4 == 1, F.slice("points", 1, 3)).otherwise(F.col("points"))).select("image", "idx", F.array_join(an.problems(), ",").alias("problems")),
@@ -247,6 +307,16 @@ ORACLES = {
     name: with_views(sql)
     for name, sql in {
         "g01_rectangle": "SELECT image, idx, x0 AS p00, y0 AS p01, x1 AS p10, y0 AS p11, x1 AS p20, y1 AS p21, x0 AS p30, y1 AS p31 FROM boxes",
+        "g06_handles": "SELECT image, idx, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, x1 AS hx, y0 AS hy FROM boxes",
+        "g07_clamp": _box_sql("least(x0 + 200, 640)", "greatest(y0 - 30, 0)", "least(x1 + 200, 640)", "greatest(y1 - 30, 0)"),
+        "g07_rotate": "WITH c AS (SELECT image, idx, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, ((x1 - x0) * cos(0.5) + (y1 - y0) * sin(0.5)) / 2 AS w, ((x1 - x0) * sin(0.5) + (y1 - y0) * cos(0.5)) / 2 AS h FROM boxes) SELECT image, idx, round(cx - w, 6) AS x0, round(cy - h, 6) AS y0, round(cx + w, 6) AS x1, round(cy + h, 6) AS y1 FROM c",
+        "g12_circle": "WITH r AS (SELECT *, sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) AS r FROM boxes) SELECT image, idx, 'polygon' AS kind, 32 AS corners, round(2 * (x0 - r), 4) AS x0, round(y0 - r, 4) AS y0, round(2 * (x0 + r), 4) AS x1, round(y0 + r, 4) AS y1 FROM r",
+        "g15_scale": "SELECT image, idx, 320 AS width, x0 / 2 AS x0, y0 * 3 AS y0, x1 / 2 AS x1, y1 * 3 AS y1 FROM boxes",
+        "r08_policies": "WITH o AS (SELECT 'crop' AS operator, 'affine' AS mapping, greatest(x0, 100) - 100 AS x0, greatest(y0, 40) - 40 AS y0, least(x1, 300) - 100 AS x1, least(y1, 130) - 40 AS y1 FROM boxes WHERE least(x1, 300) > greatest(x0, 100) AND least(y1, 130) > greatest(y0, 40) UNION ALL SELECT 'resize', 'affine', x0 * 2, y0 * 2, x1 * 2, y1 * 2 FROM boxes UNION ALL SELECT 'flip', 'affine', 640 - x1, y0, 640 - x0, y1 FROM boxes UNION ALL SELECT 'rotate', 'affine', 240 - y1, x0, 240 - y0, x1 FROM boxes UNION ALL SELECT 'gaussian_blur', 'identity', x0, y0, x1, y1 FROM boxes) SELECT operator, mapping, count(*) AS n, round(sum(x0), 2) AS x0, round(sum(y0), 2) AS y0, round(sum(x1), 2) AS x1, round(sum(y1), 2) AS y1 FROM o GROUP BY ALL",
+        "d02_user_transform": "WITH v AS (SELECT concat_ws('-', image, idx) AS asset_id, x0, CASE WHEN idx % 11 = 0 THEN 'KeyError' WHEN idx % 7 = 3 THEN 'no object' WHEN x1 + 60 > 640 OR y1 > 240 THEN 'out of bounds' END AS violation FROM boxes) SELECT asset_id, violation, CASE WHEN violation IS NULL THEN x0 + 60 END AS x FROM v",
+        "x05_temperature": f"WITH {_l}, p AS (SELECT idx, list_transform(s, lambda x: exp((x - list_max(s)) / 2.5)) AS e FROM l) SELECT idx, round(e[1] / list_sum(e), 6) AS p0, round(e[2] / list_sum(e), 6) AS p1, round(e[3] / list_sum(e), 6) AS p2 FROM p",
+        "x10_text_boxes": "WITH p AS (SELECT l_partkey % 50 AS part, l_quantity AS x, l_quantity * 0.5 + l_linenumber AS y, l_discount AS s FROM lineitem), m AS (SELECT part, avg(x) AS cx, avg(y) AS cy, avg(s) AS score, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS angle FROM p GROUP BY part), q AS (SELECT *, (x - cx) * cos(angle) + (y - cy) * sin(angle) AS u, (y - cy) * cos(angle) - (x - cx) * sin(angle) AS v FROM p JOIN m USING (part)), b AS (SELECT part, max(u) - min(u) + 1 AS l, max(v) - min(v) + 1 AS h FROM q WHERE score >= 0.05 GROUP BY part), w AS (SELECT part, l + 2 * (l * h * 1.5 / (2 * (l + h))) AS length, h + 2 * (l * h * 1.5 / (2 * (l + h))) AS breadth FROM b) SELECT part, round(length, 4) AS length, round(breadth, 4) AS breadth FROM w WHERE length > 20 AND breadth > 20",
+        "x13_channel": "SELECT label, count(*) AS n, round(min_by(CAST(embedding[4] AS DOUBLE), vec_id), 6) AS p1, round(list_extract(list(CAST(embedding[4] AS DOUBLE) ORDER BY vec_id), 2), 6) AS p2 FROM embeddings GROUP BY label",
         "g02_direction": "SELECT image, idx, round((atan2(sin(score * 5), cos(score * 5)) + 2 * pi()) % (2 * pi()), 6) AS direction FROM boxes",
         "g03_validate": "SELECT image, idx, concat_ws(',', CASE WHEN idx % 3 = 0 THEN 'label' END, CASE WHEN idx % 4 = 1 THEN 'point_count' END) AS problems FROM boxes",
         "f21_active_runs": "SELECT run_id, state FROM runs WHERE state IN ('queued', 'running')",

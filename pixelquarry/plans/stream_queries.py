@@ -58,6 +58,13 @@ def _documents(spark, sf):
     return docs.withColumn("document", F.when(F.col("image") % 13 == 0, "{").when(F.col("image") % 17 == 0, "[1]").when(F.col("image") % 19 == 0, '{"shapes": 3}').otherwise(F.col("document")))
 
 
+def _quarter(a, parameters):
+    """A user's operator: halves values, breaks its size contract on dark corners and fails on bright ones."""
+    if a[0, 0] > 250:
+        raise ValueError("too bright")
+    return a // 2 if a[0, 0] >= parameters["least"] else a[1:]
+
+
 QUERIES = {
     "k04_event_tail": _drained(lambda s, d: jobs.tail(_events(s, d), 900).select("event_id", "job_id", "state"), "append"),
     "k05_running_progress": _drained(lambda s, d: jobs.progress(_events(s, d)), "complete"),
@@ -72,6 +79,15 @@ QUERIES = {
     "r02_gamma": lambda s, d: r.lookup(_rasters(s, d), r.gamma(0.5)).select("image", F.hex("pixels").alias("pixels")),
     "r03_otsu": lambda s, d: r.otsu(r.histogram(_rasters(s, d))),
     "r03_equalise": lambda s, d: r.equalise(_rasters(s, d)).select("image", F.hex("pixels").alias("pixels")),
+    "r01_crop_flip": lambda s, d: r.flip(r.crop(_rasters(s, d), 1, 2, 5, 4), True).select("image", F.hex("pixels").alias("pixels")),
+    "r02_minmax": lambda s, d: r.minmax(_rasters(s, d)).select("image", F.hex("pixels").alias("pixels")),
+    "r02_contrast": lambda s, d: r.contrast(_rasters(s, d), 1.25).select("image", F.hex("pixels").alias("pixels")),
+    "r02_brightness": lambda s, d: r.lookup(_rasters(s, d), r.brightness(1.25)).select("image", F.hex("pixels").alias("pixels")),
+    "r03_stretch": lambda s, d: r.stretch(_rasters(s, d)).select("image", F.hex("pixels").alias("pixels")),
+    "r04_gradient": lambda s, d: r.morphology(_rasters(s, d), 1, "gradient").select("image", F.hex("pixels").alias("pixels")),
+    "r04_local_threshold": lambda s, d: r.local_threshold(_rasters(s, d), 1, 2.0).select("image", F.hex("pixels").alias("pixels")),
+    "r07_pyramid_tiles": lambda s, d: r.pyramid_tiles(_rasters(s, d), 4).select("image", "level", "column", "row", "height", "width", F.hex("pixels").alias("pixels")),
+    "d01_user_operator": lambda s, d: r.user_operator(_rasters(s, d), _quarter, {"least": 40}).select("image", "violation", F.hex("pixels").alias("pixels")),
     "r04_median": lambda s, d: r.focal(_rasters(s, d), 1, "median").select("image", F.hex("pixels").alias("pixels")),
     "r05_sobel": lambda s, d: r.gradient(_rasters(s, d), "sobel_x").select("image", F.hex("pixels").alias("pixels")),
     "r06_haar": lambda s, d: r.haar_pyramid(_rasters(s, d), 3),
@@ -108,6 +124,15 @@ ORACLES = {
         "a18_histogram": f"WITH {_px} SELECT v AS bin, count(*) AS n FROM px GROUP BY v",
         "r01_turn": f"WITH {_px}, q AS (SELECT image, v, i % 8 * 8 + 7 - i // 8 AS i FROM px) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
         "r02_gamma": f"WITH {_px}, q AS (SELECT image, i, CAST(round_even(255 * sqrt(v / 255), 0) AS INT) AS v FROM px) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
+        "r01_crop_flip": f"WITH {_px}, q AS (SELECT image, i // 8 * 8 - i % 8 AS i, v FROM px WHERE i // 8 BETWEEN 2 AND 5 AND i % 8 BETWEEN 1 AND 5) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
+        "r02_minmax": f"WITH {_px}, m AS (SELECT image, i, v, min(v) OVER w AS lo, max(v) OVER w AS hi FROM px WINDOW w AS (PARTITION BY image)), q AS (SELECT image, i, CAST(coalesce(round_even((v - lo) * 255.0 / nullif(hi - lo, 0), 0), 0) AS INT) AS v FROM m) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
+        "r02_contrast": f"WITH {_px}, m AS (SELECT image, i, v, floor(avg(v) OVER (PARTITION BY image) + 0.5) AS c FROM px), q AS (SELECT image, i, CAST(least(255, greatest(0, round_even(c + (v - c) * 1.25::DOUBLE, 0))) AS INT) AS v FROM m) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
+        "r02_brightness": f"WITH {_px}, q AS (SELECT image, i, CAST(least(255, round_even(v * 1.25::DOUBLE, 0)) AS INT) AS v FROM px) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
+        "r03_stretch": f"WITH {_px}, m AS (SELECT image, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM px GROUP BY image), q AS (SELECT px.image, i, CAST(floor(least(255.0, greatest(0.0, (v - lo) * 255.0 / (CASE WHEN hi <= lo THEN 1 ELSE hi - lo END))) + 1e-9) AS INT) AS v FROM px JOIN m USING (image)) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
+        "r04_gradient": f"WITH {_px}, d AS (SELECT unnest([-1, 0, 1]) AS o), q AS (SELECT a.image, a.i, max(b.v) - min(b.v) AS v FROM px AS a, d AS e, d AS f, px AS b WHERE b.image = a.image AND b.i = greatest(0, least(7, a.i // 8 + e.o)) * 8 + greatest(0, least(7, a.i % 8 + f.o)) GROUP BY a.image, a.i) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
+        "r04_local_threshold": f"WITH {_px}, d AS (SELECT unnest([-1, 0, 1]) AS o), q AS (SELECT a.image, a.i, CASE WHEN any_value(a.v) > round_even(avg(b.v), 0) - 2 THEN 255 ELSE 0 END AS v FROM px AS a, d AS e, d AS f, px AS b WHERE b.image = a.image AND b.i = greatest(0, least(7, a.i // 8 + e.o)) * 8 + greatest(0, least(7, a.i % 8 + f.o)) GROUP BY a.image, a.i) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
+        "r07_pyramid_tiles": f"WITH {_px}, l AS (SELECT unnest([0, 1, 2, 3]) AS level), q AS (SELECT image, level, i // 8 // (1 << (3 - level)) AS y, i % 8 // (1 << (3 - level)) AS x, CAST(round_even(avg(v), 0) AS INT) AS v FROM px, l GROUP BY ALL) SELECT image, CAST(level AS INT) AS level, CAST(x // 4 AS INT) AS column, CAST(y // 4 AS INT) AS row, CAST(least(4, 1 << level) AS INT) AS height, CAST(least(4, 1 << level) AS INT) AS width, string_agg(format('{{:02X}}', v), '' ORDER BY y, x) AS pixels FROM q GROUP BY image, level, x // 4, y // 4",
+        "d01_user_operator": f"WITH {_px}, q AS (SELECT image, max(CASE WHEN i = 0 THEN v END) AS c, string_agg(format('{{:02X}}', v // 2), '' ORDER BY i) AS pixels FROM px GROUP BY image) SELECT image, CASE WHEN c > 250 THEN 'ValueError' WHEN c < 40 THEN 'size changed' END AS violation, CASE WHEN c BETWEEN 40 AND 250 THEN pixels END AS pixels FROM q",
         "r03_otsu": f"WITH {_px}, h AS (SELECT image, v AS bin, count(*) AS n FROM px GROUP BY ALL), c AS (SELECT image, bin, sum(n) OVER up AS n0, sum(n * bin) OVER up AS s0, sum(n) OVER w AS n, sum(n * bin) OVER w AS s FROM h WINDOW up AS (PARTITION BY image ORDER BY bin), w AS (PARTITION BY image)), d AS (SELECT image, bin, CASE WHEN n > n0 THEN CAST(n0 * (n - n0) AS DOUBLE) * power(s0 / n0 - (s - s0) / (n - n0), 2) ELSE 0 END AS b FROM c) SELECT image, bin AS threshold FROM d QUALIFY row_number() OVER (PARTITION BY image ORDER BY b DESC, bin) = 1",
         "r03_equalise": f"WITH {_px}, h AS (SELECT image, v, count(*) AS n FROM px GROUP BY ALL), c AS (SELECT image, v, sum(n) OVER (PARTITION BY image ORDER BY v) AS c, sum(n) OVER (PARTITION BY image) AS t FROM h), l AS (SELECT *, min(c) OVER (PARTITION BY image) AS low FROM c), q AS (SELECT px.image, px.i, CAST(CASE WHEN t = low THEN px.v ELSE round_even((c - low) * 255.0 / (t - low), 0) END AS INT) AS v FROM px JOIN l ON l.image = px.image AND l.v = px.v) SELECT image, {_hex} AS pixels FROM q GROUP BY image",
         "r05_sobel": f"WITH {_px}, {_sobel}, q AS (SELECT a.image, a.i, CAST(least(255, abs(sum(k.w * b.v))) AS INT) AS v FROM px AS a, k, px AS b WHERE b.image = a.image AND {_near} GROUP BY a.image, a.i) SELECT image, {_hex} AS pixels FROM q GROUP BY image",

@@ -139,21 +139,35 @@ def save_documents(current: DataFrame, edits: DataFrame) -> tuple[DataFrame, Dat
     return after, conflicts, backups
 
 
-def publish(outputs: DataFrame, root: str) -> str:
-    """Write outputs to a staging folder of ``root`` and then a one-row manifest that names it: a reader follows the
-    manifest, so half-written outputs are never seen."""
+def publish(outputs: DataFrame, root: str, item: str = "output_id") -> str:
+    """Write outputs (``item``, document, and any columns such as pixels) to a staging folder of ``root``, each with its
+    document as JSON text and a manifest row (item, SHA-256 of the document, size), and then a one-row manifest that
+    names the folder: a reader follows it, so half-written outputs are never seen."""
     name = f"outputs-{uuid.uuid4().hex}"
-    outputs.write.parquet(f"{root}/{name}")
+    outputs.write.parquet(f"{root}/{name}/items")
     spark = outputs.sparkSession
-    done = spark.read.parquet(f"{root}/{name}")
-    done.groupBy().agg(F.count("*").alias("outputs")).withColumn("folder", F.lit(name)).withColumn("published_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
+    done = spark.read.parquet(f"{root}/{name}/items")
+    text = F.coalesce(F.col("document"), F.lit("")) if "document" in outputs.columns else F.lit("")
+    done.select(F.col(item).cast("string").alias("item"), F.sha2(text, 256).alias("fingerprint"), F.octet_length(text).cast("long").alias("bytes")).write.parquet(f"{root}/{name}/manifest")
+    if "document" in outputs.columns:
+        done.where("document IS NOT NULL").select(F.to_json(F.struct(F.col(item).cast("string").alias("item"), "document")).alias("value")).write.text(f"{root}/{name}/json")
+    items = spark.read.parquet(f"{root}/{name}/manifest")
+    items.groupBy().agg(F.count("*").alias("outputs")).withColumn("folder", F.lit(name)).withColumn("published_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
     return f"{root}/{name}"
 
 
+def _newest(spark: SparkSession, root: str) -> str:
+    return spark.read.parquet(f"{root}/manifest").agg(F.max_by("folder", "published_at")).first()[0]
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(item, fingerprint, bytes) of the outputs that the newest manifest names."""
+    return spark.read.parquet(f"{root}/{_newest(spark, root)}/manifest")
+
+
 def published(spark: SparkSession, root: str) -> DataFrame:
     """The outputs that the newest manifest names."""
-    folder = spark.read.parquet(f"{root}/manifest").agg(F.max_by("folder", "published_at")).first()[0]
-    return spark.read.parquet(f"{root}/{folder}")
+    return spark.read.parquet(f"{root}/{_newest(spark, root)}/items")
 
 
 def checked_tensors(tensors: DataFrame, values: str = "values") -> tuple[DataFrame, DataFrame]:
@@ -166,3 +180,8 @@ def checked_tensors(tensors: DataFrame, values: str = "values") -> tuple[DataFra
 
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, run_id: str | int, after: int = -1, key: str = "audit_id", limit: int = 1000) -> DataFrame:
+    """The next entries of a run behind ``after``, in id order."""
+    return spark.read.parquet(path).where((F.col("run_id") == run_id) & (F.col(key) > after)).orderBy(key).limit(limit)

@@ -84,6 +84,21 @@ def register(stream: DataFrame, index: str, checkpoint: str, generation: int) ->
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def registered(spark: SparkSession, index: str, generation: int) -> DataFrame:
+    """The items of a generation that are there by now, each id as its newest batch has it: readable while the scan runs."""
+    rows = spark.read.parquet(index).where(F.col("generation") == generation)
+    columns = [c for c in rows.columns if c not in ("batch_id", "asset_id")]
+    newest = rows.groupBy("asset_id").agg(F.max_by(F.struct(*columns), "batch_id").alias("_n"))
+    return newest.select("asset_id", "_n.*")
+
+
+def scan_summary(spark: SparkSession, index: str, generation: int, revision: int) -> DataFrame:
+    """Items per status of a finished scan, with the revision behind its batches: each batch counts one, the summary one."""
+    batches = spark.read.parquet(index).where(F.col("generation") == generation).agg(F.countDistinct("batch_id").alias("_b"))
+    counts = registered(spark, index, generation).groupBy("status").count()
+    return counts.crossJoin(F.broadcast(batches)).withColumn("index_revision", F.lit(revision) + F.col("_b") + 1).drop("_b")  # one row
+
+
 def drain(frame: DataFrame, checkpoint: str, mode: str, each: Callable[[DataFrame, int], None]) -> None:
     """Run a stream over what is there and stop."""
     frame.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

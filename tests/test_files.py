@@ -1,3 +1,4 @@
+import hashlib
 import json
 import struct
 import zlib
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelquarry.operators import matching, rasters, search
 from pixelquarry.sources import files
+from pixelquarry.streaming import jobs
 
 
 def png(w, h):
@@ -99,9 +101,16 @@ def test_sinks(spark, tmp_path):
     after, conflicts, backups = files.save_documents(docs, edits)
     assert {r["asset_id"]: r["document"] for r in after.collect()} == {"a": '{"n":1}', "b": "[]"}
     assert [r["asset_id"] for r in conflicts.collect()] == ["b"] and [r["document"] for r in backups.collect()] == ["{}"]
-    files.publish(spark.range(3), root + "/pub")
-    files.publish(spark.range(4), root + "/pub")
+    outputs = lambda n: spark.range(n).withColumnRenamed("id", "output_id").withColumn("document", F.when(F.col("output_id") < 2, F.lit("{}")))
+    files.publish(outputs(3), root + "/pub")
+    folder = files.publish(outputs(4), root + "/pub")
     assert files.published(spark, root + "/pub").count() == 4
+    empty = hashlib.sha256(b"").hexdigest()
+    assert sorted((r["item"], r["bytes"], r["fingerprint"] == empty) for r in files.manifest(spark, root + "/pub").collect()) == [("0", 2, False), ("1", 2, False), ("2", 0, True), ("3", 0, True)]
+    assert sorted(json.loads(r["value"])["item"] for r in spark.read.text(folder + "/json").collect()) == ["0", "1"]
+    log = spark.createDataFrame([("r", 1), ("r", 3), ("s", 2), ("r", 2)], "run_id string, audit_id long")
+    files.append_log(log, root + "/log")
+    assert [r["audit_id"] for r in files.read_log(spark, root + "/log", "r", 1).collect()] == [2, 3]
     good, bad = files.checked_tensors(spark.createDataFrame([(1, [1.0, 3.0]), (2, []), (3, [float("nan")]), (4, None)], "k int, values array<double>"))
     assert [tuple(r)[2:] for r in good.collect()] == [(1.0, 3.0, 2.0)] and bad.count() == 3
 
@@ -118,6 +127,35 @@ def test_rasters(spark):
     failed = rasters.user_operator(df, lambda p, o: p[: o["n"]], {"n": 2}).first()
     assert failed["violation"] == "size changed" and rasters.user_operator(df, lambda p, o: 255 - p, {}).first()["violation"] is None
     assert rasters.expand(["x", "c"], {"c": ["y", "d"], "d": ["z"]}) == ["x", "y", "z"]
+    square = lambda f: out(f)[1:2, 1:3].tolist()
+    assert square(rasters.morphology(df, 1, "gradient")) == [[200, 200]] and square(rasters.morphology(df, 1, "dilate")) == [[200, 220]]
+    assert (out(rasters.opened(df, 1)) <= a).all() and (out(rasters.closed(df, 1)) >= a).all()
+    assert (out(rasters.morphology(df, 1, "tophat")) == a - out(rasters.opened(df, 1))).all() and (out(rasters.morphology(df, 1, "blackhat")) == out(rasters.closed(df, 1)) - a).all()
+    assert np.abs(out(rasters.gaussian(df, 0.8, 1)).astype(int) - a)[1, 1:3].max() <= 20 and (out(rasters.unsharp(df, 0.8, 0.0, 1)) == a).all()
+    assert out(rasters.minmax(df, 10, 110)).min() == 10 and out(rasters.minmax(df, 10, 110)).max() == 110
+    assert (out(rasters.contrast(df, 1.0)) == a).all() and set(out(rasters.contrast(df, 0.0)).ravel()) == {110}
+    assert out(rasters.stretch(df)).min() == 0 and out(rasters.stretch(df)).max() == 255
+    colour = spark.createDataFrame([("i", 1, 2, bytes([10, 20, 30, 200, 100, 0]))], rasters.SCHEMA)
+    assert list(rasters.saturate(colour, 0.0).first()["pixels"]) == [18, 18, 18, 118, 118, 118] and list(rasters.saturate(colour, 1.0).first()["pixels"]) == [10, 20, 30, 200, 100, 0]
+    windows = spark.createDataFrame([("i", 1, 1, 2, 2, 1, 1, "k")], "image string, x int, y int, w int, h int, out_w int, out_h int, key string")
+    assert [tuple(r) for r in rasters.regions(df, windows).collect()] == [("i", "k", 1, 1, bytes([int(np.rint(a[1:3, 1:3].mean()))]))]
+    assert rasters.pyramid_tiles(df, 2).where("level = 2").count() == 4
+    last, taps = rasters.pipeline(df, [lambda d: rasters.turn(d, 90), lambda d: rasters.flip(d, True)], (0,))
+    assert (out(taps[0]) == np.rot90(a, -1)).all() and (out(last) == np.rot90(a, -1)[:, ::-1]).all()
     bands = rasters.haar(np.array([[1, 2], [3, 4]]))
     assert (bands["LL"][0, 0], bands["LH"][0, 0], bands["HL"][0, 0], bands["HH"][0, 0]) == (2.5, -1, -0.5, 0)
     assert json.dumps([r["level"] for r in rasters.haar_pyramid(df, 2).collect()]) == "[1, 1, 1, 1, 2, 2, 2, 2]"
+
+
+def test_progressive_registration(spark, tmp_path):
+    """Batches can be read while the scan runs; a batch that runs again is written once; an old generation is left out."""
+    schema = "asset_id string, status string, generation long"
+    source, index = f"{tmp_path}/in", f"{tmp_path}/index"
+    spark.createDataFrame([("a", "valid", 2), ("b", "valid", 2), ("z", "valid", 1)], schema).coalesce(1).write.parquet(source)
+    jobs.register(spark.readStream.schema(schema).parquet(source), index, f"{tmp_path}/check", 2).awaitTermination()
+    assert sorted(r["asset_id"] for r in jobs.registered(spark, index, 2).collect()) == ["a", "b"]
+    spark.createDataFrame([("b", "corrupt_image", 2), ("c", "valid", 2)], schema).coalesce(1).write.mode("append").parquet(source)
+    jobs.register(spark.readStream.schema(schema).parquet(source), index, f"{tmp_path}/check", 2).awaitTermination()
+    assert {r["asset_id"]: r["status"] for r in jobs.registered(spark, index, 2).collect()} == {"a": "valid", "b": "corrupt_image", "c": "valid"}
+    summary = {r["status"]: (r["count"], r["index_revision"]) for r in jobs.scan_summary(spark, index, 2, 5).collect()}
+    assert summary == {"valid": (2, 8), "corrupt_image": (1, 8)} and jobs.registered(spark, index, 1).count() == 0
