@@ -39,8 +39,13 @@ def _drained(frame_of, mode: str):
 
 
 def _states(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = _drained(lambda s, d: jobs.item_states(_events(s, d)), "update")(spark, sf)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # for this stream, which ends here
+    try:
+        out = _drained(lambda s, d: jobs.item_states(_events(s, d)), "update")(spark, sf)
+    finally:
+        spark.conf.set(name, before)
     return out.groupBy("job_id", "item_id").agg(F.max_by("state", "attempts").alias("state"), F.max("attempts").alias("attempts"), F.sum("rejected").alias("rejected"))
 
 

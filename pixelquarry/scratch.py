@@ -22,8 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: later jobs start from the files."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet to the shared folder and read it back: later jobs start from the files.  The tables of an
+    application are in one folder of its name, to be removed when its results are no longer read."""
+    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
