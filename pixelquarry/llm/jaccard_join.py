@@ -79,19 +79,16 @@ def token_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: in
     ``tokens`` has the 64-bit hashes of those not private, rare ones first; null where they are too few for any link."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
-    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, raw, off in chunks(batch.column("text")):
-            yield shingles(raw, off, k)[1]
-
-    merged = sketch.build(rows.select("text"), keys, sketch.width_bits(sketch.text_bytes(rows), 1 / 8, max_bits), (2, frequent))
+    common = sketch.Lookup(rows, lambda raw, off: shingles(raw, off, k), 1 / 8, (2, frequent), max_bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen = common.of(batch)
             for row, rows_in, raw, off in chunks(batch.column("text")):
                 doc, h = shingles(raw, off, k)
-                shared = merged.value.reaches(h, 2)
+                shared = seen.reaches(h, 2)
                 often = np.zeros(len(h), bool)
-                often[shared] = merged.value.reaches(h[shared], frequent)
+                often[shared] = seen.reaches(h[shared], frequent)
                 first = np.searchsorted(doc, np.arange(rows_in + 1))
                 n, c = np.diff(first), np.bincount(doc[shared], minlength=rows_in)
                 rare = np.bincount(doc[shared & ~often], minlength=rows_in)
@@ -105,7 +102,7 @@ def token_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: in
                 blobs = [data[8 * (e - x) : 8 * e] if ok else None for e, x, ok in zip(ends.tolist(), c.tolist(), may.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, rows_in), batch.column("text_key").slice(row, rows_in), pa.array(fa), pa.array(fb), pa.array(n.astype(np.int64)), pa.array(rare.astype(np.int32)), pa.array(may), pa.array(blobs, pa.binary())], schema=_SETS)
 
-    return rows.mapInArrow(sets, "doc_id long, text_key long, fa long, fb long, n long, n_rare int, may_link boolean, tokens binary")
+    return common.rows.mapInArrow(sets, "doc_id long, text_key long, fa long, fb long, n long, n_rare int, may_link boolean, tokens binary")
 
 
 def _need(n: int, percent: int) -> int:

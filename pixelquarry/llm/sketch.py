@@ -3,8 +3,11 @@
 Every partition counts its own keys and sends, per sketch row and shard of cells, the cells hit (repeated as often as
 hit, up to the highest level).  A shuffle by shard adds them up in dense arrays of fixed size.  What comes back is one
 bit per cell and level: of all keys that share a cell the counts add, so a bit is set whenever a key's true count
-reaches the level.  The width doubles with the input up to ``max_bits``; beyond that more keys pass the filter, and the
-exact passes that follow it group more, so the bound costs work but never rows.
+reaches the level.
+
+The width doubles with the input.  The merged sketch is broadcast while it has at most 2**``max_bits`` cells a row; beyond
+that nothing is broadcast: keys meet their counts in a shuffle (``Lookup``), which gives each row its own keys that
+reach the levels.
 """
 
 from __future__ import annotations
@@ -17,8 +20,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts
-from .textkit import mix, pack_sorted, unpack_sorted
+from .shared import parts, stored
+from .textkit import chunks, mix, pack_sorted, unpack_sorted
+
+#: (text, key) of the keys of a chunk's texts.
+Pairs = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 ROWS = 2
 SHARD_BITS = 18
@@ -32,10 +38,9 @@ def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(keys, 11 + row) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def width_bits(text_bytes: int, keys_per_byte: float, max_bits: int = MAX_BITS) -> int:
-    """About six cells a key, as a power of two within bounds."""
-    want = max(1.0, 6 * keys_per_byte * text_bytes)
-    return int(min(max_bits, max(SHARD_BITS, np.ceil(np.log2(want)))))
+def width_bits(text_bytes: int, keys_per_byte: float) -> int:
+    """About six cells a key, as a power of two."""
+    return max(SHARD_BITS, int(np.ceil(np.log2(max(1.0, 6 * keys_per_byte * text_bytes)))))
 
 
 class Sketch:
@@ -68,8 +73,8 @@ class Sketch:
         return out
 
 
-def build(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, levels: tuple[int, ...]) -> Broadcast:
-    """Sketch of the keys that ``keys_of`` finds in the batches of ``docs``; broadcast: ROWS * len(levels) * 2**bits
+def build(docs: DataFrame, pairs_of: Pairs, bits: int, levels: tuple[int, ...]) -> Broadcast:
+    """Sketch of the keys that ``pairs_of`` finds in the texts of ``docs``; broadcast: ROWS * len(levels) * 2**bits
     bits, at most 64 MB a level with the default ``max_bits``."""
     spark = docs.sparkSession
     most, per_row = max(levels), 1 << (bits - SHARD_BITS)
@@ -91,7 +96,8 @@ def build(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for keys in keys_of(batch):
+            for _, _, raw, off in chunks(batch.column("text")):
+                keys = pairs_of(raw, off)[1]
                 held.append(keys)
                 size += len(keys)
                 if size >= FLUSH:
@@ -135,3 +141,55 @@ def build(docs: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
 
 def text_bytes(docs: DataFrame) -> int:
     return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+class Known:
+    """What a ``Sketch`` tells, of the keys of a batch's own rows: their exact counts' levels."""
+
+    def __init__(self, column: pa.Array):
+        flat = column.flatten()
+        keys, level = flat.field("key").to_numpy().view(np.uint64), flat.field("level").to_numpy()
+        self.keys = {int(x): np.unique(keys[level >= x]) for x in np.unique(level)} if len(keys) else {}
+
+    def reaches(self, keys: np.ndarray, level: int) -> np.ndarray:
+        least = min((x for x in self.keys if x >= level), default=None)
+        return np.zeros(len(keys), bool) if least is None else np.isin(keys, self.keys[least])
+
+
+class Lookup:
+    """Which keys of the rows of ``rows`` (text and any columns) occur at least as often as each level says.
+
+    ``rows`` are those to look keys up for; ``of(batch)`` gives an object whose ``reaches(keys, level)`` is true for every
+    key of the batch's rows whose count is at least the level (and, by a sketch, for few others)."""
+
+    def __init__(self, rows: DataFrame, pairs_of: Pairs, keys_per_byte: float, levels: tuple[int, ...], max_bits: int = MAX_BITS):
+        self.text_bytes = text_bytes(rows)
+        bits = width_bits(self.text_bytes, keys_per_byte)
+        self.merged = build(rows.select("text"), pairs_of, bits, levels) if bits <= max_bits else None
+        self.rows = rows if self.merged else self._joined(rows, pairs_of, levels)
+
+    def of(self, batch: pa.RecordBatch) -> Sketch | Known:
+        return self.merged.value if self.merged else Known(batch.column("_known"))
+
+    def __getstate__(self):
+        return {"merged": self.merged}
+
+    @staticmethod
+    def _joined(rows: DataFrame, pairs_of: Pairs, levels: tuple[int, ...]) -> DataFrame:
+        """``rows`` with ``_known``: their keys that reach a level, and the highest level reached.  A key of very many rows
+        is counted by partial sums; its rows meet it in a join whose skew Spark splits."""
+        numbered = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("_row").to_numpy()
+                for row, _, raw, off in chunks(batch.column("text")):
+                    text, key = pairs_of(raw, off)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row + text]), pa.array(key.view(np.int64))], names=["_row", "key"])
+
+        pairs = stored(numbered.select("_row", "text").mapInArrow(emit, "_row long, key long"), "pairs")
+        level = F.greatest(*(F.when(F.col("n") >= x, F.lit(x)).otherwise(0) for x in (*levels, levels[0])))
+        common = pairs.groupBy("key").agg(F.count("*").alias("n")).select("key", level.alias("level")).where("level > 0")
+        known = pairs.distinct().join(common, "key").groupBy("_row").agg(F.collect_list(F.struct("key", "level")).alias("_known"))
+        empty = F.array().cast("array<struct<key: bigint, level: int>>")
+        return numbered.join(known, "_row", "left").withColumn("_known", F.coalesce("_known", empty)).drop("_row")

@@ -51,18 +51,18 @@ def _anchors(raw: np.ndarray, off: np.ndarray, window: int) -> tuple[Words, np.n
     return w, hashes, short, slide(short, window - min(ANCHOR, window) + 1, np.minimum), inside(w, window)
 
 
-def _anchor_keys(window: int):
-    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for _, _, raw, off in chunks(batch.column("text")):
-            _, _, short, anchor, ok = _anchors(raw, off, window)
-            if not ok.any():
-                continue
-            span = window - min(ANCHOR, window) + 1
-            of = np.zeros(len(anchor) + 2 * (span - 1), np.uint64)  # an anchor's places: where it is the smallest of some window
-            of[span - 1 : span - 1 + len(anchor)] = np.where(ok, anchor, np.uint64(0))
-            yield short[slide(of, span, np.maximum) == short]
+def _anchor_keys(window: int) -> sketch.Pairs:
+    def pairs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w, _, short, anchor, ok = _anchors(raw, off, window)
+        if not ok.any():
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        span = window - min(ANCHOR, window) + 1
+        of = np.zeros(len(anchor) + 2 * (span - 1), np.uint64)  # an anchor's places: where it is the smallest of some window
+        of[span - 1 : span - 1 + len(anchor)] = np.where(ok, anchor, np.uint64(0))
+        at = np.flatnonzero(slide(of, span, np.maximum) == short)
+        return np.searchsorted(w.first, at, "right") - 1, short[at]
 
-    return keys
+    return pairs
 
 
 def _runs(starts: np.ndarray) -> np.ndarray:
@@ -77,9 +77,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sket
     for every ``shard_bytes`` of text, so what one holds does not grow with the input."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).where(F.octet_length("text") >= 2 * window - 1)
-    size = sketch.text_bytes(rows)
-    bits, shards = sketch.width_bits(size, 1 / 80, max_bits), min(1 << 30, max(4 * parts(spark), -(-size // shard_bytes)))
-    merged = sketch.build(rows.select("text"), _anchor_keys(window), bits, (2,))
+    common = sketch.Lookup(rows, _anchor_keys(window), 1 / 80, (2,), max_bits)
+    shards = min(1 << 30, max(4 * parts(spark), -(-common.text_bytes // shard_bytes)))
 
     def send(held: list[tuple]) -> pa.RecordBatch:
         """Entries by shard.  keys: (doc_id, text_key) pairs that docs points to; runs: first window and length of each
@@ -134,7 +133,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sket
             for row, n, raw, off in chunks(batch.column("text")):
                 w, hashes, _, anchor, ok = _anchors(raw, off, window)
                 at = np.flatnonzero(ok)
-                at = at[merged.value.reaches(anchor[at], 2)]
+                at = at[common.of(batch).reaches(anchor[at], 2)]
                 if not len(at):
                     continue
                 text = w.text()[at]
@@ -162,7 +161,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sket
                 held.append(entry)
         yield from _answer(held)
 
-    return rows.mapInArrow(candidates, _ENTRY).repartition(parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(group, _MARK)
+    return common.rows.mapInArrow(candidates, _ENTRY).repartition(parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(group, _MARK)
 
 
 def _groups(x: np.ndarray) -> list[tuple[int, int]]:

@@ -61,7 +61,7 @@ def corpus(seed, families=12, copies=12, words=60):
     return rows
 
 
-@pytest.mark.parametrize("seed,frequent,bits,long", [(1, 32, 28, 64), (2, 3, 28, 4), (3, 2, 28, 2), (4, 4, 18, 64)])
+@pytest.mark.parametrize("seed,frequent,bits,long", [(1, 32, 28, 64), (2, 3, 28, 4), (3, 2, 28, 2), (4, 4, 18, 64), (5, 3, 10, 4)])
 def test_matches_brute_force(spark, monkeypatch, seed, frequent, bits, long):
     monkeypatch.setattr(jj, "LONG", long)
     rows = corpus(seed)

@@ -36,7 +36,7 @@ def cases():
     return rows
 
 
-@pytest.mark.parametrize("window,max_bits", [(35, 28), (5, 28), (35, 18)])
+@pytest.mark.parametrize("window,max_bits", [(35, 28), (5, 28), (35, 18), (35, 10), (5, 10)])
 def test_matches_brute_force(spark, window, max_bits):
     rows = cases()
     docs = spark.createDataFrame(rows, DOCS).repartition(5)
