@@ -123,7 +123,7 @@ def _normal(f):
 def _pca(spark, sf):
     e = view(spark, sf, "embeddings")
     mean, axis = ft.principal_axis(e, "embedding")
-    return e.select("vec_id", ft.project(F.col("embedding"), mean, axis).alias("coordinate"))
+    return e.select("vec_id", F.round(ft.project(F.col("embedding"), mean, axis), 5).alias("coordinate"))
 
 
 def _rotated(spark, sf):
@@ -339,6 +339,7 @@ ORACLES = {
         "g13_flip": _box_sql("640 - x1", "y0", "640 - x0", "y1"),
         "g14_turn": _box_sql("240 - y1", "x0", "240 - y0", "x1"),
         "g16_clip_line": f"WITH t AS (SELECT *, {_liang} AS u, {_leave} AS v FROM boxes WHERE x1 >= 100 AND x0 <= 300 AND y1 >= 40 AND y0 <= 130) SELECT image, idx, round(x0 + u * (x1 - x0) - 100, 6) AS ax, round(y0 + u * (y1 - y0) - 40, 6) AS ay, round(x0 + v * (x1 - x0) - 100, 6) AS bx, round(y0 + v * (y1 - y0) - 40, 6) AS by FROM t WHERE u <= v",
+        "g16_clip_strips": "SELECT image, idx, runs, 6 + runs AS points FROM (SELECT image, idx, 6 - CASE WHEN y1 <= 120 THEN 3 ELSE 0 END - CASE WHEN y0 >= 60 THEN 2 ELSE 0 END AS runs FROM boxes WHERE y1 > 60 AND y0 < 120)",
         "g17_tiles": f"WITH {_img}, c AS (SELECT image, x, row_number() OVER (PARTITION BY image ORDER BY x) - 1 AS column FROM {_tile('x', 'width', 2048, 1792, True)}), r AS (SELECT image, y, row_number() OVER (PARTITION BY image ORDER BY y) - 1 AS row FROM {_tile('y', 'height', 1024, 896, True)}) SELECT image, CAST(c.column AS INT) AS column, CAST(r.row AS INT) AS row, CAST(x AS INT) AS x, CAST(y AS INT) AS y, least(2048, width - x) AS w, least(1024, height - y) AS h FROM img JOIN c USING (image) JOIN r USING (image)",
         "g17_whole_tiles": f"WITH {_img} SELECT image, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM {_tile('x', 'width', 2048, 2048, False)} JOIN {_tile('y', 'height', 1024, 1024, False)} USING (image)",
         "g18_tile_shapes": "WITH tx AS (SELECT unnest([0, 224, 448]) AS x, unnest([0, 1, 2]) AS c), ty AS (SELECT unnest([0, 112]) AS y, unnest([0, 1]) AS r), t AS (SELECT image, format('{}__tile_r{:04d}_c{:04d}', image, r, c) AS tile, least(x1, x + 256, 640) - greatest(x0, x) AS w, least(y1, y + 128, 240) - greatest(y0, y) AS h, x0 >= x AND x1 <= least(x + 256, 640) AND y0 >= y AND y1 <= least(y + 128, 240) AS whole FROM boxes, tx, ty) SELECT image, tile, count(*) AS n, round(sum(w * h), 4) AS area FROM t WHERE w > 0 AND h > 0 GROUP BY ALL",
@@ -364,6 +365,7 @@ ORACLES = {
         "x12_best_mask": "SELECT image, label, idx, score FROM boxes QUALIFY row_number() OVER (PARTITION BY image, label ORDER BY score DESC, idx) = 1",
         "x13_mean_projection": "SELECT label, " + ", ".join(f"round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 6) AS c{i}" for i in (0, 7, 63)) + " FROM embeddings GROUP BY label",
         "x13_max_projection": "SELECT label, " + ", ".join(f"round(max(CAST(embedding[{i + 1}] AS DOUBLE)), 6) AS c{i}" for i in (0, 7, 63)) + " FROM embeddings GROUP BY label",
+        "x14_principal_axis": f"WITH RECURSIVE {_v}, d AS (SELECT max(len(e)) AS d FROM v), p AS (SELECT i, avg(e[i]) AS m FROM v, d, unnest(range(1, d.d + 1)) AS t(i) GROUP BY i), c AS (SELECT i, j, avg(e[i] * e[j]) - any_value(p.m) * any_value(q.m) AS c FROM v, p, p AS q(j, m) GROUP BY i, j), mat AS (SELECT list(r ORDER BY i) AS rows FROM (SELECT i, list(c ORDER BY j) AS r FROM c GROUP BY i)), it AS (SELECT 0 AS k, list_transform(range(d.d), lambda x: 1 / sqrt(d.d)) AS a FROM d UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (SELECT k, list_transform(rows, lambda r: list_inner_product(r, a)) AS w FROM it, mat WHERE k < 12)), x AS (SELECT list_transform(a, lambda y: y * sign(a[1])) AS a FROM it WHERE k = 12) SELECT vec_id, round(list_inner_product(e, a) - list_inner_product((SELECT list(m ORDER BY i) FROM p), a), 5) AS coordinate FROM v, x",
         "x15_minmax": _norm_sql("list_transform(e, lambda v: (v - list_min(e)) / (list_max(e) - list_min(e)))"),
         "x15_zscore": _norm_sql("list_transform(e, lambda v: (v - list_avg(e)) / list_stddev_pop(e))"),
         "x15_unit": _norm_sql("list_transform(e, lambda v: v / sqrt(list_inner_product(e, e)))"),

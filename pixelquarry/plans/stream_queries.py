@@ -99,6 +99,11 @@ QUERIES = {
     "r07_thumbnails": lambda s, d: r.thumbnails(_rasters(s, d), 4).select("image", "height", "width", F.hex("pixels").alias("pixels")),
 }
 
+_fold = (
+    "CASE WHEN b.s = 'queued' AND b.g >= a.g THEN {'s': b.s, 'g': b.g, 'n': a.n, 'r': a.r} WHEN b.g <> a.g THEN {'s': a.s, 'g': a.g, 'n': a.n, 'r': a.r + 1} "
+    "WHEN b.s = 'running' AND a.s IN ('queued', 'new') THEN {'s': b.s, 'g': a.g, 'n': a.n + 1, 'r': a.r} "
+    "WHEN b.s IN ('succeeded', 'failed', 'canceled') AND a.s IN ('queued', 'running') THEN {'s': b.s, 'g': a.g, 'n': a.n, 'r': a.r} ELSE {'s': a.s, 'g': a.g, 'n': a.n, 'r': a.r + 1} END"
+)
 _ref = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
 _near = "b.i = (" + _ref.format("a.i // 8 + k.dy") + ") * 8 + (" + _ref.format("a.i % 8 + k.dx") + ")"
 _sobel = "k AS (SELECT unnest([-1, -1, 0, 0, 1, 1]) AS dy, unnest([-1, 1, -1, 1, -1, 1]) AS dx, unnest([-1, 1, -2, 2, -1, 1]) AS w)"
@@ -121,6 +126,7 @@ ORACLES = {
     for name, sql in {
         "k04_event_tail": "SELECT event_id, job_id, state FROM job_events WHERE event_id > 900",
         "k05_running_progress": "SELECT job_id, state, count(*) AS count FROM job_events GROUP BY ALL",
+        "k06_item_states": f"WITH l AS (SELECT job_id, item_id, list({{'s': state, 'g': generation, 'n': 0::BIGINT, 'r': 0::BIGINT}} ORDER BY event_id) AS e FROM job_events GROUP BY ALL), f AS (SELECT job_id, item_id, list_reduce(list_prepend({{'s': 'new', 'g': -1::BIGINT, 'n': 0::BIGINT, 'r': 0::BIGINT}}, e), lambda a, b: {_fold}) AS x FROM l) SELECT job_id, item_id, x.s AS state, x.n AS attempts, x.r AS rejected FROM f",
         "k08_burst_sessions": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY ts) >= 3600000000 THEN 1 ELSE 0 END AS nw FROM job_events), b AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT job_id, epoch_us(min(ts)) AS start_us, count(*) AS n, round(sum(ms), 4) AS total FROM b GROUP BY job_id, k",
         "k10_activity_windows": "SELECT epoch_us(date_trunc('day', ts)) AS start_us, state, count(*) AS n, round(sum(ms), 4) AS total FROM job_events GROUP BY ALL",
         "s04_annotation_facts": "SELECT image, CASE WHEN image % 13 = 0 THEN 'no JSON' WHEN image % 17 = 0 THEN 'no object' WHEN image % 19 = 0 THEN 'shapes is no list' END AS error, CASE WHEN image % 13 <> 0 AND image % 17 <> 0 AND image % 19 <> 0 THEN count(*) END AS shape_count, CASE WHEN image % 13 <> 0 AND image % 17 <> 0 AND image % 19 <> 0 THEN concat('img', image) END AS image_path, CASE WHEN image % 13 <> 0 AND image % 17 <> 0 AND image % 19 <> 0 THEN string_agg(DISTINCT label, ',' ORDER BY label) ELSE CASE WHEN image % 13 = 0 THEN '' ELSE '' END END AS labels FROM boxes GROUP BY image",
