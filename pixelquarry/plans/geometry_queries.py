@@ -11,7 +11,7 @@ from ..operators import features as ft
 from ..operators import predictions as pr
 from ..operators import search as se
 from ..scratch import positions
-from .search_queries import FNV
+from .search_queries import FNV, FNV16
 from .views import view, with_views
 
 W, H = 640, 240
@@ -356,6 +356,7 @@ ORACLES = {
         "x09_mask_components": f"WITH RECURSIVE {_runs_sql} SELECT image, count(*) AS parts, CAST(sum(area) AS BIGINT) AS area, CAST(max(area) AS BIGINT) AS largest FROM p GROUP BY image",
         "w12_largest_parts": f"WITH RECURSIVE {_runs_sql} SELECT image, CAST(area AS BIGINT) AS area, CAST(row_number() OVER (PARTITION BY image ORDER BY area DESC, component) AS INT) AS rank FROM p QUALIFY rank <= 2",
         "x16_prediction_key": "SELECT image, idx, concat('prediction:', lpad(format('{:x}', " + FNV.format("concat(label, '|', part)") + "), 8, '0')) AS prediction_key FROM boxes",
+        "x16_canonical_key": "WITH b AS (SELECT *, CAST(x0 AS BIGINT) AS a, CAST(y0 AS BIGINT) AS b, CAST(x1 AS BIGINT) AS c, CAST(y1 AS BIGINT) AS d FROM boxes), t AS (SELECT image, idx, concat('{\"modelId\":\"m\\\"1\",\"imagePath\":\"img/é𝄞/', image, '\",\"label\":\"', label, '\",\"score\":', CASE WHEN score = floor(score) THEN CAST(CAST(score AS BIGINT) AS STRING) ELSE CAST(score AS STRING) END, ',\"shape_type\":\"rectangle\",\"points\":[[', a, ',', b, '],[', c, ',', b, '],[', c, ',', d, '],[', a, ',', d, ']]}') AS t FROM b) SELECT image, idx, concat('prediction:', lpad(format('{:x}', " + FNV16.format("t") + "), 8, '0')) AS prediction_key FROM t",
         "x04_letterbox": "SELECT image, idx, least(greatest((x0 - 30) / 0.5, 0), 900)::DOUBLE AS x0, least(greatest((y0 - 16) / 0.5, 0), 300)::DOUBLE AS y0, least(greatest((x1 - 30) / 0.5, 0), 900)::DOUBLE AS x1, least(greatest((y1 - 16) / 0.5, 0), 300)::DOUBLE AS y1 FROM boxes",
         "x05_probabilities": f"WITH {_l}, {_soft} SELECT idx, round(q[1], 6) AS p0, round(q[2], 6) AS p1, round(q[3], 6) AS p2, round(1 / (1 + exp(-s[1])), 6) AS s0 FROM p",
         "x06_background": f"WITH {_l} SELECT idx, round(list_max(s[1:5]), 6) AS best FROM l",

@@ -123,6 +123,11 @@ _text = f"lower(concat_ws(' ', display_path, status, {_json('labels')}, {_json('
 FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({}, ''), lambda c: ord(c)::BIGINT)), lambda h, u: (xor(h, u) * 16777619) & 4294967295)"
 _w, _h = "coalesce(width, 0)", "coalesce(height, 0)"
 _ring = "len(list_filter(labels, lambda x: contains(lower(x), 'ring'))) > 0"
+#: The same over UTF-16 code units.
+FNV16 = (
+    "list_reduce(list_prepend(2166136261::BIGINT, flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN ord(c) < 65536 THEN [ord(c)::BIGINT] "
+    "ELSE [55296 + (ord(c)::BIGINT - 65536) // 1024, 56320 + (ord(c)::BIGINT - 65536) % 1024] END))), lambda h, u: (xor(h, u) * 16777619) & 4294967295)"
+)
 ORACLES = {
     name: with_views(sql)
     for name, sql in {

@@ -100,13 +100,13 @@ def test_rotated_suppression(spark):
     assert abs(pr.convex_overlap(pr.corners(0, 0, 2, 2, 0), pr.corners(1, 0, 2, 2, 0)) - 2) < 1e-9
 
 
-def test_mask_parts(spark, tmp_path):
+def test_mask_parts(spark):
     art = ["##..#", ".#..#", ".###.", ".....", "#.#.#"]
     runs = [("m", y, x, x) for y, line in enumerate(art) for x, c in enumerate(line) if c == "#"]
     df = spark.createDataFrame(runs, "image string, y long, x0 long, x1 long")
     joined = df.selectExpr("image", "y", "x0", "x1")
-    got = sorted(r["area"] for r in pr.mask_components(joined, f"file://{tmp_path}").collect())
+    got = sorted(r["area"] for r in pr.mask_components(joined).collect())
     assert sum(got) == len(runs)
     solid = spark.createDataFrame([("m", 0, 0, 1), ("m", 0, 4, 4), ("m", 1, 1, 1), ("m", 1, 4, 4), ("m", 2, 1, 3), ("m", 4, 0, 0)], "image string, y long, x0 long, x1 long")
-    parts = pr.largest(pr.mask_components(solid, f"file://{tmp_path}"), 2).orderBy("rank").collect()
+    parts = pr.largest(pr.mask_components(solid), 2).orderBy("rank").collect()
     assert [(r["area"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in parts] == [(6, 0, 0, 3, 2), (2, 4, 0, 4, 1)]
