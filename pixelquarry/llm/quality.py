@@ -206,17 +206,19 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, lea
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``max_train`` labelled rows."""
+    """Features and labels of at most ``max_train`` labelled documents, by doc_id.  Rows that repeat a doc_id count once, by
+    the least features, so no more rows than that go to the driver."""
     chosen = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "quality").limit(max_train).groupBy("doc_id").agg(F.min("quality").alias("quality"))  # 12 bytes a row, so small enough to broadcast
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, n, raw, off in chunks(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("quality").slice(row, n), pa.array(list(features(raw, off)), pa.list_(pa.float64()))], names=["quality", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), batch.column("quality").slice(row, n), pa.array(list(features(raw, off)), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    got = rows.select("text", "quality").mapInArrow(measure, "quality int, x array<double>").toPandas()
+    measured = rows.select("doc_id", "text", "quality").mapInArrow(measure, "doc_id long, quality int, x array<double>")
+    got = measured.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return x, got["quality"].to_numpy(np.float64)
 

@@ -63,3 +63,10 @@ def test_one_class_and_no_rows(spark):
     assert {x["predicted"] for x in ql.classify(docs, labels).collect()} == {1}
     assert len(ql.classify(docs, labels.limit(0)).collect()) == 2
     assert ql.classify(docs.limit(0), labels).count() == 0
+
+
+def test_repeated_rows_of_a_labelled_document_train_once(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 50 + [(1, "other words here"), (2, "x"), (3, None), (None, "y")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0), (9, 1), (None, 1)], "doc_id long, quality int")
+    x, y = ql.training_rows(docs, labels)
+    assert x.shape[0] == 3 and y.tolist() == [0.0, 1.0, 0.0]
