@@ -70,8 +70,7 @@ def number_text(value: Column) -> Column:
 
 def prediction_text(model: Column, image: Column, label: Column, score: Column, kind: Column, points: Column) -> Column:
     """A prediction as JSON text with its fields in the order that keys are made from."""
-    quoted = lambda v: F.substring(F.to_json(F.array(v)), 2, 1 << 30)
-    bare = lambda v: F.substr(quoted(v), F.lit(1), F.length(quoted(v)) - 1)
+    bare = lambda v: F.transform(F.array(F.to_json(F.array(v))), lambda t: F.substr(t, F.lit(2), F.length(t) - 2))[0]
     listed = F.array_join(F.transform(points, lambda p: F.concat(F.lit("["), F.array_join(F.transform(p, number_text), ","), F.lit("]"))), ",")
     fields = (("modelId", bare(model)), ("imagePath", bare(image)), ("label", bare(F.trim(label))), ("score", number_text(score)), ("shape_type", bare(kind)), ("points", F.concat(F.lit("["), listed, F.lit("]"))))
     parts = [x for k, v in fields for x in (F.lit(f',"{k}":'), v)]
