@@ -33,6 +33,7 @@ from .textkit import Words, chunks, gram_hashes, inside, ranges, slide, span_has
 WINDOW = 35
 ANCHOR = 8
 SHARD_BYTES = 1 << 22
+HELD_BYTES = 1 << 26
 FLUSH = 1 << 20
 _ENTRY = "shard int, keys binary, docs binary, runs binary, hashes binary, marks binary"
 _ENTRIES = pa.schema([("shard", pa.int32()), *((n, pa.binary()) for n in ("keys", "docs", "runs", "hashes", "marks"))])
@@ -71,10 +72,11 @@ def _runs(starts: np.ndarray) -> np.ndarray:
     return np.stack([starts[cut], np.diff(np.append(cut, len(starts)))], axis=1).astype(np.int32)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sketch.MAX_BITS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sketch.MAX_BITS, shard_bytes: int = SHARD_BYTES, limit: int = HELD_BYTES) -> DataFrame:
     """Rows (doc_id, text_key, runs) for rows of ``docs`` (doc_id, text) with repeated windows; a row may have
     several.  ``text_key`` is xxhash64(text); ``runs`` holds int32 pairs: first window, number of windows.  There is a shard
-    for every ``shard_bytes`` of text, so what one holds does not grow with the input."""
+    for every ``shard_bytes`` of text; of a shard with more than ``limit`` bytes of hashes (a passage in very many rows)
+    what repeats is answered as it comes, so what a task holds does not grow with the input."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).where(F.octet_length("text") >= 2 * window - 1)
     common = sketch.Lookup(rows, _anchor_keys(window), 1 / 80, (2,), max_bits)
@@ -148,7 +150,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sket
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        shard = -1
+        shard, size = -1, 0
         for batch in batches:
             for entry in batch.to_pylist():
                 if entry["marks"] is not None:
@@ -156,10 +158,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sket
                     yield _mark_batch([(doc, key)], [entry["marks"]])
                     continue
                 if entry["shard"] != shard:
-                    yield from _answer(held)
-                    held, shard = [], entry["shard"]
+                    yield from _answer(held)[0]
+                    held, shard, size = [], entry["shard"], 0
                 held.append(entry)
-        yield from _answer(held)
+                size += len(entry["hashes"])
+                if size > limit:  # what repeats so far is answered, and only its hashes and the others are kept
+                    marks, rest = _answer(held)
+                    yield from marks
+                    held, size = rest, 0
+        yield from _answer(held)[0]
 
     return common.rows.mapInArrow(candidates, _ENTRY).repartition(parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(group, _MARK)
 
@@ -177,10 +184,11 @@ def _mark_batch(keys: list[tuple[int, int]], runs: list[bytes]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([ids, pa.array([k[1] for k in keys], pa.int64()), pa.array(runs, pa.binary())], schema=_MARKS)
 
 
-def _answer(held: list[dict]) -> Iterator[pa.RecordBatch]:
-    """The windows of one shard that occur more than once, back to their documents."""
+def _answer(held: list[dict]) -> tuple[list[pa.RecordBatch], list[dict]]:
+    """The windows of one shard's entries that occur more than once, back to their documents; and one entry that stands
+    for all of these: each repeated window once, as known to repeat, and the others with their places."""
     if not held:
-        return
+        return [], []
     hashes = np.concatenate([np.frombuffer(e["hashes"], np.uint32).reshape(-1, 3) for e in held])
     run_parts, keys, known = [], [], np.zeros(len(hashes), bool)
     at = base = 0
@@ -205,16 +213,24 @@ def _answer(held: list[dict]) -> Iterator[pa.RecordBatch]:
         total = int(length.sum())
         doc_of[begin : begin + total] = np.repeat(doc, length)
         start_of[begin : begin + total] = ranges(first, length)
-    pick = np.flatnonzero(twice & (doc_of >= 0))
-    if not len(pick):
-        return
-    pick = pick[np.lexsort((start_of[pick], doc_of[pick]))]
     every = np.concatenate(keys)
-    out_keys, out_runs = [], []
-    for lo, hi in _groups(doc_of[pick]):
-        out_keys.append(tuple(every[doc_of[pick[lo]]].tolist()))
-        out_runs.append(_runs(start_of[pick[lo:hi]]).tobytes())
-    yield _mark_batch(out_keys, out_runs)
+
+    def placed(which: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        pick = np.flatnonzero(which & (doc_of >= 0))
+        pick = pick[np.lexsort((start_of[pick], doc_of[pick]))]
+        return pick, _groups(doc_of[pick])
+
+    pick, groups = placed(twice)
+    marks = [_mark_batch([tuple(every[doc_of[pick[lo]]].tolist()) for lo, _ in groups], [_runs(start_of[pick[lo:hi]]).tobytes() for lo, hi in groups])] if len(pick) else []
+    first = order[np.concatenate([[True], ~same])]
+    first = first[hit]
+    pick, groups = placed(~twice)
+    runs = [_runs(start_of[pick[lo:hi]]) for lo, hi in groups]
+    rest = {
+        "keys": np.concatenate([every[doc_of[pick[lo]]] for lo, _ in groups]).tobytes() if groups else b"", "docs": np.repeat(np.arange(len(groups)), [len(r) for r in runs]).astype(np.int32).tobytes(),
+        "runs": np.concatenate([np.array([[len(first), 0]], np.int32), *runs]).tobytes(), "hashes": hashes[np.concatenate([first, pick])].tobytes(), "marks": None,
+    }
+    return marks, [rest]
 
 
 def removed_words(n_words: int, runs: list[bytes], window: int = WINDOW) -> np.ndarray:
@@ -227,10 +243,10 @@ def removed_words(n_words: int, runs: list[bytes], window: int = WINDOW) -> np.n
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, max_bits: int = sketch.MAX_BITS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, max_bits: int = sketch.MAX_BITS, shard_bytes: int = SHARD_BYTES, limit: int = HELD_BYTES) -> DataFrame:
     """``docs`` (doc_id, text and any columns) with ``n_words``, ``n_removed`` and ``kept_text``: the words kept, joined
     by one space.  Columns of ``docs`` with these names are replaced."""
-    marks = repeated_windows(docs, window, max_bits, shard_bytes).groupBy("doc_id", "text_key").agg(F.collect_list("runs").alias("_runs"))
+    marks = repeated_windows(docs, window, max_bits, shard_bytes, limit).groupBy("doc_id", "text_key").agg(F.collect_list("runs").alias("_runs"))
     marks = marks.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_mark_key"), "_runs")
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     rows = docs.select(*kept).withColumn("_text_key", F.xxhash64("text"))

@@ -36,11 +36,11 @@ def cases():
     return rows
 
 
-@pytest.mark.parametrize("window,max_bits", [(35, 28), (5, 28), (35, 18), (35, 10), (5, 10)])
-def test_matches_brute_force(spark, window, max_bits):
+@pytest.mark.parametrize("window,max_bits,limit", [(35, 28, 1 << 26), (5, 28, 1 << 26), (35, 18, 1), (35, 10, 1 << 26), (5, 10, 1), (5, 28, 200)])
+def test_matches_brute_force(spark, window, max_bits, limit):
     rows = cases()
     docs = spark.createDataFrame(rows, DOCS).repartition(5)
-    got = sd.digest(sd.dedup_substrings(docs, window, max_bits))
+    got = sd.digest(sd.dedup_substrings(docs, window, max_bits, limit=limit))
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, window)
 
 
