@@ -86,17 +86,15 @@ class Vocabulary:
         return place, self.known[place] == word
 
     def kinds(self, word: np.ndarray) -> np.ndarray:
-        place, known = self.at(word)
-        out = len(self.total) - self.rest + word % max(1, self.rest)
-        out[known] = self.of[place[known]]
-        return out
+        return self.kinds_and_shares(word)[0]
 
-    def base(self, word: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        """Log share in its class of each known word, of others without the log of their own count."""
+    def kinds_and_shares(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class of each word, log of its share in the class, of words that are not known without the log of their own
+        count)."""
         place, known = self.at(word)
-        out = -np.log(self.total[kinds])
-        out[known] += np.log(self.n[place[known]])
-        return out
+        kinds = np.where(known, self.of[place], len(self.total) - self.rest + word % max(1, self.rest)) if len(self.known) else len(self.total) - self.rest + word % max(1, self.rest)
+        shares = -np.log(self.total)[kinds]
+        return kinds, shares + np.where(known, np.log(self.n)[place], 0.0) if len(self.known) else shares
 
 
 def vocabulary(counts: DataFrame, classes: int = CLASSES, known: int = KNOWN) -> Vocabulary:
@@ -196,23 +194,34 @@ class Network:
             h += self.tables[place][context[:, place]]
         return np.tanh(h)
 
+    def may_overflow(self) -> bool:
+        """Whether some output can be so far from 0 that its exponential needs care; hidden values are within 1."""
+        return bool((np.abs(self.out).sum(axis=0) + np.abs(self.out_bias)).max() > 60)
+
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability of each target class between its context's."""
         out = np.empty(len(target), np.float64)
-        for i in range(0, len(target), 4096):
-            z = self.hidden(context[i : i + 4096]) @ self.out + self.out_bias
-            z -= z.max(axis=1, keepdims=True)
-            out[i : i + 4096] = z[np.arange(len(z)), target[i : i + 4096]] - np.log(np.exp(z).sum(axis=1))
+        rows, large = np.arange(512), self.may_overflow()
+        for i in range(0, len(target), 512):  # as many as stay in a core's cache
+            z = self.hidden(context[i : i + 512]) @ self.out
+            z += self.out_bias
+            if large:
+                z -= z.max(axis=1, keepdims=True)
+            mine = z[rows[: len(z)], target[i : i + 512]]
+            np.exp(z, out=z)
+            out[i : i + 512] = mine - np.log(z.sum(axis=1))
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean negative log probability."""
         h = self.hidden(context)
-        z = h @ self.out + self.out_bias
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), target] -= 1
-        p *= rate / len(p)
+        p = h @ self.out
+        p += self.out_bias
+        if self.may_overflow():
+            p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p *= (rate / len(p)) / p.sum(axis=1, keepdims=True)
+        p[np.arange(len(p)), target] -= rate / len(p)
         back = (p @ self.out.T) * (1 - h * h)
         self.out -= h.T @ p
         self.out_bias -= p.sum(axis=0)
@@ -303,8 +312,8 @@ def score(docs: DataFrame, classes: int = CLASSES, every: int = EVERY, rounds: i
             n, total = [np.empty(0, np.int64)], [np.empty(0)]
             for _, _, raw, off in chunks(batch.column("text")):
                 word, first = hashed(raw, off)
-                kinds = words.kinds(word)
-                p = network.log_probability(contexts(kinds, first, classes), kinds) + words.base(word, kinds)
+                kinds, shares = words.kinds_and_shares(word)
+                p = network.log_probability(contexts(kinds, first, classes), kinds) + shares
                 count = np.diff(first)
                 sums = np.zeros(len(count))
                 if len(p):  # each document by itself, so that its sum does not depend on what is beside it
