@@ -195,6 +195,31 @@ def edge_distance(points: Column, x: Column, y: Column, closed: bool = True) ->
     return F.array_min(F.transform(F.sequence(F.lit(0), last), one))
 
 
+def edges(points: Column) -> Column:
+    """Edges of a closed shape as struct x, y (begin), dx, dy (to the end) and square (of the length)."""
+    after = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+    sides = F.zip_with(points, after, lambda a, b: F.struct(a[0].alias("x"), a[1].alias("y"), (b[0] - a[0]).alias("dx"), (b[1] - a[1]).alias("dy")))
+    return F.transform(sides, lambda e: F.struct(e["x"].alias("x"), e["y"].alias("y"), e["dx"].alias("dx"), e["dy"].alias("dy"), (e["dx"] * e["dx"] + e["dy"] * e["dy"]).alias("square")))
+
+
+def distance_to_edges(sides: Column, x: Column, y: Column) -> Column:
+    """The same as ``edge_distance`` from edges that were made once per shape."""
+
+    def square(e: Column) -> Column:
+        ux, uy = x - e["x"], y - e["y"]
+        along, across = ux * e["dx"] + uy * e["dy"], ux * e["dy"] - uy * e["dx"]
+        far = (ux - e["dx"]) * (ux - e["dx"]) + (uy - e["dy"]) * (uy - e["dy"])
+        return F.when(along <= 0, ux * ux + uy * uy).when(along >= e["square"], far).otherwise(across * across / e["square"])
+
+    return F.sqrt(F.array_min(F.transform(sides, square)))
+
+
+def inside_edges(sides: Column, x: Column, y: Column) -> Column:
+    """The same as ``in_polygon`` from edges."""
+    crosses = lambda e: ((e["y"] > y) != (e["y"] + e["dy"] > y)) & (x < e["dx"] * (y - e["y"]) / F.nullif(e["dy"], F.lit(0.0)) + e["x"])
+    return (F.size(sides) >= 3) & (F.size(F.filter(sides, crosses)) % 2 == 1)
+
+
 def compose(first: Column, then: Column) -> Column:
     """Affine maps as struct a, b, c, d, e, f (x' = a x + c y + e, y' = b x + d y + f): ``first``, then ``then``."""
     f, t = first, then

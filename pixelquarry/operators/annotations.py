@@ -163,17 +163,17 @@ def hits(points: DataFrame, shapes: DataFrame, tolerance: float = 4.0, cell: flo
     """Shapes under each point (image, point_id, x, y), best first: edges before interiors, then the nearer edge, the
     smaller area, the later shape.  Points and bounds meet by grid cell, so a dense image is many keys."""
     box = g.bounds(F.col("points"))
-    bounded = shapes.select("image", "idx", "points", box.alias("_b")).select("image", "idx", "points", *(F.col(f"_b.{c}").alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")))
+    bounded = shapes.select("image", "idx", g.edges(F.col("points")).alias("_edges"), g.area(F.col("points")).alias("area"), box.alias("_b"))
+    bounded = bounded.select("image", "idx", "_edges", "area", *(F.col(f"_b.{c}").alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")))
     reach = lambda a, b: F.sequence(F.floor((F.col(a) - tolerance) / cell), F.floor((F.col(b) + tolerance) / cell))
     spread = bounded.withColumn("_cx", F.explode(reach("_x0", "_x1"))).withColumn("_cy", F.explode(reach("_y0", "_y1")))
     asked = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
     near = (F.col("x") >= F.col("_x0") - tolerance) & (F.col("x") <= F.col("_x1") + tolerance) & (F.col("y") >= F.col("_y0") - tolerance) & (F.col("y") <= F.col("_y1") + tolerance)
     met = asked.join(spread, ["image", "_cx", "_cy"]).where(near)
-    p, x, y = F.col("points"), F.col("x"), F.col("y")
-    facts = F.struct(g.edge_distance(p, x, y).alias("distance"), g.in_polygon(p, x, y).alias("inside"), g.area(p).alias("area"))
-    # exploding a list of one keeps the optimiser from computing the facts again wherever one is named
-    met = met.select("image", "point_id", "idx", F.explode(F.array(facts)).alias("f")).select("image", "point_id", "idx", "f.*")
-    met = met.withColumn("on_edge", F.col("distance") <= tolerance).where("on_edge OR inside")
+    sides, x, y = F.col("_edges"), F.col("x"), F.col("y")
+    # exploding a list of one keeps the optimiser from computing the distance again wherever it is named
+    met = met.withColumn("distance", F.explode(F.array(g.distance_to_edges(sides, x, y)))).withColumn("on_edge", F.col("distance") <= tolerance)
+    met = met.where(F.when(F.col("on_edge"), True).otherwise(g.inside_edges(sides, x, y))).select("image", "point_id", "idx", "distance", "on_edge", "area")
     order = Window.partitionBy("image", "point_id").orderBy(F.desc("on_edge"), F.when(F.col("on_edge"), F.col("distance")), "area", "distance", F.desc("idx"))
     return met.withColumn("rank", F.row_number().over(order)).select("image", "point_id", "idx", "on_edge", "distance", "area", "rank")
 

@@ -138,7 +138,8 @@ def _runs(spark, sf):
 def _flagged(spark, sf):
     """Quality flags of boxes, some of them without anything, without points, of one place or without a label."""
     part = F.col("part")
-    s = _shapes(spark, sf).withColumn("width", F.lit(600)).join(view(spark, sf, "boxes").select("image", "idx", "part"), ["image", "idx"])
+    box = g.rectangle(*(F.col(c) for c in ("x0", "y0", "x1", "y1")))
+    s = view(spark, sf, "boxes").withColumns({"shape_type": F.lit("rectangle"), "points": box, "width": F.lit(600), "height": F.lit(H)})
     one = F.array(*(F.array("x0", "y0") for _ in range(2)))
     points = F.when((part % 29 == 0) | (part % 31 == 0), None).when(part % 37 == 0, one).when(part % 41 == 0, F.array(F.array("x0", F.lit(float("nan"))))).otherwise(F.col("points"))
     label, kind = F.when((part % 29 == 0) | (part % 43 == 0), None).otherwise(F.col("label")), F.when(part % 29 == 0, None).when(part % 37 == 0, "point").otherwise(F.col("shape_type"))
