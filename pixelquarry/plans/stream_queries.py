@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rasters as r
+from ..operators import search
 from ..scratch import shared_dir
-from ..sources import files
+from ..sources import files, snapshots
 from ..streaming import jobs
 from .views import VIEWS, view, with_views
 
@@ -38,17 +42,56 @@ def _drained(frame_of, mode: str):
     return run
 
 
-def _states(spark, sf):
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that stateful processors need, for streams that end here."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # for this stream, which ends here
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = _drained(lambda s, d: jobs.item_states(_events(s, d)), "update")(spark, sf)
+        yield
     finally:
         spark.conf.set(name, before)
+
+
+def _states(spark, sf):
+    with rocks_state(spark):
+        out = _drained(lambda s, d: jobs.item_states(_events(s, d)), "update")(spark, sf)
     return out.groupBy("job_id", "item_id").agg(F.max_by("state", "attempts").alias("state"), F.max("attempts").alias("attempts"), F.sum("rejected").alias("rejected"))
 
 
+def _pairing(spark, sf):
+    """Image and annotation files that come in by parts, in any order, some twice and some of an older scan."""
+    columns = ["path", "rel_stem", "stem", "broken"]
+    every = view(spark, sf, "image_files").select(F.lit("image").alias("kind"), *columns).unionByName(view(spark, sf, "annotation_files").select(F.lit("annotation").alias("kind"), *columns))
+    every = every.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(3)))
+    where = shared(spark)
+    with rocks_state(spark):
+        for part in range(3):  # each is a run of its own, which goes on where the one before ended
+            sent = every.where(F.col("part") == part).withColumn("generation", F.lit(1).cast("long"))
+            late = every.where((F.col("part") == part - 1) & F.startswith("path", F.lit("img/1"))).select("*", F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("generation"))
+            sent.unionByName(late).drop("part").write.mode("append").parquet(f"{where}/files")
+            stream = jobs.pairing(spark.readStream.schema(sent.drop("part").schema).parquet(f"{where}/files"))
+            jobs.register(stream, f"{where}/index", f"{where}/checkpoint", 1).awaitTermination()
+    return jobs.registered(spark, f"{where}/index", 1).select("kind", F.col("asset_id").alias("path"), "status")
+
+
+def _snapshots(spark, sf):
+    """A walk through a data set that is written anew behind its first page, and the first page of a walk after that."""
+    assets, root = view(spark, sf, "assets").where("dataset_id = 'ds1'"), shared(spark)
+    snapshots.create(spark, root)
+    old = snapshots.write(assets.where("index_revision < 3"), root, "ds1")
+    begun = snapshots.page(spark, root, old, 100)
+    last = begun.where("total > 100").collect()[99:100]
+    begun = begun.limit(100)
+    new = snapshots.write(snapshots.read(spark, root, old).drop("index_revision").unionByName(assets.where("index_revision >= 3").drop("index_revision")), root, "ds1")
+    rest = snapshots.read(spark, root, old).where(search.after(*(last[0][c] for c in ("selectable", "display_path", "asset_id"))) if last else F.lit(False))
+    rest = rest.withColumn("stale", F.lit(snapshots.is_stale(spark, root, old)))
+    fresh = snapshots.page(spark, root, new, 100).limit(100)
+    parts = [("first", begun), ("rest", rest), ("new", fresh)]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("part"), "asset_id", F.col("index_revision").alias("revision"), "stale") for n, df in parts])
+
+
 def _rasters(spark, sf):
     """Vectors as 8 x 8 grey images."""
     e = view(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("image"), F.transform(F.slice("embedding", 1, 64), lambda v: F.pmod(F.floor(v * 256), F.lit(256))).alias("v"))
@@ -74,6 +117,8 @@ QUERIES = {
     "k04_event_tail": _drained(lambda s, d: jobs.tail(_events(s, d), 900).select("event_id", "job_id", "state"), "append"),
     "k05_running_progress": _drained(lambda s, d: jobs.progress(_events(s, d)), "complete"),
     "k06_item_states": _states,
+    "k01_pairing": _pairing,
+    "s06_snapshots": _snapshots,
     "k08_burst_sessions": _drained(lambda s, d: jobs.burst_sessions(_events(s, d), "1 hour").select("job_id", F.unix_micros("start").alias("start_us"), "n", F.round("total", 4).alias("total")), "complete"),
     "k10_activity_windows": _drained(lambda s, d: jobs.activity(_events(s, d), "24 hours").select(F.unix_micros("start").alias("start_us"), "state", "n", F.round("total", 4).alias("total")), "complete"),
     "s04_annotation_facts": lambda s, d: files.annotation_facts(_documents(s, d)).select("image", "error", F.col("shape_count").cast("long").alias("shape_count"), "image_path", F.array_join("labels", ",").alias("labels")),
@@ -127,6 +172,8 @@ ORACLES = {
         "k04_event_tail": "SELECT event_id, job_id, state FROM job_events WHERE event_id > 900",
         "k05_running_progress": "SELECT job_id, state, count(*) AS count FROM job_events GROUP BY ALL",
         "k06_item_states": f"WITH l AS (SELECT job_id, item_id, list({{'s': state, 'g': generation, 'n': 0::BIGINT, 'r': 0::BIGINT}} ORDER BY event_id) AS e FROM job_events GROUP BY ALL), f AS (SELECT job_id, item_id, list_reduce(list_prepend({{'s': 'new', 'g': -1::BIGINT, 'n': 0::BIGINT, 'r': 0::BIGINT}}, e), lambda a, b: {_fold}) AS x FROM l) SELECT job_id, item_id, x.s AS state, x.n AS attempts, x.r AS rejected FROM f",
+        "k01_pairing": "WITH f AS (SELECT 'image' AS kind, path, lower(stem) AS k, broken FROM image_files UNION ALL SELECT 'annotation', path, lower(stem), broken FROM annotation_files), c AS (SELECT k, count(*) FILTER (kind = 'image') AS n, count(*) FILTER (kind = 'annotation') AS m, bool_or(broken) FILTER (kind = 'annotation') AS b FROM f GROUP BY k) SELECT kind, path, CASE WHEN kind = 'annotation' THEN CASE WHEN n = 0 THEN 'orphan_annotation' ELSE 'used' END WHEN m = 0 THEN 'hidden' WHEN n > 1 OR m > 1 THEN 'duplicate_match' WHEN broken THEN 'corrupt_image' WHEN b THEN 'corrupt_annotation' ELSE 'valid' END AS status FROM f JOIN c USING (k)",
+        "s06_snapshots": "WITH o AS (SELECT asset_id, row_number() OVER (ORDER BY selectable DESC, display_path, asset_id) AS i FROM assets WHERE dataset_id = 'ds1' AND index_revision < 3), n AS (SELECT asset_id, row_number() OVER (ORDER BY selectable DESC, display_path, asset_id) AS i FROM assets WHERE dataset_id = 'ds1') SELECT CASE WHEN i <= 100 THEN 'first' ELSE 'rest' END AS part, asset_id, CAST(1 AS BIGINT) AS revision, i > 100 AS stale FROM o UNION ALL SELECT 'new', asset_id, 2, false FROM n WHERE i <= 100",
         "k08_burst_sessions": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY ts) >= 3600000000 THEN 1 ELSE 0 END AS nw FROM job_events), b AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT job_id, epoch_us(min(ts)) AS start_us, count(*) AS n, round(sum(ms), 4) AS total FROM b GROUP BY job_id, k",
         "k10_activity_windows": "SELECT epoch_us(date_trunc('day', ts)) AS start_us, state, count(*) AS n, round(sum(ms), 4) AS total FROM job_events GROUP BY ALL",
         "s04_annotation_facts": "SELECT image, CASE WHEN image % 13 = 0 THEN 'no JSON' WHEN image % 17 = 0 THEN 'no object' WHEN image % 19 = 0 THEN 'shapes is no list' END AS error, CASE WHEN image % 13 <> 0 AND image % 17 <> 0 AND image % 19 <> 0 THEN count(*) END AS shape_count, CASE WHEN image % 13 <> 0 AND image % 17 <> 0 AND image % 19 <> 0 THEN concat('img', image) END AS image_path, CASE WHEN image % 13 <> 0 AND image % 17 <> 0 AND image % 19 <> 0 THEN string_agg(DISTINCT label, ',' ORDER BY label) ELSE CASE WHEN image % 13 = 0 THEN '' ELSE '' END END AS labels FROM boxes GROUP BY image",

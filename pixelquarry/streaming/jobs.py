@@ -74,6 +74,70 @@ def item_states(stream: DataFrame) -> DataFrame:
     return stream.groupBy("job_id", "item_id").transformWithStateInPandas(ItemStates(), "job_id string, item_id string, state string, attempts long, rejected long", "Update", "None")
 
 
+class Pairing(StatefulProcessor):
+    """The files of one match key seen so far, and what they make of each other.
+
+    Of n images and m annotations of a key only whether each is none, one or more matters.  When that changes, every
+    file of the key comes out again with its new status; else only new files and files whose content changed do.  So a
+    file comes out a bounded number of times, however many batches its key is spread over, and a popular key is read
+    again only at those changes.  A file that is sent again unchanged changes nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.files = handle.getMapState("files", "kind string, path string", "broken boolean")
+        self.sizes = handle.getValueState("sizes", "images long, annotations long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        images, annotations = self.sizes.get() if self.sizes.exists() else (0, 0)
+        before = (min(images, 2), min(annotations, 2))
+        news: dict[tuple[str, str], bool] = {}
+        for part in rows:
+            for file in part[["kind", "path", "broken"]].itertuples(index=False, name=None):
+                kind, path, broken = file[0], file[1], bool(file[2])
+                known = self.files.containsKey((kind, path))
+                if known and self.files.getValue((kind, path))[0] == broken:
+                    continue
+                self.files.updateValue((kind, path), (broken,))
+                images, annotations = images + (not known and kind == "image"), annotations + (not known and kind == "annotation")
+                news[kind, path] = broken
+        self.sizes.update((images, annotations))
+        now = (min(images, 2), min(annotations, 2))
+        every = now != before or now == (1, 1)
+        broken_annotation = now == (1, 1) and any(v[0] for k, v in self.files.iterator() if k[0] == "annotation")
+        out = []
+        for (kind, path), broken in ((tuple(k), v[0]) for k, v in self.files.iterator()) if every and news else news.items():
+            out.append((*key, kind, path, self._status(kind, broken, *now, broken_annotation)))
+            if len(out) == 10_000:
+                yield pd.DataFrame(out, columns=_PAIRED)
+                out = []
+        yield pd.DataFrame(out, columns=_PAIRED)
+
+    @staticmethod
+    def _status(kind: str, broken: bool, images: int, annotations: int, broken_annotation: bool) -> str:
+        if kind == "annotation":
+            return "used" if images else "orphan_annotation"
+        if not annotations:
+            return "hidden"
+        if images > 1 or annotations > 1:
+            return "duplicate_match"
+        return "corrupt_image" if broken else "corrupt_annotation" if broken_annotation else "valid"
+
+    def close(self) -> None:
+        pass
+
+
+_PAIRED = ["generation", "match_key", "kind", "asset_id", "status"]
+_KEYS = {"relative_stem": "rel_stem", "same_directory": r"regexp_replace(path, r'\.[^./]*$', '')", "basename": "lower(stem)"}
+
+
+def pairing(stream: DataFrame, strategy: str = "basename") -> DataFrame:
+    """Files (generation, kind: image or annotation, path, rel_stem, stem, broken) as they come in, paired over all batches so
+    far: whenever a partner, a second candidate or a late orphan comes, the new status of each file that it changes.
+    The newest status of each path (``registered``) is what pairing all files at once gives; images without a candidate
+    are hidden, annotations with an image used.  Needs the RocksDB state store."""
+    keyed = stream.select("generation", F.expr(_KEYS[strategy]).alias("match_key"), "kind", "path", F.coalesce("broken", F.lit(False)).alias("broken"))
+    return keyed.groupBy("generation", "match_key").transformWithStateInPandas(Pairing(), "generation long, match_key string, kind string, asset_id string, status string", "Update", "None")
+
+
 def register(stream: DataFrame, index: str, checkpoint: str, generation: int) -> StreamingQuery:
     """Scan items appended to the index batch by batch; a batch that runs again writes its own folder again, items of
     another generation are left out."""

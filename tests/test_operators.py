@@ -49,12 +49,6 @@ def test_conditions_that_are_errors(query):
         s.condition(query)
 
 
-@pytest.mark.parametrize("pattern", ["(?=x)", r"(a)\1", "(a+)+", "(a|b)*", ".*a.*", "x" * 257, "("])
-def test_patterns_that_are_errors(pattern):
-    with pytest.raises(ValueError):
-        s.regex(pattern)
-
-
 def test_facets_of_unknown_counts(assets):
     ids = lambda c: sorted(r["asset_id"] for r in assets.where(c).collect())
     assert ids(s.facets(None, False)) == ["b", "c"] and ids(s.facets(None, True)) == ["a", "d"] and ids(s.facets("exception")) == ["b"]
