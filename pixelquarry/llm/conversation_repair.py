@@ -41,12 +41,13 @@ SPACE = " \t\n\x0b\x0c\r"
 #: Costs of edits.
 RENAME, DELETE, INSERT, TRUNCATED = 2, 3, 2, 1
 START, SYSTEM, USER, ASSISTANT = range(4)
-PLAIN, CUT, FORCED = range(3)
+PLAIN, CUT, BLANK, AGAIN = range(4)  # what a row is; the last two must go
+FORCED = BLANK
 INITIALS = "sua"
 ROLES = {USER: "user", ASSISTANT: "assistant"}
 _NEXT = {START: USER, SYSTEM: USER, ASSISTANT: USER, USER: ASSISTANT}  # where an inserted or renamed message leads
 _KEEP = {(START, 0): SYSTEM, (START, 1): USER, (SYSTEM, 1): USER, (ASSISTANT, 1): USER, (USER, 2): ASSISTANT}
-_ILLEGAL = np.array([[(a, b) not in ((0, 1), (1, 2), (2, 1)) for b in range(4)] for a in range(4)])
+_ILLEGAL = [[(a, b) not in ((0, 1), (1, 2), (2, 1)) for b in range(4)] for a in range(4)]
 _STATS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
 _EDITS = "conv string, has_turn boolean, turn long, tie binary, block long, codes binary, letters string, place int, last boolean, " + ", ".join(f"`{c}` long" for c in _STATS)
 
@@ -158,40 +159,34 @@ class _Scan:
 
     def __init__(self, conv: str | None, block: int):
         self.conv, self.block, self.spilled = conv, block, 0
-        self.state = self.cost = self.blank = self.duplicate = self.truncated = self.illegal = self.turns = 0
+        self.state = self.cost = self.illegal = self.turns = 0
+        self.faults = [0] * 4
         self.first = self.last = self.initial = self.tie = None
         self.codes: list[int] = []
         self.key: tuple = (False, 0, None)
 
-    def add(self, part: pd.DataFrame) -> Iterator[tuple]:
-        has, turn, tie, initial = (part[c].to_numpy() for c in ("has_turn", "turn", "tie", "initial"))
-        if not len(part):
-            return
-        same = np.concatenate([[self.tie == (has[0], turn[0], tie[0])], (tie[1:] == tie[:-1]) & (turn[1:] == turn[:-1]) & (has[1:] == has[:-1])])
-        self.tie = (has[-1], turn[-1], tie[-1])
-        blank, again = part["blank"].to_numpy(), part["later"].to_numpy() | same
-        again = again & ~blank
-        cut = part["cut"].to_numpy() & ~blank & ~again
-        self.blank, self.duplicate, self.truncated = self.blank + int(blank.sum()), self.duplicate + int(again.sum()), self.truncated + int(cut.sum())
-        before = np.concatenate([[initial[0] if self.initial is None else self.initial], initial[:-1]])
-        self.illegal += int(_ILLEGAL[before, initial].sum()) - (self.initial is None and bool(_ILLEGAL[initial[0], initial[0]]))
-        self.initial = initial[-1]
-        numbered = turn[has]
-        if len(numbered):
-            self.turns += int((np.diff(numbered) != 0).sum()) + (self.last is None or self.last != numbered[0])
-            self.first, self.last = int(numbered[0]) if self.first is None else self.first, int(numbered[-1])
-        auto, state = automaton(), self.state
-        for i, symbol in enumerate((np.where(blank | again, FORCED, np.where(cut, CUT, PLAIN)) * 4 + initial).tolist()):
+    def add(self, rows: Iterator[tuple[bool, int, bytes, int, int]]) -> Iterator[tuple]:
+        """Rows (has turn, turn, tie, kind, initial) in order; the blocks that they fill."""
+        auto = automaton()
+        for has, turn, tie, kind, initial in rows:
+            if kind != BLANK and self.tie == (has, turn, tie):
+                kind = AGAIN
+            self.tie = (has, turn, tie)
+            self.faults[kind] += 1
+            self.illegal += self.initial is not None and _ILLEGAL[self.initial][initial]
+            self.initial = initial
+            if has and turn != self.last:
+                self.turns, self.last = self.turns + 1, turn
+                self.first = turn if self.first is None else self.first
             if len(self.codes) == self.block:
                 yield self.row(codes=True)
                 self.codes, self.spilled = [], self.spilled + 1
             if not self.codes:
-                self.key = (bool(has[i]), int(turn[i]), tie[i])
-            code = state * 12 + symbol
+                self.key = (has, turn, tie)
+            code = self.state * 12 + min(kind, FORCED) * 4 + initial
             self.codes.append(code)
             self.cost += auto.rise[code]
-            state = auto.next[code]
-        self.state = state
+            self.state = auto.next[code]
 
     def row(self, codes: bool) -> tuple:
         return (self.conv, *self.key, self.spilled, np.array(self.codes, np.uint16).tobytes() if codes else None, None, None, False, *[None] * len(_STATS))
@@ -201,7 +196,7 @@ class _Scan:
         cost, place, letters = automaton().end[self.state]
         gaps = min((1 << 63) - 1, self.last - self.first + 1 - self.turns) if self.turns else 0
         done = None if self.spilled else "".join(traced(np.array(self.codes, np.uint16), place)[1]) + letters
-        return (*self.row(codes=bool(self.spilled))[:6], done, place, True, gaps, self.blank, self.duplicate, self.truncated, self.illegal, self.cost + cost)
+        return (*self.row(codes=bool(self.spilled))[:6], done, place, True, gaps, self.faults[BLANK], self.faults[AGAIN], self.faults[CUT], self.illegal, self.cost + cost)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
@@ -217,14 +212,17 @@ def edits(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         now: _Scan | None = None
         for batch in batches:
             out: list[tuple] = []
-            for lo, hi in _runs(batch["conv"].to_numpy(dtype=object)):
-                part = batch.iloc[lo:hi]
-                conv = part["conv"].iloc[0]
-                if now is None or now.conv != conv:
+            conv, keep = batch["conv"].to_numpy(dtype=object), ~batch["dropped"].to_numpy(dtype=bool)
+            upto = np.concatenate([[0], np.cumsum(keep)]).tolist()
+            blank, later, cut = (batch[c].to_numpy(dtype=bool)[keep] for c in ("blank", "later", "cut"))
+            kind = np.where(blank, BLANK, np.where(later, AGAIN, np.where(cut, CUT, PLAIN)))
+            columns = [*(batch[c].to_numpy()[keep].tolist() for c in ("has_turn", "turn", "tie")), kind.tolist(), batch["initial"].to_numpy()[keep].tolist()]
+            for lo, hi in _runs(conv):
+                if now is None or now.conv != conv[lo]:
                     if now is not None:
                         out.append(now.end())
-                    now = _Scan(conv, block)
-                out.extend(now.add(part[~part["dropped"].to_numpy(dtype=bool)]))
+                    now = _Scan(conv[lo], block)
+                out.extend(now.add(zip(*(c[upto[lo] : upto[hi]] for c in columns), strict=True)))
             yield _frame(out, names)
         if now is not None:
             yield _frame([now.end()], names)
