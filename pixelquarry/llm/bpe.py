@@ -225,12 +225,20 @@ class Encoder(PieceCache):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.forget()
 
     def split(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return split_points(raw, off)
+        begin, whole = split_points(raw, off)
+        data = raw.tobytes()
+        for token in self.added:  # the tokenizer takes these out of a text before it splits it
+            at = data.find(token)
+            while at >= 0:
+                text = int(np.searchsorted(off, at, "right")) - 1
+                whole[text] |= at + len(token) <= off[text + 1]
+                at = data.find(token, at + 1)
+        return begin, whole
 
     def solve(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = raw.tobytes()

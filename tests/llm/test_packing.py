@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from pixelquarry.llm import packing
 from pixelquarry.llm.bpe import encoder
@@ -16,7 +17,8 @@ PATH = packing.tokenizer_path()
 
 
 def own(texts):
-    return [e.ids for e in encoder(PATH).tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    plain = Tokenizer.from_file(PATH)
+    return [e.ids for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def by_chunks(texts, limit):
@@ -39,6 +41,13 @@ def test_ids_of_odd_texts():
     assert by_chunks(texts, 1 << 20) == own(texts)
 
 
+def test_added_tokens_in_texts_are_ids_of_their_own():
+    end = "<|endoftext|>"
+    texts = [f"{end}a b", f"a b {end}", f"a {end} b {end} c", f"x{end}{end}", "<|endof", "text|>", "a <|endoftext|", f"one\n\n{end}  two"]
+    assert by_chunks(texts, 1 << 20) == by_chunks(texts, 1) == own(texts)
+    assert by_chunks(["hello <|endoftext|> world"], 1 << 20) == [[31373, 220, 50256, 995]]
+
+
 def checked(got, rows, length=2048):
     """Every id in exactly one piece, pieces gapless in full sequences; the pieces by sequence."""
     ids = Counter((d, tuple(x + [1])) for (d, _, _), x in zip(rows, own([t for _, t, _ in rows]), strict=True))
