@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import stored
 from .textkit import chunks, lowered, mix, span_hashes
 
 # The base patterns and their least lengths.
@@ -54,7 +55,7 @@ KERNEL = 5
 BATCH = 64
 MAX_EACH = 20_000
 RECALL = 0.98
-BUCKETS, BINS, REACH = 1 << 16, 8000, 20.0
+DIGIT, BINS, REACH = 16, 8000, 20.0
 
 
 def _table(members: bytes) -> np.ndarray:
@@ -333,6 +334,24 @@ def _held(mark: np.ndarray) -> np.ndarray:
     return mark.view(np.uint64) % np.uint64(4) == 3
 
 
+def least_marks(marks: DataFrame, most: int) -> int:
+    """The greatest number up to which at most ``most`` of the unsigned marks lie; -1 stands for none.  The bucket of leading
+    bits that would overflow is refined by the next ``DIGIT`` bits, down to single marks."""
+    prefix, shift = 0, 64
+    while shift and most > 0:
+        shift -= DIGIT
+        here = marks if shift + DIGIT == 64 else marks.where(F.shiftrightunsigned("mark", shift + DIGIT) == prefix)
+        digit = F.shiftrightunsigned("mark", shift).bitwiseAND((1 << DIGIT) - 1).cast("int").alias("digit")
+        n = np.zeros(1 << DIGIT, np.int64)
+        for r in here.groupBy(digit).count().collect():
+            n[r["digit"]] = r["count"]
+        fit = int(np.searchsorted(np.cumsum(n), most, "right"))
+        prefix, most = (prefix << DIGIT) + fit, most - int(n[:fit].sum())
+        if fit == len(n):
+            break
+    return (prefix << shift) - 1
+
+
 def draw(docs: DataFrame, max_each: int = MAX_EACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(windows, labels, hashes) of at most ``max_each`` findings and others, by hash over all texts."""
 
@@ -341,18 +360,13 @@ def draw(docs: DataFrame, max_each: int = MAX_EACH) -> tuple[np.ndarray, np.ndar
             for *_, label, mark in _labelled(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(mark)], names=["label", "mark"])
 
-    bucket = F.shiftrightunsigned("mark", 48).cast("int").alias("bucket")
-    found = docs.select("text").mapInArrow(count, "label int, mark long").distinct().groupBy("label", bucket).count().toPandas()
-    last = {}
-    for label in (0, 1):
-        mine = found[found["label"] == label]
-        n = np.bincount(mine["bucket"].to_numpy(np.int64), mine["count"].to_numpy(np.int64), BUCKETS)
-        last[label] = max(1, int(np.searchsorted(np.cumsum(n), max_each, "right")))  # the buckets before it hold at most max_each
+    marks = stored(docs.select("text").mapInArrow(count, "label int, mark long").distinct(), "marks")
+    last = {label: least_marks(marks.where(F.col("label") == label), max_each) for label in (0, 1)}
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw, off, read, start, end, label, mark in _labelled(batch.column("text")):
-                keep = np.flatnonzero((mark.view(np.uint64) >> np.uint64(48)) < np.where(label > 0, last[1], last[0]).astype(np.uint64))
+                keep = np.flatnonzero(mark.view(np.uint64) <= np.where(label > 0, np.uint64(last[1]), np.uint64(last[0]))) if len(mark) else np.empty(0, np.int64)
                 codes, owner = windows(raw, off, start[keep], end[keep], read)
                 first, pieces = np.searchsorted(owner, np.arange(len(keep))), np.bincount(owner, minlength=len(keep))
                 codes = codes[first + (mark[keep].view(np.uint64) // np.uint64(4) % np.maximum(1, pieces).astype(np.uint64)).astype(np.int64)]

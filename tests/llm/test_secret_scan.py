@@ -108,6 +108,16 @@ def test_rare_findings_are_sought_in_all_texts(spark):
     assert net.threshold <= 1 and net.recall >= 0.98
 
 
+def test_no_more_than_the_bound_is_drawn_from_one_bucket(spark):
+    """However the marks lie: all in one bucket of leading bits, at both ends, or fewer than the bound."""
+    marks = lambda x: spark.createDataFrame([(m - (1 << 64) if m >> 63 else m,) for m in x], "mark long")
+    near = [(5 << 48) + 3 * i for i in range(1000)]
+    for found in (near, [i for i in range(1000)], [*near, *((1 << 64) - 1 - i for i in range(50))], [(i << 48) + 7 for i in range(1000)]):
+        last = ss.least_marks(marks(found), 300)
+        assert sum(m <= last for m in found) == 300
+    assert all(m <= ss.least_marks(marks(near), 1000) for m in near)
+
+
 def test_stretches_beside_base_findings_are_scored(spark):
     net = ss.train(np.empty((0, ss.WIDTH), np.uint8), np.empty(0))
     net.threshold = 0.0  # every candidate that is scored becomes a finding
