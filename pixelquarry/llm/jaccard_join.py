@@ -73,17 +73,16 @@ def shingles(raw: np.ndarray, off: np.ndarray, k: int = K) -> tuple[np.ndarray,
     return doc[keep], h[keep]
 
 
-def token_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, max_bits: int = sketch.MAX_BITS) -> DataFrame:
+def token_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, layout: sketch.Layout = sketch.Layout()) -> DataFrame:
     """(doc_id, text_key, fa, fb, n, n_rare, may_link, tokens): each document's number of tokens and the 128-bit fingerprint
     of its set; ``text_key`` is xxhash64(text).
     ``tokens`` has the 64-bit hashes of those not private, rare ones first; null where they are too few for any link."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
-    common = sketch.Lookup(rows, lambda raw, off: shingles(raw, off, k), 1 / 8, (2, frequent), max_bits)
+    common = sketch.Lookup(rows, lambda raw, off: shingles(raw, off, k), 1 / 8, (2, frequent), layout)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = common.of(batch)
+    def sets(batches: Iterator[tuple[pa.RecordBatch, sketch.Sketch]]) -> Iterator[pa.RecordBatch]:
+        for batch, seen in batches:
             for row, rows_in, raw, off in chunks(batch.column("text")):
                 doc, h = shingles(raw, off, k)
                 shared = seen.reaches(h, 2)
@@ -102,7 +101,7 @@ def token_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: in
                 blobs = [data[8 * (e - x) : 8 * e] if ok else None for e, x, ok in zip(ends.tolist(), c.tolist(), may.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, rows_in), batch.column("text_key").slice(row, rows_in), pa.array(fa), pa.array(fb), pa.array(n.astype(np.int64)), pa.array(rare.astype(np.int32)), pa.array(may), pa.array(blobs, pa.binary())], schema=_SETS)
 
-    return common.rows.mapInArrow(sets, "doc_id long, text_key long, fa long, fb long, n long, n_rare int, may_link boolean, tokens binary")
+    return common.apply(sets, "doc_id long, text_key long, fa long, fb long, n long, n_rare int, may_link boolean, tokens binary")
 
 
 def _need(n: int, percent: int) -> int:
@@ -282,11 +281,11 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         hubs *= 8
 
 
-def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, max_bits: int = sketch.MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, layout: sketch.Layout = sketch.Layout()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links reach,
     its own included), text_key (xxhash64(text)) and component, one number for each group (null: a document that no other
     can link with, a group of its own)."""
-    all_sets = stored(token_sets(docs, k, percent, frequent, max_bits), "sets")
+    all_sets = stored(token_sets(docs, k, percent, frequent, layout), "sets")
     may = all_sets.where("may_link")
     nodes = may.groupBy("fa", "fb").agg(F.min("doc_id").alias("first_doc"), F.first("n").cast("int").alias("n"), F.first("n_rare").alias("n_rare"), F.first("tokens").alias("tokens"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")

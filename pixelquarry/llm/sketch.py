@@ -1,195 +1,244 @@
-"""Count-min sketches merged from partition sketches, as the cells that reached given counts.
-
-Every partition counts its own keys and sends, per sketch row and shard of cells, the cells hit (repeated as often as
-hit, up to the highest level).  A shuffle by shard adds them up in dense arrays of fixed size.  What comes back is one
-bit per cell and level: of all keys that share a cell the counts add, so a bit is set whenever a key's true count
-reaches the level.
-
-The width doubles with the input.  The merged sketch is broadcast while it has at most 2**``max_bits`` cells a row; beyond
-that nothing is broadcast: keys meet their counts in a shuffle (``Lookup``), which gives each row its own keys that
-reach the levels.
+"""Count-min sketches in shards that stay a table: what rows get back are the cells that their own keys hit.
+
+Rows are dealt into buckets by their own hash.  A first pass over the texts sends, per sketch row, shard of cells and
+bucket, the cells that the bucket's keys hit (repeated as often as hit, up to the highest level), as differences of
+sorted cells.  A shuffle by shard adds up each shard by itself: of all keys that share a cell the counts add, so a cell
+reaches a level whenever a key's true count does.  Each shard answers each bucket with those of its cells that reach a
+level.  The second pass deals texts and answers out by bucket, answers first, and streams: a bucket's texts meet the part
+of the sketch that they can ask for, and no other.
+
+Nothing is broadcast or gathered: the width grows with the input, and with it the number of shards and of buckets, each
+of a fixed size.  A shard holds one number a cell, a bucket the cells its texts hit.  Texts move once.  A cell that every
+row hits is sent once a flush and bucket, ``most`` times at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import parts, stored
-from .textkit import chunks, mix, pack_sorted, unpack_sorted
+from .shared import parts
+from .textkit import chunks, mix
 
 #: (text, key) of the keys of a chunk's texts.
 Pairs = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 ROWS = 2
-SHARD_BITS = 18
-FLUSH = 1 << 21
-MAX_BITS = 28
-_SENT = pa.schema([("shard", pa.int32()), ("cells", pa.binary())])
-_BITS = pa.schema([("shard", pa.int32()), ("level", pa.int32()), ("bits", pa.binary())])
+_SENT = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("cells", pa.binary()), ("n", pa.int32())])
+_ANSWER = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("level", pa.int32()), ("cells", pa.binary())])
+
+
+class Layout(NamedTuple):
+    """Cells of a shard (a power of two), bytes of text for a bucket, keys that a task holds before it sends, and cells of a
+    row of the sketch for each key."""
+
+    shard_bits: int = 22
+    bucket_bytes: int = 8 << 20
+    flush: int = 1 << 22
+    cells_per_key: float = 6
 
 
 def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(keys, 11 + row) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def width_bits(text_bytes: int, keys_per_byte: float) -> int:
-    """About six cells a key, as a power of two."""
-    return max(SHARD_BITS, int(np.ceil(np.log2(max(1.0, 6 * keys_per_byte * text_bytes)))))
+def packed(x: np.ndarray, begin: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Runs of sorted non-negative integers (each starts at ``begin``) as bytes of differences, seven bits a byte, the last
+    byte of a number marked; and where the runs' bytes begin, with the end."""
+    step = np.diff(x, prepend=0)
+    step[begin] = x[begin]
+    size = np.ones(len(x), np.int64)
+    for k in range(7, 63, 7):
+        more = step >> k > 0
+        if not more.any():
+            break
+        size += more
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(x) else 0, np.uint8)
+    left = np.arange(len(x))
+    for k in range(int(size.max()) if len(x) else 0):  # the k-th byte from the end
+        left = left[size[left] > k]
+        out[ends[left] - 1 - k] = (step[left] >> (7 * k)) & 127
+    out[ends - 1] |= 128
+    return out.tobytes(), np.append(np.concatenate([[0], ends])[begin], len(out))
+
+
+def unpacked(data: bytes, counts: np.ndarray) -> np.ndarray:
+    """The integers of ``packed`` runs laid end to end, ``counts`` of them in each (none is empty)."""
+    x = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(x & 128)
+    first = np.concatenate([[0], last[:-1] + 1])
+    step = (x[last] & 127).astype(np.int64)
+    size = last - first + 1
+    live = np.flatnonzero(size > 1)
+    k = 1
+    while len(live):
+        step[live] += (x[last[live] - k] & 127).astype(np.int64) << (7 * k)
+        k += 1
+        live = live[size[live] > k]
+    total = np.cumsum(step)
+    begin = np.cumsum(counts) - counts
+    base = total[begin] - step[begin]
+    return total - np.repeat(base, counts)
 
 
 class Sketch:
-    """Merged sketch on the executors: per level and row a bit for every cell, or the sorted cells where few are set."""
+    """The part of the merged sketch that a bucket can ask for: per level and row the sorted cells that reach it."""
 
-    def __init__(self, bits: int, levels: dict[int, np.ndarray]):
+    def __init__(self, bits: int, levels: tuple[int, ...]):
         self.bits = bits
-        self.levels = {level: [self._compact(row) for row in rows] for level, rows in levels.items()}
+        self._new: dict[tuple[int, int], list[np.ndarray]] = {(level, row): [] for level in levels for row in range(ROWS)}
+        self._all: dict[tuple[int, int], np.ndarray] = {}
+
+    def learn(self, level: int, row: int, found: np.ndarray) -> None:
+        self._new[level, row].append(found)
 
-    @staticmethod
-    def _compact(row: np.ndarray) -> np.ndarray:
-        some = np.flatnonzero(row)
-        if 64 * len(some) > len(row):
-            return row
-        at, bit = np.nonzero(np.unpackbits(row[some, None], axis=1, bitorder="little"))
-        return (some[at] * 8 + bit).astype(np.int64)
+    def _cells(self, level: int, row: int) -> np.ndarray:
+        new = self._new[level, row]
+        if new or (level, row) not in self._all:
+            have = [self._all.get((level, row), np.empty(0, np.int64)), *new]
+            self._all[level, row] = np.sort(np.concatenate(have))
+            new.clear()
+        return self._all[level, row]
 
     def reaches(self, keys: np.ndarray, level: int) -> np.ndarray:
         """Whether each key's estimate is at least ``level``; true for every key whose count is."""
         out = np.ones(len(keys), dtype=bool)
         for row in range(ROWS):
-            at = cells(keys, row, self.bits)
-            have = self.levels[level][row]
-            if have.dtype == np.uint8:
-                out &= (have[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            elif len(have):
-                out &= have[np.minimum(np.searchsorted(have, at), len(have) - 1)] == at
-            else:
-                out[:] = False
+            have = self._cells(level, row)
+            if not len(have):
+                return np.zeros(len(keys), dtype=bool)
+            at = cells(keys[out], row, self.bits)
+            out[out] = have[np.minimum(np.searchsorted(have, at), len(have) - 1)] == at
         return out
 
 
-def build(docs: DataFrame, pairs_of: Pairs, bits: int, levels: tuple[int, ...]) -> Broadcast:
-    """Sketch of the keys that ``pairs_of`` finds in the texts of ``docs``; broadcast: ROWS * len(levels) * 2**bits
-    bits, at most 64 MB a level with the default ``max_bits``."""
-    spark = docs.sparkSession
-    most, per_row = max(levels), 1 << (bits - SHARD_BITS)
-
-    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate(held)
-        shards, blobs = [], []
-        for row in range(ROWS):
-            at = np.sort(cells(keys, row, bits))
-            if len(at) > most:  # no more of a cell than the highest level counts
-                at = at[np.concatenate([np.ones(most, bool), at[most:] != at[:-most]])]
-            cut = np.searchsorted(at, np.arange(per_row + 1, dtype=np.int64) << SHARD_BITS)
-            for s in np.flatnonzero(np.diff(cut)):
-                shards.append(row * per_row + s)
-                blobs.append(pack_sorted(at[cut[s] : cut[s + 1]] - (int(s) << SHARD_BITS)))
-        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], schema=_SENT)
-
-    def partition_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            for _, _, raw, off in chunks(batch.column("text")):
-                keys = pairs_of(raw, off)[1]
-                held.append(keys)
-                size += len(keys)
-                if size >= FLUSH:
-                    yield from send(held)
-                    held, size = [], 0
-        if size:
-            yield from send(held)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: np.ndarray | None = None
-        shard = -1
-
-        def done() -> pa.RecordBatch:
-            rows = [(shard, level, np.packbits(counts >= level, bitorder="little").tobytes()) for level in levels]
-            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _BITS, strict=True)], schema=_BITS)
-
-        for batch in batches:
-            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if s != shard:
-                    if counts is not None:
-                        yield done()
-                    shard, counts = s, np.zeros(1 << SHARD_BITS, np.uint16)
-                got = np.bincount(unpack_sorted(blob.as_py()), minlength=1 << SHARD_BITS)
-                np.minimum(counts + got, most, out=counts, casting="unsafe")
-        if counts is not None:
-            yield done()
-
-    merged = (
-        docs.mapInArrow(partition_sketch, "shard int, cells binary")
-        .repartition(parts(spark), "shard")
-        .sortWithinPartitions("shard")
-        .mapInArrow(merge, "shard int, level int, bits binary")
-    )
-    size = 1 << SHARD_BITS >> 3
-    out = {level: np.zeros((ROWS, per_row * size), np.uint8) for level in levels}
-    for row in merged.toLocalIterator():
-        r, s = divmod(row["shard"], per_row)
-        out[row["level"]][r, s * size : (s + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return spark.sparkContext.broadcast(Sketch(bits, out))
-
-
 def text_bytes(docs: DataFrame) -> int:
     return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-class Known:
-    """What a ``Sketch`` tells, of the keys of a batch's own rows: their exact counts' levels."""
-
-    def __init__(self, column: pa.Array):
-        flat = column.flatten()
-        keys, level = flat.field("key").to_numpy().view(np.uint64), flat.field("level").to_numpy()
-        self.keys = {int(x): np.unique(keys[level >= x]) for x in np.unique(level)} if len(keys) else {}
-
-    def reaches(self, keys: np.ndarray, level: int) -> np.ndarray:
-        least = min((x for x in self.keys if x >= level), default=None)
-        return np.zeros(len(keys), bool) if least is None else np.isin(keys, self.keys[least])
-
-
 class Lookup:
-    """Which keys of the rows of ``rows`` (text and any columns) occur at least as often as each level says.
+    """Estimates of how often the keys of the texts of ``rows`` occur, in all of them.
 
-    ``rows`` are those to look keys up for; ``of(batch)`` gives an object whose ``reaches(keys, level)`` is true for every
-    key of the batch's rows whose count is at least the level (and, by a sketch, for few others)."""
+    ``apply`` runs a function over the rows: its batches come with a ``Sketch`` whose ``reaches(keys, level)`` is true for
+    every key of the batch whose count is at least the level, and for few others."""
 
-    def __init__(self, rows: DataFrame, pairs_of: Pairs, keys_per_byte: float, levels: tuple[int, ...], max_bits: int = MAX_BITS):
+    def __init__(self, rows: DataFrame, pairs_of: Pairs, keys_per_byte: float, levels: tuple[int, ...], layout: Layout = Layout()):
         self.text_bytes = text_bytes(rows)
-        bits = width_bits(self.text_bytes, keys_per_byte)
-        self.merged = build(rows.select("text"), pairs_of, bits, levels) if bits <= max_bits else None
-        self.rows = rows if self.merged else self._joined(rows, pairs_of, levels)
-
-    def of(self, batch: pa.RecordBatch) -> Sketch | Known:
-        return self.merged.value if self.merged else Known(batch.column("_known"))
-
-    def __getstate__(self):
-        return {"merged": self.merged}
-
-    @staticmethod
-    def _joined(rows: DataFrame, pairs_of: Pairs, levels: tuple[int, ...]) -> DataFrame:
-        """``rows`` with ``_known``: their keys that reach a level, and the highest level reached.  A key of very many rows
-        is counted by partial sums; its rows meet it in a join whose skew Spark splits."""
-        numbered = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-
-        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = max(1.0, layout.cells_per_key * keys_per_byte * self.text_bytes)
+        self.bits = min(60, max(layout.shard_bits, int(np.ceil(np.log2(keys)))))
+        self.levels, self.layout = levels, layout
+        buckets = max(1, -(-self.text_bytes // layout.bucket_bytes))
+        own = F.xxhash64(*(c for c in rows.columns if c != "text"), F.xxhash64("text")) if len(rows.columns) > 1 else F.xxhash64("text")
+        self.rows = rows.withColumn("_bucket", F.pmod(own, F.lit(buckets)).cast("long"))
+        self.answers = self._answers(pairs_of)
+
+    def _answers(self, pairs_of: Pairs) -> DataFrame:
+        bits, levels, shard_bits, flush = self.bits, self.levels, self.layout.shard_bits, self.layout.flush
+        most, per_row = max(levels), 1 << (bits - shard_bits)
+
+        def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            bucket, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            for row in range(ROWS):
+                at = cells(keys, row, bits)
+                order = np.lexsort((at & ((1 << shard_bits) - 1), bucket, at >> shard_bits))
+                at, of = at[order], bucket[order]
+                if len(at) > most:  # no more of a cell and bucket than the highest level counts
+                    keep = np.concatenate([np.ones(most, bool), (at[most:] != at[:-most]) | (of[most:] != of[:-most])])
+                    at, of = at[keep], of[keep]
+                shard = at >> shard_bits
+                begin = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (of[1:] != of[:-1])]))
+                data, cut = packed(at & ((1 << shard_bits) - 1), begin)
+                blobs = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(data)])
+                n = np.diff(np.append(begin, len(at))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(row * per_row + shard[begin]), pa.array(of[begin]), blobs, pa.array(n)], schema=_SENT)
+
+        def partition_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+            for batch in batches:
+                bucket = batch.column("_bucket").to_numpy()
+                for first, _, raw, off in chunks(batch.column("text")):
+                    text, keys = pairs_of(raw, off)
+                    held.append((bucket[first + text], keys))
+                    size += len(keys)
+                    if size >= flush:
+                        yield from send(held)
+                        held, size = [], 0
+            if size:
+                yield from send(held)
+
+        def answer(shard: int, held: list[tuple[np.ndarray, bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            bucket, count = (np.concatenate([h[i] for h in held]) for i in (0, 2))
+            at = np.concatenate([unpacked(h[1], h[2]) for h in held])
+            of = np.repeat(bucket, count)
+            total = np.bincount(at)
+            for level in levels:
+                pick = np.flatnonzero(total[at] >= level)
+                if not len(pick):
+                    continue
+                order = pick[np.lexsort((at[pick], of[pick]))]
+                a, o = at[order], of[order]
+                keep = np.concatenate([[True], (a[1:] != a[:-1]) | (o[1:] != o[:-1])])
+                a, o = a[keep], o[keep]
+                begin = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+                data, cut = packed(a, begin)
+                blobs = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(o[begin]), pa.array(np.full(len(begin), shard)), pa.array(np.full(len(begin), level, np.int32)), blobs], schema=_ANSWER)
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, bytes, np.ndarray]] = []
+            now = -1
+            for batch in batches:
+                shard = batch.column("shard").to_numpy()
+                cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else []
+                for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                    if shard[lo] != now and held:
+                        yield from answer(now, held)
+                        held = []
+                    now = int(shard[lo])
+                    part = batch.slice(lo, hi - lo)
+                    held.append((part.column("bucket").to_numpy(), b"".join(x.as_py() for x in part.column("cells")), part.column("n").to_numpy().astype(np.int64)))
+            if held:
+                yield from answer(now, held)
+
+        sent = self.rows.select("_bucket", "text").mapInArrow(partition_sketch, "shard long, bucket long, cells binary, n int")
+        sent = sent.repartition(parts(sent.sparkSession), "shard").sortWithinPartitions("shard")
+        return sent.mapInArrow(merge, "bucket long, shard long, level int, cells binary")
+
+    def apply(self, f: Callable[[Iterator[tuple[pa.RecordBatch, Sketch]]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+        """``f`` over the rows; a bucket's rows come with what the sketch tells about it."""
+        bits, levels, per_row, shard_bits = self.bits, self.levels, 1 << (self.bits - self.layout.shard_bits), self.layout.shard_bits
+        columns = [c for c in self.rows.columns if c != "_bucket"]
+        told = self.answers.select(F.col("bucket").alias("_bucket"), F.lit(0).alias("_kind"), "shard", "level", "cells", *(F.lit(None).cast(self.rows.schema[c].dataType).alias(f"_{i}") for i, c in enumerate(columns)))
+        asked = self.rows.select("_bucket", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("shard"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("binary").alias("cells"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(columns)))
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Sketch]]:
+            sketch, now = Sketch(bits, levels), -1
             for batch in batches:
-                ids = batch.column("_row").to_numpy()
-                for row, _, raw, off in chunks(batch.column("text")):
-                    text, key = pairs_of(raw, off)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row + text]), pa.array(key.view(np.int64))], names=["_row", "key"])
-
-        pairs = stored(numbered.select("_row", "text").mapInArrow(emit, "_row long, key long"), "pairs")
-        level = F.greatest(*(F.when(F.col("n") >= x, F.lit(x)).otherwise(0) for x in (*levels, levels[0])))
-        common = pairs.groupBy("key").agg(F.count("*").alias("n")).select("key", level.alias("level")).where("level > 0")
-        known = pairs.distinct().join(common, "key").groupBy("_row").agg(F.collect_list(F.struct("key", "level")).alias("_known"))
-        empty = F.array().cast("array<struct<key: bigint, level: int>>")
-        return numbered.join(known, "_row", "left").withColumn("_known", F.coalesce("_known", empty)).drop("_row")
+                bucket, kind = batch.column("_bucket").to_numpy(), batch.column("_kind").to_numpy()
+                cut = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1]), [True]])) if len(bucket) else []
+                for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                    if bucket[lo] != now:
+                        sketch, now = Sketch(bits, levels), bucket[lo]
+                    part = batch.slice(lo, hi - lo)
+                    if kind[lo]:
+                        yield pa.RecordBatch.from_arrays([part.column(f"_{i}") for i in range(len(columns))], names=columns), sketch
+                        continue
+                    for shard, level, blob in zip(part.column("shard").to_pylist(), part.column("level").to_pylist(), part.column("cells"), strict=True):
+                        row, s = divmod(shard, per_row)
+                        data = blob.as_py()
+                        n = int((np.frombuffer(data, np.uint8) >> 7).sum())
+                        sketch.learn(level, row, unpacked(data, np.array([n])) + (s << shard_bits))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from f(stream(batches))
+
+        rows = told.unionByName(asked)
+        return rows.repartition(parts(rows.sparkSession), "_bucket").sortWithinPartitions("_bucket", "_kind").mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 """Substring deduplication: drop every word that a repeated 35-word window covers.
 
-1. Each partition sketches the anchors of its windows (below); the merged count-min sketch overestimates how often an
-   anchor, and so any window that has it, occurs.
+1. Each partition sketches the anchors of its windows (below); the merged count-min sketch, whose shards stay a table,
+   overestimates how often an anchor, and so any window that has it, occurs.
 2. A second pass sends only the windows estimated to occur twice to shards by their anchor, where they are grouped by 96
    bits of two independent hashes of their words' bytes.  No window that occurs twice is lost: its estimate is at least
    its count; two different windows count as equal only where all 96 bits collide.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketch
-from .shared import parts
+from .shared import numbered, parts, renamed
 from .textkit import Words, chunks, gram_hashes, inside, ranges, slide, span_hashes, words
 
 WINDOW = 35
@@ -72,14 +72,14 @@ def _runs(starts: np.ndarray) -> np.ndarray:
     return np.stack([starts[cut], np.diff(np.append(cut, len(starts)))], axis=1).astype(np.int32)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sketch.MAX_BITS, shard_bytes: int = SHARD_BYTES, limit: int = HELD_BYTES) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, layout: sketch.Layout = sketch.Layout(), shard_bytes: int = SHARD_BYTES, limit: int = HELD_BYTES) -> DataFrame:
     """Rows (doc_id, text_key, runs) for rows of ``docs`` (doc_id, text) with repeated windows; a row may have
     several.  ``text_key`` is xxhash64(text); ``runs`` holds int32 pairs: first window, number of windows.  There is a shard
     for every ``shard_bytes`` of text; of a shard with more than ``limit`` bytes of hashes (a passage in very many rows)
     what repeats is answered as it comes, so what a task holds does not grow with the input."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).where(F.octet_length("text") >= 2 * window - 1)
-    common = sketch.Lookup(rows, _anchor_keys(window), 1 / 80, (2,), max_bits)
+    common = sketch.Lookup(rows, _anchor_keys(window), 1 / 80, (2,), layout)
     shards = min(1 << 30, max(4 * parts(spark), -(-common.text_bytes // shard_bytes)))
 
     def send(held: list[tuple]) -> pa.RecordBatch:
@@ -127,15 +127,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sket
             out.append((int(k), ids[mine].tobytes(), local.astype(np.int32).tobytes(), np.concatenate([np.array([[b - a, 0]], np.int32), runs]).tobytes(), packed.tobytes(), None))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ENTRIES, strict=True)], schema=_ENTRIES)
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def candidates(batches: Iterator[tuple[pa.RecordBatch, sketch.Sketch]]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         windows = docs_held = 0
-        for batch in batches:
+        for batch, seen in batches:
             ids = np.stack([batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(), batch.column("text_key").to_numpy()], axis=1)
             for row, n, raw, off in chunks(batch.column("text")):
                 w, hashes, _, anchor, ok = _anchors(raw, off, window)
                 at = np.flatnonzero(ok)
-                at = at[common.of(batch).reaches(anchor[at], 2)]
+                at = at[seen.reaches(anchor[at], 2)]
                 if not len(at):
                     continue
                 text = w.text()[at]
@@ -168,7 +168,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, max_bits: int = sket
                     held, size = rest, 0
         yield from _answer(held)[0]
 
-    return common.rows.mapInArrow(candidates, _ENTRY).repartition(parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(group, _MARK)
+    return common.apply(candidates, _ENTRY).repartition(parts(spark), "shard").sortWithinPartitions("shard").mapInArrow(group, _MARK)
 
 
 def _groups(x: np.ndarray) -> list[tuple[int, int]]:
@@ -243,22 +243,23 @@ def removed_words(n_words: int, runs: list[bytes], window: int = WINDOW) -> np.n
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, max_bits: int = sketch.MAX_BITS, shard_bytes: int = SHARD_BYTES, limit: int = HELD_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, layout: sketch.Layout = sketch.Layout(), shard_bytes: int = SHARD_BYTES, limit: int = HELD_BYTES) -> DataFrame:
     """``docs`` (doc_id, text and any columns) with ``n_words``, ``n_removed`` and ``kept_text``: the words kept, joined
-    by one space.  Columns of ``docs`` with these names are replaced."""
-    marks = repeated_windows(docs, window, max_bits, shard_bytes, limit).groupBy("doc_id", "text_key").agg(F.collect_list("runs").alias("_runs"))
-    marks = marks.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_mark_key"), "_runs")
-    kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    rows = docs.select(*kept).withColumn("_text_key", F.xxhash64("text"))
-    joined = rows.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_text_key") == F.col("_mark_key")), "left")
-    joined = joined.drop("_doc_id", "_mark_key", "_text_key")
-    schema = T.StructType([f for f in joined.schema.fields if f.name != "_runs"] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    by one space.  Columns of ``docs`` with these names are replaced;
+    others may have any names."""
+    # a row that repeats has the same marks each time
+    marks = repeated_windows(docs, window, layout, shard_bytes, limit).distinct().groupBy("doc_id", "text_key").agg(F.collect_list("runs").alias("runs"))
+    plain, names = numbered(docs, "n_words", "n_removed", "kept_text")
+    doc, body = (f"c{[c.lower() for c in names].index(c)}" for c in ("doc_id", "text"))
+    joined = plain.withColumn("key", F.xxhash64(body)).join(marks, F.col(doc).cast("long").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
+    joined = joined.drop("key", "doc_id", "text_key")
+    schema = T.StructType([*plain.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column("_runs").to_pylist()
+            runs = batch.column("runs").to_pylist()
             n_words, n_removed, text = [], [], []
-            for row, n, raw, off in chunks(batch.column("text")):
+            for row, n, raw, off in chunks(batch.column(body)):
                 w = words(raw, off)
                 data = raw.tobytes()
                 for i in range(n):
@@ -271,10 +272,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, max_bits: int = sket
                     else:
                         at = np.flatnonzero(keep) + lo
                         text.append(b" ".join([data[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]))
-            rest = batch.drop_columns(["_runs"])
+            rest = batch.drop_columns(["runs"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], names=[*rest.schema.names, "n_words", "n_removed", "kept_text"])
 
-    return joined.mapInArrow(cut, schema)
+    return renamed(joined.mapInArrow(cut, schema), names, "n_words", "n_removed", "kept_text")
 
 
 def digest(deduped: DataFrame) -> DataFrame:

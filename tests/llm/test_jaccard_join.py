@@ -6,6 +6,7 @@ import pytest
 
 from pixelquarry.llm import jaccard_join as jj
 from pixelquarry.llm.components import components
+from pixelquarry.llm.sketch import Layout
 
 DOCS = "doc_id long, text string"
 
@@ -61,12 +62,12 @@ def corpus(seed, families=12, copies=12, words=60):
     return rows
 
 
-@pytest.mark.parametrize("seed,frequent,bits,long", [(1, 32, 28, 64), (2, 3, 28, 4), (3, 2, 28, 2), (4, 4, 18, 64), (5, 3, 10, 4)])
-def test_matches_brute_force(spark, monkeypatch, seed, frequent, bits, long):
+@pytest.mark.parametrize("seed,frequent,layout,long", [(1, 32, Layout(), 64), (2, 3, Layout(), 4), (3, 2, Layout(), 2), (4, 4, Layout(6, 3000, 500), 64), (5, 3, Layout(4, 9000, 90, 0.2), 4)])
+def test_matches_brute_force(spark, monkeypatch, seed, frequent, layout, long):
     monkeypatch.setattr(jj, "LONG", long)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, DOCS).repartition(4)
-    got = jj.near_duplicates(docs, frequent=frequent, max_bits=bits).select("doc_id", "n_shingles", "component_id").collect()
+    got = jj.near_duplicates(docs, frequent=frequent, layout=layout).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == brute(rows)
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from pixelquarry.llm import substring_dedup as sd
+from pixelquarry.llm.sketch import Layout
 
 DOCS = "doc_id long, text string"
 
@@ -36,20 +37,37 @@ def cases():
     return rows
 
 
-@pytest.mark.parametrize("window,max_bits,limit", [(35, 28, 1 << 26), (5, 28, 1 << 26), (35, 18, 1), (35, 10, 1 << 26), (5, 10, 1), (5, 28, 200)])
-def test_matches_brute_force(spark, window, max_bits, limit):
+ONE, MANY, CROWDED = Layout(), Layout(4, 2000, 100), Layout(4, 5000, 50, 0.1)  # many shards and buckets; and few cells for many keys
+
+
+@pytest.mark.parametrize("window,layout,limit", [(35, ONE, 1 << 26), (5, ONE, 1 << 26), (35, MANY, 1), (35, MANY, 1 << 26), (5, MANY, 1), (5, ONE, 200), (35, CROWDED, 1 << 26)])
+def test_matches_brute_force(spark, window, layout, limit):
     rows = cases()
     docs = spark.createDataFrame(rows, DOCS).repartition(5)
-    got = sd.digest(sd.dedup_substrings(docs, window, max_bits, limit=limit))
+    got = sd.digest(sd.dedup_substrings(docs, window, layout, limit=limit))
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, window)
 
 
-def test_small_sketch_loses_none(spark, monkeypatch):
-    monkeypatch.setattr(sd.sketch, "SHARD_BITS", 4)
-    rows = cases()
-    docs = spark.createDataFrame(rows, DOCS).repartition(3)
-    got = sd.digest(sd.dedup_substrings(docs, 35, 4))
-    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 35)
+def test_nothing_is_broadcast_and_texts_are_not_stored(spark, monkeypatch):
+    """The sketch has no driver array and no copy of texts: one path, whatever its size."""
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: pytest.fail("broadcast"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sd.dedup_substrings(spark.createDataFrame(cases(), DOCS), 35, MANY)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, sd.digest(got).collect()), key=str) == brute(cases(), 35)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_any_column_names(spark):
+    names = ["_text_key", "_doc_id", "_runs", "key", "text_key", "runs", "_bucket", "c0", "a.b"]
+    rows = [(d, t, *(f"{n}{i}" for n in names)) for i, (d, t) in enumerate(cases())]
+    docs = spark.createDataFrame(rows, DOCS + ", " + ", ".join(f"`{n}` string" for n in names))
+    out = sd.dedup_substrings(docs)
+    assert sorted(tuple(r[: 2 + len(names)]) for r in out.collect() if r[0]) == sorted(r for r in rows if r[0])
+    assert sorted(map(tuple, sd.digest(out).collect()), key=str) == brute(cases(), 35)
 
 
 def test_empty_and_extra_columns(spark):
