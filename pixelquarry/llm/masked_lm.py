@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import parts, stored
+from .shared import numbered, parts, renamed, stored
 from .textkit import chunks, mix, span_hashes, words
 
 VOCAB_BITS = 18
@@ -301,7 +301,9 @@ def train(docs: DataFrame, of: Vocabulary | np.ndarray, classes: int = CLASSES,
 def score(docs: DataFrame, classes: int = CLASSES, every: int = EVERY, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
     """``docs`` (text and any columns) with n_tokens, log_likelihood (sum over the words) and mean_log_likelihood (null
     without words); columns of these names are replaced."""
-    docs = docs.drop("n_tokens", "log_likelihood", "mean_log_likelihood")
+    plain, names = numbered(docs, "n_tokens", "log_likelihood", "mean_log_likelihood")
+    body = f"c{[c.lower() for c in names].index('text')}"
+    docs = plain.withColumn("text", F.col(body))
     counts = word_counts(docs)
     words = vocabulary(counts, classes, known)
     model = docs.sparkSession.sparkContext.broadcast((train(docs, words, classes, every, rounds), words))
@@ -310,7 +312,7 @@ def score(docs: DataFrame, classes: int = CLASSES, every: int = EVERY, rounds: i
         network, words = model.value
         for batch in batches:
             n, total = [np.empty(0, np.int64)], [np.empty(0)]
-            for _, _, raw, off in chunks(batch.column("text")):
+            for _, _, raw, off in chunks(batch.column(body)):
                 word, first = hashed(raw, off)
                 kinds, shares = words.kinds_and_shares(word)
                 p = network.log_probability(contexts(kinds, first, classes), kinds) + shares
@@ -323,31 +325,31 @@ def score(docs: DataFrame, classes: int = CLASSES, every: int = EVERY, rounds: i
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(n)), pa.array(np.concatenate(total))], names=[*batch.schema.names, "n_tokens", "log_likelihood"])
 
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())]
-    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    out = plain.mapInArrow(run, T.StructType([*plain.schema.fields, *added]))
     if words.rest:
-        key, total = F.xxhash64("text").alias("_key"), F.col("log_likelihood") + F.coalesce("_rest", F.lit(0.0))
-        out = out.withColumn("_text_key", key).join(rare_shares(docs.select("text", key), counts, model), F.col("_text_key") == F.col("_key"), "left")
-        out = out.withColumn("log_likelihood", total).drop("_text_key", "_key", "_rest")
-    return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+        key, total = F.sha2(F.col(body).cast("binary"), 256), F.col("log_likelihood") + F.coalesce("rest", F.lit(0.0))
+        out = out.withColumn("text_key", key).join(rare_shares(docs.select("text", key.alias("key")), counts, model), F.col("text_key") == F.col("key"), "left")
+        out = out.withColumn("log_likelihood", total)
+    return renamed(out, names, "n_tokens", "log_likelihood").withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
 def rare_shares(rows: DataFrame, counts: DataFrame, model) -> DataFrame:
-    """Per text (_key) the sum of the logs of the counts of its words that are not known (_rest)."""
+    """Per text (key: its SHA-256) the sum of the logs of the counts of its words that are not known (rest)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = model.value[1]
         for batch in batches:
-            keys = batch.column("_key").to_numpy()
+            keys = batch.column("key")
             for row, n, raw, off in chunks(batch.column("text")):
                 word, first = hashed(raw, off)
                 other = ~words.at(word)[1]
-                key = np.repeat(keys[row : row + n], np.diff(first))
-                yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(word[other])], names=["_key", "word"])
+                of = np.repeat(np.arange(row, row + n), np.diff(first))[other]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(word[other])], names=["key", "word"])
 
-    joined = rows.mapInArrow(find, "_key long, word long").join(counts, "word").select("_key", F.log("n").alias("s"), F.lit(0).alias("copies"))
+    joined = rows.mapInArrow(find, "key string, word long").join(counts, "word").select("key", F.log("n").alias("s"), F.lit(0).alias("copies"))
     # Rows of the same text are found once each, so their sum is divided by their number.
-    both = joined.unionAll(rows.select("_key", F.lit(0.0).alias("s"), F.lit(1).alias("copies")))
-    return both.groupBy("_key").agg((F.sum("s") / F.sum("copies")).alias("_rest")).where("_rest <> 0")
+    both = joined.unionAll(rows.select("key", F.lit(0.0).alias("s"), F.lit(1).alias("copies")))
+    return both.groupBy("key").agg((F.sum("s") / F.sum("copies")).alias("rest")).where("rest <> 0")
 
 
 def scored(docs: DataFrame) -> DataFrame:

@@ -134,3 +134,13 @@ def test_each_word_has_its_own_count_at_every_size(spark):
         want = net.log_probability(lm.contexts(k, np.array([0, len(k)]), 32), k).sum() + sum(np.log(count[w] / total[kind[w]]) for w in t)
         assert x["n_tokens"] == len(t) and abs(x["log_likelihood"] - want) < 1e-2 * (1 + len(t)), x
     assert len(lm.score(docs, 32, known=50).collect()) == len(rows)
+
+
+def test_any_column_names(spark):
+    """Names that the operator uses itself come back as they were, on the path of rare words too."""
+    names = ["_text_key", "_key", "_rest", "key", "rest", "word", "c0"]
+    rows = [(i, f"w{i} common words here w{i % 3}", *(f"{n}{i}" for n in names)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = lm.score(docs, known=5)
+    assert got.columns == [*docs.columns, "n_tokens", "log_likelihood", "mean_log_likelihood"]
+    assert sorted(tuple(r[: len(docs.columns)]) for r in got.collect()) == rows
