@@ -77,3 +77,13 @@ def test_repeated_ids(spark):
     rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (2, a + " more", "en", "s", 3), (1, a, "de", "s", 1), (3, None, "en", "s", 0), (3, "", "en", "s", 0), (None, b + " x", "en", "s", 4)]
     got = sorted(map(str, map(tuple, cp.one_of_each_group(spark, spark.createDataFrame(rows, COLUMNS), "").collect())))
     assert got == sorted(map(str, [(1, a, "de", "s", 1), (1, b, "en", "s", 2), (3, None, "en", "s", 0), (3, "", "en", "s", 0)]))
+
+
+def test_any_columns(spark):
+    """Columns called like the stages' own, and of types without an order, come back as they were."""
+    names = ["_text_key", "_doc_id", "_key", "key", "row", "component", "c0"]
+    rows = [(i, f"some words of document number {i} and {i * i}", *(f"{n}{i}" for n in names), {"a": i}) for i in range(12)]
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names) + ", m map<string,int>")
+    got = cp.one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows))
