@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelquarry.llm import jaccard_join, packing, quality, secret_scan, substring_dedup
-from pixelquarry.llm.shared import documents, stored
+from pixelquarry.llm.shared import documents, numbered, renamed, stored
 
 
 def _with_text(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -27,14 +27,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
     keep = found.where("component IS NOT NULL").groupBy("component").agg(first).select("first.doc_id", "first.text_key")
     keep = keep.unionByName(found.where("component IS NULL").select("doc_id", "text_key")).distinct()
-    keep = keep.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_key"))
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    # of rows that repeat a doc_id with its text, the least in the other columns stays
-    rest = [c for c in docs.columns if c != "doc_id"]
-    least = F.min(F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(rest)))).alias("_row")
-    out = rows.groupBy("doc_id", "_text_key").agg(least)
-    return out.select("doc_id", *(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(rest))).select(*docs.columns)
+    rows, names = numbered(docs)
+    doc, body = (f"c{[c.lower() for c in names].index(c)}" for c in ("doc_id", "text"))
+    rows = rows.withColumn("key", F.xxhash64(body))
+    rows = rows.join(keep, F.col(doc).eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left_semi")
+    # of rows that repeat a doc_id with its text, the one whose other columns come first as JSON text stays
+    rest = [c for c in rows.columns if c not in (doc, "key")]
+    others = F.to_json(F.struct(F.lit(0), *(c for c in rest if c != body)))
+    out = rows.groupBy(doc, "key").agg(F.min_by(F.struct(*rest), others).alias("row"))
+    return renamed(out.select(doc, "row.*"), names)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
