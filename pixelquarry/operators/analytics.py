@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import nfc, trimmed_category
+from ..scratch import stored
+from . import selection
 
 ACTIVE, FINISHED = ("queued", "running"), ("succeeded", "failed", "canceled")
 
@@ -69,14 +71,10 @@ def operator_timings(log: DataFrame, *key: str, ms: str = "ms") -> DataFrame:
 
 
 def latency(log: DataFrame, key: str, ms: str = "ms", fractions: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Nearest-rank percentiles (rank round((n - 1) f), ties to even), mean and maximum.  Equal values are counted before
-    they meet, so a key has as many rows as it has different values."""
-    counted = log.where(F.col(ms).isNotNull()).groupBy(key, F.col(ms).alias("_v")).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(key)
-    ranked = counted.withColumn("_to", F.sum("_c").over(w.orderBy("_v"))).withColumn("_n", F.sum("_c").over(w))
-    rank = lambda f: F.bround((F.col("_n") - 1) * F.lit(f))
-    at = lambda f: F.min(F.when(F.col("_to") > rank(f), F.col("_v"))).alias(f"p{int(f * 100)}")
-    return ranked.groupBy(key).agg(F.sum("_c").alias("n"), *map(at, fractions), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"), F.max("_v").alias("max"))
+    """Nearest-rank percentiles (rank round((n - 1) f), ties to even), mean and maximum; ranks are found by counting."""
+    places = {f"p{int(f * 100)}": F.bround((F.col("n") - 1) * F.lit(f)) for f in fractions}
+    out = selection.quantiles(selection.counted(log, key, ms), places)
+    return out.select(F.col("key").alias(key), "n", *places, "mean", "max")
 
 
 def throughput(log: DataFrame, key: str, ts: str = "ts") -> DataFrame:
@@ -185,17 +183,39 @@ def dataset_fingerprint(items: DataFrame, key: str, item: str, print_: str) -> D
 
 
 def sorted_fingerprint(items: DataFrame, key: str, item: str, print_: str) -> DataFrame:
-    """SHA-256 of each data set's sorted (item, fingerprint) list as JSON."""
+    """SHA-256 of each data set's sorted (item, fingerprint) list as JSON, which one row must hold: for sets of a size that
+    allows it.  ``tree_fingerprint`` is for any."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col(print_).alias("f"))))
     listed = F.concat(F.lit('{"dataset_id":"'), F.col(key).cast("string"), F.lit('","items":'), F.to_json(F.transform("_pairs", lambda p: F.array(p["i"], p["f"]))), F.lit("}"))
     return items.groupBy(key).agg(pairs.alias("_pairs")).select(key, F.sha2(listed, 256).alias("fingerprint"))
 
 
 def tensor_statistics(values: DataFrame, key: str, value: str) -> DataFrame:
-    """Minimum, maximum, mean and linearly interpolated percentiles of exploded tensors; equal values are counted first."""
-    marks = (0.01, 0.05, 0.5, 0.95, 0.99)
-    counted = values.groupBy(key, F.col(value).alias("_v")).agg(F.count(value).alias("_c")).where("_c > 0")
-    p = F.percentile("_v", F.array(*map(F.lit, marks)), F.col("_c"))
-    mean = F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")
-    out = counted.groupBy(key).agg(F.min("_v").alias("min"), F.max("_v").alias("max"), mean.alias("mean"), p.alias("_p"))
-    return out.select(key, "min", "max", "mean", *(F.element_at("_p", i + 1).alias(f"p{int(m * 100):02d}") for i, m in enumerate(marks)))
+    """Minimum, maximum, mean and linearly interpolated percentiles of exploded tensors; ranks are found by counting."""
+    places = {f"p{int(f * 100):02d}": (F.col("n") - 1) * F.lit(f) for f in (0.01, 0.05, 0.5, 0.95, 0.99)}
+    out = selection.quantiles(selection.counted(values, key, value), places)
+    return out.select(F.col("key").alias(key), "min", "max", "mean", *places)
+
+
+def tree_fingerprint(items: DataFrame, key: str, item: str, print_: str, leaf: int = 256) -> DataFrame:
+    """Digest of each data set's items at any size: a tree over ranges of the items' own hashes.
+
+    An item (with its fingerprint and how often it occurs) falls into the range of its SHA-256's first d hex digits, d
+    the least with ``leaf`` items a range or fewer on average.  A range's digest is that of its items in order, and of a
+    digit less that of the up to 16 ranges below, up to none.  Where a range begins is in the items, so neither order nor
+    partitioning matters, and no row holds more than a range."""
+    once = items.groupBy(F.col(key).alias("key"), F.col(item).cast("string").alias("item"), F.col(print_).cast("string").alias("print")).agg(F.count("*").alias("n"))
+    depth = sum(((F.count("*") > leaf * 16**d).cast("int") for d in range(14)), F.lit(0)).alias("depth")
+    sizes = stored(once.groupBy(F.col("key").alias("of")).agg(depth, F.sum("n").alias("items")), "sizes")
+    deepest = sizes.agg(F.max("depth")).first()[0] or 0
+    text = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+    line = F.concat(text("item"), text("print"), F.lit("x"), F.col("n").cast("string"))
+    named = once.join(sizes, F.col("key").eqNullSafe(F.col("of"))).select("key", "items", "depth", F.expr("substr(sha2(coalesce(item, ''), 256), 1, depth)").alias("range"), line.alias("line"))
+    nodes = named.groupBy("key", "items", "depth", "range").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
+    for level in range(deepest, 0, -1):
+        low = nodes.where(F.col("depth") == level)
+        ordered = F.array_sort(F.collect_list(F.struct("range", "digest")))
+        merged = low.groupBy("key", "items", F.expr("depth - 1").alias("depth"), F.expr("substr(range, 1, depth - 1)").alias("range")).agg(ordered.alias("below"))
+        merged = merged.select("key", "items", "depth", "range", F.sha2(F.array_join("below.digest", "\n"), 256).alias("digest"))
+        nodes = nodes.where(F.col("depth") < level).unionByName(merged)
+    return nodes.select(F.col("key").alias(key), F.col("items").alias("n"), F.col("digest").alias("fingerprint"))

@@ -118,6 +118,7 @@ QUERIES = {
     "a17_repeated_models": lambda spark, sf: a.first_wins(view(spark, sf, "models"), "model_id", "file_order")[1].select("model_id", "file_order"),
     "a19_bursts": lambda spark, sf: _rounded(a.bursts(view(spark, sf, "job_events"), ["job_id"], "ts", 3600, "ms"), 4),
     "a11_dataset_fingerprint": lambda spark, sf: a.sorted_fingerprint(view(spark, sf, "assets"), "dataset_id", "asset_id", "display_path"),
+    "a11_tree_fingerprint": lambda spark, sf: a.tree_fingerprint(view(spark, sf, "assets"), "dataset_id", "asset_id", "display_path", 64),
     "a11_item_sum_fingerprint": lambda spark, sf: a.dataset_fingerprint(view(spark, sf, "assets"), "dataset_id", "asset_id", "display_path"),
     "a12_tensor_statistics": lambda spark, sf: _rounded(a.tensor_statistics(view(spark, sf, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x")), "label", "x")),
     "f22_status_indicator": _indicator,
@@ -188,6 +189,7 @@ ORACLES = {
         "a17_repeated_models": "SELECT model_id, file_order FROM models QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY file_order) > 1",
         "a19_bursts": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY ts, ms) > 3600000000 THEN 1 ELSE 0 END AS nw FROM job_events), b AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY ts, ms ROWS UNBOUNDED PRECEDING) AS burst FROM g) SELECT job_id, CAST(burst AS BIGINT) AS burst, count(*) AS n, round(sum(ms), 4) AS total, min(ts) AS created_at, max(ts) AS updated_at FROM b GROUP BY ALL",
         "a11_dataset_fingerprint": """SELECT dataset_id, sha256(concat('{"dataset_id":"', dataset_id, '","items":[', string_agg(concat('["', asset_id, '","', display_path, '"]'), ',' ORDER BY asset_id, display_path), ']}')) AS fingerprint FROM assets GROUP BY dataset_id""",
+        "a11_tree_fingerprint": "WITH RECURSIVE o AS (SELECT dataset_id, asset_id, display_path, count(*) AS n FROM assets GROUP BY ALL), i AS (SELECT dataset_id, sha256(asset_id) AS h, concat(length(asset_id), ':', asset_id, length(display_path), ':', display_path, 'x', n) AS line FROM o), s AS (SELECT dataset_id, len(list_filter(range(0, 14), lambda d: c > 64 * 16 ** d)) AS depth, n FROM (SELECT dataset_id, count(*) AS c, CAST(sum(n) AS BIGINT) AS n FROM o GROUP BY dataset_id)), t AS (SELECT dataset_id, depth, substr(h, 1, depth) AS r, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM i JOIN s USING (dataset_id) GROUP BY dataset_id, depth, substr(h, 1, depth) UNION ALL SELECT dataset_id, depth - 1, substr(r, 1, depth - 1), sha256(string_agg(d, chr(10) ORDER BY r)) FROM t WHERE depth > 0 GROUP BY dataset_id, depth, substr(r, 1, depth - 1)) SELECT t.dataset_id, s.n, d AS fingerprint FROM t JOIN s USING (dataset_id) WHERE t.depth = 0",
         "a11_item_sum_fingerprint": "WITH p AS (SELECT dataset_id, CAST(concat('0x', substr(sha256(concat(asset_id, '|', display_path)), 1, 15)) AS BIGINT) AS v FROM assets), s AS (SELECT dataset_id, count(*) AS n, sum(CAST(v AS HUGEINT)) AS t FROM p GROUP BY dataset_id) SELECT dataset_id, n, sha256(concat(n, '|', t)) AS fingerprint FROM s",
         "a12_tensor_statistics": "SELECT label, round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean, " + ", ".join(f"round(quantile_cont(x, {q}), 6) AS p{p}" for q, p in ((0.01, "01"), (0.05, "05"), (0.5, "50"), (0.95, "95"), (0.99, "99"))) + " FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label",
         "f22_status_indicator": "WITH e AS (SELECT *, concat('a', CAST(event_id % 2500 AS STRING)) AS asset_id FROM job_events QUALIFY row_number() OVER (PARTITION BY event_id % 2500 ORDER BY state IN ('queued', 'running') DESC, ts DESC, event_id DESC) = 1) SELECT asset_id, CASE WHEN state IS NULL THEN 'none' WHEN state = 'running' THEN 'busy' WHEN state = 'queued' THEN 'waiting' WHEN state = 'failed' THEN 'error' ELSE 'done' END AS indicator, coalesce(least(1.0, greatest(0.0, ms / 100)), 0.0) AS progress FROM (SELECT asset_id FROM assets) LEFT JOIN (SELECT asset_id, state, ms FROM e) USING (asset_id)",

@@ -69,7 +69,7 @@ def _pairing(spark, sf):
     with rocks_state(spark):
         for part in range(3):  # each is a run of its own, which goes on where the one before ended
             sent = every.where(F.col("part") == part).withColumn("generation", F.lit(1).cast("long"))
-            late = every.where((F.col("part") == part - 1) & F.startswith("path", F.lit("img/1"))).select("*", F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("generation"))
+            late = every.where((F.col("part") == part - 1) & F.startswith("path", F.lit("img/1"))).select("*", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("generation"))
             sent.unionByName(late).drop("part").write.mode("append").parquet(f"{where}/files")
             stream = jobs.pairing(spark.readStream.schema(sent.drop("part").schema).parquet(f"{where}/files"))
             jobs.register(stream, f"{where}/index", f"{where}/checkpoint", 1).awaitTermination()
@@ -81,13 +81,12 @@ def _snapshots(spark, sf):
     assets, root = view(spark, sf, "assets").where("dataset_id = 'ds1'"), shared(spark)
     snapshots.create(spark, root)
     old = snapshots.write(assets.where("index_revision < 3"), root, "ds1")
-    begun = snapshots.page(spark, root, old, 100)
-    last = begun.where("total > 100").collect()[99:100]
-    begun = begun.limit(100)
+    begun = search.ordered(snapshots.page(spark, root, old, 100)).limit(100)
+    last = begun.where("total > 100").orderBy("selectable", F.desc("display_path"), F.desc("asset_id")).take(1)
     new = snapshots.write(snapshots.read(spark, root, old).drop("index_revision").unionByName(assets.where("index_revision >= 3").drop("index_revision")), root, "ds1")
     rest = snapshots.read(spark, root, old).where(search.after(*(last[0][c] for c in ("selectable", "display_path", "asset_id"))) if last else F.lit(False))
     rest = rest.withColumn("stale", F.lit(snapshots.is_stale(spark, root, old)))
-    fresh = snapshots.page(spark, root, new, 100).limit(100)
+    fresh = search.ordered(snapshots.page(spark, root, new, 100)).limit(100)
     parts = [("first", begun), ("rest", rest), ("new", fresh)]
     return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("part"), "asset_id", F.col("index_revision").alias("revision"), "stale") for n, df in parts])
 
