@@ -30,7 +30,7 @@ from .textkit import chunks, mix
 Pairs = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 ROWS = 2
-_SENT = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("cells", pa.binary()), ("n", pa.int32())])
+_SENT = pa.schema([("shard", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary()), ("cells", pa.binary())])
 _ANSWER = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("level", pa.int32()), ("cells", pa.binary())])
 
 
@@ -88,34 +88,58 @@ def unpacked(data: bytes, counts: np.ndarray) -> np.ndarray:
     return total - np.repeat(base, counts)
 
 
+def _blobs(data: bytes, cut: np.ndarray) -> pa.Array:
+    """Stretches of ``data`` from each place in ``cut`` to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def _sorted_cells(at: np.ndarray, bucket: np.ndarray, shard_bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, bucket, cell in the shard), sorted: as one number each where that fits."""
+    room = max(1, int(buckets - 1).bit_length())
+    inside = (1 << shard_bits) - 1
+    if int(at.max(initial=0)) >> shard_bits < 1 << (63 - shard_bits - room):
+        x = np.sort(((at >> shard_bits) << (room + shard_bits)) | (bucket << shard_bits) | (at & inside))
+        return x >> (room + shard_bits), (x >> shard_bits) & ((1 << room) - 1), x & inside
+    order = np.lexsort((at & inside, bucket, at >> shard_bits))
+    return at[order] >> shard_bits, bucket[order], at[order] & inside
+
+
 class Sketch:
     """The part of the merged sketch that a bucket can ask for: per level and row the sorted cells that reach it."""
 
     def __init__(self, bits: int, levels: tuple[int, ...]):
         self.bits = bits
         self._new: dict[tuple[int, int], list[np.ndarray]] = {(level, row): [] for level in levels for row in range(ROWS)}
-        self._all: dict[tuple[int, int], np.ndarray] = {}
+        self._all: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def learn(self, level: int, row: int, found: np.ndarray) -> None:
         self._new[level, row].append(found)
 
-    def _cells(self, level: int, row: int) -> np.ndarray:
+    def _cells(self, level: int, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted cells, and a table of their last bits, which most others miss."""
         new = self._new[level, row]
         if new or (level, row) not in self._all:
-            have = [self._all.get((level, row), np.empty(0, np.int64)), *new]
-            self._all[level, row] = np.sort(np.concatenate(have))
+            old = self._all[level, row][0] if (level, row) in self._all else np.empty(0, np.int64)
+            have = np.sort(np.concatenate([old, *new]))
+            some = np.zeros(1 << min(24, int(8 * len(have) + 1).bit_length()), bool)
+            some[have & (len(some) - 1)] = True
+            self._all[level, row] = have, some
             new.clear()
         return self._all[level, row]
 
     def reaches(self, keys: np.ndarray, level: int) -> np.ndarray:
         """Whether each key's estimate is at least ``level``; true for every key whose count is."""
-        out = np.ones(len(keys), dtype=bool)
+        live = np.arange(len(keys))
         for row in range(ROWS):
-            have = self._cells(level, row)
+            have, some = self._cells(level, row)
             if not len(have):
                 return np.zeros(len(keys), dtype=bool)
-            at = cells(keys[out], row, self.bits)
-            out[out] = have[np.minimum(np.searchsorted(have, at), len(have) - 1)] == at
+            at = cells(keys[live], row, self.bits)
+            maybe = np.flatnonzero(some[at & (len(some) - 1)])
+            at = at[maybe]
+            live = live[maybe[have[np.minimum(np.searchsorted(have, at), len(have) - 1)] == at]]
+        out = np.zeros(len(keys), dtype=bool)
+        out[live] = True
         return out
 
 
@@ -144,20 +168,21 @@ class Lookup:
         most, per_row = max(levels), 1 << (bits - shard_bits)
 
         def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            """One row for each shard: its cells by bucket, with the buckets and how many cells each has."""
             bucket, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            names, bucket = np.unique(bucket, return_inverse=True)
             for row in range(ROWS):
-                at = cells(keys, row, bits)
-                order = np.lexsort((at & ((1 << shard_bits) - 1), bucket, at >> shard_bits))
-                at, of = at[order], bucket[order]
-                if len(at) > most:  # no more of a cell and bucket than the highest level counts
-                    keep = np.concatenate([np.ones(most, bool), (at[most:] != at[:-most]) | (of[most:] != of[:-most])])
-                    at, of = at[keep], of[keep]
-                shard = at >> shard_bits
-                begin = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (of[1:] != of[:-1])]))
-                data, cut = packed(at & ((1 << shard_bits) - 1), begin)
-                blobs = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(data)])
-                n = np.diff(np.append(begin, len(at))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(row * per_row + shard[begin]), pa.array(of[begin]), blobs, pa.array(n)], schema=_SENT)
+                shard, of, cell = _sorted_cells(cells(keys, row, bits), bucket, shard_bits, len(names))
+                if len(cell) > most:  # no more of a cell and bucket than the highest level counts
+                    keep = np.concatenate([np.ones(most, bool), (cell[most:] != cell[:-most]) | (of[most:] != of[:-most]) | (shard[most:] != shard[:-most])])
+                    shard, of, cell = shard[keep], of[keep], cell[keep]
+                new = np.concatenate([[True], shard[1:] != shard[:-1]])
+                begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]) | new)  # of each bucket in each shard
+                data, cut = packed(cell, begin)
+                first = np.append(np.flatnonzero(new[begin]), len(begin))  # of each shard, among the buckets
+                count = np.diff(np.append(begin, len(cell))).astype(np.int32)
+                columns = (_blobs(names[of[begin]].tobytes(), 8 * first), _blobs(count.tobytes(), 4 * first), _blobs(data, cut[first]))
+                yield pa.RecordBatch.from_arrays([pa.array(row * per_row + shard[begin[first[:-1]]]), *columns], schema=_SENT)
 
         def partition_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -174,9 +199,9 @@ class Lookup:
             if size:
                 yield from send(held)
 
-        def answer(shard: int, held: list[tuple[np.ndarray, bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            bucket, count = (np.concatenate([h[i] for h in held]) for i in (0, 2))
-            at = np.concatenate([unpacked(h[1], h[2]) for h in held])
+        def answer(shard: int, held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+            bucket, count = (np.concatenate([np.frombuffer(h[i], t) for h in held]) for i, t in ((0, np.int64), (1, np.int32)))
+            at = np.concatenate([unpacked(h[2], np.frombuffer(h[1], np.int32).astype(np.int64)) for h in held])
             of = np.repeat(bucket, count)
             total = np.bincount(at)
             for level in levels:
@@ -189,26 +214,22 @@ class Lookup:
                 a, o = a[keep], o[keep]
                 begin = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
                 data, cut = packed(a, begin)
-                blobs = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([pa.array(o[begin]), pa.array(np.full(len(begin), shard)), pa.array(np.full(len(begin), level, np.int32)), blobs], schema=_ANSWER)
+                yield pa.RecordBatch.from_arrays([pa.array(o[begin]), pa.array(np.full(len(begin), shard)), pa.array(np.full(len(begin), level, np.int32)), _blobs(data, cut)], schema=_ANSWER)
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[np.ndarray, bytes, np.ndarray]] = []
+            held: list[tuple[bytes, bytes, bytes]] = []
             now = -1
             for batch in batches:
-                shard = batch.column("shard").to_numpy()
-                cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else []
-                for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                    if shard[lo] != now and held:
+                for shard, *blobs in zip(*(batch.column(c).to_pylist() for c in _SENT.names), strict=True):
+                    if shard != now and held:
                         yield from answer(now, held)
                         held = []
-                    now = int(shard[lo])
-                    part = batch.slice(lo, hi - lo)
-                    held.append((part.column("bucket").to_numpy(), b"".join(x.as_py() for x in part.column("cells")), part.column("n").to_numpy().astype(np.int64)))
+                    now = shard
+                    held.append(tuple(blobs))
             if held:
                 yield from answer(now, held)
 
-        sent = self.rows.select("_bucket", "text").mapInArrow(partition_sketch, "shard long, bucket long, cells binary, n int")
+        sent = self.rows.select("_bucket", "text").mapInArrow(partition_sketch, "shard long, buckets binary, counts binary, cells binary")
         sent = sent.repartition(parts(sent.sparkSession), "shard").sortWithinPartitions("shard")
         return sent.mapInArrow(merge, "bucket long, shard long, level int, cells binary")
 
