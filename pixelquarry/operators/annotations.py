@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.text import UNNAMED, category, is_category
+from . import grid
 
 #: Number of points of each shape type (least, most; null is any).
 POINT_COUNTS = {"point": (1, 1), "line": (2, 2), "circle": (2, 2), "rectangle": (4, 4), "rotation": (4, 4), "polygon": (3, None), "linestrip": (2, None), "points": (1, None), "mask": (2, 2)}
@@ -124,10 +125,11 @@ def tiles(images: DataFrame, w: int, h: int, overlap_x: int = 0, overlap_y: int
 
 
 def tile_shapes(windows: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Shapes of each tile, clipped and moved: joined where bounds overlap the window."""
+    """Shapes of each tile, clipped and moved: windows and bounds of shapes meet by the grid of sizes."""
     box = g.bounds(F.col("points"))
-    bounded = shapes.select("image", "idx", "label", "shape_type", "points", *(box[c].alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")))
-    met = windows.join(bounded, "image").where("_x0 <= x + w AND _x1 >= x AND _y0 <= y + h AND _y1 >= y").drop("_x0", "_y0", "_x1", "_y1")
+    bounded = shapes.select("image", F.struct("idx", "label", "shape_type", "points").alias("shape"), *(box[c].alias(c) for c in ("x0", "y0", "x1", "y1")))
+    framed = windows.select("image", F.struct(*(c for c in windows.columns if c != "image")).alias("window"), *(F.expr(e).cast("double").alias(n) for n, e in (("x0", "x"), ("y0", "y"), ("x1", "x + w"), ("y1", "y + h"))))
+    met = grid.meeting(framed, bounded, ["image"]).select("image", "a.window.*", "b.shape.*")
     out = clip(met, F.col("x"), F.col("y"), F.col("w"), F.col("h"))
     return out.withColumn("tile", F.format_string("%s__tile_r%04d_c%04d", F.col("image").cast("string"), "row", "column"))
 

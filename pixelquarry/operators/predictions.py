@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import let
 from ..scratch import stored
+from . import grid
 
 
 def sigmoid(x: Column) -> Column:
@@ -54,36 +51,30 @@ def iou(a: str, b: str) -> Column:
     return F.coalesce(w * h / F.nullif(area(a) + area(b) - w * h, F.lit(0.0)), F.lit(0.0))
 
 
-def overlapping_pairs(boxes: DataFrame, least: float = 0.0) -> DataFrame:
-    """Pairs of boxes of one image and label that overlap by more than ``least``; bounds are tested before the ratio."""
-    touch = "a.image = b.image AND a.label = b.label AND a.idx < b.idx AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
-    met = boxes.alias("a").join(boxes.alias("b"), F.expr(touch)).withColumn("iou", iou("a", "b")).where(F.col("iou") > least)
-    return met.select("a.image", "a.label", F.col("a.idx").alias("idx_a"), F.col("b.idx").alias("idx_b"), "iou")
+DENSE = 512
 
 
-def _kept_of_groups(boxes: DataFrame, keep) -> DataFrame:
-    """Rows that ``keep`` (frame of one image and label, best first -> positions) keeps.  Groups are small and many, so
-    a task walks through its sorted rows instead of starting a function call per group; a group is never split."""
+def _met(boxes: DataFrame, order: str, dense: int = DENSE) -> DataFrame:
+    """Pairs (image, label, a, b: structs) of touching boxes, a before b in ``order``.  Groups up to ``dense`` boxes are
+    joined by their keys, larger ones by the grid of sizes."""
     keys = ["image", "label"]
+    large = boxes.groupBy(*keys).count().where(F.col("count") > dense).select(*keys)
 
-    def walk(batches):
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
-            cut = np.flatnonzero(new)
-            held = pdf.iloc[cut[-1] :].reset_index(drop=True)
-            yield from chosen(pdf, cut)
-        if held is not None and len(held):
-            yield from chosen(held, np.array([0, len(held)]))
+    def by_keys(rows: DataFrame) -> DataFrame:
+        one = rows.select(*keys, F.struct("*").alias("a"))
+        touch = "a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
+        return one.join(one.withColumnRenamed("a", "b"), keys).where(f"({order}) AND {touch}")
 
-    def chosen(pdf: pd.DataFrame, cut: np.ndarray):
-        spans = [range(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        rows = [r.start + i for r in spans for i in ([0] if len(r) == 1 else keep(pdf.iloc[r.start : r.stop]))]
-        if rows:
-            yield pdf.iloc[rows]
+    if large.isEmpty():
+        return by_keys(boxes)
+    rest = boxes.join(large, keys, "left_anti")
+    return by_keys(rest).unionByName(grid.touching(boxes.join(large, keys, "left_semi"), keys, order).select(*keys, "a", "b"))
 
-    return boxes.repartition(*keys).sortWithinPartitions(*keys, F.desc("score"), "idx").mapInPandas(walk, boxes.schema)
+
+def overlapping_pairs(boxes: DataFrame, least: float = 0.0, dense: int = DENSE) -> DataFrame:
+    """Pairs of boxes of one image and label that overlap by more than ``least``; bounds are tested before the ratio."""
+    met = _met(boxes.select("image", "label", "idx", "x0", "y0", "x1", "y1"), "a.idx < b.idx", dense).withColumn("iou", iou("a", "b")).where(F.col("iou") > least)
+    return met.select("image", "label", F.col("a.idx").alias("idx_a"), F.col("b.idx").alias("idx_b"), "iou")
 
 
 GATHERED = 2048
@@ -117,17 +108,19 @@ def _folded(boxes: DataFrame, most: float) -> DataFrame:
     return groups.select("image", "label", F.explode(kept).alias("_k")).select("image", "label", *(F.col(f"_k.{c}").alias(c) for c in rest)).select(*boxes.columns)
 
 
+BETTER = "a.score > b.score OR a.score = b.score AND (a.idx < b.idx OR a.idx = b.idx AND a._id < b._id)"
+
+
 def _in_rounds(boxes: DataFrame, most: float) -> DataFrame:
     """The same by pairs: a box is kept once all better ones that overlap it are gone, and goes once one is kept."""
     ids = stored(boxes.withColumn("_id", F.monotonically_increasing_id()), "boxes")
-    size = F.greatest(F.max(F.col("x1") - F.col("x0")), F.max(F.col("y1") - F.col("y0")), F.lit(1e-9)).alias("_cell")
-    cells = ids.join(F.broadcast(ids.agg(size)))  # one row
-    spread = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.col("_cell")), F.floor(F.col(b) / F.col("_cell"))))
-    cells = cells.withColumn("_cx", spread("x0", "x1")).withColumn("_cy", spread("y0", "y1"))
-    same = "a.image = b.image AND a.label = b.label AND a._cx = b._cx AND a._cy = b._cy AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
-    better = "(a.score > b.score OR a.score = b.score AND (a.idx < b.idx OR a.idx = b.idx AND a._id < b._id))"
-    pairs = cells.alias("a").join(cells.alias("b"), F.expr(f"{same} AND {better}")).where(iou("a", "b") > most)
-    left = stored(pairs.select(F.col("a._id").alias("a"), F.col("b._id").alias("b")).distinct(), "pairs")
+    pairs = grid.touching(ids.select("image", "label", "idx", "score", "x0", "y0", "x1", "y1", "_id"), ["image", "label"], BETTER).where(iou("a", "b") > most)
+    return _decided(ids, pairs)
+
+
+def _decided(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``ids`` without those that a kept one of ``pairs`` (a: the better, b) puts out; in rounds over the pairs alone."""
+    left = stored(pairs.select(F.col("a._id").alias("a"), F.col("b._id").alias("b")), "pairs")
     gone: DataFrame | None = None
     while not left.isEmpty():  # each round decides at least the best box that is left
         sure = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
@@ -139,50 +132,49 @@ def _in_rounds(boxes: DataFrame, most: float) -> DataFrame:
     return kept.drop("_id")
 
 
-def corners(cx: float, cy: float, w: float, h: float, angle: float) -> list[tuple[float, float]]:
-    """Corners of a box turned about its centre."""
-    c, s = math.cos(angle), math.sin(angle)
-    return [(cx + dx * w / 2 * c - dy * h / 2 * s, cy + dx * w / 2 * s + dy * h / 2 * c) for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
-
-
-def _area(poly: list[tuple[float, float]]) -> float:
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(poly, poly[1:] + poly[:1], strict=True))) / 2 if len(poly) > 2 else 0.0
-
-
-def convex_overlap(first: list[tuple[float, float]], second: list[tuple[float, float]]) -> float:
-    """Area that two convex polygons of one orientation share."""
-    out = first
-    for a, b in zip(second, second[1:] + second[:1], strict=True):
-        side = lambda p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])  # noqa: B023, E731
-        new = []
-        for p, q in zip(out, out[1:] + out[:1], strict=True):
-            sp, sq = side(p), side(q)
-            if sp >= 0:
-                new.append(p)
-            if sp * sq < 0:
-                t = sp / (sp - sq)
-                new.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        out = new
-        if not out:
-            return 0.0
-    return _area(out)
-
-
-def suppress_rotated(boxes: DataFrame, most: float = 0.45, limit: int = 300) -> DataFrame:
-    """The same for turned boxes (cx, cy, w, h, angle): bounds first, then the shared area; ``limit`` kept per image
-    and label, as the reporting limit."""
-
-    def keep(pdf: pd.DataFrame) -> list[int]:
-        polys = [corners(*row) for row in pdf[["cx", "cy", "w", "h", "angle"]].itertuples(index=False)]
-        frame = np.array([[min(x for x, _ in p), min(y for _, y in p), max(x for x, _ in p), max(y for _, y in p)] for p in polys]).reshape(-1, 4)
-        area, kept = [_area(p) for p in polys], []
-        for i, poly in enumerate(polys):
-            near = (j for j in kept if (frame[i, :2] < frame[j, 2:]).all() and (frame[j, :2] < frame[i, 2:]).all())
-            if len(kept) < limit and not any((s := convex_overlap(poly, polys[j])) / max(area[i] + area[j] - s, 1e-12) > most for j in near):
-                kept.append(i)
-        return kept
-
-    return _kept_of_groups(boxes, keep)
+def corners(cx: str = "cx", cy: str = "cy", w: str = "w", h: str = "h", angle: str = "angle") -> Column:
+    """Corners (x, y) of a box turned about its centre."""
+
+    def corner(dx: int, dy: int) -> Column:
+        across, down = F.col(w) * (dx / 2), F.col(h) * (dy / 2)
+        return F.struct((F.col(cx) + across * F.cos(angle) - down * F.sin(angle)).alias("x"), (F.col(cy) + across * F.sin(angle) + down * F.cos(angle)).alias("y"))
+
+    return F.array(*(corner(dx, dy) for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1))))
+
+
+def polygon_area(polygon: str) -> Column:
+    """Area of a polygon (array of x, y), whichever way it turns."""
+    step = f"transform({polygon}, (p, i) -> p.x * {polygon}[(i + 1) % size({polygon})].y - {polygon}[(i + 1) % size({polygon})].x * p.y)"
+    return F.expr(f"abs(aggregate({step}, 0D, (s, v) -> s + v)) / 2")
+
+
+def convex_intersection(first: str, second: str) -> Column:
+    """What two convex polygons share, as a polygon: the first is cut at each edge of the second, a fold over half planes.
+    The second has its inside on the left of its edges."""
+    edges = f"transform({second}, (p, i) -> named_struct('p', p, 'q', {second}[(i + 1) % size({second})]))"
+    side = lambda v: f"(e.q.x - e.p.x) * ({v}.y - e.p.y) - (e.q.y - e.p.y) * ({v}.x - e.p.x)"
+    step = f"transform(poly, (p, i) -> named_struct('p', p, 'q', poly[(i + 1) % size(poly)], 's', {side('p')}, 't', {side('poly[(i + 1) % size(poly)]')}))"
+    cross = "named_struct('x', r.p.x + r.s / (r.s - r.t) * (r.q.x - r.p.x), 'y', r.p.y + r.s / (r.s - r.t) * (r.q.y - r.p.y))"
+    points = f"CASE WHEN r.s >= 0 AND r.s * r.t < 0 THEN array(r.p, {cross}) WHEN r.s >= 0 THEN array(r.p) WHEN r.s * r.t < 0 THEN array({cross}) ELSE filter(array(r.p), z -> false) END"
+    return F.expr(f"aggregate({edges}, {first}, (poly, e) -> flatten(transform({step}, r -> {points})))")
+
+
+def suppress_rotated(boxes: DataFrame, most: float = 0.45, limit: int = 300, dense: int = DENSE) -> DataFrame:
+    """The same for turned boxes (cx, cy, w, h, angle), and of what is left the ``limit`` best of each image.
+
+    Bounds first, then the shared area in columns; pairs beyond ``most`` are decided in rounds.  Boxes without an area or
+    with a side that is not finite are left out."""
+    finite = " AND ".join(f"abs({c}) < double('Infinity')" for c in ("cx", "cy", "w", "h", "angle", "score"))
+    ids = stored(boxes.where(f"{finite} AND w > 0 AND h > 0").withColumn("_id", F.monotonically_increasing_id()), "turned")
+    framed = ids.select("image", "label", "idx", "score", "_id", (F.col("w") * F.col("h")).alias("area"), corners().alias("poly"))
+    ends = {f"{c}{i}": f"array_{f}(transform(poly, p -> p.{c}))" for c in "xy" for i, f in ((0, "min"), (1, "max"))}
+    framed = framed.select("*", *(F.expr(e).alias(n) for n, e in ends.items()))
+    met = _met(framed, BETTER, dense).withColumn("both", convex_intersection("a.poly", "b.poly"))
+    shared = F.when(F.size("both") > 2, polygon_area("both")).otherwise(0.0)
+    pairs = met.where(let(shared, lambda s: s / F.greatest(F.col("a.area") + F.col("b.area") - s, F.lit(1e-12))) > most)
+    kept = _decided(ids, pairs)
+    place = F.row_number().over(Window.partitionBy("image").orderBy(F.desc("score"), "idx", "label"))
+    return kept.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
 
 def top_k(rows: DataFrame, k: int, *key: str, least: float | None = None) -> DataFrame:

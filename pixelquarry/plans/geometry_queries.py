@@ -128,7 +128,7 @@ def _pca(spark, sf):
 
 def _rotated(spark, sf):
     b = view(spark, sf, "boxes").selectExpr("image", "idx", "label", "score", "(x0 + x1) / 2 AS cx", "(y0 + y1) / 2 AS cy", "x1 - x0 AS w", "y1 - y0 AS h", "score * 3 AS angle")
-    return pr.suppress_rotated(b, 0.3).select("image", "label", "idx")
+    return pr.suppress_rotated(b, 0.3, 3).select("image", "label", "idx")
 
 
 def _runs(spark, sf):
@@ -288,6 +288,34 @@ _ov = "(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, leas
 _iou = f"({_ov} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_ov}))"
 
 
+_turned = "list_transform([[-1, -1], [1, -1], [1, 1], [-1, 1]], lambda d: {'x': (x0 + x1) / 2 + (x1 - x0) * (d[1] / 2) * cos(score * 3) - (y1 - y0) * (d[2] / 2) * sin(score * 3), 'y': (y0 + y1) / 2 + (x1 - x0) * (d[1] / 2) * sin(score * 3) + (y1 - y0) * (d[2] / 2) * cos(score * 3)})"
+_side = "((e[2].x - e[1].x) * ({0}.y - e[1].y) - (e[2].y - e[1].y) * ({0}.x - e[1].x))"
+_s, _t = _side.format("o[i]"), _side.format("o[i % len(o) + 1]")
+_crossing = f"{{'x': o[i].x + {_s} / ({_s} - {_t}) * (o[i % len(o) + 1].x - o[i].x), 'y': o[i].y + {_s} / ({_s} - {_t}) * (o[i % len(o) + 1].y - o[i].y)}}"
+_cut = f"flatten(list_transform(range(1, len(o) + 1), lambda i: CASE WHEN {_s} >= 0 AND {_s} * {_t} < 0 THEN [o[i], {_crossing}] WHEN {_s} >= 0 THEN [o[i]] WHEN {_s} * {_t} < 0 THEN [{_crossing}] ELSE [] END))"
+_shared = f"list_reduce(list_prepend(a.poly, list_transform(range(1, 5), lambda i: [b.poly[i], b.poly[i % 4 + 1]])), lambda o, e: {_cut})"
+_area = "abs(list_sum(list_transform(range(1, len(s) + 1), lambda i: s[i].x * s[i % len(s) + 1].y - s[i % len(s) + 1].x * s[i].y))) / 2"
+X03 = f"""
+WITH RECURSIVE t AS (
+  SELECT image, label, idx, score, (x1 - x0) * (y1 - y0) AS area, {_turned} AS poly, row_number() OVER (PARTITION BY image, label ORDER BY score DESC, idx) AS k FROM boxes
+), c AS (
+  SELECT a.image, a.label, a.k AS ka, b.k AS kb, a.area + b.area AS total, {_shared} AS s
+  FROM t AS a JOIN t AS b ON a.image = b.image AND a.label = b.label AND a.k < b.k
+), p AS (
+  SELECT image, label, kb, list(ka) AS worse_than FROM (SELECT *, CASE WHEN len(s) > 2 THEN {_area} ELSE 0 END AS shared FROM c)
+  WHERE shared / greatest(total - shared, 1e-12) > 0.3 GROUP BY ALL
+), n AS (
+  SELECT image, label, k, [k] AS kept FROM t WHERE k = 1
+  UNION ALL
+  SELECT n.image, n.label, n.k + 1, CASE WHEN p.kb IS NULL OR NOT list_has_any(kept, worse_than) THEN list_append(kept, n.k + 1) ELSE kept END
+  FROM n JOIN t ON t.image = n.image AND t.label = n.label AND t.k = n.k + 1 LEFT JOIN p ON p.image = n.image AND p.label = n.label AND p.kb = n.k + 1
+), kept AS (
+  SELECT image, label, unnest(kept) AS k FROM (SELECT image, label, arg_max(kept, k) AS kept FROM n GROUP BY ALL)
+)
+SELECT image, label, idx FROM t JOIN kept USING (image, label, k) QUALIFY row_number() OVER (PARTITION BY image ORDER BY score DESC, idx, label) <= 3
+"""
+
+
 def _norm_sql(expr):
     return f"WITH {_v}, n AS (SELECT vec_id, {expr} AS x FROM v) SELECT vec_id, round(x[1], 6) AS first, round(x[6], 6) AS sixth, round(list_sum(x), 5) AS total FROM n"
 
@@ -353,6 +381,7 @@ ORACLES = {
         "j17_hits": f"WITH p AS (SELECT image, idx AS point_id, x0 + 20 AS x, y0 + 3 AS y FROM boxes), m AS (SELECT image, point_id, b.idx, {_edge} AS distance, (b.x1 - b.x0) * (b.y1 - b.y0) AS area, p.x > b.x0 AND p.x < b.x1 AND p.y > b.y0 AND p.y < b.y1 AS within FROM p JOIN boxes AS b USING (image)) SELECT image, point_id, idx, distance <= 4 AS on_edge, round(distance, 6) AS distance, row_number() OVER (PARTITION BY image, point_id ORDER BY distance <= 4 DESC, CASE WHEN distance <= 4 THEN distance END NULLS FIRST, area, distance, idx DESC) AS rank FROM m WHERE distance <= 4 OR within",
         "j18_overlaps": f"SELECT a.image, a.label, a.idx AS idx_a, b.idx AS idx_b, round({_iou}, 6) AS iou FROM boxes AS a JOIN boxes AS b ON a.image = b.image AND a.label = b.label AND a.idx < b.idx WHERE {_iou} > 0.2",
         "x01_decode": f"WITH {_l}, {_soft} SELECT idx, list_position(q, list_max(q)) - 1 AS class_index, round(list_max(q), 6) AS score, round(cx - w / 2, 6) AS x0, round(cy + h / 2, 6) AS y1 FROM p WHERE list_max(q) >= 0.5",
+        "x03_suppress_rotated": X03,
         "x02_suppress": "WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY image, label ORDER BY score DESC, idx) AS k FROM boxes), n AS (SELECT image, label, k, [{'idx': idx, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] AS kept FROM r WHERE k = 1 UNION ALL SELECT a.image, a.label, a.k, CASE WHEN len(list_filter(kept, lambda b: " + _iou + " > 0.3)) = 0 THEN list_append(kept, {'idx': a.idx, 'x0': a.x0, 'y0': a.y0, 'x1': a.x1, 'y1': a.y1}) ELSE kept END FROM n JOIN r AS a ON a.image = n.image AND a.label = n.label AND a.k = n.k + 1) SELECT image, label, unnest(kept).idx AS idx FROM (SELECT image, label, arg_max(kept, k) AS kept FROM n GROUP BY ALL)",
         "x09_mask_components": f"WITH RECURSIVE {_runs_sql} SELECT image, count(*) AS parts, CAST(sum(area) AS BIGINT) AS area, CAST(max(area) AS BIGINT) AS largest FROM p GROUP BY image",
         "w12_largest_parts": f"WITH RECURSIVE {_runs_sql} SELECT image, CAST(area AS BIGINT) AS area, CAST(row_number() OVER (PARTITION BY image ORDER BY area DESC, component) AS INT) AS rank FROM p QUALIFY rank <= 2",

@@ -97,7 +97,9 @@ def test_rotated_suppression(spark):
     rows = [("i", "a", 0, 0.9, 50.0, 50.0, 80.0, 8.0, math.pi / 4), ("i", "a", 1, 0.8, 50.0, 50.0, 80.0, 8.0, -math.pi / 4), ("i", "a", 2, 0.7, 51.0, 51.0, 80.0, 8.0, math.pi / 4)]
     df = spark.createDataFrame(rows, "image string, label string, idx long, score double, cx double, cy double, w double, h double, angle double")
     assert sorted(r["idx"] for r in pr.suppress_rotated(df).collect()) == [0, 1]
-    assert abs(pr.convex_overlap(pr.corners(0, 0, 2, 2, 0), pr.corners(1, 0, 2, 2, 0)) - 2) < 1e-9
+    two = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0, 2.0, 0.0)], "ax double, ay double, bx double, by double, s double, t double")
+    two = two.select(pr.corners("ax", "ay", "s", "s", "t").alias("a"), pr.corners("bx", "by", "s", "s", "t").alias("b")).withColumn("both", pr.convex_intersection("a", "b"))
+    assert abs(two.select(pr.polygon_area("both")).first()[0] - 2) < 1e-9
 
 
 def test_mask_parts(spark):
