@@ -40,7 +40,7 @@ class Layout(NamedTuple):
 
     shard_bits: int = 22
     bucket_bytes: int = 8 << 20
-    flush: int = 1 << 22
+    flush: int = 1 << 21
     cells_per_key: float = 6
 
 
@@ -121,7 +121,7 @@ class Sketch:
         if new or (level, row) not in self._all:
             old = self._all[level, row][0] if (level, row) in self._all else np.empty(0, np.int64)
             have = np.sort(np.concatenate([old, *new]))
-            some = np.zeros(1 << min(24, int(8 * len(have) + 1).bit_length()), bool)
+            some = np.zeros(1 << min(22, int(8 * len(have) + 1).bit_length()), bool)
             some[have & (len(some) - 1)] = True
             self._all[level, row] = have, some
             new.clear()
