@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import let
 from ..scratch import stored
 from . import grid
+from .masks import mask_components
 
 
 def sigmoid(x: Column) -> Column:
@@ -226,30 +227,6 @@ def ctc_collapse(frames: DataFrame, key: str, time: str, label: str, score: str,
     return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(time, label))), lambda s: s[label]).alias("labels"), F.avg(score).alias("confidence"))
 
 
-def mask_components(runs: DataFrame, least_area: int = 1, most_rounds: int = 100) -> DataFrame:
-    """Connected parts of masks given as runs (image, y, x0, x1; ends included): image, component, area and bounds.
-
-    Runs of neighbouring rows that share a column join; labels are the smallest run of a part, spread over the edges
-    with a jump to the label's own label each round, in written tables so no lineage grows.  Labels that still move
-    after ``most_rounds`` are an error."""
-    runs = stored(runs.withColumn("run", F.row_number().over(Window.partitionBy("image").orderBy("y", "x0", "x1")).cast("long")), "runs")
-    up = runs.alias("a").join(runs.alias("b"), F.expr("a.image = b.image AND b.y = a.y + 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1")).select("a.image", F.col("a.run").alias("u"), F.col("b.run").alias("v"))
-    edges = stored(up.union(up.select("image", F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-    labels, moving = runs.select("image", "run", F.col("run").alias("component")), not edges.isEmpty()
-    for _ in range(most_rounds):
-        if not moving:
-            break
-        near = edges.join(labels.select("image", F.col("run").alias("v"), F.col("component").alias("c")), ["image", "v"]).groupBy("image", F.col("u").alias("run")).agg(F.min("c").alias("c"))
-        spread = labels.join(near, ["image", "run"], "left").select("image", "run", F.least("component", F.coalesce("c", "component")).alias("t"), "component")
-        jump = labels.select("image", F.col("run").alias("t"), F.col("component").alias("j"))
-        new = stored(spread.join(jump, ["image", "t"]).select("image", "run", F.least("t", "j").alias("component"), (F.least("t", "j") < F.col("component")).alias("moved")), "labels")
-        labels, moving = new.drop("moved"), not new.where("moved").isEmpty()
-    if moving:
-        raise RuntimeError(f"parts are not settled after {most_rounds} rounds")
-    sized = runs.join(labels, ["image", "run"]).groupBy("image", "component")
-    return sized.agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1")).where(F.col("area") >= least_area)
-
-
 def largest(components: DataFrame, n: int) -> DataFrame:
     """The n largest parts of each image, earlier ones first among equals."""
     return components.withColumn("rank", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("area"), "component"))).where(F.col("rank") <= n)

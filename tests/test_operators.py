@@ -171,13 +171,46 @@ def test_principal_axis(spark):
     assert ft.principal_axis(df.where("v IS NULL"), "v")[1].size == 0
 
 
-def test_mask_parts_that_do_not_settle_are_an_error(spark):
-    """A spiral needs more than one round."""
-    runs = spark.createDataFrame([("i", y, x, x) for y in range(6) for x in ([0, 2] if y < 5 else [0, 1, 2])], "image string, y long, x0 long, x1 long")
-    with pytest.raises(RuntimeError):
-        pr.mask_components(runs, most_rounds=1)
-    assert pr.mask_components(runs.where("y < 5")).count() == 2
-    assert pr.mask_components(runs.where("y < 0")).count() == 0
+def test_mask_parts_across_bands(spark):
+    """Arms that join at the bottom, a spiral and chance, whatever rows a band has."""
+    two = spark.createDataFrame([("i", y, x, x) for y in range(6) for x in ([0, 2] if y < 5 else [0, 1, 2])], "image string, y long, x0 long, x1 long")
+    assert pr.mask_components(two.where("y < 5")).count() == 2 and pr.mask_components(two.where("y < 0")).count() == 0
+    r = random.Random(8)
+    cells = {(k, y, x) for k in "ab" for y in range(-7, 23) for x in range(30) if r.random() < 0.55}
+    spiral = "#######,#.....#,#.###.#,#.#.#.#,#.#...#,#.#####,#......".split(",")
+    cells |= {("s", y, x) for y, line in enumerate(spiral) for x, c in enumerate(line) if c == "#"}
+    runs = [(k, y, x, x + next(n for n in range(99) if (k, y, x + n + 1) not in cells)) for k, y, x in cells if (k, y, x - 1) not in cells]
+    want, left = {}, set(cells)
+    while left:  # parts of cells joined up and down and along rows
+        part, todo = set(), [left.pop()]
+        while todo:
+            k, y, x = todo.pop()
+            part.add((k, y, x))
+            for step in ((k, y - 1, x), (k, y + 1, x), (k, y, x - 1), (k, y, x + 1)):
+                if step in left:
+                    left.remove(step)
+                    todo.append(step)
+        box = (min(p[2] for p in part), min(p[1] for p in part), max(p[2] for p in part), max(p[1] for p in part))
+        want[(min(part)[0], *sorted((p[1], p[2]) for p in part)[0])] = (len(part), *box)
+    df = spark.createDataFrame(runs, "image string, y long, x0 long, x1 long").repartition(4)
+    for band in (1, 2, 5, 64):
+        got = pr.mask_components(df, band=band).collect()
+        assert sorted((x["image"], x["area"], x["x0"], x["y0"], x["x1"], x["y1"]) for x in got) == sorted((k[0], *v) for k, v in want.items())
+    numbers = {k: [(y, x) for kk, y, x, _ in sorted(runs) if kk == k] for k in "abs"}
+    assert {(x["image"], *numbers[x["image"]][x["component"] - 1]) for x in got} == set(want)
+
+
+def test_one_mask_of_many_runs(spark, monkeypatch):
+    """A comb of 40,000 runs in one image: the tables written do not grow with its height."""
+    from pixelquarry.operators import components, masks
+
+    written = []
+    for module in (components, masks):
+        monkeypatch.setattr(module, "stored", lambda df, name, f=module.stored: (written.append(name), f(df, name))[1])
+    runs = spark.range(40_000).selectExpr("'i' AS image", "id div 20 AS y", "id % 20 * 4 AS x0", "id % 20 * 4 + if(id div 20 = 1999, 3, 1) AS x1")
+    got = pr.mask_components(runs.unionByName(spark.sql("SELECT 'i' AS image, 2000L AS y, 0L AS x0, 79L AS x1"))).collect()
+    assert [(x["area"], x["component"]) for x in got] == [(39_980 * 2 + 20 * 4 + 80, 1)]
+    assert len(written) < 40
 
 
 def test_latency_and_percentiles(spark):
