@@ -22,6 +22,37 @@ def token_projection(tokens: DataFrame, key: str, vector: str, how: str, channel
     return by.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda s: s["v"]).alias("projected"))
 
 
+def shaped_projection(values: str, shape: str, how: str, channel: int = 0) -> Column:
+    """A tensor (row-major ``values`` and ``shape``) projected over its channels, as a struct of values and shape.
+
+    C stays.  TC (tokens by channels) gives a value a token, one token its vector; NTC a map for each n, square if its
+    tokens make a square, else one row; NCHW one channel.  ``how``: mean, max, channel, none, or token_grid: the mean,
+    as a square grid of the tokens, an error if they make none.  So are a channel beyond the tensor's and other shapes."""
+    if how not in ("mean", "max", "channel", "none", "token_grid"):
+        raise ValueError(f"no such projection: {how}")
+    rank, dims = f"size({shape})", f"transform({shape}, d -> cast(d AS bigint))"
+    c = f"CASE {rank} WHEN 2 THEN get({dims}, 1) WHEN 3 THEN get({dims}, 2) ELSE get({dims}, 1) END"
+    inner = f"CASE {rank} WHEN 4 THEN get({dims}, 2) * get({dims}, 3) ELSE 1L END"
+    tokens = f"CASE {rank} WHEN 2 THEN get({dims}, 0) WHEN 3 THEN get({dims}, 1) ELSE 1L END"
+    fits = f"size({values}) = aggregate({dims}, 1L, (s, d) -> s * d)"
+    x = "x.v[cast(((o div x.inner) * x.c + {0}) * x.inner + o % x.inner AS int)]"
+    over = "sequence(0L, x.c - 1)"
+    one = {"max": f"array_max(transform({over}, k -> {x.format('k')}))", "channel": x.format(f"{channel}L")}.get(how, f"aggregate({over}, 0D, (s, k) -> s + {x.format('k')}) / x.c")
+    every = f"CASE WHEN size(x.v) = 0 THEN x.v ELSE transform(sequence(0L, size(x.v) div x.c - 1), o -> {one}) END"
+    side = "cast(round(sqrt(x.tokens)) AS bigint)"
+    square = f"{side} * {side} = x.tokens"
+    grid = how == "token_grid"
+    to = f"CASE x.rank WHEN 2 THEN {f'array({side}, {side})' if grid else 'array(x.tokens)'} WHEN 3 THEN array(get(x.dims, 0), 1L, CASE WHEN {square} THEN {side} ELSE 1L END, CASE WHEN {square} THEN {side} ELSE x.tokens END) ELSE array(get(x.dims, 0), 1L, get(x.dims, 2), get(x.dims, 3)) END"
+    same = "x.rank = 1 OR x.rank = 2 AND get(x.dims, 0) = 1" + (" OR x.rank <= 4" if how == "none" else "")
+    wrong = "CASE WHEN NOT x.fits THEN 'values do not fill the shape' WHEN x.rank NOT BETWEEN 1 AND 4 THEN 'no C, TC, NTC or NCHW tensor'"
+    wrong += f" WHEN NOT ({same}) AND {channel} >= x.c THEN 'no such channel'" if how == "channel" else ""
+    wrong += f" WHEN NOT ({same}) AND x.rank IN (2, 3) AND NOT ({square}) THEN 'tokens make no square'" if grid else ""
+    whole = "named_struct('values', x.v, 'shape', CASE WHEN x.rank = 2 AND get(x.dims, 0) = 1" + (" AND false" if how == "none" else "") + " THEN array(get(x.dims, 1)) ELSE x.dims END)"
+    body = f"CASE WHEN {wrong} END IS NOT NULL THEN raise_error({wrong} END) WHEN {same} THEN {whole} ELSE named_struct('values', {every}, 'shape', {to}) END"
+    bound = f"named_struct('v', transform({values}, v -> cast(v AS double)), 'dims', {dims}, 'rank', {rank}, 'c', {c}, 'inner', {inner}, 'tokens', {tokens}, 'fits', {fits})"
+    return F.expr(f"transform(array({bound}), x -> {body})[0]")
+
+
 def principal_axis(vectors: DataFrame, vector: str, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """(mean, axis) of all vectors: each task adds up sums and products of its vectors, Spark adds up the
     tasks', and a few power steps run on the d x d covariance.  The sign is such that the first loading that is not zero is positive."""

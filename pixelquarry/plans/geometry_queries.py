@@ -112,6 +112,16 @@ def _ctc(spark, sf):
     return out.select("l_orderkey", F.array_join(F.col("labels").cast("array<string>"), "").alias("text"), F.round("confidence", 6).alias("confidence"))
 
 
+def _layout(shape: str, how: str, channel: int = 0):
+    """Every value of the vectors' projections, the vectors read as tensors of a shape."""
+
+    def run(spark, sf):
+        t = view(spark, sf, "embeddings").select("vec_id", ft.shaped_projection("embedding", f"array({shape})", how, channel).alias("p"))
+        return t.select("vec_id", F.array_join("p.shape", "x").alias("shape"), F.posexplode("p.values").alias("place", "v")).select("vec_id", "shape", F.col("place").cast("long").alias("place"), F.round("v", 6).alias("v"))
+
+    return run
+
+
 def _normal(f):
     def run(spark, sf):
         e = view(spark, sf, "embeddings").select("vec_id", f(F.col("embedding").cast("array<double>")).alias("x"))
@@ -266,6 +276,11 @@ QUERIES = {
     "x12_best_mask": lambda spark, sf: pr.best_mask(view(spark, sf, "boxes"), "image", "label"),
     "x13_mean_projection": lambda spark, sf: ft.token_projection(view(spark, sf, "embeddings"), "label", "embedding", "mean").select("label", *(F.round(F.col("projected")[i], 6).alias(f"c{i}") for i in (0, 7, 63))),
     "x13_max_projection": lambda spark, sf: ft.token_projection(view(spark, sf, "embeddings"), "label", "embedding", "max").select("label", *(F.round(F.col("projected")[i], 6).alias(f"c{i}") for i in (0, 7, 63))),
+    "x13_layout_c": _layout("64", "mean"),
+    "x13_layout_tc": _layout("8, 8", "channel", 3),
+    "x13_layout_ntc": _layout("2, 4, 8", "max"),
+    "x13_layout_nchw": _layout("2, 4, 2, 4", "mean"),
+    "x13_token_grid": _layout("16, 4", "token_grid"),
     "x14_principal_axis": _pca,
     "x15_minmax": _normal(ft.minmax),
     "x15_zscore": _normal(ft.zscore),
@@ -396,6 +411,11 @@ ORACLES = {
         "x12_best_mask": "SELECT image, label, idx, score FROM boxes QUALIFY row_number() OVER (PARTITION BY image, label ORDER BY score DESC, idx) = 1",
         "x13_mean_projection": "SELECT label, " + ", ".join(f"round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 6) AS c{i}" for i in (0, 7, 63)) + " FROM embeddings GROUP BY label",
         "x13_max_projection": "SELECT label, " + ", ".join(f"round(max(CAST(embedding[{i + 1}] AS DOUBLE)), 6) AS c{i}" for i in (0, 7, 63)) + " FROM embeddings GROUP BY label",
+        "x13_layout_c": "SELECT vec_id, '64' AS shape, i - 1 AS place, round(CAST(embedding[i] AS DOUBLE), 6) AS v FROM embeddings, unnest(range(1, 65)) AS t(i)",
+        "x13_layout_tc": "SELECT vec_id, '8' AS shape, i AS place, round(CAST(embedding[i * 8 + 4] AS DOUBLE), 6) AS v FROM embeddings, unnest(range(0, 8)) AS t(i)",
+        "x13_layout_ntc": "SELECT vec_id, '2x1x2x2' AS shape, i AS place, round(CAST(list_max(embedding[i * 8 + 1 : i * 8 + 8]) AS DOUBLE), 6) AS v FROM embeddings, unnest(range(0, 8)) AS t(i)",
+        "x13_layout_nchw": "SELECT vec_id, '2x1x2x4' AS shape, i AS place, round((SELECT avg(CAST(embedding[i // 8 * 32 + c * 8 + i % 8 + 1] AS DOUBLE)) FROM unnest(range(0, 4)) AS u(c)), 6) AS v FROM embeddings, unnest(range(0, 16)) AS t(i)",
+        "x13_token_grid": "SELECT vec_id, '4x4' AS shape, i AS place, round((SELECT avg(CAST(embedding[i * 4 + c + 1] AS DOUBLE)) FROM unnest(range(0, 4)) AS u(c)), 6) AS v FROM embeddings, unnest(range(0, 16)) AS t(i)",
         "x14_principal_axis": f"WITH RECURSIVE {_v}, d AS (SELECT max(len(e)) AS d FROM v), p AS (SELECT i, avg(e[i]) AS m FROM v, d, unnest(range(1, d.d + 1)) AS t(i) GROUP BY i), c AS (SELECT i, j, avg(e[i] * e[j]) - any_value(p.m) * any_value(q.m) AS c FROM v, p, p AS q(j, m) GROUP BY i, j), mat AS (SELECT list(r ORDER BY i) AS rows FROM (SELECT i, list(c ORDER BY j) AS r FROM c GROUP BY i)), it AS (SELECT 0 AS k, list_transform(range(d.d), lambda x: 1 / sqrt(d.d)) AS a FROM d UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) FROM (SELECT k, list_transform(rows, lambda r: list_inner_product(r, a)) AS w FROM it, mat WHERE k < 12)), x AS (SELECT list_transform(a, lambda y: y * sign(a[1])) AS a FROM it WHERE k = 12) SELECT vec_id, round(list_inner_product(e, a) - list_inner_product((SELECT list(m ORDER BY i) FROM p), a), 5) AS coordinate FROM v, x",
         "x15_minmax": _norm_sql("list_transform(e, lambda v: (v - list_min(e)) / (list_max(e) - list_min(e)))"),
         "x15_zscore": _norm_sql("list_transform(e, lambda v: (v - list_avg(e)) / list_stddev_pop(e))"),

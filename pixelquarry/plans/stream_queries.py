@@ -60,6 +60,16 @@ def _states(spark, sf):
     return out.groupBy("job_id", "item_id").agg(F.max_by("state", "attempts").alias("state"), F.max("attempts").alias("attempts"), F.sum("rejected").alias("rejected"))
 
 
+def _results(spark, sf):
+    """Claims and results of the job log; every fifth success is committed."""
+    where = shared(spark)
+    stream = _events(spark, sf).select("job_id", "item_id", "event_id", "state", (F.col("event_id") % 2).cast("string").alias("token"), ((F.col("state") == "succeeded") & (F.col("event_id") % 5 == 0)).alias("committed"))
+    with rocks_state(spark):
+        jobs.write_results(stream, where, f"{where}/checkpoint").awaitTermination()
+    both = [spark.read.parquet(f"{where}/{n}").select("job_id", "item_id", "event_id", F.lit(n).alias("output"), "reason") for n in ("accepted", "rejected")]
+    return both[0].unionByName(both[1])
+
+
 def _pairing(spark, sf):
     """Image and annotation files that come in by parts, in any order, some twice and some of an older scan."""
     columns = ["path", "rel_stem", "stem", "broken"]
@@ -117,6 +127,7 @@ QUERIES = {
     "k05_running_progress": _drained(lambda s, d: jobs.progress(_events(s, d)), "complete"),
     "k06_item_states": _states,
     "k01_pairing": _pairing,
+    "k07_results": _results,
     "s06_snapshots": _snapshots,
     "k08_burst_sessions": _drained(lambda s, d: jobs.burst_sessions(_events(s, d), "1 hour").select("job_id", F.unix_micros("start").alias("start_us"), "n", F.round("total", 4).alias("total")), "complete"),
     "k10_activity_windows": _drained(lambda s, d: jobs.activity(_events(s, d), "24 hours").select(F.unix_micros("start").alias("start_us"), "state", "n", F.round("total", 4).alias("total")), "complete"),
@@ -148,6 +159,15 @@ _fold = (
     "WHEN b.s = 'running' AND a.s IN ('queued', 'new') THEN {'s': b.s, 'g': a.g, 'n': a.n + 1, 'r': a.r} "
     "WHEN b.s IN ('succeeded', 'failed', 'canceled') AND a.s IN ('queued', 'running') THEN {'s': b.s, 'g': a.g, 'n': a.n, 'r': a.r} ELSE {'s': a.s, 'g': a.g, 'n': a.n, 'r': a.r + 1} END"
 )
+_told = "list_append(a.out, {'e': b.e, 'o': {0}, 'r': {1}})"
+_verdict = (
+    "CASE WHEN b.s = 'queued' THEN {'s': 'queued', 't': NULL, 'c': false, 'e': b.e, 'k': false, 'out': a.out} "
+    "WHEN b.s = 'canceled' THEN {'s': CASE WHEN a.s IN ('new', 'queued') THEN 'canceled' ELSE a.s END, 't': a.t, 'c': true, 'e': b.e, 'k': false, 'out': a.out} "
+    "WHEN b.s = 'running' AND a.s IN ('new', 'queued') AND NOT a.c THEN {'s': 'running', 't': b.t, 'c': a.c, 'e': b.e, 'k': false, 'out': " + _told.replace("{0}", "'accepted'").replace("{1}", "'claimed'") + "} "
+    "WHEN b.s <> 'running' AND a.s = 'running' AND a.t = b.t AND (NOT a.c OR b.k) THEN {'s': b.s, 't': NULL, 'c': a.c, 'e': b.e, 'k': false, 'out': " + _told.replace("{0}", "'accepted'").replace("{1}", "CASE WHEN a.c THEN 'committed' ELSE 'finished' END") + "} "
+    "ELSE {'s': a.s, 't': a.t, 'c': a.c, 'e': b.e, 'k': false, 'out': " + _told.replace("{0}", "'rejected'").replace("{1}", "CASE WHEN b.s = 'running' THEN 'not to be claimed' WHEN a.s <> 'running' THEN 'not running' WHEN a.t <> b.t THEN 'another claim' ELSE 'canceled' END") + "} END"
+)
+_none = "CAST([] AS STRUCT(e BIGINT, o VARCHAR, r VARCHAR)[])"
 _ref = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
 _near = "b.i = (" + _ref.format("a.i // 8 + k.dy") + ") * 8 + (" + _ref.format("a.i % 8 + k.dx") + ")"
 _sobel = "k AS (SELECT unnest([-1, -1, 0, 0, 1, 1]) AS dy, unnest([-1, 1, -1, 1, -1, 1]) AS dx, unnest([-1, 1, -2, 2, -1, 1]) AS w)"
@@ -171,6 +191,7 @@ ORACLES = {
         "k04_event_tail": "SELECT event_id, job_id, state FROM job_events WHERE event_id > 900",
         "k05_running_progress": "SELECT job_id, state, count(*) AS count FROM job_events GROUP BY ALL",
         "k06_item_states": f"WITH l AS (SELECT job_id, item_id, list({{'s': state, 'g': generation, 'n': 0::BIGINT, 'r': 0::BIGINT}} ORDER BY event_id) AS e FROM job_events GROUP BY ALL), f AS (SELECT job_id, item_id, list_reduce(list_prepend({{'s': 'new', 'g': -1::BIGINT, 'n': 0::BIGINT, 'r': 0::BIGINT}}, e), lambda a, b: {_fold}) AS x FROM l) SELECT job_id, item_id, x.s AS state, x.n AS attempts, x.r AS rejected FROM f",
+        "k07_results": f"WITH l AS (SELECT job_id, item_id, list({{'s': state, 't': CAST(event_id % 2 AS VARCHAR), 'c': false, 'e': CAST(event_id AS BIGINT), 'k': state = 'succeeded' AND event_id % 5 = 0, 'out': {_none}}} ORDER BY event_id) AS e FROM job_events GROUP BY ALL), f AS (SELECT job_id, item_id, list_reduce(list_prepend({{'s': 'new', 't': NULL, 'c': false, 'e': CAST(-1 AS BIGINT), 'k': false, 'out': {_none}}}, e), lambda a, b: {_verdict}) AS x FROM l), u AS (SELECT job_id, item_id, unnest(x.out) AS o FROM f) SELECT job_id, item_id, o.e AS event_id, o.o AS output, o.r AS reason FROM u",
         "k01_pairing": "WITH f AS (SELECT 'image' AS kind, path, lower(stem) AS k, broken FROM image_files UNION ALL SELECT 'annotation', path, lower(stem), broken FROM annotation_files), c AS (SELECT k, count(*) FILTER (kind = 'image') AS n, count(*) FILTER (kind = 'annotation') AS m, bool_or(broken) FILTER (kind = 'annotation') AS b FROM f GROUP BY k) SELECT kind, path, CASE WHEN kind = 'annotation' THEN CASE WHEN n = 0 THEN 'orphan_annotation' ELSE 'used' END WHEN m = 0 THEN 'hidden' WHEN n > 1 OR m > 1 THEN 'duplicate_match' WHEN broken THEN 'corrupt_image' WHEN b THEN 'corrupt_annotation' ELSE 'valid' END AS status FROM f JOIN c USING (k)",
         "s06_snapshots": "WITH o AS (SELECT asset_id, row_number() OVER (ORDER BY selectable DESC, display_path, asset_id) AS i FROM assets WHERE dataset_id = 'ds1' AND index_revision < 3), n AS (SELECT asset_id, row_number() OVER (ORDER BY selectable DESC, display_path, asset_id) AS i FROM assets WHERE dataset_id = 'ds1') SELECT CASE WHEN i <= 100 THEN 'first' ELSE 'rest' END AS part, asset_id, CAST(1 AS BIGINT) AS revision, i > 100 AS stale FROM o UNION ALL SELECT 'new', asset_id, 2, false FROM n WHERE i <= 100",
         "k08_burst_sessions": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY ts) >= 3600000000 THEN 1 ELSE 0 END AS nw FROM job_events), b AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT job_id, epoch_us(min(ts)) AS start_us, count(*) AS n, round(sum(ms), 4) AS total FROM b GROUP BY job_id, k",

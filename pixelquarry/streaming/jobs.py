@@ -74,6 +74,64 @@ def item_states(stream: DataFrame) -> DataFrame:
     return stream.groupBy("job_id", "item_id").transformWithStateInPandas(ItemStates(), "job_id string, item_id string, state string, attempts long, rejected long", "Update", "None")
 
 
+class Results(StatefulProcessor):
+    """Claims and results of one item.  A claim takes a queued item with its token; a result counts only with the token of
+    the claim that runs, and not after a cancel, but for one that is ``committed``: what it did can not be undone.
+    Every claim and result comes out, accepted or rejected, with the reason; a rejected one changes nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.item = handle.getValueState("item", "state string, token string, canceled boolean, event_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("event_id")
+        state, token, canceled, last = self.item.get() if self.item.exists() else ("new", None, False, -1)
+        out = []
+        for event_id, to, own, committed in new[["event_id", "state", "token", "committed"]].itertuples(index=False):
+            if event_id <= last:
+                continue
+            last, accepted, reason = int(event_id), False, None
+            if to == "queued":
+                state, token, canceled = "queued", None, False
+            elif to == "canceled":
+                state, canceled = ("canceled" if state in ("new", "queued") else state), True
+            elif to == "running":
+                accepted = state in ("new", "queued") and not canceled
+                reason = "claimed" if accepted else "not to be claimed"
+                state, token = ("running", own) if accepted else (state, token)
+            elif state != "running":
+                reason = "not running"
+            elif own != token:
+                reason = "another claim"
+            elif canceled and not committed:
+                reason = "canceled"
+            else:
+                accepted, reason = True, "committed" if canceled else "finished"
+                state, token = to, None
+            if reason:
+                out.append((*key, last, accepted, reason))
+        self.item.update((state, token, canceled, last))
+        yield pd.DataFrame(out, columns=["job_id", "item_id", "event_id", "accepted", "reason"])
+
+    def close(self) -> None:
+        pass
+
+
+def results(stream: DataFrame) -> DataFrame:
+    """Each claim and result of (job_id, item_id, event_id, state, token, committed) with whether it counts, and why; needs
+    the RocksDB state store."""
+    return stream.groupBy("job_id", "item_id").transformWithStateInPandas(Results(), "job_id string, item_id string, event_id long, accepted boolean, reason string", "Append", "None")
+
+
+def write_results(stream: DataFrame, where: str, checkpoint: str) -> StreamingQuery:
+    """Both outputs of ``results`` below ``where``: accepted and rejected; a batch that runs again writes its folders again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        for name, rows in (("accepted", batch.where("accepted")), ("rejected", batch.where("NOT accepted"))):
+            rows.drop("accepted").write.mode("overwrite").parquet(f"{where}/{name}/batch={number}")
+
+    return results(stream).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class Pairing(StatefulProcessor):
     """The files of one match key seen so far, and what they make of each other.
 
