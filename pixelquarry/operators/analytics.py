@@ -132,9 +132,10 @@ def catalog(models: DataFrame, used: DataFrame) -> DataFrame:
 BURST_FIRST, BURST_SECOND = ("queued", "running"), ("failed", "succeeded_with_errors", "interrupted")
 
 
-def bursts(rows: DataFrame, key: list[str], ts: str, seconds: float, total: str, item: str | None = None, preferred: str | None = None) -> DataFrame:
+def bursts(rows: DataFrame, key: list[str], ts: str, seconds: float, total: str, item: str | None = None, preferred: str | None = None, indices: str | None = None) -> DataFrame:
     """Rows of a key closer than ``seconds`` to the one before are one burst.  With ``item`` (rows have a state), the row
-    that stands for it: active before in trouble before the rest, then the preferred item, then the newest."""
+    that stands for it: active before in trouble before the rest, then the preferred item, then the newest.  With
+    ``indices`` (an array column) the burst has the sorted union of them."""
     w = Window.partitionBy(*key).orderBy(ts, total)
     gap = (_micros(ts) - F.lag(_micros(ts)).over(w)) > int(seconds * 1_000_000)
     grouped = rows.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("long")).withColumn("burst", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -143,6 +144,8 @@ def bursts(rows: DataFrame, key: list[str], ts: str, seconds: float, total: str,
         priority = F.when(F.col("state").isin(*BURST_FIRST), 0).when(F.col("state").isin(*BURST_SECOND), 1).otherwise(2)
         order = F.struct(priority, ~F.col(item).eqNullSafe(F.lit(preferred)), -_micros(ts), item)
         more = [F.min_by(item, order).alias("representative")]
+    if indices:
+        more.append(F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_set(F.coalesce(indices, F.array().cast(rows.schema[indices].dataType))))))).alias(indices))
     return grouped.groupBy(*key, "burst").agg(F.count("*").alias("n"), F.sum(total).alias("total"), F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"), *more)
 
 

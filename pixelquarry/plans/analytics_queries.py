@@ -116,6 +116,7 @@ QUERIES = {
     "a15_model_usage": lambda spark, sf: a.usage(view(spark, sf, "runs")),
     "a16_catalog_health": _health,
     "a17_repeated_models": lambda spark, sf: a.first_wins(view(spark, sf, "models"), "model_id", "file_order")[1].select("model_id", "file_order"),
+    "a19_weight_indices": lambda spark, sf: a.bursts(view(spark, sf, "job_events").withColumn("weights", F.expr("CASE WHEN event_id % 4 <> 0 THEN array(event_id % 7, event_id % 3) END")), ["job_id"], "ts", 3600, "ms", indices="weights").select("job_id", "burst", F.array_join("weights", ",").alias("weights")),
     "a19_bursts": lambda spark, sf: _rounded(a.bursts(view(spark, sf, "job_events"), ["job_id"], "ts", 3600, "ms"), 4),
     "a11_dataset_fingerprint": lambda spark, sf: a.sorted_fingerprint(view(spark, sf, "assets"), "dataset_id", "asset_id", "display_path"),
     "a11_tree_fingerprint": lambda spark, sf: a.tree_fingerprint(view(spark, sf, "assets"), "dataset_id", "asset_id", "display_path", 64),
@@ -187,6 +188,7 @@ ORACLES = {
         "a15_model_usage": "SELECT model_id, count(*) AS uses, max(updated_at) AS last_used_at FROM runs GROUP BY model_id",
         "a16_catalog_health": "SELECT count(*) AS n_files, count(DISTINCT model_id) AS n_models, count(DISTINCT CASE WHEN can_predict THEN description END) AS n_adapters FROM models",
         "a17_repeated_models": "SELECT model_id, file_order FROM models QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY file_order) > 1",
+        "a19_weight_indices": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY ts, ms) > 3600000000 THEN 1 ELSE 0 END AS nw FROM job_events), b AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY ts, ms ROWS UNBOUNDED PRECEDING) AS burst FROM g), w AS (SELECT job_id, burst, CASE WHEN event_id % 4 <> 0 THEN [event_id % 7, event_id % 3] ELSE [] END AS x FROM b) SELECT job_id, CAST(burst AS BIGINT) AS burst, array_to_string(list_sort(list_distinct(flatten(list(x)))), ',') AS weights FROM w GROUP BY job_id, burst",
         "a19_bursts": "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY job_id ORDER BY ts, ms) > 3600000000 THEN 1 ELSE 0 END AS nw FROM job_events), b AS (SELECT *, sum(nw) OVER (PARTITION BY job_id ORDER BY ts, ms ROWS UNBOUNDED PRECEDING) AS burst FROM g) SELECT job_id, CAST(burst AS BIGINT) AS burst, count(*) AS n, round(sum(ms), 4) AS total, min(ts) AS created_at, max(ts) AS updated_at FROM b GROUP BY ALL",
         "a11_dataset_fingerprint": """SELECT dataset_id, sha256(concat('{"dataset_id":"', dataset_id, '","items":[', string_agg(concat('["', asset_id, '","', display_path, '"]'), ',' ORDER BY asset_id, display_path), ']}')) AS fingerprint FROM assets GROUP BY dataset_id""",
         "a11_tree_fingerprint": "WITH RECURSIVE o AS (SELECT dataset_id, asset_id, display_path, count(*) AS n FROM assets GROUP BY ALL), i AS (SELECT dataset_id, sha256(asset_id) AS h, concat(length(asset_id), ':', asset_id, length(display_path), ':', display_path, 'x', n) AS line FROM o), s AS (SELECT dataset_id, len(list_filter(range(0, 14), lambda d: c > 64 * 16 ** d)) AS depth, n FROM (SELECT dataset_id, count(*) AS c, CAST(sum(n) AS BIGINT) AS n FROM o GROUP BY dataset_id)), t AS (SELECT dataset_id, depth, substr(h, 1, depth) AS r, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM i JOIN s USING (dataset_id) GROUP BY dataset_id, depth, substr(h, 1, depth) UNION ALL SELECT dataset_id, depth - 1, substr(r, 1, depth - 1), sha256(string_agg(d, chr(10) ORDER BY r)) FROM t WHERE depth > 0 GROUP BY dataset_id, depth, substr(r, 1, depth - 1)) SELECT t.dataset_id, s.n, d AS fingerprint FROM t JOIN s USING (dataset_id) WHERE t.depth = 0",

@@ -118,13 +118,23 @@ def unregister(spark: SparkSession, path: str, dataset_id: str, target: str) ->
 
 
 def append_scan(items: DataFrame, path: str, sequence_from: int, sequence_to: int) -> int:
-    """Append the items of a range of sequence numbers; an error if some are missing."""
-    chosen = items.where((F.col("sequence") >= sequence_from) & (F.col("sequence") < sequence_to))
-    n = chosen.count()
-    if n != sequence_to - sequence_from:
-        raise ValueError(f"{n} items for {sequence_to - sequence_from} numbers")
-    chosen.write.mode("append").parquet(path)
-    return n
+    """Add the items of a range of sequence numbers, which has a folder of its own; an error if some are missing or more.
+
+    The plan runs once: what it wrote is counted and only then given the name that readers see.  A range that is sent
+    again replaces itself, so a retry adds nothing twice."""
+    spark, name = items.sparkSession, f"range={sequence_from}-{sequence_to}"
+    staged = f"{path}/_{name}-{uuid.uuid4().hex}"
+    items.where((F.col("sequence") >= sequence_from) & (F.col("sequence") < sequence_to)).write.parquet(staged)
+    found = spark.read.schema(items.schema).parquet(staged).agg(F.count("*").alias("n"), F.countDistinct("sequence").alias("d")).first()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    from_, to = hadoop.Path(staged), hadoop.Path(f"{path}/{name}")
+    files = from_.getFileSystem(spark._jsc.hadoopConfiguration())
+    if found["n"] != sequence_to - sequence_from or found["d"] != found["n"]:
+        files.delete(from_, True)
+        raise ValueError(f"{found['n']} items, {found['d']} numbers, for {sequence_to - sequence_from}")
+    files.delete(to, True)
+    files.rename(from_, to)
+    return found["n"]
 
 
 def save_documents(current: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

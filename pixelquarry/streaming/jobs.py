@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,6 +24,31 @@ def tail(stream: DataFrame, after: int, late: str = "1 hour") -> DataFrame:
     return stream.where(F.col("event_id") > after).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def follow(stream: DataFrame, job_id: str, after: int, where: str, checkpoint: str, ends: tuple[str, ...] = TERMINAL, seconds: float | None = None) -> bool:
+    """The events of a job behind a cursor, written to ``where`` batch by batch up to and with the first of a state in
+    ``ends``; then the stream stops.  False if ``seconds`` went by before.  Events come with rising ids; a batch that runs
+    again writes its folder again."""
+    ended = threading.Event()
+    mine = stream.where((F.col("job_id") == job_id) & (F.col("event_id") > after))
+
+    def write(batch: DataFrame, number: int) -> None:
+        if ended.is_set():
+            return
+        last = batch.where(F.col("state").isin(*ends)).agg(F.min("event_id")).first()[0]
+        (batch if last is None else batch.where(F.col("event_id") <= last)).write.mode("overwrite").parquet(f"{where}/batch={number}")
+        if last is not None:
+            ended.set()
+
+    query = mine.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    begun = time.monotonic()
+    while query.isActive and not ended.wait(0.1) and (seconds is None or time.monotonic() - begun < seconds):
+        pass
+    query.stop()
+    if query.exception() and not ended.is_set():
+        raise query.exception()
+    return ended.is_set()
+
+
 def progress(stream: DataFrame) -> DataFrame:
     """Events per job and state so far (update mode)."""
     return stream.groupBy("job_id", "state").count()

@@ -90,11 +90,13 @@ def test_sinks(spark, tmp_path):
     assert [r["dataset_id"] for r in spark.read.parquet(root + "/after").collect()] == ["b"]
     items = spark.range(5).withColumnRenamed("id", "sequence")
     assert files.append_scan(items, root + "/scan", 0, 3) == 3
+    assert files.append_scan(items, root + "/scan", 0, 3) == 3 and files.append_scan(items, root + "/scan", 3, 5) == 2  # a retry
+    assert sorted(r["sequence"] for r in spark.read.parquet(root + "/scan").collect()) == [0, 1, 2, 3, 4]
     try:
         files.append_scan(items, root + "/scan", 3, 9)
         raise AssertionError
     except ValueError:
-        pass
+        assert spark.read.parquet(root + "/scan").count() == 5
     docs = spark.createDataFrame([("a", "{}"), ("b", "[]")], "asset_id string, document string")
     revision = docs.select(F.sha2(F.lit("{}"), 256)).first()[0]
     edits = spark.createDataFrame([("a", revision, '{"n":1}'), ("b", "old", "{}")], "asset_id string, if_match string, document string")

@@ -62,3 +62,15 @@ def test_a_file_comes_out_only_when_its_status_may_have_changed(spark, tmp_path)
         {"a.json": "used", "a.png": "duplicate_match", "b/a.png": "duplicate_match"},
         {"c/a.png": "duplicate_match"},
     ]
+
+
+def test_a_tail_ends_with_its_job(spark, tmp_path):
+    schema = "event_id long, job_id string, state string"
+    source, out, check = (f"file://{tmp_path}/{x}" for x in ("events", "out", "check"))
+    rows = [(1, "a", "queued"), (2, "b", "failed"), (3, "a", "running"), (4, "a", "succeeded"), (5, "a", "queued")]
+    spark.createDataFrame(rows[:3], schema).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    assert not jobs.follow(stream, "a", 1, out, check, seconds=8)
+    spark.createDataFrame(rows[3:], schema).coalesce(1).write.mode("append").parquet(source)
+    assert jobs.follow(stream, "a", 1, out, check, seconds=60)
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [3, 4]
