@@ -45,6 +45,7 @@ PERCENT = 80
 FREQUENT = 32
 SALTS = 16
 LONG = 64
+WIDE = sketch.Layout(cells_per_key=24, rows=1)
 _SETS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("n", pa.int64()), ("n_rare", pa.int32()), ("may_link", pa.bool_()), ("tokens", pa.binary())])
 _LISTS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("s", pa.int32()), ("rest", pa.int32())])
 _STARS = pa.schema([*_LISTS, ("hub", pa.int64()), ("more", pa.bool_())])
@@ -73,7 +74,7 @@ def shingles(raw: np.ndarray, off: np.ndarray, k: int = K) -> tuple[np.ndarray,
     return doc[keep], h[keep]
 
 
-def token_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, layout: sketch.Layout = sketch.Layout()) -> DataFrame:
+def token_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, layout: sketch.Layout = WIDE) -> DataFrame:
     """(doc_id, text_key, fa, fb, n, n_rare, may_link, tokens): each document's number of tokens and the 128-bit fingerprint
     of its set; ``text_key`` is xxhash64(text).
     ``tokens`` has the 64-bit hashes of those not private, rare ones first; null where they are too few for any link."""
@@ -281,7 +282,7 @@ def link_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         hubs *= 8
 
 
-def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, layout: sketch.Layout = sketch.Layout()) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, layout: sketch.Layout = WIDE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id that links reach,
     its own included), text_key (xxhash64(text)) and component, one number for each group (null: a document that no other
     can link with, a group of its own)."""

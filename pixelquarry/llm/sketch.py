@@ -29,19 +29,19 @@ from .textkit import chunks, mix
 #: (text, key) of the keys of a chunk's texts.
 Pairs = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-ROWS = 2
 _SENT = pa.schema([("shard", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary()), ("cells", pa.binary())])
 _ANSWER = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("level", pa.int32()), ("cells", pa.binary())])
 
 
 class Layout(NamedTuple):
     """Cells of a shard (a power of two), bytes of text for a bucket, keys that a task holds before it sends, and cells of a
-    row of the sketch for each key."""
+    row of the sketch for each key, and rows.  One wide row sends half of what two narrow ones do."""
 
     shard_bits: int = 22
     bucket_bytes: int = 8 << 20
     flush: int = 1 << 21
     cells_per_key: float = 6
+    rows: int = 2
 
 
 def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -107,9 +107,9 @@ def _sorted_cells(at: np.ndarray, bucket: np.ndarray, shard_bits: int, buckets:
 class Sketch:
     """The part of the merged sketch that a bucket can ask for: per level and row the sorted cells that reach it."""
 
-    def __init__(self, bits: int, levels: tuple[int, ...]):
-        self.bits = bits
-        self._new: dict[tuple[int, int], list[np.ndarray]] = {(level, row): [] for level in levels for row in range(ROWS)}
+    def __init__(self, bits: int, levels: tuple[int, ...], rows: int):
+        self.bits, self.rows = bits, rows
+        self._new: dict[tuple[int, int], list[np.ndarray]] = {(level, row): [] for level in levels for row in range(rows)}
         self._all: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def learn(self, level: int, row: int, found: np.ndarray) -> None:
@@ -130,7 +130,7 @@ class Sketch:
     def reaches(self, keys: np.ndarray, level: int) -> np.ndarray:
         """Whether each key's estimate is at least ``level``; true for every key whose count is."""
         live = np.arange(len(keys))
-        for row in range(ROWS):
+        for row in range(self.rows):
             have, some = self._cells(level, row)
             if not len(have):
                 return np.zeros(len(keys), dtype=bool)
@@ -165,13 +165,13 @@ class Lookup:
 
     def _answers(self, pairs_of: Pairs) -> DataFrame:
         bits, levels, shard_bits, flush = self.bits, self.levels, self.layout.shard_bits, self.layout.flush
-        most, per_row = max(levels), 1 << (bits - shard_bits)
+        most, per_row, rows = max(levels), 1 << (bits - shard_bits), self.layout.rows
 
         def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             """One row for each shard: its cells by bucket, with the buckets and how many cells each has."""
             bucket, keys = (np.concatenate(x) for x in zip(*held, strict=True))
             names, bucket = np.unique(bucket, return_inverse=True)
-            for row in range(ROWS):
+            for row in range(rows):
                 shard, of, cell = _sorted_cells(cells(keys, row, bits), bucket, shard_bits, len(names))
                 if len(cell) > most:  # no more of a cell and bucket than the highest level counts
                     keep = np.concatenate([np.ones(most, bool), (cell[most:] != cell[:-most]) | (of[most:] != of[:-most]) | (shard[most:] != shard[:-most])])
@@ -235,19 +235,19 @@ class Lookup:
 
     def apply(self, f: Callable[[Iterator[tuple[pa.RecordBatch, Sketch]]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
         """``f`` over the rows; a bucket's rows come with what the sketch tells about it."""
-        bits, levels, per_row, shard_bits = self.bits, self.levels, 1 << (self.bits - self.layout.shard_bits), self.layout.shard_bits
+        bits, levels, per_row, shard_bits, depth = self.bits, self.levels, 1 << (self.bits - self.layout.shard_bits), self.layout.shard_bits, self.layout.rows
         columns = [c for c in self.rows.columns if c != "_bucket"]
         told = self.answers.select(F.col("bucket").alias("_bucket"), F.lit(0).alias("_kind"), "shard", "level", "cells", *(F.lit(None).cast(self.rows.schema[c].dataType).alias(f"_{i}") for i, c in enumerate(columns)))
         asked = self.rows.select("_bucket", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("shard"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("binary").alias("cells"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(columns)))
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Sketch]]:
-            sketch, now = Sketch(bits, levels), -1
+            sketch, now = Sketch(bits, levels, depth), -1
             for batch in batches:
                 bucket, kind = batch.column("_bucket").to_numpy(), batch.column("_kind").to_numpy()
                 cut = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1]), [True]])) if len(bucket) else []
                 for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                     if bucket[lo] != now:
-                        sketch, now = Sketch(bits, levels), bucket[lo]
+                        sketch, now = Sketch(bits, levels, depth), bucket[lo]
                     part = batch.slice(lo, hi - lo)
                     if kind[lo]:
                         yield pa.RecordBatch.from_arrays([part.column(f"_{i}") for i in range(len(columns))], names=columns), sketch
