@@ -226,10 +226,11 @@ class Network:
         self.out -= h.T @ p
         self.out_bias -= p.sum(axis=0)
         self.bias -= back.sum(axis=0)
-        width = self.tables.shape[2]
+        rows = np.arange(len(p))
         for place in range(len(self.tables)):
-            cells = (context[:, place] * width)[:, None] + np.arange(width)
-            np.subtract.at(self.tables[place].reshape(-1), cells.ravel(), back.ravel())
+            hot = np.zeros((len(p), self.tables.shape[1]), np.float32)  # sums the rows of a class by one product
+            hot[rows, context[:, place]] = 1
+            self.tables[place] -= hot.T @ back
 
 
 def contexts(kinds: np.ndarray, first: np.ndarray, classes: int, side: int = SIDE) -> np.ndarray:
@@ -327,29 +328,31 @@ def score(docs: DataFrame, classes: int = CLASSES, every: int = EVERY, rounds: i
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())]
     out = plain.mapInArrow(run, T.StructType([*plain.schema.fields, *added]))
     if words.rest:
-        key, total = F.sha2(F.col(body).cast("binary"), 256), F.col("log_likelihood") + F.coalesce("rest", F.lit(0.0))
-        out = out.withColumn("text_key", key).join(rare_shares(docs.select("text", key.alias("key")), counts, model), F.col("text_key") == F.col("key"), "left")
+        digest, total = F.sha2(F.col(body).cast("binary"), 256), F.col("log_likelihood") + F.coalesce("rest", F.lit(0.0))
+        halves = [F.conv(F.substring(digest, i, 15), 16, 10).cast("long") for i in (1, 16)]  # 120 bits as two numbers, not 64 letters
+        rare = rare_shares(docs.select("text", *(h.alias(n) for h, n in zip(halves, ("key", "key2"), strict=True))), counts, model)
+        out = out.withColumns({"text_key": halves[0], "text_key2": halves[1]}).join(rare, (F.col("text_key") == F.col("key")) & (F.col("text_key2") == F.col("key2")), "left")
         out = out.withColumn("log_likelihood", total)
     return renamed(out, names, "n_tokens", "log_likelihood").withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
 def rare_shares(rows: DataFrame, counts: DataFrame, model) -> DataFrame:
-    """Per text (key: its SHA-256) the sum of the logs of the counts of its words that are not known (rest)."""
+    """Per text (key, key2: of its SHA-256) the sum of the logs of the counts of its words that are not known (rest)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = model.value[1]
         for batch in batches:
-            keys = batch.column("key")
+            keys = [batch.column(c) for c in ("key", "key2")]
             for row, n, raw, off in chunks(batch.column("text")):
                 word, first = hashed(raw, off)
                 other = ~words.at(word)[1]
                 of = np.repeat(np.arange(row, row + n), np.diff(first))[other]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(word[other])], names=["key", "word"])
+                yield pa.RecordBatch.from_arrays([*(k.take(pa.array(of)) for k in keys), pa.array(word[other])], names=["key", "key2", "word"])
 
-    joined = rows.mapInArrow(find, "key string, word long").join(counts, "word").select("key", F.log("n").alias("s"), F.lit(0).alias("copies"))
+    joined = rows.mapInArrow(find, "key long, key2 long, word long").join(counts, "word").select("key", "key2", F.log("n").alias("s"), F.lit(0).alias("copies"))
     # Rows of the same text are found once each, so their sum is divided by their number.
-    both = joined.unionAll(rows.select("key", F.lit(0.0).alias("s"), F.lit(1).alias("copies")))
-    return both.groupBy("key").agg((F.sum("s") / F.sum("copies")).alias("rest")).where("rest <> 0")
+    both = joined.unionAll(rows.select("key", "key2", F.lit(0.0).alias("s"), F.lit(1).alias("copies")))
+    return both.groupBy("key", "key2").agg((F.sum("s") / F.sum("copies")).alias("rest")).where("rest <> 0")
 
 
 def scored(docs: DataFrame) -> DataFrame:
