@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POINTS = "array<array<double>>"
@@ -13,6 +13,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row, however many filters and columns name it: the optimiser does not
+    copy what a list of one is exploded to."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.array(x.cast("double"), y.cast("double"))
 
@@ -33,7 +39,8 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 def bounds(points: Column) -> Column:
     """struct x0, y0, x1, y1; nulls without points."""
-    return F.struct(F.array_min(xs(points)).alias("x0"), F.array_min(ys(points)).alias("y0"), F.array_max(xs(points)).alias("x1"), F.array_max(ys(points)).alias("y1"))
+    sides = lambda p: F.struct(F.array_min(xs(p)).alias("x0"), F.array_min(ys(p)).alias("y0"), F.array_max(xs(p)).alias("x1"), F.array_max(ys(p)).alias("y1"))
+    return let(points, sides)
 
 
 def area(points: Column) -> Column:
@@ -114,8 +121,10 @@ def rotate_box(points: Column, angle: Column) -> Column:
 def circle_polygon(points: Column, corners: int = 32) -> Column:
     """A circle given by its centre and a point on it, as a polygon."""
     r = F.sqrt(F.pow(points[1][0] - points[0][0], F.lit(2.0)) + F.pow(points[1][1] - points[0][1], F.lit(2.0)))
-    angle = lambda i: i * 2 * F.pi() / corners
-    return F.transform(F.sequence(F.lit(0), F.lit(corners - 1)), lambda i: F.array(points[0][0] + r * F.cos(angle(i)), points[0][1] + r * F.sin(angle(i))))
+    angles = [F.lit(i) * 2 * F.pi() / corners for i in range(corners)]
+    unit = F.array(*(F.array(F.cos(a), F.sin(a)) for a in angles))  # a constant of the plan
+    frame = F.struct(points[0][0].alias("x"), points[0][1].alias("y"), r.alias("r"))
+    return let(frame, lambda c: F.transform(unit, lambda u: F.array(c["x"] + c["r"] * u[0], c["y"] + c["r"] * u[1])))
 
 
 def resize_shape(shape_type: Column, points: Column, fx: Column, fy: Column) -> tuple[Column, Column]:
