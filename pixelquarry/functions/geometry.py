@@ -162,6 +162,20 @@ def clip_polygon(points: Column, x0: Column, y0: Column, x1: Column, y1: Column)
     return cut(cut(cut(cut(points, 0, x0, False), 0, x1, True), 1, y0, False), 1, y1, True)
 
 
+def is_upright(points: Column) -> Column:
+    """Whether the points are left top, right top, right bottom and left bottom of an upright box."""
+    p = points
+    sides = (p[0][0] == p[3][0]) & (p[1][0] == p[2][0]) & (p[0][1] == p[1][1]) & (p[2][1] == p[3][1]) & (p[0][0] <= p[1][0]) & (p[0][1] <= p[2][1])
+    return F.coalesce((F.size(p) == 4) & sides, F.lit(False))
+
+
+def clip_upright(box: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """What ``clip_polygon`` leaves of an upright box that meets the window: the same corners in the same order."""
+    left, top, right, bottom = F.greatest(box["x0"], x0), F.greatest(box["y0"], y0), F.least(box["x1"], x1), F.least(box["y1"], y1)
+    a, b, c, d = point(left, top), point(right, top), point(right, bottom), point(left, bottom)
+    return F.when(box["y1"] > y1, F.array(d, a, b, c)).otherwise(F.array(a, b, c, d))
+
+
 def clip_line(a: Column, b: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Part of a segment within a window as two points; null if none."""
     dx, dy = b[0] - a[0], b[1] - a[1]

@@ -87,8 +87,12 @@ def clip(shapes: DataFrame, x: Column, y: Column, w: Column, h: Column) -> DataF
     inside = F.forall(p, lambda q: (q[0] >= x) & (q[0] <= x1) & (q[1] >= y) & (q[1] <= y1))
     box = g.bounds(p)
     met = (box["x1"] >= x) & (box["x0"] <= x1) & (box["y1"] >= y) & (box["y0"] <= y1)
-    cut = F.when(F.col("_whole"), p).when(kind == "line", g.clip_line(p[0], p[1], x, y, x1, y1)).when(kind.isin("rectangle", "rotation", "polygon"), g.clip_polygon(p, x, y, x1, y1))
-    out = shapes.where((kind != "linestrip") & met).withColumn("_whole", inside).withColumn("_cut", cut)
+    finite = (box["x0"] > float("-inf")) & (box["y0"] > float("-inf")) & (box["x1"] < float("inf")) & (box["y1"] < float("inf"))
+    upright = finite & (w >= 0) & (h >= 0) & g.is_upright(p)
+    area = F.when(upright, g.clip_upright(box, x, y, x1, y1)).otherwise(g.clip_polygon(p, x, y, x1, y1))
+    cut = F.when(F.col("_whole"), p).when(kind == "line", g.clip_line(p[0], p[1], x, y, x1, y1)).when(kind.isin("rectangle", "rotation", "polygon"), area)
+    out = g.once(shapes.where(kind != "linestrip"), "_box", g.bounds(p)).where(met)
+    out = g.once(g.once(out, "_whole", inside), "_cut", cut).drop("_box")
     flat = ~F.col("_whole") & kind.isin("rectangle", "rotation", "polygon") & (g.area(F.col("_cut")) <= 1e-6)
     out = out.where(F.col("_cut").isNotNull() & ~flat).withColumn("shape_type", F.when(~F.col("_whole") & kind.isin("rectangle", "rotation"), "polygon").otherwise(kind))
     out = out.withColumn("points", g.shift(F.col("_cut"), -x, -y)).drop("_cut", "_whole")

@@ -46,9 +46,39 @@ def _met(small: DataFrame, large: DataFrame, keys: list[str], a: str, b: str, st
     return met.select(*(F.col(f"q.{k}").alias(k) for k in keys), f"q.{a}", f"h.{b}", "q.own", "q.level")
 
 
-def meeting(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+DENSE = 128
+
+
+def crowded(left: DataFrame, right: DataFrame, keys: list[str], dense: int = DENSE) -> DataFrame:
+    """Keys of more than ``dense`` rows of either side."""
+    many = lambda rows: rows.groupBy(*keys).count().where(F.col("count") > dense).select(*keys)
+    return many(left).unionByName(many(right)).distinct()
+
+
+def of_keys(rows: DataFrame, some: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``rows`` whose keys are among ``some`` (left_semi) or not (left_anti); nulls are equal."""
+    return rows.alias("r").join(some.alias("s"), F.expr(" AND ".join(f"r.{k} <=> s.{k}" for k in keys)), how)
+
+
+def meeting(left: DataFrame, right: DataFrame, keys: list[str], dense: int = DENSE) -> DataFrame:
     """(keys, a, b): every row of ``left`` with every row of ``right`` of the same keys whose box it touches, borders
-    included, as structs; both have x0, y0, x1, y1.  Boxes with a side that is null or not finite touch none."""
+    included, as structs; both have x0, y0, x1, y1.  Boxes with a side that is null or not finite touch none.  Keys of up
+    to ``dense`` rows a side are joined as they are, others by the grid."""
+    large = crowded(left, right, keys, dense)
+    if large.isEmpty():
+        return _met_by_keys(left, right, keys)
+    by_keys = _met_by_keys(*(of_keys(rows, large, keys, "left_anti") for rows in (left, right)), keys)
+    return by_keys.unionByName(_met_by_grid(*(of_keys(rows, large, keys, "left_semi") for rows in (left, right)), keys))
+
+
+def _met_by_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    a, b = _placed(left, keys, "a").alias("l"), _placed(right, keys, "b").alias("r")
+    same = " AND ".join(f"l.{k} <=> r.{k}" for k in keys)
+    met = a.join(b, F.expr(f"{same} AND l.a.x0 <= r.b.x1 AND r.b.x0 <= l.a.x1 AND l.a.y0 <= r.b.y1 AND r.b.y0 <= l.a.y1"))
+    return met.select(*(F.col(f"l.{k}").alias(k) for k in keys), "l.a", "r.b")
+
+
+def _met_by_grid(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     a, b = _placed(left, keys, "a"), _placed(right, keys, "b")
     up = _met(a, b, keys, "a", "b", strict=False)
     down = _met(b, a, keys, "b", "a", strict=True)
