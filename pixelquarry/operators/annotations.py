@@ -203,12 +203,18 @@ def dry_run(assets: DataFrame, steps: list[tuple]) -> DataFrame:
 
 
 def pyramid(images: DataFrame, tile: int = 256) -> DataFrame:
-    """Tiles of every level of ``images`` (image, width, height): level, column, row, source box, output size."""
+    """Tiles of every level of ``images`` (image, width, height): level, column, row, source box, output size.  Images are
+    dealt to as many tasks as their number takes, by image, so what follows per image stays where it is."""
+    images = images.select("image", "width", "height").repartition(images.count() // PYRAMIDS + images.sparkSession.sparkContext.defaultParallelism, "image")
     longest = F.greatest("width", "height")
     top = F.when(longest > 1, F.length(F.bin(longest - 1))).otherwise(0).cast("int")
     levels = images.select("image", "width", "height", top.alias("max_level")).select("*", F.explode(F.sequence(F.lit(0), F.col("max_level"))).alias("level"))
     levels = levels.withColumn("factor", F.expr("1L << (max_level - level)")).withColumn("lw", F.ceil(F.col("width") / F.col("factor"))).withColumn("lh", F.ceil(F.col("height") / F.col("factor")))
     across = lambda n: F.sequence(F.lit(0), (F.ceil(F.col(n) / tile) - 1).cast("int"))
+#: Images of a task that cuts pyramids: a small file of images makes very many tiles.
+PYRAMIDS = 20_000
+
+
     cells = levels.select("*", F.explode(across("lw")).alias("column")).select("*", F.explode(across("lh")).alias("row"))
     side = lambda at, n: F.least(F.lit(tile).cast("long"), F.col(n) - F.col(at) * tile)
     cells = cells.withColumn("out_w", side("column", "lw")).withColumn("out_h", side("row", "lh"))
