@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import let
+from ..functions.geometry import let, once
 from ..scratch import stored
 from . import grid
 from .masks import mask_components
@@ -135,12 +135,15 @@ def _decided(ids: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def corners(cx: str = "cx", cy: str = "cy", w: str = "w", h: str = "h", angle: str = "angle") -> Column:
     """Corners (x, y) of a box turned about its centre."""
+    return F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in _corners(cx, cy, w, h, angle)))
 
-    def corner(dx: int, dy: int) -> Column:
+
+def _corners(cx: str, cy: str, w: str, h: str, angle: str) -> list[tuple[Column, Column]]:
+    def corner(dx: int, dy: int) -> tuple[Column, Column]:
         across, down = F.col(w) * (dx / 2), F.col(h) * (dy / 2)
-        return F.struct((F.col(cx) + across * F.cos(angle) - down * F.sin(angle)).alias("x"), (F.col(cy) + across * F.sin(angle) + down * F.cos(angle)).alias("y"))
+        return F.col(cx) + across * F.cos(angle) - down * F.sin(angle), F.col(cy) + across * F.sin(angle) + down * F.cos(angle)
 
-    return F.array(*(corner(dx, dy) for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1))))
+    return [corner(dx, dy) for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
 
 
 def polygon_area(polygon: str) -> Column:
@@ -163,14 +166,22 @@ def convex_intersection(first: str, second: str) -> Column:
 def suppress_rotated(boxes: DataFrame, most: float = 0.45, limit: int = 300, dense: int = DENSE) -> DataFrame:
     """The same for turned boxes (cx, cy, w, h, angle), and of what is left the ``limit`` best of each image.
 
-    Bounds first, then the shared area in columns; pairs beyond ``most`` are decided in rounds.  Boxes without an area or
+    Bounds first, then the shared area in columns, computed once and only for pairs whose bounds share enough for it;
+    pairs beyond ``most`` are decided in rounds.  Boxes without an area or
     with a side that is not finite are left out."""
     finite = " AND ".join(f"abs({c}) < double('Infinity')" for c in ("cx", "cy", "w", "h", "angle", "score"))
     ids = stored(boxes.where(f"{finite} AND w > 0 AND h > 0").withColumn("_id", F.monotonically_increasing_id()), "turned")
-    framed = ids.select("image", "label", "idx", "score", "_id", (F.col("w") * F.col("h")).alias("area"), corners().alias("poly"))
-    ends = {f"{c}{i}": f"array_{f}(transform(poly, p -> p.{c}))" for c in "xy" for i, f in ((0, "min"), (1, "max"))}
-    framed = framed.select("*", *(F.expr(e).alias(n) for n, e in ends.items()))
-    met = _met(framed, BETTER, dense).withColumn("both", convex_intersection("a.poly", "b.poly"))
+    turned = ["cx", "cy", "w", "h", "angle"]
+    xs, ys = zip(*_corners(*turned), strict=True)
+    ends = {"x0": F.least(*xs), "y0": F.least(*ys), "x1": F.greatest(*xs), "y1": F.greatest(*ys)}
+    framed = ids.select("image", "label", "idx", "score", "_id", *turned, (F.col("w") * F.col("h")).alias("area"), *(e.alias(n) for n, e in ends.items()))
+    met = _met(framed, BETTER, dense)
+    room = F.expr("(least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))")
+    most_shared = F.least(room, F.col("a.area"), F.col("b.area")) * (1 + 1e-6)  # what two polygons share, and room for rounding
+    met = met.where(~(most_shared / F.greatest(F.col("a.area") + F.col("b.area") - most_shared, F.lit(1e-12)) <= most))
+    for side in "ab":
+        met = once(met, f"poly_{side}", corners(*(f"{side}.{c}" for c in turned)))
+    met = once(met, "both", convex_intersection("poly_a", "poly_b"))
     shared = F.when(F.size("both") > 2, polygon_area("both")).otherwise(0.0)
     pairs = met.where(let(shared, lambda s: s / F.greatest(F.col("a.area") + F.col("b.area") - s, F.lit(1e-12))) > most)
     kept = _decided(ids, pairs)
