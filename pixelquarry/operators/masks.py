@@ -11,14 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import positions, stored
 from .components import components
 
 BAND = 64
-_LABELS = pa.schema([("image", pa.string()), ("run", pa.int64()), ("label", pa.int64()), ("own", pa.bool_()), ("seam", pa.bool_())])
+_LABELS = pa.schema([("image", pa.string()), *((c, pa.int64()) for c in ("run", "y", "x0", "x1", "label")), ("own", pa.bool_()), ("seam", pa.bool_())])
+_AT_ONCE = 1 << 15
 
 
 def join_rows(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
@@ -53,7 +54,7 @@ def join_rows(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
 
 def labelled(runs: DataFrame, band: int) -> DataFrame:
     """``runs`` (image, run, y, x0, x1) with their label in each band they are in: the least run of their part there.  ``own``
-    tells the band that a run counts for, ``seam`` the rows that two bands share."""
+    tells the band that a run counts for, ``seam`` the rows that two bands share.  Small bands leave in common batches."""
     own = F.floor(F.col("y") / band)
     shared = F.pmod(F.col("y"), F.lit(band)) == 0
     bands = F.explode(F.when(shared, F.array(own, own - 1)).otherwise(F.array(own))).alias("band")
@@ -63,11 +64,19 @@ def labelled(runs: DataFrame, band: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         key = None
 
-        def done() -> pa.RecordBatch:
+        ready: list[tuple[str, tuple[np.ndarray, ...]]] = []
+        waiting = 0
+
+        def done() -> tuple[np.ndarray, ...]:
             t = pa.Table.from_batches(held)
             y, x0, x1, ids = (t.column(c).to_numpy() for c in ("y", "x0", "x1", "run"))
-            seam = y % band == 0
-            return pa.RecordBatch.from_arrays([t.column("image").combine_chunks().cast(pa.string()), pa.array(ids), pa.array(ids[join_rows(y, x0, x1)]), pa.array(y // band == key[1]), pa.array(seam)], schema=_LABELS)
+            return ids, y, x0, x1, ids[join_rows(y, x0, x1)], y // band == key[1], y % band == 0
+
+        def sent() -> pa.RecordBatch:
+            names = pa.array([k for k, _ in ready], pa.string()).take(pa.array(np.repeat(np.arange(len(ready)), [len(c[0]) for _, c in ready])))
+            batch = pa.RecordBatch.from_arrays([names, *(pa.array(np.concatenate(c)) for c in zip(*(c for _, c in ready), strict=True))], schema=_LABELS)
+            ready.clear()
+            return batch
 
         for batch in batches:
             image, at = batch.column("image").to_numpy(zero_copy_only=False), batch.column("band").to_numpy()
@@ -77,13 +86,19 @@ def labelled(runs: DataFrame, band: int) -> DataFrame:
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 if key != (image[lo], at[lo]):
                     if held:
-                        yield done()
+                        ready.append((key[0], done()))
+                        waiting += len(ready[-1][1][0])
+                    if waiting >= _AT_ONCE:
+                        yield sent()
+                        waiting = 0
                     held, key = [], (image[lo], at[lo])
                 held.append(batch.slice(lo, hi - lo))
         if held:
-            yield done()
+            ready.append((key[0], done()))
+        if ready:
+            yield sent()
 
-    return rows.repartition("image", "band").sortWithinPartitions("image", "band", "y", "x0", "x1").mapInArrow(run, "image string, run long, label long, own boolean, seam boolean")
+    return rows.repartition("image", "band").sortWithinPartitions("image", "band", "y", "x0", "x1").mapInArrow(run, "image string, run long, y long, x0 long, x1 long, label long, own boolean, seam boolean")
 
 
 def mask_components(runs: DataFrame, least_area: int = 1, band: int = BAND) -> DataFrame:
@@ -96,10 +111,9 @@ def mask_components(runs: DataFrame, least_area: int = 1, band: int = BAND) -> D
     found = stored(labelled(placed, band), "bands")
     edges = found.where("seam").groupBy("run").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("a", "b").distinct()
     joined = components(edges)
-    in_band = placed.join(found.where("own").select("run", "label"), "run")
-    sized = in_band.groupBy("image", "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"))
+    sized = found.where("own").groupBy("image", "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.min("x0").alias("x0"), F.min("y").alias("y0"), F.max("x1").alias("x1"), F.max("y").alias("y1"), F.min("run").alias("first"))
     named = sized.join(joined, sized["label"] == joined["node"], "left").withColumn("component", F.coalesce("component", "label"))
-    parts = named.groupBy("image", "component").agg(F.sum("area").alias("area"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    first = placed.groupBy(F.col("image").alias("of")).agg(F.min("run").alias("first"))
-    numbered = parts.join(first, F.col("image") == F.col("of")).withColumn("component", F.col("component") - F.col("first") + 1)
+    parts = named.groupBy("image", "component").agg(F.sum("area").alias("area"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min("first").alias("first"))
+    first = F.min("first").over(Window.partitionBy("image"))
+    numbered = parts.withColumn("component", F.col("component") - first + 1)
     return numbered.select(F.col("image").cast(kind).alias("image"), "component", "area", "x0", "y0", "x1", "y1").where(F.col("area") >= least_area)
