@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -110,10 +111,10 @@ class Results(StatefulProcessor):
         self.item = handle.getValueState("item", "state string, token string, canceled boolean, event_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values("event_id")
+        new = sorted((e for part in rows for e in zip(*(part[c].tolist() for c in ("event_id", "state", "token", "committed")), strict=True)), key=lambda e: e[0])
         state, token, canceled, last = self.item.get() if self.item.exists() else ("new", None, False, -1)
         out = []
-        for event_id, to, own, committed in new[["event_id", "state", "token", "committed"]].itertuples(index=False):
+        for event_id, to, own, committed in new:
             if event_id <= last:
                 continue
             last, accepted, reason = int(event_id), False, None
@@ -150,11 +151,16 @@ def results(stream: DataFrame) -> DataFrame:
 
 
 def write_results(stream: DataFrame, where: str, checkpoint: str) -> StreamingQuery:
-    """Both outputs of ``results`` below ``where``: accepted and rejected; a batch that runs again writes its folders again."""
+    """Both outputs of ``results`` below ``where``: accepted and rejected; a batch that runs again writes its folders again.
+    A batch is kept while both are written, or the states would be run through for each."""
 
     def write(batch: DataFrame, number: int) -> None:
-        for name, rows in (("accepted", batch.where("accepted")), ("rejected", batch.where("NOT accepted"))):
-            rows.drop("accepted").write.mode("overwrite").parquet(f"{where}/{name}/batch={number}")
+        kept = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            for name, rows in (("accepted", kept.where("accepted")), ("rejected", kept.where("NOT accepted"))):
+                rows.drop("accepted").write.mode("overwrite").parquet(f"{where}/{name}/batch={number}")
+        finally:
+            kept.unpersist()
 
     return results(stream).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
