@@ -85,7 +85,7 @@ def clip(shapes: DataFrame, x: Column, y: Column, w: Column, h: Column) -> DataF
     p, kind = F.col("points"), F.col("shape_type")
     x1, y1 = x + w, y + h
     inside = F.forall(p, lambda q: (q[0] >= x) & (q[0] <= x1) & (q[1] >= y) & (q[1] <= y1))
-    box = g.bounds(p)
+    box = F.col("_box")
     met = (box["x1"] >= x) & (box["x0"] <= x1) & (box["y1"] >= y) & (box["y0"] <= y1)
     finite = (box["x0"] > float("-inf")) & (box["y0"] > float("-inf")) & (box["x1"] < float("inf")) & (box["y1"] < float("inf"))
     upright = finite & (w >= 0) & (h >= 0) & g.is_upright(p)
@@ -202,6 +202,10 @@ def dry_run(assets: DataFrame, steps: list[tuple]) -> DataFrame:
     return assets.select("*", w.alias("out_width"), h.alias("out_height"), reason.alias("reason"))
 
 
+#: Images of a task that cuts pyramids: a small file of images makes very many tiles.
+PYRAMIDS = 20_000
+
+
 def pyramid(images: DataFrame, tile: int = 256) -> DataFrame:
     """Tiles of every level of ``images`` (image, width, height): level, column, row, source box, output size.  Images are
     dealt to as many tasks as their number takes, by image, so what follows per image stays where it is."""
@@ -211,10 +215,6 @@ def pyramid(images: DataFrame, tile: int = 256) -> DataFrame:
     levels = images.select("image", "width", "height", top.alias("max_level")).select("*", F.explode(F.sequence(F.lit(0), F.col("max_level"))).alias("level"))
     levels = levels.withColumn("factor", F.expr("1L << (max_level - level)")).withColumn("lw", F.ceil(F.col("width") / F.col("factor"))).withColumn("lh", F.ceil(F.col("height") / F.col("factor")))
     across = lambda n: F.sequence(F.lit(0), (F.ceil(F.col(n) / tile) - 1).cast("int"))
-#: Images of a task that cuts pyramids: a small file of images makes very many tiles.
-PYRAMIDS = 20_000
-
-
     cells = levels.select("*", F.explode(across("lw")).alias("column")).select("*", F.explode(across("lh")).alias("row"))
     side = lambda at, n: F.least(F.lit(tile).cast("long"), F.col(n) - F.col(at) * tile)
     cells = cells.withColumn("out_w", side("column", "lw")).withColumn("out_h", side("row", "lh"))
