@@ -164,9 +164,10 @@ def clip_polygon(points: Column, x0: Column, y0: Column, x1: Column, y1: Column)
 
 def is_upright(points: Column) -> Column:
     """Whether the points are left top, right top, right bottom and left bottom of an upright box."""
-    p = points
-    sides = (p[0][0] == p[3][0]) & (p[1][0] == p[2][0]) & (p[0][1] == p[1][1]) & (p[2][1] == p[3][1]) & (p[0][0] <= p[1][0]) & (p[0][1] <= p[2][1])
-    return F.coalesce((F.size(p) == 4) & sides, F.lit(False))
+    # the fourth point of a triangle, which may be looked up before the size is, is null
+    at = lambda i, j: F.get(F.get(points, F.lit(i)), F.lit(j))
+    sides = (at(0, 0) == at(3, 0)) & (at(1, 0) == at(2, 0)) & (at(0, 1) == at(1, 1)) & (at(2, 1) == at(3, 1)) & (at(0, 0) <= at(1, 0)) & (at(0, 1) <= at(2, 1))
+    return F.coalesce((F.size(points) == 4) & sides, F.lit(False))
 
 
 def clip_upright(box: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

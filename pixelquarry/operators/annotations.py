@@ -165,23 +165,60 @@ def revalidate(old: DataFrame, fresh: DataFrame, columns: list[str]) -> DataFram
     return both.select("asset_id", status.alias("status"), *(F.when(there, F.coalesce(f"f.{c}", f"o.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in columns))
 
 
+def _targets(shapes: DataFrame, *keep: str) -> DataFrame:
+    """What hits ask of a shape, made once: bounds, area, and its edges (none of an upright box, which its bounds tell)."""
+    p, upright = F.col("points"), F.col("_upright")
+    rows = shapes.select("image", "idx", *keep, "points", g.is_upright(F.col("points")).alias("_upright"))
+    box = F.when(upright, F.struct(*(F.get(F.get(p, F.lit(i)), F.lit(j)).alias(c) for c, i, j in (("x0", 0, 0), ("y0", 0, 1), ("x1", 2, 0), ("y1", 2, 1))))).otherwise(g.bounds(p))
+    rows = rows.select("*", box.alias("_b"))
+    area = F.when(upright, (F.col("_b.x1") - F.col("_b.x0")) * (F.col("_b.y1") - F.col("_b.y0"))).otherwise(g.area(p))
+    return rows.select("image", "idx", *keep, *(F.col(f"_b.{c}").alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")), area.alias("area"), F.when(~upright, g.edges(p)).alias("_edges"))
+
+
+def _struck(met: DataFrame, tolerance: float) -> DataFrame:
+    """Of pairs of a point and a target those that hit, ranked per point."""
+    x, y, x0, y0, x1, y1, sides = (F.col(c) for c in ("x", "y", "_x0", "_y0", "_x1", "_y1", "_edges"))
+    met = met.where((x >= x0 - tolerance) & (x <= x1 + tolerance) & (y >= y0 - tolerance) & (y <= y1 + tolerance))
+    away = lambda a, v, b: F.pow(F.greatest(a - v, F.lit(0.0), v - b), F.lit(2.0))
+    within = (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
+    of_box = F.when(within, F.least(x - x0, x1 - x, y - y0, y1 - y)).otherwise(F.sqrt(away(x0, x, x1) + away(y0, y, y1)))
+    met = g.once(met, "distance", F.when(sides.isNull(), of_box).otherwise(g.distance_to_edges(sides, x, y))).withColumn("on_edge", F.col("distance") <= tolerance)
+    inside = F.when(sides.isNull(), within & (x < x1) & (y < y1)).otherwise(g.inside_edges(sides, x, y))
+    met = met.where(F.when(F.col("on_edge"), True).otherwise(inside)).select("image", "point_id", "idx", "distance", "on_edge", "area")
+    order = Window.partitionBy("image", "point_id").orderBy(F.desc("on_edge"), F.when(F.col("on_edge"), F.col("distance")), "area", "distance", F.desc("idx"))
+    return met.withColumn("rank", F.row_number().over(order)).select("image", "point_id", "idx", "on_edge", "distance", "area", "rank")
+
+
+def _by_cell(points: DataFrame, targets: DataFrame, tolerance: float, cell: float) -> DataFrame:
+    reach = lambda a, b: F.sequence(F.floor((F.col(a) - tolerance) / cell), F.floor((F.col(b) + tolerance) / cell))
+    spread = targets.withColumn("_cx", F.explode(reach("_x0", "_x1"))).withColumn("_cy", F.explode(reach("_y0", "_y1")))
+    asked = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    return asked.join(spread, ["image", "_cx", "_cy"])
+
+
 def hits(points: DataFrame, shapes: DataFrame, tolerance: float = 4.0, cell: float = 128.0) -> DataFrame:
     """Shapes under each point (image, point_id, x, y), best first: edges before interiors, then the nearer edge, the
     smaller area, the later shape.  Points and bounds meet by grid cell, so a dense image is many keys."""
-    box = g.bounds(F.col("points"))
-    bounded = shapes.select("image", "idx", g.edges(F.col("points")).alias("_edges"), g.area(F.col("points")).alias("area"), box.alias("_b"))
-    bounded = bounded.select("image", "idx", "_edges", "area", *(F.col(f"_b.{c}").alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")))
-    reach = lambda a, b: F.sequence(F.floor((F.col(a) - tolerance) / cell), F.floor((F.col(b) + tolerance) / cell))
-    spread = bounded.withColumn("_cx", F.explode(reach("_x0", "_x1"))).withColumn("_cy", F.explode(reach("_y0", "_y1")))
-    asked = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
-    near = (F.col("x") >= F.col("_x0") - tolerance) & (F.col("x") <= F.col("_x1") + tolerance) & (F.col("y") >= F.col("_y0") - tolerance) & (F.col("y") <= F.col("_y1") + tolerance)
-    met = asked.join(spread, ["image", "_cx", "_cy"]).where(near)
-    sides, x, y = F.col("_edges"), F.col("x"), F.col("y")
-    # exploding a list of one keeps the optimiser from computing the distance again wherever it is named
-    met = met.withColumn("distance", F.explode(F.array(g.distance_to_edges(sides, x, y)))).withColumn("on_edge", F.col("distance") <= tolerance)
-    met = met.where(F.when(F.col("on_edge"), True).otherwise(g.inside_edges(sides, x, y))).select("image", "point_id", "idx", "distance", "on_edge", "area")
-    order = Window.partitionBy("image", "point_id").orderBy(F.desc("on_edge"), F.when(F.col("on_edge"), F.col("distance")), "area", "distance", F.desc("idx"))
-    return met.withColumn("rank", F.row_number().over(order)).select("image", "point_id", "idx", "on_edge", "distance", "area", "rank")
+    return _struck(_by_cell(points, _targets(shapes), tolerance, cell), tolerance)
+
+
+def hits_among(shapes: DataFrame, tolerance: float = 4.0, cell: float = 128.0, dense: int = grid.DENSE) -> DataFrame:
+    """``hits`` of a point of each shape (columns x, y; its idx is the point_id).  Rows of images up to ``dense`` shapes get
+    the list of their image's, so what is dealt by image is not dealt again; those of other images meet by cell."""
+    rows, by = shapes.where("image IS NOT NULL"), Window.partitionBy("image")
+    crowds = not rows.groupBy("image").count().where(F.col("count") > dense).isEmpty()
+    targets = _targets(rows, "x", "y")
+    few = sized = targets.withColumn("_n", F.count("*").over(by)) if crowds else targets
+    if crowds:
+        few = sized.where(F.col("_n") <= dense)
+    target = ("idx", "_x0", "_y0", "_x1", "_y1", "area", "_edges")
+    listed = few.select("image", F.col("idx").alias("point_id"), "x", "y", F.collect_list(F.struct(*target)).over(by).alias("_all"))
+    found = _struck(listed.select("image", "point_id", "x", "y", F.inline("_all")), tolerance)
+    if not crowds:
+        return found
+    many = sized.where(F.col("_n") > dense)
+    met = _by_cell(many.select("image", F.col("idx").alias("point_id"), "x", "y"), many.select("image", *target), tolerance, cell)
+    return found.unionByName(_struck(met, tolerance))
 
 
 def dry_run(assets: DataFrame, steps: list[tuple]) -> DataFrame:

@@ -74,15 +74,17 @@ def reads(sql: str) -> list[str]:
     return [n for n in (*TABLES, *VIEWS) if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", sql)]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or a derived one."""
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: str | None = None) -> DataFrame:
+    """A given table or a derived one.  Given tables are dealt by the column ``dealt`` first: what follows by it, under
+    whatever name, is not dealt again."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        given = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return given.repartition(dealt) if dealt else given
     sql = VIEWS[name]
     used = reads(sql)
     for n in used:
         sql = re.sub(rf"\b(FROM|JOIN)(\s+){n}\b", rf"\1\2{{{n}}}", sql)
-    return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in used})
+    return spark.sql(sql, **{n: view(spark, sf_dir, n, dealt) for n in used})
 
 
 def with_views(sql: str) -> str:
